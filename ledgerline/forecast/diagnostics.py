@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.windows import average_rank
 
@@ -35,7 +36,7 @@ def kruskal_by_month(df: DataFrame, keys: list[str], date: str, measure: str) ->
     return out.withColumn("p", chi_square_tail(F.col("h"), F.col("df")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_tail(h: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution by its finite sum for whole degrees of freedom."""
     def one(x, k):
@@ -54,7 +55,7 @@ def chi_square_tail(h: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([one(x, int(k)) for x, k in zip(h, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series([math.erfc(abs(x) / math.sqrt(2.0)) if x == x else None for x in z], dtype="float64")
 

@@ -140,7 +140,7 @@ def number_orders(kept: DataFrame) -> DataFrame:
     Numbers run over targets in order, two-level like the running total.
     """
     counts = kept.groupBy(*TARGET, "chunk").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per chunk of 4096 orders is left here
+    # one row per chunk of orders is left here, and one per configured target below
     blocks = counts.groupBy(*TARGET).agg(F.sum("_n").alias("_t"))
     prior = Window.orderBy(*TARGET).rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(*TARGET, F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_start"))
