@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrays as A
-from .models import _let, _holt_fit, holt_fit
+from .models import holt_fit
 
 PERIOD = 12
 R2_LIMIT = 0.5
@@ -254,13 +254,13 @@ def non_negative_path(values: Column, steps: int, last_n: int = 3, start: float
         pick = F.coalesce(F.get(passing, F.lit(0)), F.get(paths, F.lit(len(shrinks) - 1)))
         return F.when(A.total(pick) < 0, F.array_repeat(F.lit(0.0), F.lit(steps))).otherwise(pick)
 
-    return _let(damped_fit(values), build)
+    return A.let(damped_fit(values), build)
 
 
 def quiet_or_damped(forecast: Column, history: Column, last_two_years: Column, steps: int, shrink: float = 3.0) -> Column:
     """Zero after two silent years; damped instead when a never negative history is forecast below zero."""
     falls = (F.array_min(forecast) < 0) & (F.array_min(history) >= 0)
-    damped = _let(damped_fit(history), lambda f: damped_path(f, F.lit(shrink), steps))
+    damped = A.let(damped_fit(history), lambda f: damped_path(f, F.lit(shrink), steps))
     zero = F.array_repeat(F.lit(0.0), F.lit(steps))
     return F.when(last_two_years == 0, zero).when(falls, damped).otherwise(forecast)
 

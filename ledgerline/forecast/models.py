@@ -81,74 +81,70 @@ def seasonal_linear(values: Column, steps: int) -> Column:
     def project(line: Column) -> Column:
         n = line["n"]
         ratios = F.transform(values, lambda v, i: F.try_divide(v, line["a"] + line["b"] * (i - 11)))
-        return A.steps(
-            steps,
-            lambda h: (line["a"] + line["b"] * (n - 11 + h - 1)) * _same_month_mean(ratios, n, h),
-        )
+        return A.let(ratios, lambda q: A.steps(
+            steps, lambda h: (line["a"] + line["b"] * (n - 11 + h - 1)) * _same_month_mean(q, n, h)))
 
-    return _let(fit(values), project)
+    return A.let(fit(values), project)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind an intermediate once inside one expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def exponential_smoothing_fit(values: Column) -> Column:
+    """struct(sse, alpha, level) of the best weight on the grid.
 
+    The level starts at the first value; the error is the sum of squared one-step errors.
+    """
+    def run(v: Column, a: Column) -> Column:
+        start = F.struct(F.get(v, F.lit(0)).alias("level"), F.lit(0.0).alias("sse"))
 
-def _ses_fit(values: Column, alpha: float) -> Column:
-    """Level recursion from the first value; error is the sum of squared one-step errors."""
-    start = F.struct(F.get(values, F.lit(0)).alias("level"), F.lit(0.0).alias("sse"))
-    a = F.lit(alpha)
+        def step(state: Column, y: Column) -> Column:
+            miss = y - state["level"]
+            return F.struct((state["level"] + a * miss).alias("level"), (state["sse"] + miss * miss).alias("sse"))
 
-    def step(state: Column, y: Column) -> Column:
-        miss = y - state["level"]
-        return F.struct((state["level"] + a * miss).alias("level"), (state["sse"] + miss * miss).alias("sse"))
+        return F.aggregate(
+            _after_first(v), start, step,
+            lambda s: F.struct(s["sse"].alias("sse"), a.alias("alpha"), s["level"].alias("level")))
 
-    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-    return F.aggregate(rest, start, step, lambda s: F.struct(s["sse"].alias("sse"), a.alias("alpha"), s["level"].alias("level")))
+    grid = F.array(*[F.lit(a) for a in ALPHAS])
+    return F.array_min(A.let(values, lambda v: F.transform(grid, lambda a: run(v, a))))
 
 
-def exponential_smoothing_fit(values: Column) -> Column:
-    """struct(sse, alpha, level) of the best weight on the grid."""
-    return F.array_min(F.array(*[_ses_fit(values, a) for a in ALPHAS]))
+def _after_first(values: Column) -> Column:
+    return F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
 
 
 def exponential_smoothing(values: Column, steps: int) -> Column:
     return _repeat(exponential_smoothing_fit(values)["level"], steps)
 
 
-def _holt_fit(values: Column, alpha: float, beta: float, phi: float = 1.0) -> Column:
-    first, second = F.get(values, F.lit(0)), F.get(values, F.lit(1))
-    start = F.struct(first.alias("level"), (second - first).alias("trend"), F.lit(0.0).alias("sse"))
-    a, b, p = F.lit(alpha), F.lit(beta), F.lit(phi)
-
-    def step(s: Column, y: Column) -> Column:
-        expected = s["level"] + p * s["trend"]
-        miss = y - expected
-        level = expected + a * miss
-        return F.struct(
-            level.alias("level"),
-            (p * s["trend"] + a * b * miss).alias("trend"),
-            (s["sse"] + miss * miss).alias("sse"),
-        )
-
-    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-    return F.aggregate(
-        rest, start, step,
-        lambda s: F.struct(
-            s["sse"].alias("sse"), a.alias("alpha"), b.alias("beta"), p.alias("phi"),
-            s["level"].alias("level"), s["trend"].alias("trend"),
-        ),
-    )
-
-
 def holt_fit(values: Column, phis: Iterable[float] = (1.0,)) -> Column:
     """struct(sse, alpha, beta, phi, level, trend) of the best grid point; the second value starts the trend."""
-    grid = [_holt_fit(values, a, b, p) for p in phis for a in HOLT_ALPHAS for b in HOLT_BETAS]
-    return F.array_min(F.array(*grid))
+    def run(v: Column, g: Column) -> Column:
+        first, second = F.get(v, F.lit(0)), F.get(v, F.lit(1))
+        start = F.struct(first.alias("level"), (second - first).alias("trend"), F.lit(0.0).alias("sse"))
+
+        def step(s: Column, y: Column) -> Column:
+            carried = g["phi"] * s["trend"]
+            miss = y - s["level"] - carried
+            return F.struct(
+                (s["level"] + carried + g["alpha"] * miss).alias("level"),
+                (carried + g["alpha"] * g["beta"] * miss).alias("trend"),
+                (s["sse"] + miss * miss).alias("sse"),
+            )
+
+        return F.aggregate(
+            _after_first(v), start, step,
+            lambda s: F.struct(
+                s["sse"].alias("sse"), g["alpha"].alias("alpha"), g["beta"].alias("beta"), g["phi"].alias("phi"),
+                s["level"].alias("level"), s["trend"].alias("trend")))
+
+    points = [(a, b, p) for p in phis for a in HOLT_ALPHAS for b in HOLT_BETAS]
+    grid = F.transform(
+        F.arrays_zip(*[F.array(*[F.lit(float(x[i])) for x in points]).alias(n) for i, n in enumerate(("alpha", "beta", "phi"))]),
+        lambda g: g)
+    return F.array_min(A.let(values, lambda v: F.transform(grid, lambda g: run(v, g))))
 
 
 def holt(values: Column, steps: int) -> Column:
-    return _let(holt_fit(values), lambda f: A.steps(steps, lambda h: f["level"] + f["trend"] * h))
+    return A.let(holt_fit(values), lambda f: A.steps(steps, lambda h: f["level"] + f["trend"] * h))
 
 
 def autoregressive(values: Column, steps: int) -> Column:
@@ -158,7 +154,7 @@ def autoregressive(values: Column, steps: int) -> Column:
     later = F.slice(values, F.lit(2), F.greatest(n - 1, F.lit(0)))
     raw = F.coalesce(F.try_divide(A.dot(earlier, later), A.dot(earlier, earlier)), F.lit(0.0))
     phi = F.greatest(F.lit(-0.999), F.least(F.lit(0.999), raw))
-    return A.steps(steps, lambda h: F.pow(phi, h) * _last(values))
+    return A.let(phi, lambda f: A.steps(steps, lambda h: F.pow(f, h) * _last(values)))
 
 
 def double_difference(values: Column, steps: int) -> Column:
@@ -190,7 +186,7 @@ def quadratic_fit(values: Column) -> Column:
             n.alias("n"),
         )
 
-    return _let(moments, solve)
+    return A.let(moments, solve)
 
 
 def quadratic_trend(values: Column, steps: int) -> Column:
@@ -200,7 +196,7 @@ def quadratic_trend(values: Column, steps: int) -> Column:
             return f["c0"] + f["c1"] * u + f["c2"] * u * u
         return A.steps(steps, at)
 
-    return _let(quadratic_fit(values), project)
+    return A.let(quadratic_fit(values), project)
 
 
 def or_zero(model: Model) -> Model:
@@ -240,8 +236,9 @@ def forecast(arrays: DataFrame, keys: list[str], model: str | Model, steps: int,
 
 
 def explode_steps(df: DataFrame, keys: list[str], column: str, extra: list[str] = ()) -> DataFrame:
-    rows = df.select(*keys, *extra, "last_month", F.posexplode(column).alias("_p", "value"))
-    return rows.select(
+    # outer: the inner form adds a size filter below, which would evaluate the forecast once more
+    rows = df.select(*keys, *extra, "last_month", F.posexplode_outer(column).alias("_p", "value"))
+    return rows.where(F.col("_p").isNotNull()).select(
         *keys, *extra, (F.col("_p") + 1).alias("step"),
         month_shift("last_month", F.col("_p") + 1).alias("month"), "value",
     )

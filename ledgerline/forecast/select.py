@@ -73,13 +73,13 @@ def score_models(arrays: DataFrame, keys: list[str], models: list[str] | None =
         )
         for i, name in enumerate(names)
     ]
-    return forecasts.withColumn("scores", F.array(*scores)).drop(
+    return A.computed_once(forecasts, scores=F.array(*scores)).drop(
         "_train", "_test", "_first_part", *[f"_f{i}" for i in range(len(names))],
     )
 
 
 def score_table(scored: DataFrame, keys: list[str]) -> DataFrame:
-    return scored.select(*keys, F.explode("scores").alias("_s")).select(*keys, "_s.model", "_s.score")
+    return scored.select(*keys, F.explode_outer("scores").alias("_s")).select(*keys, "_s.model", "_s.score")
 
 
 def choose(scored: DataFrame, direction: str = "min") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,21 @@ def steps(count: int, build: Callable[[Column], Column]) -> Column:
 
 def dot(left: Column, right: Column) -> Column:
     return total(F.zip_with(left, right, lambda a, b: a * b))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind an intermediate value once inside one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are too costly to be evaluated twice.
+
+    A filter on a plain computed column is pushed below it, which repeats the
+    whole expression in the filter, once per reference. Filters on the output of
+    an explode stay above it; exploding a one-item array keeps the rows as they are.
+    """
+    item = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*df.columns, F.explode_outer(F.array(item)).alias("_once")).select(
+        *kept, *[F.col(f"_once.{name}").alias(name) for name in columns])

@@ -57,7 +57,7 @@ def full_years(df: DataFrame, keys: list[str], year: str, month: str, months: in
 
     Works on monthly rows; the months present form a bit set, so no distinct shuffle is needed.
     """
-    bits = F.bit_or(F.shiftleft(F.lit(1), F.col(month).cast("int") - 1))
+    bits = F.bit_or(F.pow(F.lit(2.0), F.col(month) - 1).cast("int"))
     complete = df.groupBy(*keys, year).agg(F.bit_count(bits).alias("_m")).where(F.col("_m") == months)
     return df.join(complete.select(*keys, year), [*keys, year], "left_semi")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import computed_once
 from ..functions.scalars import col, month_end_of
 
 
@@ -36,13 +37,13 @@ def as_arrays(df: DataFrame, keys: list[str], date: str, measure: str, known_to:
         month_range("first_month", "last_month"),
         lambda m: F.coalesce(F.try_element_at(F.col("_by_month"), m), F.lit(0.0)),
     )
-    return packed.select(*keys, "first_month", "last_month", value.alias("values"))
+    return computed_once(packed, values=value).select(*keys, "first_month", "last_month", "values")
 
 
 def from_arrays(arrays: DataFrame, keys: list[str], date: str, measure: str) -> DataFrame:
     """Back to one row per (key, month)."""
     zipped = F.arrays_zip(month_range("first_month", "last_month").alias("d"), F.col("values").alias("v"))
-    return arrays.select(*keys, F.explode(zipped).alias("_r")).select(
+    return arrays.select(*keys, F.explode_outer(zipped).alias("_r")).select(
         *keys, F.col("_r.d").alias(date), F.col("_r.v").alias(measure),
     )
 
@@ -57,7 +58,8 @@ def fill_common_span(df: DataFrame, keys: list[str], date: str, measure: str, ou
     months = df.groupBy(*keys, month_end_of(date).alias("_m")).agg(F.sum(measure).alias("_v"))
     first, last = months.agg(F.min("_m")).scalar(), months.agg(F.max("_m")).scalar()
     packed = months.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_m", "_v"))).alias("_by"))
-    spanned = packed.withColumn("_month", F.explode(month_range(first, last)))
+    bounded = packed.withColumns({"_first": first, "_last": last})
+    spanned = bounded.withColumn("_month", F.explode_outer(month_range("_first", "_last")))
     return spanned.select(
         *keys, F.col("_month").alias(out_date),
         F.coalesce(F.try_element_at("_by", "_month"), F.lit(0.0)).alias(measure),

@@ -13,7 +13,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ["cleaning", "joining"]
+_MODULES = ["cleaning", "joining", "aggregating", "windowing", "ranking", "series", "models", "selection"]
 
 
 def query(name: str, sql: str | None = None):
