@@ -6,13 +6,16 @@ does not depend on partitioning and a longer run repeats the shorter one.
 
 from __future__ import annotations
 
+import math
 
-from pyspark.sql import DataFrame, Window
+
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .. import KEY
 from ..functions.scalars import equal_width_bin, hash_normal, hash_uniform
 from ..operators.joins import first_per_key
+from ..session import cut_lineage
 from .po import ATTRIBUTES
 
 CLASSES = 100
@@ -96,26 +99,24 @@ def draw_attributes(drawn: DataFrame, frequencies: DataFrame, ids: list[str], at
     return out
 
 
-def draw_amounts(targets: DataFrame, moments: DataFrame, known_classes: DataFrame, stretch: float, seed: int) -> DataFrame:
+def draw_amounts(targets: DataFrame, moments: Row, known_classes: DataFrame, stretch: float, seed: int) -> DataFrame:
     """Numbered amounts per target, about ``stretch`` times the expected need; unseen classes are skipped.
 
     Draws are generated in chunks, so one large target spreads over many tasks.
     """
-    m = moments.select(F.struct("mu", "sigma_squared", "low", "high").alias("m")).scalar()
-    expected = F.exp(m["mu"] + m["sigma_squared"] / 2.0)
-    chunks = (F.ceil(F.col("amount") / expected * F.lit(stretch) / F.lit(float(CHUNK))) + 1).cast("int")
+    expected = math.exp(moments.mu + moments.sigma_squared / 2.0)
+    chunks = (F.ceil(F.col("amount") * F.lit(stretch / expected / CHUNK)) + 1).cast("int")
     blocks = targets.where(F.col("amount") > 0).select(
-        *TARGET, F.col("amount").alias("target_amount"), m.alias("m"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        *TARGET, F.col("amount").alias("target_amount"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
     blocks = blocks.repartition(*TARGET, "chunk")
     draws = blocks.withColumn("draw", F.explode(F.sequence(
         F.col("chunk").cast("long") * CHUNK, (F.col("chunk").cast("long") + 1) * CHUNK - 1)))
-    log_amount = F.col("m.mu") + F.sqrt("m.sigma_squared") * hash_normal(*TARGET, "draw", seed=seed)
-    sized = draws.withColumn("log_amount", log_amount).where(
-        F.col("log_amount").between(F.col("m.low"), F.col("m.high")))
+    log_amount = F.lit(moments.mu) + F.lit(math.sqrt(moments.sigma_squared)) * hash_normal(*TARGET, "draw", seed=seed)
+    sized = draws.withColumn("log_amount", log_amount).where(F.col("log_amount").between(moments.low, moments.high))
     sized = sized.withColumns({
-        "value_class": equal_width_bin("log_amount", "m.low", "m.high", CLASSES),
+        "value_class": equal_width_bin("log_amount", F.lit(moments.low), F.lit(moments.high), CLASSES),
         "po_net_value": F.exp("log_amount"),
-    }).drop("m", "log_amount")
+    }).drop("log_amount")
     return sized.join(known_classes, "value_class", "left_semi")
 
 
@@ -162,11 +163,12 @@ def synthetic_orders(orders: DataFrame, targets: DataFrame, seed: int = 0, attri
     The first stretch generously covers the need; if some target is still short
     the draws are extended (the same draws again, then more).
     """
-    classed = with_value_class(orders)
-    frequencies = class_frequencies(classed, attributes)
-    known = classed.select("value_class").distinct()
+    # the model is small (classes x distinct values, and four numbers): written once, read by every step below
+    frequencies = cut_lineage(class_frequencies(with_value_class(orders), attributes))
+    known = frequencies.select("value_class").distinct()
+    moments = log_moments(orders).first()
     stretch = 1.5
-    draws = draw_amounts(targets, log_moments(orders), known, stretch, seed)
+    draws = draw_amounts(targets, moments, known, stretch, seed)
     for _ in range(8):
         short = targets.where(F.col("amount") > 0).join(
             draws.groupBy(*TARGET).agg(F.sum("po_net_value").alias("_got")), TARGET, "left",
@@ -174,7 +176,7 @@ def synthetic_orders(orders: DataFrame, targets: DataFrame, seed: int = 0, attri
         if short.limit(1).count() == 0:
             break
         stretch *= 2
-        draws = draw_amounts(targets, log_moments(orders), known, stretch, seed)
+        draws = draw_amounts(targets, moments, known, stretch, seed)
     else:
         raise RuntimeError("amount classes leave too few draws to reach the targets")
     kept = number_orders(up_to_target(draws))

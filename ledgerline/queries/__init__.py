@@ -13,7 +13,10 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ["cleaning", "joining", "aggregating", "windowing", "ranking", "series", "models", "selection"]
+_MODULES = [
+    "cleaning", "joining", "aggregating", "windowing", "ranking", "series", "models", "selection", "orders", "reports",
+    "evaluation", "catalogue", "files", "learning",
+]
 
 
 def query(name: str, sql: str | None = None):

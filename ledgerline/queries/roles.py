@@ -309,7 +309,7 @@ CATALOG = """catalog AS (SELECT 'doc-' || CAST(doc_id AS VARCHAR(20)) AS name, U
   CAST(DATE '2024-01-01' + CAST(n_chars % 300 AS INTEGER) AS VARCHAR(10)) AS creation_date,
   CASE WHEN source = 'src1' THEN 'po-3' WHEN source = 'src2' THEN 'po-1' WHEN source = 'src3' THEN 'ad-hoc-' || lang WHEN source = 'src4' THEN 'ad-hoc-' || lang || ' !'
        WHEN source = 'src5' THEN 'po-3?' ELSE source END AS template,
-  DATE '2024-02-01' + CAST(doc_id % 200 AS INTEGER) AS modified, n_chars * 97 AS size, text FROM documents)"""
+  DATE '2024-02-01' + CAST(doc_id % 200 AS INTEGER) AS modified, n_chars * 194 + 1 AS size, text FROM documents)"""
 
 
 def catalog_rows(spark, d) -> DataFrame:
@@ -324,7 +324,7 @@ def catalog_rows(spark, d) -> DataFrame:
     return docs.select(
         build_key(F.concat(F.lit("doc-"), txt("doc_id")), F.upper("lang"), txt(day), template).alias("key"),
         F.date_add(F.lit("2024-02-01").cast("date"), (F.col("doc_id") % 200).cast("int")).alias("modified"),
-        (F.col("n_chars") * 97).alias("size"), "text",
+        (F.col("n_chars") * 194 + 1).alias("size"), "text",
     )
 
 
