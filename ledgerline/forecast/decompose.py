@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,27 +65,33 @@ def classical(df: DataFrame, keys: list[str], date: str, measure: str, kind: str
     return out.drop("_v", "_s", "_w")
 
 
-def _loess(y: np.ndarray, at: np.ndarray, window: int, weights: np.ndarray, degree: int = 1) -> np.ndarray:
-    """Locally weighted line of ``y`` (positions 0..n-1), evaluated at the positions ``at``."""
-    n = len(y)
-    x = np.arange(n, dtype=float)
+@lru_cache(maxsize=512)
+def _kernel(n: int, window: int, first: int, last: int) -> np.ndarray:
+    """Tricube weights of the positions 0..n-1 (columns) around first..last (rows)."""
+    at = np.arange(first, last + 1, dtype=float)
+    distance = np.abs(at[:, None] - np.arange(n, dtype=float)[None, :])
     q = min(window, n)
-    distance = np.abs(at[:, None] - x[None, :])
-    reach = np.partition(distance, q - 1, axis=1)[:, q - 1]
-    if window > n:
-        reach = reach + (window - n) / 2.0
+    reach = np.partition(distance, q - 1, axis=1)[:, q - 1] + max(window - n, 0) / 2.0
     ratio = np.clip(distance / np.maximum(reach[:, None], 1e-12), 0.0, 1.0)
-    w = (1.0 - ratio**3) ** 3 * weights[None, :]
-    s0 = w.sum(axis=1)
-    usable = s0 > 0
-    s0 = np.where(usable, s0, 1.0)
-    center = (w * x).sum(axis=1) / s0
-    dx = x[None, :] - center[:, None]
-    level = (w * y).sum(axis=1) / s0
-    spread = (w * dx * dx).sum(axis=1)
-    slope = np.where(spread > 1e-12, (w * dx * y).sum(axis=1) / np.maximum(spread, 1e-12), 0.0)
-    line = level + (slope * (at - center) if degree else 0.0)
-    return np.where(usable, line, y[np.clip(at, 0, n - 1).astype(int)])
+    return (1.0 - ratio**3) ** 3
+
+
+def _loess(y: np.ndarray, weights: np.ndarray, window: int, first: int, last: int) -> np.ndarray:
+    """Locally weighted lines through the columns of ``y``, evaluated at first..last."""
+    n = len(y)
+    k = _kernel(n, window, first, last)
+    x = np.arange(n, dtype=float)[:, None]
+    at = np.arange(first, last + 1, dtype=float)[:, None]
+    mass = k @ weights
+    seen = mass > 1e-12
+    mass = np.where(seen, mass, 1.0)
+    mid = (k @ (weights * x)) / mass
+    level = (k @ (weights * y)) / mass
+    spread = (k @ (weights * x * x)) / mass - mid * mid
+    joint = (k @ (weights * x * y)) / mass - mid * level
+    slope = np.where(spread > 1e-9, joint / np.maximum(spread, 1e-9), 0.0)
+    fallback = y[np.clip(at[:, 0], 0, n - 1).astype(int)]
+    return np.where(seen, level + slope * (at - mid), fallback)
 
 
 def _moving_mean(y: np.ndarray, width: int) -> np.ndarray:
@@ -95,26 +103,40 @@ def _odd_above(x: float) -> int:
     return n if n % 2 else n + 1
 
 
+def _months_apart(n: int, period: int) -> list[np.ndarray]:
+    """Positions of the cycle sub-series, stacked by their length (at most two lengths)."""
+    full, extra = divmod(n, period)
+    stacks = []
+    if extra:
+        stacks.append(np.arange((full + 1) * period).reshape(full + 1, period)[:, :extra])
+    if extra < period:
+        stacks.append(np.arange(full * period).reshape(full, period)[:, extra:])
+    return stacks
+
+
 def stl_components(y: np.ndarray, period: int = PERIOD, seasonal: int = 7, robust: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Seasonal-trend decomposition by loess of one short series: (trend, seasonal)."""
     n = len(y)
     trend_window = _odd_above(1.5 * period / (1.0 - 1.5 / seasonal))
     low_window = _odd_above(period + 1e-9)
     inner, outer = (2, 15) if robust else (5, 0)
-    trend, season, weights = np.zeros(n), np.zeros(n), np.ones(n)
-    everywhere = np.arange(n, dtype=float)
+    trend, season = np.zeros(n), np.zeros(n)
+    weights, even = np.ones(n), np.ones((n, 1))
+    stacks = _months_apart(n, period)
     for round_no in range(outer + 1):
         for _ in range(inner):
             detrended = y - trend
             cycle = np.zeros(n + 2 * period)
-            for month in range(period):
-                sub = detrended[month::period]
-                at = np.arange(-1, len(sub) + 1, dtype=float)
-                cycle[month::period][: len(at)] = _loess(sub, at, seasonal, weights[month::period])
+            for at in stacks:
+                rows = len(at)
+                smooth = _loess(detrended[at], weights[at], seasonal, -1, rows)
+                # position p of a sub-series is value p * period of the extended cycle, one period earlier
+                where = np.vstack([at[0] - period, at, at[-1] + period]) + period
+                cycle[where] = smooth
             low = _moving_mean(_moving_mean(_moving_mean(cycle, period), period), 3)
-            low = _loess(low, everywhere, low_window, np.ones(n))
+            low = _loess(low[:, None], even, low_window, 0, n - 1)[:, 0]
             season = cycle[period:period + n] - low
-            trend = _loess(y - season, everywhere, trend_window, weights)
+            trend = _loess((y - season)[:, None], weights[:, None], trend_window, 0, n - 1)[:, 0]
         if round_no < outer:
             rest = np.abs(y - season - trend)
             limit = 6.0 * np.median(rest)
@@ -124,6 +146,15 @@ def stl_components(y: np.ndarray, period: int = PERIOD, seasonal: int = 7, robus
     return trend, season
 
 
+def spread_series(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One-row-per-series frames are few bytes but much work: keep them on all shuffle partitions.
+
+    A given partition number is not merged by adaptive execution, which sizes by bytes.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys)
+
+
 def stl(arrays: DataFrame, period: int = PERIOD, robust: bool = True, kind: str = "additive") -> DataFrame:
     """Adds ``trend``, ``seasonal`` and ``resid`` arrays; a series under two periods gets nulls.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import FUND_DOC_CODES, FUND_DOC_MERGES, INVOICE_DOC_MERGES, merge_codes
 from ..functions.scalars import hash_normal, hash_uniform
 from ..operators import aggregates, evaluate, series, windows
+from ..session import cut_lineage
 
 GROUP = ["doc", "group"]
 STEPS = 12
@@ -147,7 +148,8 @@ def sequence_forecast(docs: DataFrame, target_year: int, threshold: float, keys:
     before = months.where(F.year("month") < target_year)
     complete = aggregates.full_years(
         before.withColumns({"year": F.year("month"), "month_no": F.month("month")}), keys, "year", "month_no").drop("year", "month_no")
-    scaled = series.min_max_scale(complete, keys, "volume")
+    # one row per series and month; written once for the many passes of the fit
+    scaled = cut_lineage(series.min_max_scale(complete, keys, "volume"))
     model = fit_sequence(lag_table(scaled, keys), trees=trees)
     path = roll_sequence(model, next_inputs(scaled, keys), steps)
     ahead = path.select(*keys, F.explode("path").alias("_y"), "low", "high").groupBy(*keys).agg(

@@ -15,10 +15,10 @@ def read_csv(spark: SparkSession, path, schema: T.StructType, **options) -> Data
 def read_csv_any_encoding(spark: SparkSession, path, schema: T.StructType, fallback: str = "ISO-8859-1", **options) -> DataFrame:
     """UTF-8, or the single-byte fallback where a file is not valid UTF-8.
 
-    Invalid bytes decode to U+FFFD; one scan of the text decides, and stops at the first hit.
+    One scan of the text decides, and stops at the first invalid line.
     """
     lines = spark.read.text(path)
-    broken = lines.where(F.contains("value", F.lit("�"))).limit(1).count() > 0
+    broken = lines.where(~F.is_valid_utf8("value")).limit(1).count() > 0
     if broken:
         options["encoding"] = fallback
     return read_csv(spark, path, schema, **options)
