@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.scalars import month_end_of
 
 
-def consolidate(df: DataFrame, keys: list[str], attributes: list[str], order: list[str], measure: str) -> DataFrame:
-    """First of each attribute (in ``order``, nulls skipped) and the sum of the measure."""
-    firsts = [
-        F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in attributes
-    ]
+def consolidate(df: DataFrame, keys: list[str], attributes: list[str], measure: str, order: list[str] | None = None) -> DataFrame:
+    """First of each attribute, nulls skipped, and the sum of the measure.
+
+    Tables have no row order, so "first" goes by ``order`` or, without one, by the value itself.
+    """
+    if order is None:
+        firsts = [F.min(c).alias(c) for c in attributes]
+    else:
+        firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in attributes]
     return df.groupBy(*keys).agg(*firsts, F.sum(measure).alias(measure))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def r2() -> Column:
     squares = F.sum(F.pow(F.col("actual") - F.col("predicted"), 2))
@@ -45,6 +47,7 @@ def paired(forecast: DataFrame, truth: DataFrame, dimension: DataFrame, key: str
 
 def slices(data: DataFrame, key: str, focus: str, prefixes: list[str], cluster: str, top: int = 30) -> DataFrame:
     """One row per (slice, key): all, one key, the largest, given prefixes, shared suffixes, cluster."""
+    data = cut_lineage(data)  # one row per key, read for the leaders, the suffixes and the slices
     suffix = F.element_at(F.split(key, "/"), -1)
     head = F.split_part(key, F.lit("/"), F.lit(1))
     leaders = data.orderBy(F.desc("actual"), key).limit(top).select(key, F.lit(True).alias("_top"))

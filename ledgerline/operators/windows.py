@@ -58,11 +58,12 @@ def flag_spikes(df, keys, order, measure, window=12, min_rows=6, threshold=3.0)
 def interpolate_by_time(df, keys, date, measure, out) -> DataFrame:
     """Linear in days between the known neighbours; leading gaps stay null, trailing ones carry the last value."""
     back = _ordered(keys, [date]).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = _ordered(keys, [date]).rowsBetween(0, Window.unboundedFollowing)
+    # read backwards: a frame that ends at the partition's end is re-evaluated for every row
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(date)).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(measure).isNotNull(), F.struct(F.col(date).alias("d"), F.col(measure).alias("v")))
     filled = df.withColumns({
         "_p": F.last(known, ignorenulls=True).over(back),
-        "_n": F.first(known, ignorenulls=True).over(ahead),
+        "_n": F.last(known, ignorenulls=True).over(ahead),
     })
     span = F.datediff("_n.d", "_p.d")
     between = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * F.datediff(F.col(date), "_p.d") / F.nullif(span, F.lit(0))

@@ -70,7 +70,8 @@ def combine(invoices: DataFrame, orders: DataFrame, funds: DataFrame) -> DataFra
 def sequence_input(docs: DataFrame, target_year: int, threshold: float) -> DataFrame:
     """Sums per (series, month) of series large enough, up to the target year, over the common span."""
     upto = docs.where(F.col("year") <= target_year)
-    months = upto.groupBy(*GROUP, "year", "month").agg(F.sum("volume").alias("volume"))
+    # months per series are few beside the documents; written once, read by the threshold, the span and the fill
+    months = cut_lineage(upto.groupBy(*GROUP, "year", "month").agg(F.sum("volume").alias("volume")))
     large = aggregates.keep_groups_above(months, GROUP, "year", "volume", threshold)
     dated = large.withColumn("date", F.last_day(F.make_date("year", "month", F.lit(1))))
     return series.fill_common_span(dated, GROUP, "date", "volume")

@@ -47,7 +47,8 @@ def class_frequencies(classed: DataFrame, attributes: list[str] = ATTRIBUTES) ->
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]))
     rows = classed.select("value_class", pairs.alias("_p")).select("value_class", "_p.*")
-    counted = rows.groupBy("value_class", "attribute", "value").agg(F.count(F.lit(1)).alias("n"))
+    # at most classes x distinct values rows; written once for the four reads below
+    counted = cut_lineage(rows.groupBy("value_class", "attribute", "value").agg(F.count(F.lit(1)).alias("n")))
     per_class = counted.groupBy("value_class", "attribute").agg(F.sum("n").alias("n_class"))
     domain = counted.select("attribute", "value").distinct()
     sizes = domain.groupBy("attribute").agg(F.count(F.lit(1)).alias("k"))
@@ -163,7 +164,7 @@ def synthetic_orders(orders: DataFrame, targets: DataFrame, seed: int = 0, attri
     The first stretch generously covers the need; if some target is still short
     the draws are extended (the same draws again, then more).
     """
-    # the model is small (classes x distinct values, and four numbers): written once, read by every step below
+    # the model is small (classes x distinct values, and four numbers): made once, read by every step below
     frequencies = cut_lineage(class_frequencies(with_value_class(orders), attributes))
     known = frequencies.select("value_class").distinct()
     moments = log_moments(orders).first()

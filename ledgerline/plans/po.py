@@ -21,6 +21,7 @@ from ..functions.scalars import (
     absolute_month, compact_month, compact_year, equal_width_bin, hash_uniform, key_year, parse_amount, relative_month,
 )
 from ..operators import aggregates, joins
+from ..session import cut_lineage
 
 VOLUMES = ["RE", "ZF", "ZY"]
 ATTRIBUTES = ["po_type", "huka", "porcurment_organization", "expanditure_type", "fingroup"]
@@ -50,7 +51,7 @@ def prepare_keys(df: DataFrame) -> DataFrame:
 def prepare_orders(orders: DataFrame, dates: DataFrame) -> DataFrame:
     """One row per key with its first date; only positive values."""
     orders = prepare_keys(orders).withColumn("po_net_value", parse_amount("po_net_value"))
-    merged = aggregates.consolidate(orders, KEY, ATTRIBUTES, ATTRIBUTES, "po_net_value")
+    merged = aggregates.consolidate(orders, KEY, ATTRIBUTES, "po_net_value")
     dated = joins.attach_dates(merged, prepare_keys(dates), KEY)
     return dated.where(F.col("po_net_value") > 0)
 
@@ -88,6 +89,25 @@ def invoice_history(orders: DataFrame, monthly_invoices: DataFrame) -> DataFrame
     return timed.groupBy(*KEY, "rel_month").agg(F.sum("volume").alias("volume"))
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """Orders with features, volume history and edits, ready for training and inference."""
+
+    orders: DataFrame
+    history: DataFrame
+    edits: DataFrame
+    invoices: DataFrame
+
+
+def prepare(orders: DataFrame, dates: DataFrame, invoices: DataFrame, edits: DataFrame) -> Prepared:
+    """Prepare all four tables. Orders and history are written once: the binning bounds, the
+    longest history, training and inference each read them again."""
+    clean = cut_lineage(prepare_orders(orders, dates))
+    monthly = prepare_invoices(invoices)
+    history = cut_lineage(invoice_history(clean, monthly))
+    return Prepared(with_features(clean), history, prepare_edits(edits), monthly)
+
+
 def smoothed_blocks(history: DataFrame, window: int) -> DataFrame:
     """Mean volume per block of ``window`` relative months.
 

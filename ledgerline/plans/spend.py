@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import day_first_date, fund_coin, serial_day
 from ..operators import aggregates, ranking
+from ..session import cut_lineage
 
 OFF_REGISTER = "#"
 
@@ -168,7 +169,9 @@ def active_keys(combined: DataFrame, key: str, measure: str, years: list[int], k
 
 def top_active(combined: DataFrame, key: str, measure: str, years: list[int], top: int, rank_years: list[int] | None = None, kinds=None) -> DataFrame:
     """Active keys with the largest totals and their part of all active keys' total."""
-    active = combined.join(active_keys(combined, key, measure, years, kinds), key, "left_semi")
+    # keys x years x types are few beside the payments; written once, since five steps read them
+    compact = cut_lineage(combined.groupBy(key, "year", "expediture_type").agg(F.sum(measure).alias(measure)))
+    active = compact.join(active_keys(compact, key, measure, years, kinds), key, "left_semi")
     ranked = of_years(active, rank_years or years, "year")
     leaders = ranking.top_keys(ranked, [key], measure, top)
     grand = active.agg(F.sum(measure)).scalar()

@@ -14,10 +14,10 @@ from .roles import big, r, rs, txt
 
 
 @query("e01_consolidate", sql=f"""
-SELECT l_orderkey, MIN(l_returnflag) AS flag, MIN(l_shipdate) IS NULL AS undated, {rs('SUM(l_extendedprice)')} AS amount FROM lineitem GROUP BY 1""")
+SELECT l_orderkey, ARG_MIN(l_returnflag, (l_shipdate, l_linenumber, l_partkey, l_suppkey)) AS flag, MIN(l_shipdate) IS NULL AS undated, {rs('SUM(l_extendedprice)')} AS amount FROM lineitem GROUP BY 1""")
 def _(spark, d):
     line = R.table(spark, d, "lineitem")
-    out = A.consolidate(line, ["l_orderkey"], ["l_returnflag", "l_shipdate"], ["l_returnflag", "l_shipdate"], "l_extendedprice")
+    out = A.consolidate(line, ["l_orderkey"], ["l_returnflag", "l_shipdate"], "l_extendedprice", ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"])
     return out.select("l_orderkey", F.col("l_returnflag").alias("flag"), F.col("l_shipdate").isNull().alias("undated"), r("l_extendedprice").alias("amount"))
 
 

@@ -6,6 +6,7 @@ from ..functions import labels as L
 from ..functions import scalars as S
 from ..operators import joins
 from ..plans import documents, generate, po, quarterly, spend
+from ..session import cut_lineage
 from . import query
 from . import roles as R
 from .roles import big, r, rs, txt
@@ -231,13 +232,13 @@ def _bin_sql(n):
 
 @query("c25_equal_width_bins_10", sql=_bin_sql(10))
 def _(spark, d):
-    o = po.with_features(po.prepare_orders(R.po_orders(spark, d), R.po_dates(spark, d)))
+    o = po.with_features(cut_lineage(po.prepare_orders(R.po_orders(spark, d), R.po_dates(spark, d))))
     return o.groupBy(big("po_net_value_category").alias("bin")).agg(F.count("*").alias("cnt"))
 
 
 @query("c25_equal_width_bins_100", sql=_bin_sql(100))
 def _(spark, d):
-    orders = po.prepare_orders(R.po_orders(spark, d), R.po_dates(spark, d))
+    orders = cut_lineage(po.prepare_orders(R.po_orders(spark, d), R.po_dates(spark, d)))
     return generate.with_value_class(orders).groupBy(big("value_class").alias("bin")).agg(F.count("*").alias("cnt"))
 
 

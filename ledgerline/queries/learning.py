@@ -11,17 +11,16 @@ from ..plans import documents, po, residual, revenue
 from ..session import cut_lineage, scratch_path
 from . import query
 from . import roles as R
-from .joining import history
 
-from .orders import training
+from .orders import prepared, training
 from .roles import big, r, rs, txt
 
 FOREST = {"trees": 20, "depth": 3}
 
 
-def _forest(spark, d):
+def _forest(spark, d, ready=None):
     features = po.Features()
-    table = cut_lineage(training(spark, d, sample_frac=0.2, seed=5))
+    table = cut_lineage(training(spark, d, ready=ready, sample_frac=0.2, seed=5))
     return (*po.train(table, features, **FOREST), features)
 
 
@@ -36,10 +35,11 @@ def _(spark, d):
 @query("a14_saved_model_repeats_itself")
 def _(spark, d):
     """Forecast total by group from the fitted and from the stored model."""
-    model, _, features = _forest(spark, d)
+    ready = prepared(spark, d)
+    model, _, features = _forest(spark, d, ready)
     path = scratch_path(spark, "model")
     po.save_model(model, path)
-    rows = _rows(spark, d, 0)
+    rows = po.inference_rows(ready.orders, ready.history, R.CURR_YEAR, R.CURR_MONTH, 0)
     out = None
     for name, m in (("fitted", model), ("loaded", po.load_model(path))):
         rolled = po.roll_forward(m, rows, 2, features)
@@ -49,18 +49,14 @@ def _(spark, d):
     return out
 
 
-def _rows(spark, d, forecast_to):
-    orders, past = history(spark, d)
-    return po.inference_rows(po.with_features(orders), past, R.CURR_YEAR, R.CURR_MONTH, forecast_to)
-
-
 def _forecast(spark, d, forecast_to):
-    model, _, features = _forest(spark, d)
+    ready = prepared(spark, d)
+    model, _, features = _forest(spark, d, ready)
     steps = 12 - R.CURR_MONTH + 12 * forecast_to
-    rolled = po.roll_forward(model, _rows(spark, d, forecast_to), steps, features)
-    orders = po.prepare_orders(R.po_orders(spark, d), R.po_dates(spark, d))
-    past = A.past_sums(po.prepare_invoices(R.po_invoices(spark, d)), KEY, po.VOLUMES, R.CURR_YEAR, R.CURR_MONTH)
-    past = past.join(orders.select(*KEY, "fingroup"), KEY, "left")
+    rows = po.inference_rows(ready.orders, ready.history, R.CURR_YEAR, R.CURR_MONTH, forecast_to)
+    rolled = po.roll_forward(model, rows, steps, features)
+    past = A.past_sums(ready.invoices, KEY, po.VOLUMES, R.CURR_YEAR, R.CURR_MONTH)
+    past = past.join(ready.orders.select(*KEY, "fingroup"), KEY, "left")
     return po.forecast_orders(rolled, past, R.CURR_MONTH, forecast_to)
 
 

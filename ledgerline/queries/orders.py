@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import KEY
 from ..functions import scalars as S
 from ..plans import generate, po
+from ..session import cut_lineage
 from . import query
 from . import roles as R
 from .joining import HISTORY, history
@@ -20,11 +21,13 @@ val AS (SELECT aged.*, SUM(c.v) OVER w AS value, COALESCE(b.smoothed, 0) AS now,
 training AS (SELECT *, before / value AS cumulative_portion, now / (value - before) AS target FROM val WHERE value > 0 AND before / value < 0.98)"""
 
 
-def training(spark, d, window=4, **kw):
-    orders, past = history(spark, d)
-    orders = po.with_features(orders)
-    edits = po.prepare_edits(R.po_edits(spark, d))
-    return po.training_table(orders, past, edits, R.CURR_YEAR, R.CURR_MONTH, window, **kw)
+def prepared(spark, d):
+    return po.prepare(R.po_orders(spark, d), R.po_dates(spark, d), R.po_invoices(spark, d), R.po_edits(spark, d))
+
+
+def training(spark, d, window=4, ready=None, **kw):
+    p = ready or prepared(spark, d)
+    return po.training_table(p.orders, p.history, p.edits, R.CURR_YEAR, R.CURR_MONTH, window, **kw)
 
 
 @query("c27_sane_labels", sql=f"""
@@ -93,8 +96,13 @@ freq AS (SELECT pc.value_class, pc.attribute, dom.value, (COALESCE(n, 0) + 1.0)
   LEFT JOIN cnt ON cnt.value_class = pc.value_class AND cnt.attribute = pc.attribute AND cnt.value = dom.value)"""
 
 
+def written_orders(spark, d):
+    """Prepared orders as a written table: the class bounds and the classes both read them."""
+    return cut_lineage(po.prepare_orders(R.po_orders(spark, d), R.po_dates(spark, d)))
+
+
 def classed(spark, d):
-    return generate.with_value_class(po.prepare_orders(R.po_orders(spark, d), R.po_dates(spark, d)))
+    return cut_lineage(generate.with_value_class(written_orders(spark, d)))
 
 
 @query("k14_class_frequencies", sql=f"WITH {CLASSED} SELECT value_class, attribute, value, {rs('p', 8)} AS probability FROM freq")
@@ -124,7 +132,7 @@ def targets(spark, d):
 
 
 def synthetic(spark, d):
-    orders = po.prepare_orders(R.po_orders(spark, d), R.po_dates(spark, d))
+    orders = written_orders(spark, d)
     return generate.synthetic_orders(orders.where(F.col("order_year") >= R.CURR_YEAR - 2), targets(spark, d), seed=11)
 
 
