@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import KEY
 from ..functions.scalars import equal_width_bin, hash_normal, hash_uniform
-from ..operators.joins import first_per_key
+from ..operators.joins import attach_per_key, first_per_key
 from ..session import cut_lineage
 from .po import ATTRIBUTES
 
@@ -59,17 +59,23 @@ def class_frequencies(classed: DataFrame, attributes: list[str] = ATTRIBUTES) ->
         ((F.coalesce("n", F.lit(0)) + 1.0) / (F.col("n_class") + F.col("k"))).alias("probability"))
 
 
-def class_of_features(frequencies: DataFrame, priors: DataFrame, rows: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
-    """Most likely value class of each row given its attributes (largest posterior)."""
+def class_of_features(frequencies: DataFrame, priors: DataFrame, rows: DataFrame, attributes: list[str]) -> DataFrame:
+    """Adds the most likely value class given the attributes (largest posterior, lower class on a tie).
+
+    Only distinct attribute combinations are scored; a combination shared by a
+    large part of the rows joins back without a shuffle.
+    """
+    combos = rows.groupBy(*attributes).agg(F.count(F.lit(1)).alias("_rows"))
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]))
-    long = rows.select(*keys, pairs.alias("_p")).select(*keys, "_p.*")
-    # classes are at most ``CLASSES``; packing them per attribute value keeps one row per (row, attribute)
+    long = combos.select(*attributes, "_rows", pairs.alias("_p")).select(*attributes, "_rows", "_p.*")
+    # classes are at most ``CLASSES``; packing them per attribute value keeps one row per (combination, attribute)
     packed = frequencies.groupBy("attribute", "value").agg(
         F.map_from_entries(F.collect_list(F.struct("value_class", F.ln("probability")))).alias("_by_class"))
-    scored = long.join(packed, ["attribute", "value"]).select(*keys, F.explode("_by_class").alias("value_class", "lp"))
-    summed = scored.groupBy(*keys, "value_class").agg(F.sum("lp").alias("lp")).join(priors, "value_class")
+    scored = long.join(packed, ["attribute", "value"]).select(*attributes, "_rows", F.explode_outer("_by_class").alias("value_class", "lp"))
+    summed = scored.groupBy(*attributes, "_rows", "value_class").agg(F.sum("lp").alias("lp")).join(priors, "value_class")
     best = F.max_by("value_class", F.struct(F.col("lp") + F.ln("prior"), -F.col("value_class")))
-    return summed.groupBy(*keys).agg(best.alias("value_class"))
+    known = summed.groupBy(*attributes, "_rows").agg(best.alias("likely_class"))
+    return attach_per_key(rows, known, attributes, "_rows").drop("_rows")
 
 
 def class_priors(classed: DataFrame) -> DataFrame:

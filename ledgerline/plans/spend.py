@@ -129,8 +129,10 @@ def overrun(payments: DataFrame, orders: DataFrame) -> DataFrame:
 def order_backlog(payments: DataFrame, orders: DataFrame) -> DataFrame:
     """Yearly ordered and paid totals without overrun orders; years of either side."""
     over = overrun(payments, orders).select("order_id")
-    paid = registered(payments).join(over, "order_id", "left_anti").groupBy(F.col("payment_year").alias("year")).agg(F.sum("amount").alias("amount"))
-    ordered = orders.join(over, "order_id", "left_anti").groupBy(F.col("budget_year").alias("year")).agg(F.sum("sales_order_sum").alias("sales_order_sum"))
+    by_order = registered(payments).groupBy("order_id", F.col("payment_year").alias("year")).agg(F.sum("amount").alias("amount"))
+    paid = by_order.join(over, "order_id", "left_anti").groupBy("year").agg(F.sum("amount").alias("amount"))
+    by_order = orders.groupBy("order_id", F.col("budget_year").alias("year")).agg(F.sum("sales_order_sum").alias("sales_order_sum"))
+    ordered = by_order.join(over, "order_id", "left_anti").groupBy("year").agg(F.sum("sales_order_sum").alias("sales_order_sum"))
     return ordered.join(paid, "year", "full").fillna(0.0, ["amount", "sales_order_sum"])
 
 

@@ -78,8 +78,10 @@ SELECT CAST(GREATEST((YEAR(l_shipdate) - YEAR(o_orderdate)) * 12 + MONTH(l_shipd
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
 def _(spark, d):
     line, o = R.table(spark, d, "lineitem"), R.table(spark, d, "orders")
-    rel = S.relative_month(F.year("l_shipdate"), F.month("l_shipdate"), F.year("o_orderdate"), F.month("o_orderdate"))
-    return line.join(o, line.l_orderkey == o.o_orderkey).groupBy(big(rel).alias("rel_month")).agg(F.count("*").alias("lines"))
+    monthly = line.groupBy("l_orderkey", F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m")).agg(F.count("*").alias("lines"))
+    rel = S.relative_month("y", "m", F.year("o_orderdate"), F.month("o_orderdate"))
+    joined = monthly.join(o, monthly.l_orderkey == o.o_orderkey)
+    return joined.groupBy(big(rel).alias("rel_month")).agg(F.sum("lines").alias("lines"))
 
 
 @query("c10_lag_and_age", sql=f"""

@@ -233,7 +233,8 @@ def _(spark, d):
 WITH {R.PAYMENTS}, {R.SALES}, f AS (SELECT order_id, MIN(inviting_partner) AS inviting_partner FROM sales GROUP BY 1)
 SELECT inviting_partner, {rs('SUM(amount)')} AS amount FROM payments JOIN f USING (order_id) WHERE order_id <> '#' GROUP BY 1""")
 def _(spark, d):
-    known = joins.with_order_attribute(spend.registered(R.payments(spark, d)), R.sales(spark, d), "inviting_partner", ["inviting_partner"])
+    paid = aggregates.sum_by(spend.registered(R.payments(spark, d)), ["order_id"], "amount")
+    known = joins.with_order_attribute(paid, R.sales(spark, d), "inviting_partner", ["inviting_partner"])
     return known.groupBy("inviting_partner").agg(r(F.sum("amount")).alias("amount"))
 
 

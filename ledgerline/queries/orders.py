@@ -115,12 +115,12 @@ def _(spark, d):
 WITH {CLASSED}, pri AS (SELECT value_class, COUNT(*) / (SELECT CAST(COUNT(*) AS DOUBLE) FROM classed) AS prior FROM classed GROUP BY 1),
 combo AS (SELECT {', '.join(po.ATTRIBUTES)}, COUNT(*) AS rows FROM classed GROUP BY ALL),
 sc AS (SELECT {', '.join('combo.' + a for a in po.ATTRIBUTES)}, pri.value_class, LN(prior) + {' + '.join(f'LN(f{i}.p)' for i in range(5))} AS lp FROM combo, pri {' '.join(f"JOIN freq f{i} ON f{i}.value_class = pri.value_class AND f{i}.attribute = '{a}' AND f{i}.value = combo.{a}" for i, a in enumerate(po.ATTRIBUTES))})
-SELECT {', '.join(po.ATTRIBUTES)}, MAX_BY(value_class, lp) AS value_class FROM sc GROUP BY ALL""")
+, bestc AS (SELECT {', '.join(po.ATTRIBUTES)}, MAX_BY(value_class, lp) AS likely_class FROM sc GROUP BY ALL)
+SELECT doc_id, likely_class FROM classed JOIN bestc USING ({', '.join(po.ATTRIBUTES)})""")
 def _(spark, d):
     c = classed(spark, d)
-    combos = c.groupBy(*po.ATTRIBUTES).agg(F.count("*").alias("rows"))
-    x = generate.class_of_features(generate.class_frequencies(c), generate.class_priors(c), combos, po.ATTRIBUTES, po.ATTRIBUTES)
-    return x.select(*po.ATTRIBUTES, big("value_class").alias("value_class"))
+    x = generate.class_of_features(generate.class_frequencies(c), generate.class_priors(c), c, po.ATTRIBUTES)
+    return x.select("doc_id", big("likely_class").alias("likely_class"))
 
 
 def targets(spark, d):

@@ -79,15 +79,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     return path
 
 
-def write_split(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", files_per_value: int = 8) -> str:
+def write_split(df: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> str:
     """One folder per value combination; the columns move into the folder names.
 
-    Rows of one value go to ``files_per_value`` tasks, so a value with a large
-    part of the rows is not written by a single one.
+    The rebalance hint gathers the rows of a value, and splits a value whose
+    rows outgrow the advisory partition size over several tasks.
     """
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(files_per_value))
-    spread = df.withColumn("_salt", salt).repartition(*by, "_salt").drop("_salt")
-    spread.write.partitionBy(*by).format(fmt).option("header", True).save(path)
+    df.hint("rebalance", *by).write.partitionBy(*by).format(fmt).option("header", True).save(path)
     return path
 
 
