@@ -146,15 +146,6 @@ def stl_components(y: np.ndarray, period: int = PERIOD, seasonal: int = 7, robus
     return trend, season
 
 
-def spread_series(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One-row-per-series frames are few bytes but much work: keep them on all shuffle partitions.
-
-    A given partition number is not merged by adaptive execution, which sizes by bytes.
-    """
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(count, *keys)
-
-
 def stl(arrays: DataFrame, period: int = PERIOD, robust: bool = True, kind: str = "additive") -> DataFrame:
     """Adds ``trend``, ``seasonal`` and ``resid`` arrays; a series under two periods gets nulls.
 

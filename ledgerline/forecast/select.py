@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..operators.series import spread_series
 from .models import DEFAULT_MODELS, REGISTRY, explode_steps, or_zero
 
 
@@ -56,7 +57,7 @@ def score_models(arrays: DataFrame, keys: list[str], models: list[str] | None =
     """Adds ``scores``: one struct(score, rank, model) per model, on the last ``holdout`` months."""
     names = models or DEFAULT_MODELS
     n = F.size("values")
-    split = arrays.where(n >= 2 * holdout).select(
+    split = spread_series(arrays, keys).where(n >= 2 * holdout).select(
         "*",
         F.slice("values", F.lit(1), n - holdout).alias("_train"),
         A.tail(F.col("values"), holdout).alias("_test"),

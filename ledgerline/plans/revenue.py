@@ -44,7 +44,7 @@ def _months_apart(first, last):
 def decomposed(arrays: DataFrame, keys: list[str], minimum: int = 12) -> DataFrame:
     """Components of the series with enough positive months and two full periods."""
     enough = series.sparse(arrays, minimum).where(~F.col("is_sparse") & (F.size("values") >= 2 * D.PERIOD))
-    return D.stl(D.spread_series(enough.drop("is_sparse"), keys))
+    return D.stl(series.spread_series(enough.drop("is_sparse"), keys))
 
 
 def base_forecast(parts: DataFrame, keys: list[str], steps: int, target_year: int) -> DataFrame:

@@ -137,7 +137,7 @@ def _(spark, d):
 @query("j14_trend_order_search")
 def _(spark, d):
     """Searched order and twelve months of the loess trend of every brand."""
-    parts = D.stl(D.spread_series(R.brand_arrays(spark, d), ["k"]))
+    parts = D.stl(O.spread_series(R.brand_arrays(spark, d), ["k"]))
     found = D.trend_search(parts, "trend", 12)
     return found.select("k", "d", "p", F.posexplode_outer("trend_forecast").alias("_p", "v")).select(
         "k", big("d").alias("d"), big("p").alias("p"), big(F.col("_p") + 1).alias("step"), r("v").alias("value"))
@@ -187,7 +187,7 @@ _components("j19_log_decomposition", "multiplicative", "LN(1 + v)", 7)
 @query("j18_loess_decomposition")
 def _(spark, d):
     """Robust loess components of every brand month; they add up to the value."""
-    a = D.stl(D.spread_series(R.brand_arrays(spark, d), ["k"]))
+    a = D.stl(O.spread_series(R.brand_arrays(spark, d), ["k"]))
     z = F.arrays_zip(O.month_range("first_month", "last_month").alias("m"), "values", "trend", "seasonal", "resid")
     return a.select("k", F.explode_outer(z).alias("z")).select("k", txt("z.m").alias("m"), *[r(f"z.{c}", 3).alias(c) for c in ("values", "trend", "seasonal", "resid")])
 
