@@ -43,9 +43,11 @@ def as_arrays(df: DataFrame, keys: list[str], date: str, measure: str, known_to:
 def spread_series(df: DataFrame, keys: list[str]) -> DataFrame:
     """One-row-per-series frames are few bytes but much work: keep them on all shuffle partitions.
 
-    A given partition number is not merged by adaptive execution, which sizes by bytes.
+    A given partition number is not merged by adaptive execution, which sizes by
+    bytes. It is one more than the shuffle setting, because a repartition equal
+    to the partitioning already there is dropped as redundant (and then merged).
     """
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
     return df.repartition(count, *keys)
 
 
