@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = materialise(
         docs.select("doc_id", text_or_empty("text").alias("text")).join(marks, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).repartition(64, "doc_id").select("toxic", "text"), "labelled")
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).repartition("doc_id").select("toxic", "text"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked, plain, n = Counter(), Counter(), [0, 0]
@@ -114,20 +115,22 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"entries": pa.array(
-                [[f for f in _features(t) if f in weights] for t in batch.column(0).to_pylist()], pa.list_(pa.string()))})
+            yield pa.RecordBatch.from_pydict({"entries": pa.array([
+                np.array([number[f] for f in _features(t) if f in number], dtype=np.int32).tobytes() for t in batch.column(0).to_pylist()])})
 
-    # at most train_rows lists of at most ``candidates`` entries
-    left = [set(row["entries"]) for row in sample.where("toxic = 1").select("text").mapInArrow(held, "entries array<string>").toLocalIterator()]
+    # at most train_rows rows, each with the numbers of its candidates
+    names, number = list(weights), {entry: i for i, entry in enumerate(weights)}
+    left = [np.frombuffer(row["entries"], dtype=np.int32) for row in sample.where("toxic = 1").select("text").mapInArrow(held, "entries binary").collect()]
     while left:
-        gain = Counter(entry for entries in left for entry in entries)
+        counted = np.bincount(np.concatenate(left), minlength=len(names))
+        gain = {names[i]: int(counted[i]) for i in np.flatnonzero(counted)}
         if not gain:
             break
         entry, new = max(gain.items(), key=lambda x: (x[1] - 2 * plain[x[0]], not x[0].endswith(" "), len(x[0]), x[0]))
         if new - 2 * plain[entry] < max(3, min_docs // 2) and entry not in sure:
             break
         lexicon[entry] = max(weights[entry], 3.0)
-        left = [entries for entries in left if entry not in entries]
+        left = [entries for entries in left if number[entry] not in entries]
     return lexicon
 
 
