@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import quality, simhash, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -57,3 +57,9 @@ FROM ruled JOIN hosts ON ruled.source IS NOT DISTINCT FROM hosts.source, strengt
 def _(spark, d):
     out = quality.apply_host_rules(read_table(spark, d, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op1_simhash")
+def _(spark, d):
+    groups = simhash.near_groups(read_table(spark, d, "documents"))
+    return groups.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
