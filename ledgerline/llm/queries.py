@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import quality, simhash, toxicity
+from . import mixing, packing, pii, quality, simhash, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -63,3 +63,41 @@ def _(spark, d):
 def _(spark, d):
     groups = simhash.near_groups(read_table(spark, d, "documents"))
     return groups.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
+
+
+@query("op2_pii")
+def _(spark, d):
+    found = pii.find(read_table(spark, d, "documents"))
+    return found.select(
+        "doc_id", *[pii.count_kind(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.as_text("base"), 256).alias("base_sha256"),
+        pii.as_text("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_found"))
+
+
+MIX_WEIGHTS = {"src0": 8, "src1": 4, "src2": 4, "src3": 2}
+OP9 = f"""
+WITH RECURSIVE sizes AS (SELECT source, COUNT(*) AS n, CASE source {' '.join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items())} ELSE 1 END AS weight FROM documents GROUP BY 1),
+ packed AS (SELECT list(source ORDER BY source NULLS FIRST) AS s, list(weight ORDER BY source NULLS FIRST) AS w, CAST(SUM(weight) AS BIGINT) AS q FROM sizes),
+ run AS (
+  SELECT CAST(-1 AS BIGINT) AS t, [CAST(0 AS BIGINT) for x in w] AS done, CAST(0 AS BIGINT) AS pick FROM packed
+  UNION ALL
+  SELECT t, [done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END for i in range(1, len(done) + 1)], pick FROM (
+   SELECT t + 1 AS t, done, list_aggregate([CASE WHEN done[i] * q // w[i] <= t + 1
+     THEN ((done[i] + 1) * q + w[i] - 1) // w[i] * 1000000 + i END for i in range(1, len(w) + 1)], 'min') % 1000000 AS pick FROM run, packed WHERE t + 1 < q)),
+ plan AS (SELECT s[pick] AS source, w[pick] AS weight, q, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM run, packed WHERE t >= 0),
+ horizon AS (SELECT MIN((b // p.weight) * q + slot) AS h FROM plan p JOIN (SELECT *, (n + 31) // 32 AS b FROM sizes) z
+   ON p.source IS NOT DISTINCT FROM z.source AND k = b % p.weight),
+ ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS r FROM documents)
+SELECT doc_id, r.source, CAST(r // 32 AS BIGINT) AS block, CAST(r % 32 AS BIGINT) AS row_in_block, CAST((r // 32) // weight * q + slot AS BIGINT) AS mix_slot,
+ CAST((r // 32) * q // weight AS BIGINT) AS release_slot, CAST(((r // 32 + 1) * q + weight - 1) // weight AS BIGINT) AS deadline_slot, (r // 32) // weight * q + slot < h AS in_mix
+FROM ranked r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source AND (r // 32) % weight = k, horizon"""
+
+
+@query("op9_mixing", OP9)
+def _(spark, d):
+    mixed = mixing.mix(read_table(spark, d, "documents").select("doc_id", "source"), MIX_WEIGHTS)
+    return mixed.select("doc_id", "source", "block", "row_in_block", "mix_slot", "release_slot", "deadline_slot", "in_mix")
+
+
+@query("op5_packing")
+def _(spark, d):
+    return packing.pack(read_table(spark, d, "documents"))
