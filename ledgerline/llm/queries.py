@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash, toxicity
+from . import embeddings, mixing, packing, pii, quality, simhash, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -101,3 +101,8 @@ def _(spark, d):
 @query("op5_packing")
 def _(spark, d):
     return packing.pack(read_table(spark, d, "documents"))
+
+
+@query("op8_embedding_dedup")
+def _(spark, d):
+    return embeddings.near_vectors(read_table(spark, d, "embeddings"))
