@@ -34,7 +34,7 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "sore loser
 SEEDS = ("idiot", "moron", "stupid", "scum")
 
 PREFIXES = range(4, 9)
-TRAIN_ROWS = 40_000
+TRAIN_ROWS = 20_000
 _WORD = re.compile(r"[^\W_]+")
 _SWAP = re.compile(r"(?:[^\W\d_]+[0-9@$]+|[0-9@$]+[^\W\d_]+)[^\W_@$]*(?:[@$0-9]*[^\W_@$]*)*")
 
@@ -74,17 +74,16 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
                   candidates: int = 20_000) -> dict[str, float]:
     """Entry -> weight from labelled texts (doc_id, text) and (doc_id, toxic).
 
-    Fits on at most ``train_rows`` labelled rows, those with the smallest hash. An entry is a whole word or the
+    Fits on the texts of at most ``train_rows`` labels, those with the smallest hash that are not held out. An entry is a whole word or the
     beginning of one, of 4 to 8 letters; its weight is the log of how much more often documents marked toxic hold
     it than others. Candidates have ``min_docs`` marked documents and at least ``precision`` of their documents
     marked (``candidates`` heaviest at most). Of these, entries are taken one by one, each time the one that
     explains most marked documents not yet explained, so the other words of much copied toxic documents stay out.
     Repeated labels of a document count as toxic if any is.
     """
-    marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = materialise(
-        docs.select("doc_id", text_or_empty("text").alias("text")).join(marks, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).repartition("doc_id").select("toxic", "text"), "labelled")
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))  # two numbers a row
+    sample = docs.select("doc_id", text_or_empty("text").alias("text")).join(chosen, "doc_id").select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked, plain, n = Counter(), Counter(), [0, 0]
@@ -193,7 +192,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     Learns from labelled rows that are not held out. Without usable labels only the seed entries count. Null and
     empty texts score lowest; repeated rows score alike; other columns are ignored; no rows give no rows.
     """
-    known = docs.select("doc_id", "text").where(~held_out() & F.col("doc_id").isNotNull())
-    lexicon = learn_lexicon(known, labels.select("doc_id", "toxic"), train_rows)
+    lexicon = learn_lexicon(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), train_rows)
     scored = score_texts(docs.select("doc_id", held_out().alias("held_out"), F.col("text")), lexicon)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
