@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, pii, quality, simhash, toxicity
+from . import embeddings, mixing, packing, pii, quality, repeats, simhash, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -106,3 +106,8 @@ def _(spark, d):
 @query("op8_embedding_dedup")
 def _(spark, d):
     return embeddings.near_vectors(read_table(spark, d, "embeddings"))
+
+
+@query("op4_repeats")
+def _(spark, d):
+    return repeats.remove_repeats(read_table(spark, d, "documents")).drop("kept")
