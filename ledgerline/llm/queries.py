@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, pii, quality, repeats, simhash, toxicity
+from . import embeddings, lm, mixing, packing, pii, quality, repeats, simhash, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -111,3 +111,8 @@ def _(spark, d):
 @query("op4_repeats")
 def _(spark, d):
     return repeats.remove_repeats(read_table(spark, d, "documents")).drop("kept")
+
+
+@query("op7_lm_scores")
+def _(spark, d):
+    return lm.language_scores(read_table(spark, d, "documents"))
