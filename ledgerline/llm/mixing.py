@@ -51,20 +51,23 @@ def schedule(weighted: DataFrame) -> DataFrame:
         (F.row_number().over(Window.partitionBy("x.source").orderBy("slot")) - 1).cast("long").alias("k"))
 
 
-def rank_in_source(rows: DataFrame, order: str, source: str = "source", digits: int = 3) -> DataFrame:
-    """Add ``rank`` (from 0) of a row within its source by the hex string in column ``order``, then by doc_id.
+def _no_null(column: str) -> Column:
+    """The value after a sign that it is there, so that null is a value of its own and joins as any other."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
-    A source is cut into 16**digits ranges of the string, ranked apart and shifted by the rows before them, so a
-    source with a third of all rows is not sorted in one task.
+
+def rank_in(rows: DataFrame, key: str, order: str, digits: int = 3) -> DataFrame:
+    """Add ``rank`` (from 0) of a row within ``key`` (no nulls) by the hex string in column ``order``, then by doc_id.
+
+    A key is cut into 16**digits ranges of the string, ranked apart and shifted by the rows before them, so a source
+    with a third of all rows is not sorted in one task. Join and window share one shuffle.
     """
     cut = rows.withColumn("_range", F.substring(order, 1, digits))
-    before = (
-        cut.groupBy(source, "_range").agg(F.count("*").alias("n"))
-        .withColumn("_before", F.sum("n").over(Window.partitionBy(source).orderBy("_range")) - F.col("n"))
-        .select(F.col(source).alias("_source"), F.col("_range").alias("_r"), "_before"))
-    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(source, "_range").orderBy(order, "doc_id")))
-    joined = ranked.join(before, ranked[source].eqNullSafe(before["_source"]) & (ranked["_range"] == before["_r"]))
-    return joined.withColumn("rank", F.col("_before") + F.col("_rank") - 1).drop("_range", "_r", "_rank", "_before", "_source")
+    before = cut.groupBy(key, "_range").agg(F.count("*").alias("n")).withColumn(
+        "_before", F.sum("n").over(Window.partitionBy(key).orderBy("_range")) - F.col("n")).select(key, "_range", "_before")
+    joined = cut.join(before, [key, "_range"])
+    ranked = joined.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_range").orderBy(order, "doc_id")))
+    return ranked.withColumn("rank", F.col("_before") + F.col("_rank") - 1).drop("_range", "_rank", "_before")
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, default_weight: int = 1, block_rows: int = BLOCK_ROWS, seed: str = "mix") -> DataFrame:
@@ -75,26 +78,26 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, default_weight:
     blocks, up to which the shares hold; later slots go on with the sources that are left. A null source is a source
     of its own, a null id is ordered as an empty one, repeated rows stay, and columns of these names are replaced.
     """
-    added = {"block", "row_in_block", "mix_slot", "release_slot", "deadline_slot", "in_mix", "rank"}
-    rows = docs.drop(*(added & set(docs.columns))).withColumn("_order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    added = {"block", "row_in_block", "mix_slot", "release_slot", "deadline_slot", "in_mix", "rank", "k", "weight", "period", "slot", "horizon"}
+    rows = docs.drop(*(added & set(docs.columns))).withColumn("_s", _no_null("source")).withColumn(
+        "_order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     sizes = docs.groupBy("source").agg(F.count("*").alias("rows")).withColumn("weight", weight_column(weights or {}, default_weight))
-    plan = schedule(sizes.select("source", "weight"))
+    # one row per slot of a period: its size is the total weight, not the number of documents
+    plan = schedule(sizes.select("source", "weight")).withColumn("_s", _no_null("source")).drop("source")
     blocks = F.ceil(F.col("rows") / block_rows)
     # the first slot that would need a block which a source no longer has
-    ends = plan.join(sizes.select(F.col("source").alias("_s"), blocks.alias("blocks")), plan["source"].eqNullSafe(F.col("_s"))).where(
-        F.col("k") == F.col("blocks") % F.col("weight"))
+    ends = plan.join(sizes.select(_no_null("source").alias("_s"), blocks.alias("blocks")), "_s").where(F.col("k") == F.col("blocks") % F.col("weight"))
     horizon = ends.agg(F.min(F.floor(F.col("blocks") / F.col("weight")) * F.col("period") + F.col("slot")).alias("horizon"))
-    weighted = plan.groupBy("source").agg(F.max("weight").alias("weight"), F.max("period").alias("period")).select(F.col("source").alias("_w"), "weight", "period")
-    ranked = rank_in_source(rows, "_order").withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("row_in_block", F.col("rank") % block_rows)
-    ranked = ranked.join(weighted, ranked["source"].eqNullSafe(weighted["_w"])).withColumn("_k", F.col("block") % F.col("weight"))
-    slots = plan.select(F.col("source").alias("_p"), F.col("k").alias("_pk"), "slot")
-    placed = ranked.join(slots, ranked["source"].eqNullSafe(slots["_p"]) & (ranked["_k"] == slots["_pk"]))
+    ranked = rank_in(rows, "_s", "_order").withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("row_in_block", F.col("rank") % block_rows)
+    totals = plan.groupBy("_s").agg(F.max("weight").alias("weight"), F.max("period").alias("period"))
+    ranked = ranked.join(F.broadcast(totals), "_s").withColumn("k", F.col("block") % F.col("weight"))
+    placed = ranked.join(F.broadcast(plan.select("_s", "k", "slot")), ["_s", "k"])
     placed = placed.withColumn("mix_slot", F.floor(F.col("block") / F.col("weight")) * F.col("period") + F.col("slot"))
     # one row with one number
     placed = placed.crossJoin(F.broadcast(horizon)).withColumn("in_mix", F.col("mix_slot") < F.col("horizon"))
     placed = placed.withColumn("release_slot", F.floor(F.col("block") * F.col("period") / F.col("weight"))).withColumn(
         "deadline_slot", F.ceil((F.col("block") + 1) * F.col("period") / F.col("weight")))
-    return placed.drop("_order", "_w", "_k", "_p", "_pk", "weight", "period", "slot", "horizon", "rank")
+    return placed.drop("_order", "_s", "k", "weight", "period", "slot", "horizon", "rank")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import embeddings, lm, mixing, packing, pii, quality, repeats, simhash, toxicity
+from ..session import scratch_path
+from . import embeddings, lm, mixing, packing, pii, quality, repeats, simhash, tokens, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -116,3 +117,8 @@ def _(spark, d):
 @query("op7_lm_scores")
 def _(spark, d):
     return lm.language_scores(read_table(spark, d, "documents"))
+
+
+@query("op6_token_counts")
+def _(spark, d):
+    return tokens.document_token_counts(read_table(spark, d, "documents"), scratch_path(spark, "token-files"))
