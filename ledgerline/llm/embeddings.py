@@ -17,20 +17,21 @@ from pyspark.sql import functions as F
 from .common import components, materialise
 
 THRESHOLD = 0.98
-ROTATIONS = 2
+ROTATIONS = 3
 PART_BITS = 16
 SAMPLE = 5_000
 TILE = 512
 
 
-def fit_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit_rotation(sample: np.ndarray, centre: bool = True, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection) of iterative quantisation: principal axes, then a rotation fitted to their signs.
 
     ``sample`` is n x d; the projection is d x d. With fewer rows than needed for the axes the result is still a
-    rotation, only less balanced.
+    rotation, only less balanced. Without ``centre`` the planes go through the origin, so vectors at a small angle keep
+    most bits even if nearly all vectors form one group, which a centred code would cut in the middle.
     """
     dims = sample.shape[1]
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(dims)
+    mean = sample.mean(axis=0) if centre and len(sample) else np.zeros(dims)
     centred = sample - mean
     _, axes = np.linalg.eigh(centred.T @ centred + 1e-9 * np.eye(dims))
     axes = axes[:, ::-1]
@@ -107,7 +108,7 @@ def link(distinct: DataFrame, threshold: float = THRESHOLD, rotations: int = ROT
         d = row["dims"]
         chosen = distinct.where(F.col("dims") == d).orderBy("key").limit(sample).select("vector").collect()
         units = _units(np.array([x for c in chosen for x in c["vector"]]), d)
-        fitted[d] = [fit_rotation(units, seed=7 + r) for r in range(rotations)]
+        fitted[d] = [fit_rotation(units, centre=r == 0, seed=7 + r) for r in range(rotations)]
     tables, per_code = rotations * (64 // part_bits), 64 // part_bits
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
