@@ -157,7 +157,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity: i
 
     Null and empty texts are one end token. Repeated rows are packed each for itself; null ids are kept; other
     columns are ignored; an empty table gives no pieces. Sequence ids are dense: first those of remainders, then
-    the full windows.
+    the full windows. Remainders are not cut again, so if nearly all exceed half a window, padding stays.
     """
     spark = docs.sparkSession
     sized = materialise(measure(docs, vocabulary, capacity, end), "packing")

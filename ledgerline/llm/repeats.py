@@ -41,7 +41,7 @@ _A, _B, _C, _D = (int(x) * 2 + 1 for x in _RNG.integers(1, 2**62, 4))
 
 
 def triggers(data: np.ndarray, gram: int = GRAM, side: int = SIDE) -> np.ndarray:
-    """Starts of trigger strings: ``side`` bytes, a gram whose rolling hash is the one smallest among its 2 * side + 1 neighbours, ``side`` bytes."""
+    """Starts of trigger strings: ``side`` bytes, a gram whose rolling hash is the first smallest among its 2 * side + 1 neighbours, ``side`` bytes."""
     if len(data) < gram + 2 * side:
         return np.empty(0, dtype=np.int64)
     h = _BYTES[data]
@@ -58,7 +58,7 @@ def triggers(data: np.ndarray, gram: int = GRAM, side: int = SIDE) -> np.ndarray
     low = np.minimum(low[:len(low) - (side - width)], low[side - width:])  # smallest of ``side`` from each place
     n = len(h) - 2 * side
     centre = h[side:side + n]
-    return np.flatnonzero((centre < low[:n]) & (centre < low[side + 1:side + 1 + n])).astype(np.int64)
+    return np.flatnonzero((centre < low[:n]) & (centre <= low[side + 1:side + 1 + n])).astype(np.int64)
 
 
 def runs(data: np.ndarray, size: int = SIZE, gram: int = GRAM, side: int = SIDE) -> tuple[np.ndarray, ...]:
@@ -144,7 +144,9 @@ def _windows(size: int):
                     continue
                 weight = loose.astype(np.int64)
                 if marks:
-                    known = {m["first"]: m["open"] for m in marks}
+                    known: dict[int, int] = {}  # places of repeated phrases, above 0 if their windows are open
+                    for m in marks:
+                        known[m["first"]] = max(m["open"], known.get(m["first"], 0))
                     again = np.array([f in known for f in first.tolist()], dtype=bool)
                     once = np.zeros(n + 1, dtype=np.int64)  # windows that hold a phrase found nowhere else
                     np.add.at(once, np.maximum(end[~again] - size, 0), 1)
@@ -226,12 +228,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_runs = spans.join(various, "phrase").select("one.k1", "one.k2", "one.first", F.col("n").alias("open"))
     full = again.join(spans.where("n > 1").select("phrase", "span"), ["phrase", "span"]).select("k1", "k2", "first")
     # lists are bounded by the length of one text
-    marks = again.select("k1", "k2", "first", F.lit(None).cast("bigint").alias("open")).unionByName(open_runs).groupBy("k1", "k2", "first").agg(
-        F.max("open").alias("open")).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "open")).alias("marks"))
+    marks = again.select("k1", "k2", "first", F.lit(0).cast("bigint").alias("open")).unionByName(open_runs).groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("first", "open")).alias("marks"))
     texts = keyed.select("doc_id", "k1", "k2", "text")
     open_windows = texts.join(marks, ["k1", "k2"], "left").select("k1", "k2", "text", "marks").mapInArrow(
         _windows(size), "k1 bigint, k2 int, digest binary, n bigint, starts binary")
-    repeated = open_windows.withColumn("total", F.sum("n").over(Window.partitionBy("digest"))).where("total > 1").select("k1", "k2", "starts")
+    repeated = materialise(open_windows.withColumn("total", F.sum("n").over(Window.partitionBy("digest"))).where("total > 1").select("k1", "k2", "starts"), "repeats-windows")
     lists = full.select("k1", "k2", "first", F.lit(None).cast("binary").alias("starts")).unionByName(
         repeated.select("k1", "k2", F.lit(None).cast("int").alias("first"), "starts")).groupBy("k1", "k2").agg(
         F.collect_list("first").alias("full"), F.collect_list("starts").alias("starts"))
