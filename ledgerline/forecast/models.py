@@ -242,7 +242,3 @@ def explode_steps(df: DataFrame, keys: list[str], column: str, extra: list[str]
         *keys, *extra, (F.col("_p") + 1).alias("step"),
         month_shift("last_month", F.col("_p") + 1).alias("month"), "value",
     )
-
-
-def fitted_months(arrays: DataFrame) -> Column:
-    return month_range("first_month", "last_month")

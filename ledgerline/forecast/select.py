@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators.series import spread_series
+from ..operators.series import eligibility, spread_series
+from ..session import cut_lineage
 from .models import DEFAULT_MODELS, REGISTRY, explode_steps, or_zero
 
 
@@ -119,6 +120,22 @@ def forecast_winner(chosen: DataFrame, keys: list[str], steps: int, models: list
     return explode_steps(ahead, keys, "_f", ["model"])
 
 
+def reconciled_run(
+    arrays: DataFrame, keys: list[str], steps: int, target_year: int, models=None, holdout=12, direction="min", months_back=-1,
+) -> tuple[DataFrame, DataFrame]:
+    """(forecast, bad): every series is in exactly one of the two.
+
+    Bad series are short, silent in the last two holdouts or stopped before the year ahead of the target, and those
+    no model could score; ``reason`` says which. The scores are worked out once and written.
+    """
+    judged = eligibility(arrays, target_year, holdout)
+    scored = choose(score_models(judged.where(~F.col("is_bad")).drop("is_bad"), keys, models, holdout), direction)
+    chosen = cut_lineage(scored.drop("scores"))
+    forecast = forecast_winner(last_months(chosen, months_back), keys, steps, models)
+    bad = judged.where("is_bad").select(*keys, F.lit("not eligible").alias("reason"))
+    return forecast, bad.unionByName(chosen.where(F.col("winner").isNull()).select(*keys, F.lit("no score").alias("reason")))
+
+
 def quarterly_run(arrays: DataFrame, keys: list[str], steps: int, models=None, holdout=12, direction="min", months_back=-1) -> DataFrame:
     """Score, choose and forecast in one plan."""
     chosen = choose(score_models(arrays, keys, models, holdout), direction)

@@ -74,8 +74,12 @@ def rules_for(coin: int):
 
 
 def keep_for_labelling(coin: int) -> Column:
-    keep = ~F.col("doc_type").isin(DROPPED_DOC_TYPES) & ~F.col("fund_code").isin(DROPPED_FUND_CODES)
-    return keep & ~F.col("fund_code").isin(DROPPED_FUND_CODES_COIN_1) if coin == 1 else keep
+    """Not one of the dropped codes; a null code is none of them, so its row stays."""
+    def outside(c: str, codes) -> Column:
+        return F.coalesce(~F.col(c).isin(codes), F.lit(True))
+
+    keep = outside("doc_type", DROPPED_DOC_TYPES) & outside("fund_code", DROPPED_FUND_CODES)
+    return keep & outside("fund_code", DROPPED_FUND_CODES_COIN_1) if coin == 1 else keep
 
 
 def merge_codes(c: str | Column, merges: dict) -> Column:

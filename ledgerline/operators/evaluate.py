@@ -74,10 +74,11 @@ def scores(sliced: DataFrame, by: str = "slice", metrics: dict | None = None) ->
 
 
 def yearly_errors(df: DataFrame, order: list[str] = ()) -> DataFrame:
-    """Absolute and relative error per series; the forecast of a series without actuals counts as 0."""
+    """Absolute and relative error per series, sorted by ``order`` if given; the forecast of a series without actuals counts as 0."""
     out = df.withColumn("forecast", F.when(F.col("actual") == 0, F.lit(0.0)).otherwise(F.col("forecast")))
     out = out.withColumn("abs_err", F.abs(F.col("forecast") - F.col("actual")))
-    return out.withColumn("rel_err", F.round(F.try_divide("abs_err", "actual"), 2))
+    out = out.withColumn("rel_err", F.round(F.try_divide("abs_err", "actual"), 2))
+    return out.orderBy(*order) if order else out
 
 
 def against_actual_years(forecast: DataFrame, payments: DataFrame, keys: list[str], year: str, measure: str, years: list[int]) -> DataFrame:
@@ -86,7 +87,8 @@ def against_actual_years(forecast: DataFrame, payments: DataFrame, keys: list[st
         F.sum(F.when(F.col(year) == y, F.col(measure)).otherwise(0.0)).alias(f"actual_{y}") for y in years
     ])
     names = [f"actual_{y}" for y in years]
-    out = forecast.join(actual, keys, "full").fillna(0.0)
+    out = forecast.join(actual, keys, "full")
+    out = out.fillna(0.0, [c for c in out.columns if c not in keys])
     alive = F.lit(False)
     for c in names:
         alive = alive | (F.col(c) != 0)

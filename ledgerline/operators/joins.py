@@ -163,14 +163,6 @@ def ages_with_weight(orders: DataFrame, curr_year: int, curr_month: int, max_yea
     return aged.withColumn("copies", F.col("_years") - F.floor(F.col("age") / 12).cast("int")).drop("_years")
 
 
-def union_all(*frames: DataFrame) -> DataFrame:
-    """Union by column name; columns a frame lacks become null."""
-    first, *rest = frames
-    for other in rest:
-        first = first.unionByName(other, allowMissingColumns=True)
-    return first
-
-
 def align_on(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Dates present on both sides."""
     return left.join(right, on, "inner")

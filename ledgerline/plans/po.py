@@ -13,10 +13,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import KEY
+from ..functions import arrays as A
 from ..functions.scalars import (
     absolute_month, compact_month, compact_year, equal_width_bin, hash_uniform, key_year, parse_amount, relative_month,
 )
@@ -145,22 +146,20 @@ def training_table(
     base = orders.drop("po_net_value").join(_packed(changes, "rel", "v", "_edits"), KEY)
     base = base.join(_packed(smoothed_blocks(history, smoothing_window), "block", "smoothed", "_paid"), KEY, "left")
     aged = joins.ages_with_weight(base, curr_year, curr_month, max_years)
-    block = F.floor(F.col("age") / smoothing_window).cast("int")
-    aged = aged.withColumns({
-        "_edit": F.try_element_at("_edits", F.col("age")),
-        "_now": F.coalesce(F.try_element_at("_paid", block), F.lit(0.0)),
-    }).drop("_edits", "_paid")
-    by_age = Window.partitionBy(*KEY).orderBy("age")
-    upto = by_age.rowsBetween(Window.unboundedPreceding, 0)
-    before = by_age.rowsBetween(Window.unboundedPreceding, -1)
-    valued = aged.withColumns({
-        "po_net_value": F.sum("_edit").over(upto),
-        "_before": F.coalesce(F.sum("_now").over(before), F.lit(0.0)),
-    })
-    valued = valued.where(F.col("po_net_value") > 0)
     if sample_frac < 1:
         chance = F.lit(1.0) - F.pow(F.lit(1.0 - root), F.col("copies"))
-        valued = valued.where(hash_uniform(*KEY, "age", seed=seed + 1) < chance)
+        aged = aged.where(hash_uniform(*KEY, "age", seed=seed + 1) < chance)
+    # sums up to an age come from the order's own few edits and payments, so only the ages kept are worked out
+    block = F.floor(F.col("age") / smoothing_window).cast("int")
+    months_in = lambda b: F.least(F.lit(smoothing_window), F.col("age") - b * smoothing_window)
+    made = F.filter(F.map_entries("_edits"), lambda e: e["key"] <= F.col("age"))
+    paid = F.filter(F.map_entries("_paid"), lambda e: e["key"] * smoothing_window < F.col("age"))
+    valued = A.computed_once(
+        aged,
+        po_net_value=F.aggregate(made, F.lit(0.0), lambda a, e: a + e["value"]),
+        _now=F.coalesce(F.try_element_at("_paid", block), F.lit(0.0)),
+        _before=F.coalesce(F.aggregate(paid, F.lit(0.0), lambda a, e: a + e["value"] * months_in(e["key"])), F.lit(0.0)),
+    ).drop("_edits", "_paid").where(F.col("po_net_value") > 0)
     out = valued.withColumns({
         "cumulative_portion": F.col("_before") / F.col("po_net_value"),
         "target": F.try_divide("_now", F.col("po_net_value") - F.col("_before")),

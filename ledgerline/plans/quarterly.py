@@ -48,7 +48,7 @@ def forecast_types(monthly: DataFrame, steps: int, type_of: str = "type", topics
 
 def change_pairs(lines: DataFrame) -> DataFrame:
     """Document lines 1 and 2 as (out, in) pairs with the second amount, incomplete pairs dropped."""
-    kept = lines.where(~F.col("fund_code").isin(1410)).withColumn("value", parse_amount("110"))
+    kept = lines.where(~F.col("fund_code").eqNullSafe(F.lit(1410))).withColumn("value", parse_amount("110"))
     pairs = joins.pair_lines(kept, "doc_id", "doc_item", "MOF_class", ["value", "year", "month", "law"])
     return pairs.dropna(subset=["class_out", "class_in", "value", "year", "month", "law"])
 

@@ -41,7 +41,7 @@ def clean_orders(raw: DataFrame, oldest_budget_year: int) -> DataFrame:
 def without_obligations(payments: DataFrame, orders: DataFrame, items: list[int]) -> tuple[DataFrame, DataFrame]:
     """Remove payments of given items and the orders they belong to."""
     hit = payments.where(F.col("po_2").isin(items)).select("order_id").where(F.col("order_id") != OFF_REGISTER)
-    return payments.where(~F.col("po_2").isin(items)), orders.join(hit, "order_id", "left_anti")
+    return payments.where(F.coalesce(~F.col("po_2").isin(items), F.lit(True))), orders.join(hit, "order_id", "left_anti")
 
 
 def except_rows(df: DataFrame, conditions: dict) -> DataFrame:
@@ -57,7 +57,8 @@ def registered(payments: DataFrame) -> DataFrame:
 
 
 def unregistered(payments: DataFrame) -> DataFrame:
-    return payments.where(F.col("order_id") == OFF_REGISTER)
+    """Payments that name no order: the off-register mark, or nothing at all."""
+    return payments.where(F.coalesce(F.col("order_id") == OFF_REGISTER, F.lit(True)))
 
 
 def of_years(df: DataFrame, years: int | list[int], column: str = "budget_year") -> DataFrame:

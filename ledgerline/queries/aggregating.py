@@ -116,11 +116,11 @@ def _(spark, d):
 
 
 @query("e13_zero_cells", sql=f"""
-WITH {PAIRS}, x AS (SELECT class_out, SUM(CASE WHEN class_in = 'C3' THEN value ELSE 0 END) AS v FROM pairs WHERE year = 1996 AND month = 3 GROUP BY 1)
+WITH {PAIRS}, x AS (SELECT class_out, year, month, SUM(CASE WHEN class_in = 'C3' THEN value ELSE 0 END) AS v FROM pairs GROUP BY 1, 2, 3)
 SELECT class_out, CAST(COUNT(CASE WHEN v = 0 THEN 1 END) AS BIGINT) AS zeros FROM x GROUP BY 1""")
 def _(spark, d):
-    pairs = quarterly.change_pairs(R.change_lines(spark, d)).where((F.col("year") == 1996) & (F.col("month") == 3))
-    cells = A.zero_cells(A.pivot_sum(pairs, ["class_out"], "class_in", ["C3"], "value"), "C3")
+    pairs = quarterly.change_pairs(R.change_lines(spark, d))
+    cells = A.zero_cells(A.pivot_sum(pairs, ["class_out", "year", "month"], "class_in", ["C3"], "value"), "C3")
     return cells.groupBy("class_out").agg(F.count("C3").alias("zeros"))
 
 
@@ -147,11 +147,10 @@ def _(spark, d):
 
 
 @query("e17_top_and_other", sql=f"""
-WITH {R.PAYMENTS}, s AS (SELECT CAST(fc4 AS VARCHAR) AS fc4, ABS(SUM(amount)) AS size FROM payments WHERE budget_year = 2000 GROUP BY 1), n AS (SELECT *, ROW_NUMBER() OVER (ORDER BY size DESC, fc4) AS rn FROM s)
+WITH {R.PAYMENTS}, s AS (SELECT CAST(fc4 AS VARCHAR) AS fc4, ABS(SUM(amount)) AS size FROM payments GROUP BY 1), n AS (SELECT *, ROW_NUMBER() OVER (ORDER BY size DESC, fc4) AS rn FROM s)
 SELECT CASE WHEN rn <= 8 THEN fc4 ELSE 'Other' END AS fc4, {rs('SUM(size)')} AS size FROM n GROUP BY 1""")
 def _(spark, d):
-    rows = spend.of_years(R.payments(spark, d), 2000)
-    return ranking.top_and_other(rows, "fc4", "amount", 8).select("fc4", r("size").alias("size"))
+    return ranking.top_and_other(R.payments(spark, d), "fc4", "amount", 8).select("fc4", r("size").alias("size"))
 
 
 @query("e18_children_of_parent", sql=f"""

@@ -70,11 +70,11 @@ def _(spark, d):
 
 @query("l07_yearly_errors", sql=f"""
 WITH {R.TRUTH}, e AS (SELECT k, CASE WHEN a = 0 THEN 0 ELSE predicted END AS f, a FROM (SELECT k, predicted, CASE WHEN actual < 30000 THEN 0 ELSE actual END AS a FROM truth) q)
-SELECT k, {rs('a')} AS actual, {rs('f')} AS forecast, {rs('ABS(f - a)')} AS abs_err FROM e""")
+SELECT k, {rs('a')} AS actual, {rs('f')} AS forecast, {rs('ABS(f - a)')} AS abs_err, ROUND(ABS(f - a) / NULLIF(a, 0), 2) AS rel_err FROM e""")
 def _(spark, d):
     t = R.truth(spark, d).select("k", F.col("predicted").alias("forecast"), F.when(F.col("actual") < 30000, 0.0).otherwise(F.col("actual")).alias("actual"))
-    x = evaluate.yearly_errors(t).orderBy(F.desc("actual"), "k")
-    return x.select("k", r("actual").alias("actual"), r("forecast").alias("forecast"), r("abs_err").alias("abs_err"))
+    x = evaluate.yearly_errors(t, [F.desc("actual"), "k"])
+    return x.select("k", r("actual").alias("actual"), r("forecast").alias("forecast"), r("abs_err").alias("abs_err"), "rel_err")
 
 
 @query("l08_history_with_forecast", sql=f"""

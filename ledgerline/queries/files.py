@@ -37,12 +37,13 @@ def _(spark, d):
 
 
 @query("a03_csv_encoding_fallback", sql="""
-SELECT doc_id, md5(REPLACE(REPLACE(REPLACE(text, '"', ' '), chr(92), ' '), chr(10), ' ')) AS digest FROM documents WHERE lang = 'fr'""")
+SELECT doc_id, md5(REPLACE(REPLACE(REPLACE(text, '"', ' '), chr(92), ' '), chr(10), ' ')) AS digest FROM documents""")
 def _(spark, d):
     flat = F.regexp_replace("text", r'["\\\n]', " ")
-    docs = R.table(spark, d, "documents").where("lang = 'fr'").select("doc_id", F.concat(F.lit("<"), flat, F.lit(">")).alias("text"))
-    path = scratch_path(spark, "latin")
-    docs.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    docs = R.table(spark, d, "documents").select("lang", "doc_id", F.concat(F.lit("<"), flat, F.lit(">")).alias("text"))
+    path = scratch_path(spark, "mixed")  # files of one language in the single-byte code beside files in UTF-8
+    docs.where("lang = 'fr'").drop("lang").write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    docs.where("lang <> 'fr' OR lang IS NULL").drop("lang").write.mode("append").option("header", True).csv(path)
     back = S.read_csv_any_encoding(spark, path, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
     return back.select("doc_id", F.md5(F.regexp_extract("text", "(?s)^<(.*)>$", 1)).alias("digest"))
 

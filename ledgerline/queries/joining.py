@@ -45,11 +45,11 @@ def _(spark, d):
 
 
 @query("d04_edits_within_age", sql=f"""
-WITH {R.PO_ORDERS}, {R.PO_EDITS}, copies AS (SELECT doc_id, fund_year, item, order_year * 12 + order_month AS order_abs, CAST(a AS INT) AS age FROM po_orders, UNNEST(generate_series(0, 24, 6)) t(a))
+WITH {R.PO_ORDERS}, {R.PO_EDITS}, copies AS (SELECT doc_id, fund_year, item, order_year * 12 + order_month AS order_abs, CAST(a AS INT) AS age FROM po_orders, UNNEST(generate_series(0, 24)) t(a))
 SELECT doc_id, CAST(age AS BIGINT) AS age, {rs('SUM(volume)')} AS value FROM copies JOIN po_edits USING (doc_id, fund_year, item) WHERE edit_abs BETWEEN order_abs AND order_abs + age GROUP BY 1, 2""")
 def _(spark, d):
     orders = po.prepare_orders(R.po_orders(spark, d), R.po_dates(spark, d))
-    copies = orders.select(*KEY, S.absolute_month("order_year", "order_month").alias("order_abs"), F.explode(F.sequence(F.lit(0), F.lit(24), F.lit(6))).alias("age"))
+    copies = orders.select(*KEY, S.absolute_month("order_year", "order_month").alias("order_abs"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("age"))
     rows = joins.edits_within_age(copies, po.prepare_edits(R.po_edits(spark, d)), KEY)
     return rows.groupBy("doc_id", big("age").alias("age")).agg(r(F.sum("volume")).alias("value"))
 

@@ -11,9 +11,9 @@ from .roles import big, r, rs, txt
 
 
 @query("m01_expenditure_by_year", sql=f"""
-WITH {R.PAYMENTS} SELECT CAST(budget_year AS BIGINT) AS budget_year, {', '.join(f"{rs(f'SUM(CASE WHEN expediture_type = {t} THEN amount ELSE 0 END)')} AS type_{t}" for t in (10, 20, 45))} FROM payments WHERE coin = 1 GROUP BY 1""")
+WITH {R.PAYMENTS} SELECT CAST(budget_year AS BIGINT) AS budget_year, {', '.join(f"{rs(f'SUM(CASE WHEN expediture_type = {t} THEN amount ELSE 0 END)')} AS type_{t}" for t in (10, 20, 45))} FROM payments GROUP BY 1""")
 def _(spark, d):
-    x = spend.expenditure_by_year(R.payments(spark, d).where("coin = 1"), [10, 20, 45])
+    x = spend.expenditure_by_year(R.payments(spark, d), [10, 20, 45])
     return x.select(big("budget_year").alias("budget_year"), *[r(f"type_{t}").alias(f"type_{t}") for t in (10, 20, 45)])
 
 

@@ -96,3 +96,13 @@ def _(spark, d):
     months = quarterly.pair_series(quarterly.change_pairs(R.change_lines(spark, d)))
     net = quarterly.net_forecast(quarterly.forecast_pairs(months, 3))
     return net.select("side", "party", txt("month").alias("month"), r("net").alias("net"))
+
+
+@query("k03_every_series_once", sql=f"""
+WITH {R.BRAND}, last AS (SELECT k, MAX(n) AS n, MAX(m) AS z, SUM(CASE WHEN i > n - 24 THEN v ELSE 0 END) AS late FROM s GROUP BY 1)
+SELECT k, CASE WHEN n < 24 OR late = 0 OR YEAR(z) < 2000 THEN 'not eligible' ELSE 'forecast' END AS state, CAST(1 AS BIGINT) AS places FROM last""")
+def _(spark, d):
+    """Every series is in exactly one of forecast and the list of bad series."""
+    forecast, bad = S.reconciled_run(R.brand_arrays(spark, d), ["k"], 12, 2001, ALL)
+    states = forecast.select("k", F.lit("forecast").alias("state")).distinct().unionByName(bad.select("k", F.col("reason").alias("state")))
+    return states.groupBy("k").agg(F.min("state").alias("state"), F.count("*").alias("places"))

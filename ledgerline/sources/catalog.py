@@ -100,11 +100,6 @@ def same_content(df: DataFrame, content: str, name: str, hot_rows: int = HOT_ROW
     return attach_per_key(hashed, repeated, ["digest"], "copies", hot_rows)
 
 
-def content_owner(catalog: DataFrame, digest: str) -> DataFrame:
-    """Names already stored under a digest."""
-    return catalog.where(F.col("digest") == digest).select("name")
-
-
 def is_valid_name(c) -> Column:
     return F.coalesce(col(c).rlike(NAME_RULE), F.lit(False))
 
@@ -160,13 +155,15 @@ def taken_names(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, catalog: DataFrame, name: str, requested: str | list[str] | None = None, fmt="csv", **options) -> DataFrame:
-    """The stored table of a catalogue name; raises on an unknown name or another template.
+    """The stored table of a catalogue name; raises on an unknown or repeated name or another template.
 
     ``catalog`` needs name, template and path.
     """
     found = catalog.where(F.col("name") == name).select("template", "path").limit(2).collect()
     if not found:
         raise ValueError(f"key {name!r} not found")
+    if len(found) > 1:
+        raise ValueError(f"key {name!r} is not unique")
     wanted = [requested] if isinstance(requested, str) else requested
     if wanted is not None and found[0].template not in wanted:
         raise ValueError(f"template mismatch: expected one of {wanted}, got {found[0].template!r}")

@@ -12,16 +12,27 @@ def read_csv(spark: SparkSession, path, schema: T.StructType, **options) -> Data
     return spark.read.schema(schema).options(header=True, **options).csv(path)
 
 
-def read_csv_any_encoding(spark: SparkSession, path, schema: T.StructType, fallback: str = "ISO-8859-1", **options) -> DataFrame:
-    """UTF-8, or the single-byte fallback where a file is not valid UTF-8.
+def _as_windows_1252(df: DataFrame) -> DataFrame:
+    """Text read as ISO-8859-1 with the control codes 80-9F turned into the signs they stand for in windows-1252."""
+    codes = {chr(i): bytes([i]).decode("cp1252", "ignore") for i in range(0x80, 0xA0)}
+    known = {c: sign for c, sign in codes.items() if sign}
+    return df.withColumns({
+        f.name: F.translate(f.name, "".join(known), "".join(known.values())) for f in df.schema if isinstance(f.dataType, T.StringType)})
 
-    One scan of the text decides, and stops at the first invalid line.
+
+def read_csv_any_encoding(spark: SparkSession, path, schema: T.StructType, **options) -> DataFrame:
+    """UTF-8, or windows-1252 for those files that are not valid UTF-8.
+
+    One scan of the text names the invalid files; only file names reach the driver, as for any read.
     """
-    lines = spark.read.text(path)
-    broken = lines.where(~F.is_valid_utf8("value")).limit(1).count() > 0
-    if broken:
-        options["encoding"] = fallback
-    return read_csv(spark, path, schema, **options)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    states = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).collect()
+    broken = [row["file"] for row in states if not row["valid"]]
+    if not broken:
+        return read_csv(spark, path, schema, **options)
+    single = _as_windows_1252(read_csv(spark, broken, schema, **options, encoding="ISO-8859-1"))
+    valid = [row["file"] for row in states if row["valid"]]
+    return read_csv(spark, valid, schema, **options).unionByName(single) if valid else single
 
 
 def normal_header(name: str) -> str:
@@ -61,16 +72,20 @@ def lenient_number(c: str | Column) -> Column:
 
 
 def cached_read(spark: SparkSession, cache_path: str, load) -> DataFrame:
-    """Read the stored copy, or load once, store it and read it back."""
-    try:
-        return spark.read.parquet(cache_path)
-    except Exception as missing:  # noqa: BLE001 - only a missing path leads to a load
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-            raise
-    load().write.mode("errorifexists").parquet(cache_path)
+    """Read the stored copy, or load once, store it and read it back.
+
+    A copy counts once its write has ended; what an interrupted write left behind is written anew.
+    """
+    if not _is_complete(spark, cache_path):
+        load().write.mode("overwrite").parquet(cache_path)
     return spark.read.parquet(cache_path)
 
 
+def _is_complete(spark: SparkSession, path: str) -> bool:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> str:
     writer = df.write.mode(mode)
     if fmt == "csv":
@@ -95,12 +110,6 @@ def types_with_current_january(df: DataFrame, kind: str, date: str, year: int) -
     return df.join(january, kind, "left_semi")
 
 
-def types_without_current_january(df: DataFrame, kind: str, date: str, year: int) -> DataFrame:
-    """The types left out above, for the warning."""
-    january = df.where(F.col(date) == F.lit(f"{year}-01-31").cast("date")).select(kind)
-    return df.select(kind).distinct().join(january, kind, "left_anti")
-
-
 def read_many(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
     """Many files whose columns drift, as one table; absent columns are null."""
     frames = [spark.read.format(fmt).option("header", True).load(p) for p in paths]
