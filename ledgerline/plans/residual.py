@@ -7,14 +7,29 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_uniform, month_end_of
+from ..forecast import decompose as D
+from ..functions.scalars import month_end_of
+from ..operators import series
 from ..operators.joins import with_order_attribute
 from ..operators.windows import lags
 from .spend import registered
 
 LAGS = (1, 3, 6, 12)
 MIN_ROWS = 10
-BUCKETS = 32
+MIN_RESIDUALS = 24
+
+
+def decomposition_residuals(payments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, month, ``amount`` and ``resid``: what the classical decomposition of the dense series leaves over."""
+    months = series.from_arrays(series.as_arrays(payments, keys, "payment_date", "amount"), keys, "month", "amount")
+    return D.classical(months, keys, "month", "amount").drop("trend", "seasonal")
+
+
+def gated(residuals: DataFrame, keys: list[str], doc_type: str = "RV", more_than: int = MIN_RESIDUALS) -> DataFrame:
+    """Residuals of the keys that get a residual part: one document type, enough months that are not zero."""
+    kept = residuals.where(F.col("doc_type") == doc_type)
+    enough = kept.where(F.abs("resid") > 1e-6).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > more_than)
+    return kept.join(enough.select(*keys), keys, "left_semi")
 
 
 def feature_months(payments: DataFrame, orders: DataFrame, keys: list[str], feature: str) -> DataFrame:
@@ -50,21 +65,24 @@ def usable_keys(table: DataFrame, keys: list[str], feature: str) -> DataFrame:
 
 
 def _columns() -> list[str]:
-    return [f"resid_share_lag_{k}" for k in LAGS] + ["month_no", "year", "feature_bucket", "key_bucket"]
+    return [f"resid_share_lag_{k}" for k in LAGS] + ["month_no", "year", "feature_level", "key_level", "key_spread"]
+
+
+def _with_levels(df: DataFrame, table: DataFrame, keys: list[str], feature: str) -> DataFrame:
+    """Keys and feature values as numbers: the mean, and for keys the spread, of their shares in ``table``."""
+    of_key = table.groupBy(*keys).agg(F.avg("resid_share").alias("key_level"), F.coalesce(F.stddev_samp("resid_share"), F.lit(0.0)).alias("key_spread"))
+    of_value = table.groupBy(feature).agg(F.avg("resid_share").alias("feature_level"))
+    return df.join(of_key, keys, "left").join(of_value, feature, "left").fillna(0.0, ["key_level", "key_spread", "feature_level"])
 
 
-def _prepared(df: DataFrame, keys: list[str], feature: str) -> DataFrame:
-    bucketed = df.withColumns({
-        "feature_bucket": F.floor(hash_uniform(feature) * BUCKETS).cast("double"),
-        "key_bucket": F.floor(hash_uniform(*keys, seed=1) * BUCKETS).cast("double"),
-    })
-    return VectorAssembler(inputCols=_columns(), outputCol="features").transform(bucketed)
+def _assembled(df: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=_columns(), outputCol="features").transform(df)
 
 
 def fit(table: DataFrame, keys: list[str], feature: str, trees: int = 20, depth: int = 4, seed: int = 0):
     """One boosted-tree model for all keys, on the rows of usable keys."""
     good = table.join(usable_keys(table, keys, feature).where("usable").select(*keys), keys, "left_semi")
-    rows = _prepared(good, keys, feature)
+    rows = _assembled(_with_levels(good, table, keys, feature))
     return GBTRegressor(labelCol="resid_share", maxIter=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
@@ -78,17 +96,16 @@ def roll_forward(model, table: DataFrame, residuals: DataFrame, keys: list[str],
     good = usable_keys(table, keys, feature).where("usable").select(*keys)
     payload = F.struct(feature, "month_no", "year", *[f"resid_share_lag_{k}" for k in LAGS])
     latest = table.groupBy(*keys).agg(F.max_by(payload, F.struct("month", feature)).alias("_r")).select(*keys, "_r.*")
-    state = latest.join(good, keys, "left_semi").join(spread, keys)
+    state = _with_levels(latest.join(good, keys, "left_semi").join(spread, keys), table, keys, feature)
     made = []
     for h in range(steps):
         at = F.add_months(F.lit(first_month).cast("date"), h)
-        state = model.transform(_prepared(state, keys, feature))
+        state = model.transform(_assembled(state))
         low, high = F.col("_mean") - clip * F.col("_std"), F.col("_mean") + clip * F.col("_std")
         bounded = F.least(F.greatest("prediction", low), high)
         last = F.col("resid_share_lag_1")
         jump = 2.0 * F.col("_std")
-        state = state.withColumn(f"_y{h}", F.least(F.greatest(bounded, last - jump), last + jump)).drop(
-            "features", "prediction", "feature_bucket", "key_bucket")
+        state = state.withColumn(f"_y{h}", F.least(F.greatest(bounded, last - jump), last + jump)).drop("features", "prediction")
         previous = dict(zip(LAGS[1:], LAGS[:-1]))
         moved = {f"resid_share_lag_{k}": F.col(f"resid_share_lag_{p}") for k, p in previous.items()}
         moved |= {"resid_share_lag_1": F.col(f"_y{h}"), "month_no": F.month(at), "year": F.year(at)}

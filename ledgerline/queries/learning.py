@@ -1,6 +1,5 @@
 """Trained models and the runs built on them. Learned numbers have no SQL twin; totals and bounds are tested instead."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import KEY
@@ -11,7 +10,7 @@ from ..plans import documents, po, residual, revenue
 from ..session import cut_lineage, scratch_path
 from . import query
 from . import roles as R
-
+from .models import _classical_ctes
 from .orders import prepared, training
 from .roles import big, r, rs, txt
 
@@ -80,52 +79,62 @@ def _(spark, d):
 
 # --- residual share -------------------------------------------------------------------
 
-RES_KEYS = ["huka", "doc_type"]
-RESID = f"""{R.PAYMENTS}, {R.SALES}, mon AS (SELECT huka, doc_type, last_day(payment_date) AS m, SUM(amount) AS v FROM payments GROUP BY 1, 2, 3),
-res AS (SELECT *, v - AVG(v) OVER (PARTITION BY huka, doc_type) AS resid FROM mon), attr AS (SELECT order_id, MIN(sales_office) AS office FROM (SELECT order_id, sales_office FROM sales) q GROUP BY 1),
-ft AS (SELECT huka, doc_type, office, last_day(payment_date) AS m, SUM(amount) AS fa FROM payments JOIN attr USING (order_id) WHERE order_id <> '#' GROUP BY 1, 2, 3, 4),
-sh AS (SELECT ft.*, resid * fa / v AS rs FROM ft JOIN res USING (huka, doc_type, m)),
-lg AS (SELECT *, {', '.join(f'LAG(rs, {k}) OVER (PARTITION BY huka, doc_type, office ORDER BY m) AS l{k}' for k in residual.LAGS)} FROM sh),
-tbl AS (SELECT * FROM lg WHERE l12 IS NOT NULL AND l1 IS NOT NULL)"""
+RES_KEYS = R.KEYS
+_K = "CONCAT_WS('|', huka, expediture_type, fc3, doc_type)"
+RESID = f"""{R.PAYMENTS}, {R.SALES}, mon AS (SELECT {_K} AS k, last_day(payment_date) AS m, SUM(amount) AS v FROM payments GROUP BY 1, 2),
+span AS (SELECT k, MIN(m) AS a, MAX(m) AS b FROM mon GROUP BY 1),
+grid AS (SELECT k, last_day(CAST(g AS DATE)) AS m FROM span, UNNEST(generate_series(CAST(date_trunc('month', a) AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) t(g)),
+s AS (SELECT grid.k, grid.m, COALESCE(v, 0) AS v, ROW_NUMBER() OVER (PARTITION BY grid.k ORDER BY grid.m) AS i, COUNT(*) OVER (PARTITION BY grid.k) AS n FROM grid LEFT JOIN mon ON mon.k = grid.k AND mon.m = grid.m),
+{_classical_ctes('v')},
+gate AS (SELECT k FROM parts WHERE ABS(resid) > 1e-6 AND SPLIT_PART(k, '|', 4) = 'RV' GROUP BY 1 HAVING COUNT(*) > {residual.MIN_RESIDUALS}),
+attr AS (SELECT order_id, MIN(sales_office) AS office FROM (SELECT order_id, sales_office FROM sales) q GROUP BY 1),
+ft AS (SELECT {_K} AS k, office, last_day(payment_date) AS m, SUM(amount) AS fa FROM payments JOIN attr USING (order_id) WHERE order_id <> '#' GROUP BY 1, 2, 3),
+sh AS (SELECT ft.*, resid * fa / NULLIF(v, 0) AS rs FROM ft JOIN parts USING (k, m) JOIN gate USING (k)),
+lg AS (SELECT *, {', '.join(f'LAG(rs, {k}) OVER (PARTITION BY k, office ORDER BY m) AS l{k}' for k in residual.LAGS)} FROM sh),
+tbl AS (SELECT * FROM lg WHERE rs IS NOT NULL AND {' AND '.join(f'l{k} IS NOT NULL' for k in residual.LAGS)})"""
+
+
+def _joined_key():
+    return F.concat_ws("|", *RES_KEYS)
 
 
 def _residuals(spark, d):
-    """Monthly amount and its distance from the key's mean month."""
-    months = A.monthly(R.payments(spark, d), RES_KEYS, "payment_date", "amount")
-    return months.withColumn("resid", F.col("amount") - F.avg("amount").over(Window.partitionBy(*RES_KEYS)))
+    """Monthly amount and decomposition residual of the keys that get a residual part."""
+    return residual.gated(residual.decomposition_residuals(R.payments(spark, d), RES_KEYS), RES_KEYS)
 
 
-def _share_table(spark, d):
+def _share_table(spark, d, residuals=None):
     rows = residual.feature_months(R.payments(spark, d), R.sales(spark, d), RES_KEYS, "sales_office")
-    return residual.share_table(rows, _residuals(spark, d), RES_KEYS, "sales_office")
+    return residual.share_table(rows, _residuals(spark, d) if residuals is None else residuals, RES_KEYS, "sales_office")
 
 
 @query("k18_residual_share_table", sql=f"""
-WITH {RESID} SELECT CAST(huka AS BIGINT) AS huka, doc_type, office, CAST(m AS VARCHAR) AS m, {rs('rs', 1)} AS resid_share, {rs('l1', 1)} AS lag_1, {rs('l12', 1)} AS lag_12 FROM tbl""")
+WITH {RESID} SELECT k, office, CAST(m AS VARCHAR) AS m, {rs('rs', 1)} AS resid_share, {rs('l1', 1)} AS lag_1, {rs('l12', 1)} AS lag_12 FROM tbl""")
 def _(spark, d):
     t = _share_table(spark, d)
-    return t.select(big("huka").alias("huka"), "doc_type", F.col("sales_office").alias("office"), txt("month").alias("m"),
+    return t.select(_joined_key().alias("k"), F.col("sales_office").alias("office"), txt("month").alias("m"),
                     r("resid_share", 1).alias("resid_share"), r("resid_share_lag_1", 1).alias("lag_1"), r("resid_share_lag_12", 1).alias("lag_12"))
 
 
 @query("k19_usable_keys", sql=f"""
-WITH {RESID} SELECT CAST(huka AS BIGINT) AS huka, doc_type, CAST(COUNT(*) AS BIGINT) AS rows, CAST(CASE WHEN COUNT(*) >= 10 AND MIN(rs) < MAX(rs) AND MIN(office) < MAX(office) THEN 1 ELSE 0 END AS BIGINT) AS usable FROM tbl GROUP BY 1, 2""")
+WITH {RESID} SELECT k, CAST(COUNT(*) AS BIGINT) AS rows, CAST(CASE WHEN COUNT(*) >= 10 AND MIN(rs) < MAX(rs) AND MIN(office) < MAX(office) THEN 1 ELSE 0 END AS BIGINT) AS usable FROM tbl GROUP BY 1""")
 def _(spark, d):
     x = residual.usable_keys(_share_table(spark, d), RES_KEYS, "sales_office")
-    return x.select(big("huka").alias("huka"), "doc_type", "rows", big(F.col("usable").cast("int")).alias("usable"))
+    return x.select(_joined_key().alias("k"), "rows", big(F.col("usable").cast("int")).alias("usable"))
 
 
 def _resid_forecast(spark, d, first_month, steps):
-    table = cut_lineage(_share_table(spark, d))
+    left_over = cut_lineage(_residuals(spark, d))
+    table = cut_lineage(_share_table(spark, d, left_over))
     model = residual.fit(table, RES_KEYS, "sales_office", trees=5, depth=3)
-    ahead = residual.roll_forward(model, table, _residuals(spark, d), RES_KEYS, "sales_office", first_month, steps)
+    ahead = residual.roll_forward(model, table, left_over, RES_KEYS, "sales_office", first_month, steps)
     return residual.total_by_month(ahead, keys=RES_KEYS)
 
 
 @query("k20_residual_roll_forward")
 def _(spark, d):
     x = _resid_forecast(spark, d, "2001-11-30", 4)
-    return x.select(big("huka").alias("huka"), "doc_type", txt("month").alias("m"), r("value").alias("value"))
+    return x.select(_joined_key().alias("k"), txt("month").alias("m"), r("value").alias("value"))
 
 
 # --- sequences and runs ------------------------------------------------------------------
@@ -167,11 +176,30 @@ def _(spark, d):
         r(c).alias(c) for c in ("total_forecasted_value", "total_forecasted_value_no_resid", "actual_1999", "actual_2000", "actual_2001")])
 
 
+def _run_with_residuals(spark, d):
+    p = R.payments(spark, d).where(F.col("payment_date") <= F.lit(R.CLOSED_TO).cast("date"))
+    extra = cut_lineage(_resid_forecast(spark, d, "2002-01-31", 12))
+    return revenue.run(p, RES_KEYS, R.CLOSED_TO, 2002, [1999, 2000, 2001], extra), extra
+
+
 @query("r02_revenue_run_with_residuals")
 def _(spark, d):
-    """Revenue by two keys with the residual part of the boosted model."""
-    p = R.payments(spark, d).where(F.col("payment_date") <= F.lit(R.CLOSED_TO).cast("date"))
-    extra = _resid_forecast(spark, d, "2002-01-31", 12)
-    x = revenue.run(p, RES_KEYS, R.CLOSED_TO, 2002, [1999, 2000, 2001], extra)
-    return x.select(big("huka").alias("huka"), "doc_type", *[
+    """Revenue by the four keys with the residual part of the boosted model."""
+    x, _ = _run_with_residuals(spark, d)
+    return x.select(_joined_key().alias("k"), *[
         r(c).alias(c) for c in ("total_forecasted_value", "total_forecasted_value_no_resid", "actual_1999", "actual_2000", "actual_2001")])
+
+
+@query("r02_residual_part_adds_up", sql=f"""
+WITH {R.PAYMENTS}, x AS (SELECT {_K} AS k, SUM(CASE WHEN payment_year = 1999 THEN amount ELSE 0 END) AS a, SUM(CASE WHEN payment_year = 2000 THEN amount ELSE 0 END) AS b,
+ SUM(CASE WHEN payment_year = 2001 THEN amount ELSE 0 END) AS c FROM payments WHERE payment_date <= DATE '{R.CLOSED_TO}' GROUP BY 1)
+SELECT k, CAST(0 AS BIGINT) AS off FROM x WHERE a <> 0 OR b <> 0 OR c <> 0""")
+def _(spark, d):
+    """Per key, whether the total departs from base and residual part, but for negative totals, which become 0."""
+    x, extra = _run_with_residuals(spark, d)
+    yearly = extra.groupBy(*RES_KEYS).agg(F.sum("value").alias("extra"))
+    both = x.join(yearly, RES_KEYS, "left")
+    total = F.col("total_forecasted_value_no_resid") + F.coalesce("extra", F.lit(0.0))
+    sparse = F.col("extra").isNull() & (F.col("total_forecasted_value_no_resid") == 0)  # forecast by the mean of past years
+    gap = F.abs(F.col("total_forecasted_value") - F.greatest(total, F.lit(0.0))) > 0.01
+    return both.select(_joined_key().alias("k"), big((gap & ~sparse & (total >= 0)).cast("int")).alias("off"))
