@@ -11,9 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import KEY
@@ -185,23 +185,57 @@ def _typed(df: DataFrame, features: Features) -> DataFrame:
     return df.withColumns(casts)
 
 
-def index_features(features: Features) -> StringIndexer:
-    names = features.categorical
-    return StringIndexer(inputCols=names, outputCols=[f"{c}_index" for c in names], handleInvalid="keep")
+def category_codes(df: DataFrame, features: Features) -> DataFrame:
+    """(feature, value, code, cnt): codes of each category column by falling count, then by value."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features.categorical]))
+    counts = df.select(cells.alias("c")).groupBy("c.feature", "c.value").agg(F.count(F.lit(1)).alias("cnt"))
+    order = Window.partitionBy("feature").orderBy(F.desc("cnt"), "value")
+    return counts.withColumn("code", F.row_number().over(order) - 1)
+
+
+def category_levels(train: DataFrame, features: Features, prior_rows: float = 20.0) -> tuple[DataFrame, float]:
+    """(feature, value, level) and the mean target: each category as the mean target of its rows, drawn to the common
+    mean by ``prior_rows`` rows of it. Any number of categories will do; none are listed on the driver."""
+    common = train.agg(F.coalesce(F.avg("target"), F.lit(0.0)).alias("m")).first()["m"]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features.categorical]))
+    sums = train.select(cells.alias("c"), "target").groupBy("c.feature", "c.value").agg(F.sum("target").alias("s"), F.count(F.lit(1)).alias("n"))
+    level = (F.col("s") + prior_rows * common) / (F.col("n") + prior_rows)
+    return cut_lineage(sums.select("feature", "value", level.alias("level"))), common
+
+
+@dataclass
+class Forest:
+    """Trees over category levels and numbers. ``transform`` adds ``prediction`` to typed rows."""
+
+    trees: PipelineModel
+    levels: DataFrame
+    common: float
+    categorical: list[str]
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        """Adds the level of each category; one never seen has the common mean."""
+        for c in self.categorical:
+            own = self.levels.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("level").alias(f"{c}_level"))
+            df = df.join(own, c, "left").fillna(self.common, [f"{c}_level"])
+        return df
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.trees.transform(self.encode(df))
 
 
 def assembler(features: Features) -> VectorAssembler:
-    columns = [f"{c}_index" for c in features.categorical] + features.integer + features.floating
+    columns = [f"{c}_level" for c in features.categorical] + features.integer + features.floating
     return VectorAssembler(inputCols=columns, outputCol="features")
 
 
-def fit_forest(train: DataFrame, features: Features, trees: int = 1000, depth: int = 2, max_bins: int = 128, seed: int = 0) -> PipelineModel:
+def fit_forest(train: DataFrame, features: Features, trees: int = 1000, depth: int = 2, seed: int = 0) -> Forest:
     forest = RandomForestRegressor(
-        labelCol="target", numTrees=trees, maxDepth=depth, maxBins=max_bins, seed=seed,
-        cacheNodeIds=False, subsamplingRate=0.8,
+        labelCol="target", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False, subsamplingRate=0.8,
     )
-    stages = Pipeline(stages=[index_features(features), assembler(features), forest])
-    return stages.fit(_typed(train, features))
+    typed = _typed(train, features)
+    made = Forest(None, *category_levels(typed, features), features.categorical)
+    made.trees = Pipeline(stages=[assembler(features), forest]).fit(made.encode(typed))
+    return made
 
 
 def regression_scores(predictions: DataFrame, label: str = "target") -> dict[str, float]:
@@ -211,7 +245,7 @@ def regression_scores(predictions: DataFrame, label: str = "target") -> dict[str
     }
 
 
-def train(table: DataFrame, features: Features, seed: int = 0, **settings) -> tuple[PipelineModel, dict[str, float]]:
+def train(table: DataFrame, features: Features, seed: int = 0, **settings) -> tuple[Forest, dict[str, float]]:
     """Fit on nine tenths of the sane rows, score on the rest."""
     rows = sane_labels(table)
     fit_rows, test_rows = split_by_hash(rows, KEY + ["age"], seed=seed)
@@ -219,12 +253,15 @@ def train(table: DataFrame, features: Features, seed: int = 0, **settings) -> tu
     return model, regression_scores(model.transform(_typed(test_rows, features)))
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Forest, path: str) -> None:
+    model.trees.write().overwrite().save(f"{path}/trees")
+    model.levels.withColumns({"common": F.lit(model.common), "categorical": F.array(*map(F.lit, model.categorical))}).write.mode("overwrite").parquet(f"{path}/levels")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> Forest:
+    levels = spark.read.parquet(f"{path}/levels")
+    first = levels.first()
+    return Forest(PipelineModel.load(f"{path}/trees"), levels.select("feature", "value", "level"), first["common"], list(first["categorical"]))
 
 
 # --- inference ---------------------------------------------------------------------
@@ -241,7 +278,7 @@ def inference_rows(orders: DataFrame, history: DataFrame, curr_year: int, curr_m
     return out.where((F.col("cumulative_portion") < FULL_BALANCE) & (F.col("age") <= MAX_AGE))
 
 
-def roll_forward(model: PipelineModel, rows: DataFrame, steps: int, features: Features, damped: bool = True) -> DataFrame:
+def roll_forward(model: Forest, rows: DataFrame, steps: int, features: Features, damped: bool = True) -> DataFrame:
     """Adds ``shares``: for each month ahead the part of the order value expected.
 
     Each step is a narrow projection on the same rows, so the whole horizon is
@@ -249,9 +286,9 @@ def roll_forward(model: PipelineModel, rows: DataFrame, steps: int, features: Fe
     ``damped`` takes the balance into the carried portion a second time, as the
     published forecasts do; ``False`` adds the expected share itself.
     """
-    indexer, pack, forest = model.stages
+    pack, forest = model.trees.stages
     assert isinstance(forest, RandomForestRegressionModel)
-    state = indexer.transform(_typed(rows, features))
+    state = model.encode(_typed(rows, features))
     made = []
     for h in range(1, steps + 1):
         state = forest.transform(pack.transform(state))

@@ -40,7 +40,7 @@ def _(spark, d):
     po.save_model(model, path)
     rows = po.inference_rows(ready.orders, ready.history, R.CURR_YEAR, R.CURR_MONTH, 0)
     out = None
-    for name, m in (("fitted", model), ("loaded", po.load_model(path))):
+    for name, m in (("fitted", model), ("loaded", po.load_model(spark, path))):
         rolled = po.roll_forward(m, rows, 2, features)
         total = rolled.select("fingroup", (F.aggregate("shares", F.lit(0.0), lambda a, x: a + x) * F.col("po_net_value")).alias("v"))
         one = total.groupBy("fingroup").agg(r(F.sum("v")).alias(name))

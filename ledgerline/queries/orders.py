@@ -41,9 +41,7 @@ def _(spark, d):
     """Category codes of all training rows, counted per feature column."""
     features = po.Features()
     rows = po._typed(training(spark, d), features)
-    indexed = po.index_features(features).fit(rows).transform(rows)
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), big(F.col(f"{c}_index")).alias("code")) for c in features.categorical]))
-    return indexed.select(cells.alias("c")).groupBy("c.feature", "c.code").agg(F.count("*").alias("cnt"))
+    return po.category_codes(rows, features).select("feature", big("code").alias("code"), "cnt")
 
 
 @query("k06_two_stage_sample")

@@ -102,6 +102,16 @@ def test_forest_learns_the_category(forest):
     assert forest[1]["r-squared"] > 0.9 and forest[1]["rmse"] < 0.05
 
 
+def test_a_thousand_categories(spark):
+    rows = spark.range(4000).select(
+        F.col("id").cast("string").alias("doc_id"), F.lit("2020").alias("fund_year"), F.lit("1").alias("item"),
+        *[F.concat(F.lit("v"), (F.col("id") % 1000).cast("string")).alias(c) for c in po.ATTRIBUTES],
+        F.lit(1).alias("po_net_value_category"), F.lit(3).alias("age"), F.lit(0).alias("N"), F.lit(1).alias("quarter"),
+        F.lit(0.1).alias("cumulative_portion"), ((F.col("id") % 1000) / 1000.0).alias("target"))
+    _, scores = po.train(rows, po.Features(), trees=5, depth=5)
+    assert scores["r-squared"] > 0.8
+
+
 def test_roll_forward_against_loops(forest):
     model, _, features, rows = forest
     some = rows.where("cast(doc_id as int) < 12").withColumns({"po_net_value": F.lit(100.0), "age": F.col("age") - 3})
