@@ -3,7 +3,7 @@
 Sides that grow are not hinted to broadcast: the size check stays with Spark
 (``autoBroadcastJoinThreshold`` and adaptive execution). Fact sides are summed to
 their join grain first, so that a hot key meets the join as few rows; where rows
-must stay rows, :func:`attach_per_key` keeps hot keys out of the shuffle.
+must stay rows, adaptive execution splits the skewed partitions of a plain join.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -100,24 +99,6 @@ def present_in(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right.select(*on), on, "left_semi")
 
 
-HOT_ROWS = 1_000_000
-
-
-def attach_per_key(rows: DataFrame, per_key: DataFrame, on: list[str], count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of rows to one value row per key, where one key may own a large part of the rows.
-
-    ``count`` is the number of rows of each key. Keys with more than ``hot_rows``
-    rows number at most rows / ``hot_rows``, so that side has a bound and is
-    broadcast; their rows never meet in one task. All other keys join by shuffle.
-    """
-    per_key = cut_lineage(per_key)
-    hot = per_key.where(F.col(count) > hot_rows)
-    usual = per_key.where(F.col(count) <= hot_rows)
-    of_hot = rows.join(F.broadcast(hot), on)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(usual, on)
-    return of_hot.unionByName(rest)
-
-
 def _any_null(cols: list[str]) -> Column:
     found = F.lit(False)
     for c in cols:

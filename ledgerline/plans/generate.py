@@ -7,20 +7,21 @@ does not depend on partitioning and a longer run repeats the shorter one.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .. import KEY
 from ..functions.scalars import equal_width_bin, hash_normal, hash_uniform
-from ..operators.joins import attach_per_key, first_per_key
+from ..operators.joins import first_per_key
 from ..session import cut_lineage
 from .po import ATTRIBUTES
 
 CLASSES = 100
 CHUNK = 4096
 TARGET = ["year", "month", "fund_year"]
+MISSING = "\x00"  # stands for a null attribute, which is a value like any other
 
 
 def log_moments(orders: DataFrame, value: str = "po_net_value") -> DataFrame:
@@ -38,6 +39,11 @@ def with_value_class(orders: DataFrame, value: str = "po_net_value", bins: int =
     return one.withColumn("value_class", equal_width_bin(x, low, high, bins))
 
 
+def _attribute_pairs(attributes: list[str]) -> Column:
+    value = lambda a: F.coalesce(F.col(a).cast("string"), F.lit(MISSING))
+    return F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), value(a).alias("value")) for a in attributes]))
+
+
 def class_frequencies(classed: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFrame:
     """Add-one smoothed share of every attribute value within every value class.
 
@@ -45,8 +51,7 @@ def class_frequencies(classed: DataFrame, attributes: list[str] = ATTRIBUTES) ->
     grid (class x value of the attribute) comes from an equality join on the
     attribute; its size is bounded by the distinct values, not by the orders.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]))
-    rows = classed.select("value_class", pairs.alias("_p")).select("value_class", "_p.*")
+    rows = classed.select("value_class", _attribute_pairs(attributes).alias("_p")).select("value_class", "_p.*")
     # at most classes x distinct values rows; written once for the four reads below
     counted = cut_lineage(rows.groupBy("value_class", "attribute", "value").agg(F.count(F.lit(1)).alias("n")))
     per_class = counted.groupBy("value_class", "attribute").agg(F.sum("n").alias("n_class"))
@@ -62,12 +67,11 @@ def class_frequencies(classed: DataFrame, attributes: list[str] = ATTRIBUTES) ->
 def class_of_features(frequencies: DataFrame, priors: DataFrame, rows: DataFrame, attributes: list[str]) -> DataFrame:
     """Adds the most likely value class given the attributes (largest posterior, lower class on a tie).
 
-    Only distinct attribute combinations are scored; a combination shared by a
-    large part of the rows joins back without a shuffle.
+    Only distinct attribute combinations are scored, nulls as values of their own; a combination shared by a large
+    part of the rows joins back by a plain join, whose skewed partitions are split.
     """
     combos = rows.groupBy(*attributes).agg(F.count(F.lit(1)).alias("_rows"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]))
-    long = combos.select(*attributes, "_rows", pairs.alias("_p")).select(*attributes, "_rows", "_p.*")
+    long = combos.select(*attributes, "_rows", _attribute_pairs(attributes).alias("_p")).select(*attributes, "_rows", "_p.*")
     # classes are at most ``CLASSES``; packing them per attribute value keeps one row per (combination, attribute)
     packed = frequencies.groupBy("attribute", "value").agg(
         F.map_from_entries(F.collect_list(F.struct("value_class", F.ln("probability")))).alias("_by_class"))
@@ -75,7 +79,9 @@ def class_of_features(frequencies: DataFrame, priors: DataFrame, rows: DataFrame
     summed = scored.groupBy(*attributes, "_rows", "value_class").agg(F.sum("lp").alias("lp")).join(priors, "value_class")
     best = F.max_by("value_class", F.struct(F.col("lp") + F.ln("prior"), -F.col("value_class")))
     known = summed.groupBy(*attributes, "_rows").agg(best.alias("likely_class"))
-    return attach_per_key(rows, known, attributes, "_rows").drop("_rows")
+    known = known.select(*[F.col(a).alias(f"_{a}") for a in attributes], "likely_class")
+    same = reduce(lambda x, y: x & y, [rows[a].eqNullSafe(known[f"_{a}"]) for a in attributes])
+    return rows.join(known, same).drop(*[f"_{a}" for a in attributes])
 
 
 def class_priors(classed: DataFrame) -> DataFrame:
@@ -102,23 +108,26 @@ def draw_attributes(drawn: DataFrame, frequencies: DataFrame, ids: list[str], at
     for i, a in enumerate(attributes):
         u = hash_uniform(*ids, seed=seed + 100 + i)
         hit = F.get(F.filter(F.col(f"_{a}"), lambda c: c["upper"] > u), F.lit(0))
-        out = out.withColumn(a, F.coalesce(hit["value"], F.element_at(F.col(f"_{a}"), -1)["value"])).drop(f"_{a}")
+        value = F.coalesce(hit["value"], F.element_at(F.col(f"_{a}"), -1)["value"])
+        out = out.withColumn(a, F.nullif(value, F.lit(MISSING))).drop(f"_{a}")
     return out
 
 
-def draw_amounts(targets: DataFrame, moments: Row, known_classes: DataFrame, stretch: float, seed: int) -> DataFrame:
-    """Numbered amounts per target, about ``stretch`` times the expected need; unseen classes are skipped.
+def draw_amounts(targets: DataFrame, moments: Row, known_classes: DataFrame, stretch: float | str, seed: int) -> DataFrame:
+    """Numbered amounts per target, about ``stretch`` (a number or a column) times the expected need; unseen classes are skipped.
 
     Draws are generated in chunks, so one large target spreads over many tasks.
     """
-    expected = math.exp(moments.mu + moments.sigma_squared / 2.0)
-    chunks = (F.ceil(F.col("amount") * F.lit(stretch / expected / CHUNK)) + 1).cast("int")
+    variance = moments.sigma_squared or 0.0  # a single order has none
+    expected = math.exp(moments.mu + variance / 2.0)
+    times = F.col(stretch) if isinstance(stretch, str) else F.lit(stretch)
+    chunks = (F.ceil(F.col("amount") * times / F.lit(expected * CHUNK)) + 1).cast("int")
     blocks = targets.where(F.col("amount") > 0).select(
         *TARGET, F.col("amount").alias("target_amount"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
     blocks = blocks.repartition(*TARGET, "chunk")
     draws = blocks.withColumn("draw", F.explode(F.sequence(
         F.col("chunk").cast("long") * CHUNK, (F.col("chunk").cast("long") + 1) * CHUNK - 1)))
-    log_amount = F.lit(moments.mu) + F.lit(math.sqrt(moments.sigma_squared)) * hash_normal(*TARGET, "draw", seed=seed)
+    log_amount = F.lit(moments.mu) + F.lit(math.sqrt(variance)) * hash_normal(*TARGET, "draw", seed=seed)
     sized = draws.withColumn("log_amount", log_amount).where(F.col("log_amount").between(moments.low, moments.high))
     sized = sized.withColumns({
         "value_class": equal_width_bin("log_amount", F.lit(moments.low), F.lit(moments.high), CLASSES),
@@ -167,26 +176,30 @@ def number_orders(kept: DataFrame) -> DataFrame:
 def synthetic_orders(orders: DataFrame, targets: DataFrame, seed: int = 0, attributes: list[str] = ATTRIBUTES) -> DataFrame:
     """Orders whose values reach each target amount; empty targets give an empty table.
 
-    The first stretch generously covers the need; if some target is still short
-    the draws are extended (the same draws again, then more).
+    The first stretch generously covers the need. Only targets that are still short have theirs doubled, as often as
+    it takes; a round in which none of them gains anything is an error. Without orders there is nothing to draw from.
     """
     # the model is small (classes x distinct values, and four numbers): made once, read by every step below
     frequencies = cut_lineage(class_frequencies(with_value_class(orders), attributes))
     known = frequencies.select("value_class").distinct()
     moments = log_moments(orders).first()
-    stretch = 1.5
-    draws = draw_amounts(targets, moments, known, stretch, seed)
-    for _ in range(8):
-        short = targets.where(F.col("amount") > 0).join(
-            draws.groupBy(*TARGET).agg(F.sum("po_net_value").alias("_got")), TARGET, "left",
-        ).where(F.coalesce("_got", F.lit(0.0)) < F.col("amount"))
-        if short.limit(1).count() == 0:
+    if moments.mu is None:
+        raise ValueError("no order with a positive value to learn from")
+    pending = targets.where(F.col("amount") > 0).select(*TARGET, "amount").withColumns({"_stretch": F.lit(1.5), "_had": F.lit(-1.0)})
+    reached = None
+    while True:
+        got = draw_amounts(pending, moments, known, "_stretch", seed).groupBy(*TARGET).agg(F.sum("po_net_value").alias("_got"))
+        tried = cut_lineage(pending.join(got, TARGET, "left").withColumn("_got", F.coalesce("_got", F.lit(0.0))))
+        done = tried.where(F.col("_got") >= F.col("amount")).select(*TARGET, "amount", "_stretch")
+        reached = done if reached is None else reached.unionByName(done)
+        short = tried.where(F.col("_got") < F.col("amount"))
+        state = short.agg(F.count(F.lit(1)).alias("n"), F.max((F.col("_got") > F.col("_had")).cast("int")).alias("gains")).first()
+        if not state["n"]:
             break
-        stretch *= 2
-        draws = draw_amounts(targets, moments, known, stretch, seed)
-    else:
-        raise RuntimeError("amount classes leave too few draws to reach the targets")
-    kept = number_orders(up_to_target(draws))
+        if not state["gains"]:
+            raise RuntimeError("no draw falls into a known amount class")
+        pending = short.select(*TARGET, "amount", (F.col("_stretch") * 2).alias("_stretch"), F.col("_got").alias("_had"))
+    kept = number_orders(up_to_target(draw_amounts(reached, moments, known, "_stretch", seed)))
     out = draw_attributes(kept, frequencies, [*TARGET, "draw"], attributes, seed)
     return out.select(*KEY, *attributes, "po_net_value", "order_date")
 

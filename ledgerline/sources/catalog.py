@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, human_size
-from ..operators.joins import HOT_ROWS, attach_per_key
+from ..session import cut_lineage
 
 # Template name, its source, whether uploads may use it.
 TEMPLATES = [
@@ -88,16 +88,16 @@ def total_size(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.sum("size").alias("size")).withColumn("size_text", human_size("size"))
 
 
-def same_content(df: DataFrame, content: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def same_content(df: DataFrame, content: str, name: str) -> DataFrame:
     """Every object whose content another one has, with the first name holding it.
 
-    Only digests travel. The group's first name and size are an aggregate, combined
-    map-side; a content with a great many copies joins back without a shuffle.
+    The texts are read once: names and digests are written, and only they travel. The group's first name and size are
+    an aggregate, combined map-side; the join of a content with a great many copies is split where it is skewed.
     """
-    hashed = df.select(name, F.md5(content).alias("digest"))
+    hashed = cut_lineage(df.select(name, F.md5(content).alias("digest")))
     repeated = hashed.groupBy("digest").agg(
         F.min(name).alias("first_name"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
-    return attach_per_key(hashed, repeated, ["digest"], "copies", hot_rows)
+    return hashed.join(repeated, "digest")
 
 
 def is_valid_name(c) -> Column:

@@ -197,3 +197,15 @@ def test_residual_guards(spark):
 
 def test_model_sets():
     assert M.models_for("ZH") == M.PAIR_MODELS and M.models_for("career_salary") == M.DEFAULT_MODELS and len(M.DEFAULT_MODELS) == 9
+
+
+def test_generator_with_null_attributes_and_a_single_order(spark):
+    schema = "doc_id string, fund_year string, item string, po_type string, huka string, porcurment_organization string, expanditure_type string, fingroup string, po_net_value double"
+    targets = spark.createDataFrame([("2026", "1", "2026", 500.0), ("2026", "2", "2026", 0.0)], "year string, month string, fund_year string, amount double")
+    one = spark.createDataFrame([("1", "2020", "10", "a", None, "b", "c", "d", 100.0)], schema)
+    made = generate.synthetic_orders(one, targets).collect()
+    assert sum(r.po_net_value for r in made) >= 500 and all(r.huka is None and r.po_type == "a" for r in made)
+    two = one.union(spark.createDataFrame([("2", "2020", "10", "a", "h", "b", "c", "d", 900.0)], schema))
+    classed = generate.with_value_class(two)
+    likely = generate.class_of_features(generate.class_frequencies(classed), generate.class_priors(classed), two, po.ATTRIBUTES)
+    assert likely.count() == 2

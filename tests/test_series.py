@@ -234,11 +234,9 @@ def test_last_label_wins(spark):
     assert got == ["career_salary", "affilated_other", "electricity", "rest"]
 
 
-def test_full_years_and_hot_key_join(spark):
+def test_full_years(spark):
     df = spark.createDataFrame([("a", 2020, m) for m in range(1, 13)] + [("a", 2021, m) for m in range(1, 12)], "k string, y int, m int")
     assert {r.y for r in aggregates.full_years(df, ["k"], "y", "m").collect()} == {2020}
-    counts = df.groupBy("y").agg(F.count("*").alias("n"))
-    assert joins.attach_per_key(df, counts, ["y"], "n", hot_rows=11).count() == 23
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
