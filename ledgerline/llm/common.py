@@ -38,10 +38,20 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+ROWS_AT_ONCE = 1_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``ROWS_AT_ONCE``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def map_texts(df: DataFrame, kernel: Callable[[list[str]], dict[str, list]], schema: str, text: str = "text") -> DataFrame:
     """Add the columns of ``kernel(texts)`` to the other columns of ``df``; runs per Arrow batch, the text goes.
 
-    ``schema`` is the DDL of the added columns. A batch holds whole rows, so memory is one batch of texts.
+    ``schema`` is the DDL of the added columns. Batches are cut to ``ROWS_AT_ONCE`` whole rows, so memory is that many texts.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -53,7 +63,7 @@ def map_texts(df: DataFrame, kernel: Callable[[list[str]], dict[str, list]], sch
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             done = kernel([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
             arrays = [batch.column(batch.schema.get_field_index(n)).cast(arrow_out.field(n).type) for n in names]
             arrays += [pa.array(done[f.name], type=arrow_out.field(f.name).type) for f in added.fields]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, text_or_empty
+from .common import materialise, slices, text_or_empty
 from .packing import tokenizer
 
 BLOCK_WORDS = 1 << 18
@@ -46,18 +46,16 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
     folder can be any that it reaches and lost tasks are run again. Null and empty texts have no ids.
     """
 
-    def kernel(texts: list[str]) -> dict[str, list]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer(vocabulary)
-        return {"ids": [(np.frombuffer(made.ids(t), dtype="<u4") + 1).astype("<u2").tobytes() for t in texts]}
-
-    coded = map_texts(docs.select("doc_id", text_or_empty("text").alias("text")), kernel, "ids binary")
-    if named:
-        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(
-                    [_header(i).tobytes() + ids for i, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.binary())], names=["ids"])
-
-        coded = coded.mapInArrow(name, "ids binary")
+        for batch in slices(batches):
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = (np.frombuffer(made.ids(text), dtype="<u4") + 1).astype("<u2").tobytes()
+                rows.append(_header(doc_id).tobytes() + ids if named else ids)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
+
+    coded = docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(code, "ids binary")
     coded.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\0\0").option("maxRecordsPerFile", FILE_DOCS).text(path)
 
 
