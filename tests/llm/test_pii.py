@@ -62,5 +62,5 @@ def test_odd_rows(odd_docs):
     assert spans_of(odd_docs).count() == odd_docs.count()
     clean = pii.redact(odd_docs)
     assert clean.columns == odd_docs.columns and clean.where("text IS NULL").count() == 2
-    assert clean.where("doc_id = 6").first().text == "you idiot [CARD] [IP]"
+    assert clean.where("doc_id = 6").first().text == "you idiot [CARD] at [IP]"
     assert spans_of(odd_docs.limit(0)).count() == 0
