@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -34,6 +34,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_place(docs: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: the number (from 0) of a row in the order in which the Parquet files behind ``docs`` were written.
+
+    Spark reads files back in any order, but part numbers and row numbers within a file tell the order of the write.
+    """
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.withColumns({"_file": meta["file_path"], "_row": meta["row_index"]})
+    part = F.regexp_extract("_file", "part-([0-9]+)[^/]*$", 1).try_cast("bigint")
+    files = rows.groupBy("_file").agg(F.count("*").alias("n")).withColumn(  # one row per file
+        "_before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(part, "_file")) - F.col("n")).select("_file", "_before")
+    return rows.join(F.broadcast(files), "_file").withColumn(name, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

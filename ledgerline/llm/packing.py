@@ -21,6 +21,7 @@ from .common import map_texts, materialise, text_or_empty
 CAPACITY = 1024
 END = 0
 CACHE = 400_000
+RANGES = 4_096
 
 
 class ByteTokenizer:
@@ -80,8 +81,8 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> ByteTokenizer:
 _MADE: dict[str, ByteTokenizer] = {}
 
 
-def measure(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, doc_tokens (the end included) and the CRC-32 of every full window and of the remainder, in order."""
+def measure(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, end: int = END, kept: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``kept``, doc_tokens (the end included) and the CRC-32 of every full window and of the remainder, in order."""
     last = np.array([end], dtype="<u4").tobytes()
 
     def kernel(texts: list[str]) -> dict[str, list]:
@@ -93,7 +94,7 @@ def measure(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity
             sums.append([zlib.crc32(view[i:i + 4 * capacity]) for i in range(0, len(ids), 4 * capacity)])
         return {"doc_tokens": sizes, "crcs": sums}
 
-    return map_texts(docs.select("doc_id", text_or_empty("text").alias("text")), kernel, "doc_tokens bigint, crcs array<bigint>")
+    return map_texts(docs.select("doc_id", *kept, text_or_empty("text").alias("text")), kernel, "doc_tokens bigint, crcs array<bigint>")
 
 
 def best_multiset(counts: np.ndarray, capacity: int) -> dict[int, int]:
@@ -143,25 +144,33 @@ def plan_remainders(counts: dict[int, int], capacity: int = CAPACITY) -> list[tu
     return plan
 
 
-def _rank(rows: DataFrame, key: str, digits: int = 3) -> DataFrame:
-    """Add ``rank`` (from 0) within ``key`` by hash of the document, in ranges so that no key meets in one task."""
-    cut = rows.withColumn("_range", F.substring("_order", 1, digits))
+def _rank(rows: DataFrame, key: str) -> DataFrame:
+    """Add ``rank`` (from 0) within ``key`` by ``_order``, in the ranges ``_range`` so that no key meets in one task."""
+    cut = rows
     before = cut.groupBy(key, "_range").agg(F.count("*").alias("n")).withColumn(
         "_before", F.sum("n").over(Window.partitionBy(key).orderBy("_range")) - F.col("n")).select(key, "_range", "_before")
     ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_range").orderBy("_order", "doc_id", "crcs")))
     return ranked.join(before, [key, "_range"]).withColumn("rank", F.col("_before") + F.col("_rank") - 1).drop("_range", "_rank", "_before", "_order")
 
 
-def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, end: int = END, place: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one end token. Repeated rows are packed each for itself; null ids are kept; other
     columns are ignored; an empty table gives no pieces. Sequence ids are dense: first those of remainders, then
     the full windows. Remainders are not cut again, so if nearly all exceed half a window, padding stays.
+    With ``place``, a column that numbers the rows from 0, documents of a length are used in its order and sequences
+    are numbered by the first place in them.
     """
     spark = docs.sparkSession
-    sized = materialise(measure(docs, vocabulary, capacity, end), "packing")
-    sized = sized.withColumn("rest", F.col("doc_tokens") % capacity).withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = materialise(measure(docs, vocabulary, capacity, end, (place,) if place else ()), "packing").withColumn("rest", F.col("doc_tokens") % capacity)
+    if place:
+        total = sized.count()
+        ranges = lambda c: F.floor(c * RANGES / F.lit(max(1, total)))
+        sized = sized.withColumn("_order", F.col(place)).withColumn("_range", ranges(F.col(place)))
+    else:
+        sized = sized.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_range", F.substring("_order", 1, 3))
+    at_place = [place] if place else []
     # at most ``capacity`` rows
     counts = {row["rest"]: row["n"] for row in sized.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
     rows, sequences, used = [], 0, dict.fromkeys(counts, 0)
@@ -178,15 +187,24 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity: i
     tails = _rank(sized.where("rest > 0"), "rest").join(F.broadcast(steps), "rest")
     at = F.element_at(F.filter("steps", lambda s: s["from_rank"] <= F.col("rank")), -1)
     tails = tails.withColumn("s", at).withColumn("i", F.col("rank") - F.col("s.from_rank")).select(
-        "doc_id", (F.col("doc_tokens") - F.col("rest")).alias("start"), F.col("rest").alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), "doc_tokens",
+        *at_place, "doc_id", (F.col("doc_tokens") - F.col("rest")).alias("start"), F.col("rest").alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), "doc_tokens",
         (F.col("s.first_sequence") + F.floor(F.col("i") / F.col("s.per_sequence"))).alias("sequence_id"),
         (F.col("s.first_offset") + F.col("i") % F.col("s.per_sequence") * F.col("rest")).alias("offset"))
-    long = sized.withColumn("windows", F.floor(F.col("doc_tokens") / capacity)).where("windows > 0").withColumn("_range", F.substring("_order", 1, 3))
+    long = sized.withColumn("windows", F.floor(F.col("doc_tokens") / capacity)).where("windows > 0")
     before = long.groupBy("_range").agg(F.sum("windows").alias("n")).withColumn(
         "_before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("n")).select("_range", "_before")  # 4,096 rows
     numbered = long.withColumn("_in", F.sum("windows").over(Window.partitionBy("_range").orderBy("_order", "doc_id", "crcs").rowsBetween(Window.unboundedPreceding, -1)))
     windows = numbered.join(before, "_range").withColumn("base", F.col("_before") + F.coalesce("_in", F.lit(0)) + sequences).select(
-        "doc_id", "doc_tokens", "base", F.posexplode(F.expr("slice(crcs, 1, int(windows))")).alias("w", "ids_crc32"))
-    full = windows.select("doc_id", (F.col("w") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("length"), "ids_crc32", "doc_tokens",
+        *at_place, "doc_id", "doc_tokens", "base", F.posexplode(F.expr("slice(crcs, 1, int(windows))")).alias("w", "ids_crc32"))
+    full = windows.select(*at_place, "doc_id", (F.col("w") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("length"), "ids_crc32", "doc_tokens",
                           (F.col("base") + F.col("w")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return tails.unionByName(full)
+    pieces = tails.unionByName(full)
+    if not place:
+        return pieces
+    pieces = materialise(pieces, "packing-pieces")
+    first = pieces.groupBy("sequence_id").agg(F.min(F.struct(place, "start")).alias("_order")).withColumn("_range", ranges(F.col(f"_order.{place}")))
+    before = first.groupBy("_range").agg(F.count("*").alias("n")).withColumn(
+        "_before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("n")).select("_range", "_before")  # 4,096 rows
+    ranked = first.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy("_order"))).join(before, "_range").select(
+        "sequence_id", (F.col("_before") + F.col("_rank") - 1).alias("_new"))
+    return pieces.join(ranked, "sequence_id").withColumn("sequence_id", F.col("_new")).drop("_new", place)

@@ -48,3 +48,20 @@ def test_queries_are_registered():
     names = queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert {"op9_mixing", "op10_host_quality"} <= set(oracle_sql())
+
+
+def test_sequences_follow_the_mixture(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(250)), "en", "src0" if i % 4 == 0 else "src3", 1) for i in range(400)]
+    docs = materialise(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "test-unmixed")
+
+    def share(stage):
+        mixed = materialise(stage(spark, docs, FOLDER), "test-mixed")
+        pieces = corpus_pipeline.pack_windows(spark, mixed, FOLDER).collect()
+        assert {p.doc_id for p in pieces} == set(range(400))
+        last = max(p.sequence_id for p in pieces)
+        assert {p.sequence_id for p in pieces} == set(range(last + 1))
+        early = [p for p in pieces if p.sequence_id < last / 5 and p.start == 0]
+        return sum(p.doc_id % 4 == 0 for p in early) / len(early)
+
+    assert share(corpus_pipeline.mix_sources) > 0.6
+    assert share(lambda spark, docs, folder: docs) < 0.4
