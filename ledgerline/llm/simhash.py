@@ -138,8 +138,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """One row of ``docs`` (doc_id, text, ...) per near-duplicate group: that of the smallest doc_id, null ids last."""
-    groups = near_groups(docs, **params)
-    first = groups.groupBy("group_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"))
+    return one_of(docs, near_groups(docs, **params), "group_fp")
+
+
+def one_of(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """The row of the smallest doc_id, null ids last, for each ``key`` of ``groups`` (doc_id, text_hash, key)."""
+    first = groups.groupBy(key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"))
     winners = first.select(F.col("w.doc_id").alias("w_id"), F.col("w.text_hash").alias("w_hash")).distinct()
     hashed = docs.withColumn("_hash", F.xxhash64(text_or_empty("text")))
     kept = hashed.join(winners, hashed.doc_id.eqNullSafe(winners.w_id) & (hashed["_hash"] == winners.w_hash), "left_semi")
