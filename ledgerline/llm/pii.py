@@ -126,33 +126,37 @@ def _patterns(c: Column) -> Column:
     return F.filter(F.array(two("before ", left), two("after ", right), around), lambda p: p.isNotNull())
 
 
-def score_instances(found: DataFrame, rounds: int = 3, min_seeds: int = 3, floor: float = 0.3) -> DataFrame:
-    """(token, kind, score) of the instances that are not seeds, after ``rounds`` rounds over the pattern graph.
+def score_instances(found: DataFrame, rounds: int = 100, min_seeds: int = 3, floor: float = 0.3, min_score: float = 0.8) -> DataFrame:
+    """(token, kind, score) of the instances that are not seeds, once the rounds over the pattern graph have settled.
 
     A pattern's confidence for a kind is the believed part of its distinct instances, out of all of them and one
-    more; it counts once ``min_seeds`` different seeds support it and it reaches ``floor``. An instance's score is
-    one less the product of the doubts of its patterns. Edges are distinct (pattern, token) pairs, so copies of a
-    document add no belief, and every step is an aggregate with map-side sums.
+    more; it counts once ``min_seeds`` different seeds or instances of at least ``min_score`` support it and it reaches
+    ``floor``. An instance's score is one less the product of the doubts of its patterns. So what a round finds
+    promotes patterns for the next. Scores only rise, and rounds end when no pattern is added and no score rises by a
+    hundredth; raises after ``rounds`` of them, rather than returning a part. Edges are distinct (pattern, token)
+    pairs, so copies of a document add no belief, and every step is an aggregate with map-side sums.
     """
     occurrences = found.select(F.explode("candidates").alias("c")).select(
         F.col("c.token").alias("token"), F.col("c.kind").alias("kind"), F.explode(_patterns(F.col("c"))).alias("pattern")).where("token <> ''")
     edges = materialise(occurrences.groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "pii-edges")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("kind").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern", "n")
-    usable = materialise(edges.join(sizes, "pattern"), "pii-usable")
-    seeds = usable.where("kind IS NOT NULL").select("pattern", "n", "kind", F.lit(1.0).alias("belief"))
-    scores = None
+    sizes = materialise(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds), "pii-sizes")
+    open_edges = materialise(edges.where("kind IS NULL").select("pattern", "token").join(sizes, "pattern", "left_semi"), "pii-open")
+    seeds = materialise(edges.where("kind IS NOT NULL").select("pattern", "token", "kind", F.lit(1.0).alias("belief")), "pii-seeds")
+    believed, reached = seeds, None
     for _ in range(rounds):
-        believed = seeds
-        if scores is not None:
-            believed = seeds.union(usable.where("kind IS NULL").drop("kind").join(scores, "token").select("pattern", "n", "kind", F.col("score").alias("belief")))
-        confidence = believed.groupBy("pattern", "n", "kind").agg((F.sum("belief")).alias("s")).select(
+        support = believed.where(F.col("belief") >= min_score).groupBy("pattern").agg(F.countDistinct("token").alias("support")).where(F.col("support") >= min_seeds)
+        confidence = believed.groupBy("pattern", "kind").agg(F.sum("belief").alias("s")).join(support, "pattern").join(sizes, "pattern").select(
             "pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("confidence")).where(F.col("confidence") >= floor)
-        scores = usable.where("kind IS NULL").drop("kind").join(confidence, "pattern").groupBy("token", "kind").agg(
-            (1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
-    return scores
+        scores = materialise(open_edges.join(confidence, "pattern").groupBy("token", "kind").agg(
+            (1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"), F.count("*").alias("patterns")), "pii-scores")
+        now = scores.agg(F.count("*"), F.coalesce(F.sum("patterns"), F.lit(0)), F.coalesce(F.sum(F.floor(F.col("score") * 100)), F.lit(0))).first()
+        if reached is not None and all(a <= b for a, b in zip(now, reached)):
+            return scores.drop("patterns")
+        believed, reached = seeds.union(open_edges.join(scores, "token").select("pattern", "token", "kind", F.col("score").alias("belief"))), now
+    raise RuntimeError("the rounds did not settle")
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = 0.8, rounds: int = 3) -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = 0.8, rounds: int = 100) -> DataFrame:
     """doc_id, text_hash, ``base`` and ``spans`` (arrays of start, end, kind) for every row of ``docs``.
 
     ``spans`` has the base spans and those found by context, of kind ``ctx_`` and the kind of the patterns. Offsets
@@ -160,7 +164,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score:
     columns are ignored; an empty table gives an empty result.
     """
     found = extract(docs, doc_id, text)
-    best = score_instances(found, rounds).where(F.col("score") >= min_score).groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("as_kind"))
+    best = score_instances(found, rounds, min_score=min_score).where(F.col("score") >= min_score).groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("as_kind"))
     unseen = found.select("doc_id", "text_hash", F.explode("candidates").alias("c")).where("c.kind IS NULL").select(
         "doc_id", "text_hash", F.col("c.token").alias("token"), F.col("c.start").alias("start"), F.col("c.end").alias("end"))
     extra = unseen.join(best, "token").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(

@@ -64,3 +64,14 @@ def test_odd_rows(odd_docs):
     assert clean.columns == odd_docs.columns and clean.where("text IS NULL").count() == 2
     assert clean.where("doc_id = 6").first().text == "you idiot [CARD] at [IP]"
     assert spans_of(odd_docs.limit(0)).count() == 0
+
+
+def test_discoveries_lead_to_further_contexts(spark):
+    hidden = [f"0375-55-{k}x" for k in range(10, 16)]
+    docs = [(i, f"x{i} call her on +1 (375) 555-{4393 + i} please today") for i in range(30)]
+    docs += [(100 + i, f"z{i} call her on {t} please today") for i, t in enumerate(hidden)]
+    docs += [(200 + i, f"his desk line {t} rings often") for i, t in enumerate(hidden)]
+    docs += [(300, "his desk line 0999-11-22y rings often")]  # linked to the seeds through the hidden ones alone
+    found = {r.doc_id: r.spans for r in spans_of(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert all(found[100 + i].startswith("ctx_phone") and found[200 + i].startswith("ctx_phone") for i in range(6))
+    assert found[300] == "ctx_phone:14:25"
