@@ -22,6 +22,7 @@ CAPACITY = 1024
 END = 0
 CACHE = 400_000
 RANGES = 4_096
+SPECIAL = "<|endoftext|>"
 
 
 class ByteTokenizer:
@@ -44,6 +45,7 @@ class ByteTokenizer:
         self._first: dict[str, bytes] = {}
         self._next: dict[str, bytes] = {}
         self._line = np.array(self._encode("\n"), dtype="<u4").tobytes()
+        self._special = np.array([len(ranks)], dtype="<u4").tobytes()  # added behind the ranks
 
     def _words(self, known: dict[str, bytes], words: list[str], blank: str) -> bytes:
         try:
@@ -56,8 +58,12 @@ class ByteTokenizer:
                     known[word] = np.array(self._encode(blank + word), dtype="<u4").tobytes()
             return b"".join(map(known.__getitem__, words))
 
+    def text_ids(self, text: str) -> bytes:
+        """Ids of a whole text, with the added token at every literal ``SPECIAL`` and the pieces between encoded apart."""
+        return self._special.join(map(self.ids, text.split(SPECIAL)))
+
     def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
+        """Ids as little-endian unsigned 32-bit numbers; a literal ``SPECIAL`` is text like any other."""
         if self._double(text):
             return np.array(self._encode(text), dtype="<u4").tobytes()
         if not text:
@@ -88,7 +94,7 @@ def measure(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity
     def kernel(texts: list[str]) -> dict[str, list]:
         made, sizes, sums = tokenizer(vocabulary), [], []
         for text in texts:
-            ids = made.ids(text) + last
+            ids = made.text_ids(text) + last
             sizes.append(len(ids) // 4)
             view = memoryview(ids)
             sums.append([zlib.crc32(view[i:i + 4 * capacity]) for i in range(0, len(ids), 4 * capacity)])

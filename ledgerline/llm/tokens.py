@@ -51,7 +51,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = (np.frombuffer(made.ids(text), dtype="<u4") + 1).astype("<u2").tobytes()
+                ids = (np.frombuffer(made.text_ids(text), dtype="<u4") + 1).astype("<u2").tobytes()
                 rows.append(_header(doc_id).tobytes() + ids if named else ids)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 

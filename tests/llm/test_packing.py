@@ -79,3 +79,14 @@ def test_pack(few_docs):
 def test_odd_rows(odd_docs):
     check(odd_docs)
     assert packing.pack(odd_docs.limit(0)).count() == 0
+
+
+def test_ids_equal_the_tokenizer_as_loaded(spark, few_docs):
+    loaded, own = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json")), packing.tokenizer()
+    literal = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x\n", "<|endoftext", "a<|endoftext|>\n b  c"]
+    for text in TEXTS + literal + [r.text for r in few_docs.limit(20).collect()]:
+        assert np.frombuffer(own.text_ids(text), "<u4").tolist() == loaded.encode(text, add_special_tokens=False).ids, text[:50]
+    rows = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(literal)), "doc_id bigint, text string")).collect()}
+    for i, text in enumerate(literal):
+        ids = np.array(loaded.encode(text, add_special_tokens=False).ids + [0], "<u4").tobytes()
+        assert (rows[i].doc_tokens, rows[i].ids_crc32) == (len(ids) // 4, zlib.crc32(ids))

@@ -34,3 +34,8 @@ def test_files_without_ids(spark, few_docs):
 def test_documents(spark, few_docs, odd_docs):
     assert Counter((r.doc_id, r.n_tokens) for r in tokens.document_token_counts(few_docs, scratch_path(spark, "tokens")).collect()) == wanted(few_docs)
     assert tokens.document_token_counts(odd_docs.limit(0), scratch_path(spark, "tokens")).count() == 0
+
+
+def test_special_token_counts_once(spark):
+    docs = spark.createDataFrame([(1, "<|endoftext|>"), (2, "<|endoftext|>a")], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_tokens for r in tokens.document_token_counts(docs, scratch_path(spark, "tokens")).collect()} == {1: 1, 2: 2}
