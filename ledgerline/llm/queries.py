@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import embeddings, lm, mixing, packing, pii, quality, repeats, simhash, tokens, toxicity
+from . import embeddings, lm, mixing, packing, pieces, pii, quality, repeats, simhash, tokens, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -122,3 +122,9 @@ def _(spark, d):
 @query("op6_token_counts")
 def _(spark, d):
     return tokens.document_token_counts(read_table(spark, d, "documents"), scratch_path(spark, "token-files"))
+
+
+@query("op13_sentencepiece")
+def _(spark, d):
+    done = pieces.encode_decode(read_table(spark, d, "documents"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
