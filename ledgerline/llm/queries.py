@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import embeddings, lm, mixing, packing, pieces, pii, quality, repeats, simhash, tokens, toxicity
+from . import align, embeddings, lm, mixing, packing, pieces, pii, quality, repeats, simhash, tokens, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -128,3 +128,10 @@ def _(spark, d):
 def _(spark, d):
     done = pieces.encode_decode(read_table(spark, d, "documents"))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op11_alignment")
+def _(spark, d):
+    done = align.align(read_table(spark, d, "documents"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest, "n_pairs")
