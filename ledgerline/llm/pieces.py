@@ -2,7 +2,7 @@
 
 A byte-fallback BPE model joins, again and again, the neighbouring symbols whose joint piece scores best, the leftmost
 first. No piece of the vocabulary has a blank sign behind another sign, so no merge crosses that place and a text falls
-into words that are encoded apart. All new words of a batch lie in one flat array of symbols. Each round finds the best
+into words that are encoded apart. Punctuation is cut off likewise, with all signs that share a piece with it. All new words of a batch lie in one flat array of symbols. Each round finds the best
 rank in every word by a segmented minimum, merges its places from the left in all words at once, and compacts the
 array; words without a pair left leave it.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -59,76 +60,77 @@ class PieceModel:
         np.minimum.at(best, self.pair_key // n, self.pair_rank)
         np.minimum.at(best, self.pair_key % n, self.pair_rank)
         self.safe = best[self.pair_piece] > self.pair_rank
-        joined = "".join(p for p in normal if len(p) > 1)
-        line = "\n" if "\n" not in joined else ""
-        self._words = re.compile(f"{BLANK}+[^{BLANK}{line}]*|[^{BLANK}{line}]+" + ("|\n" if line else "")).findall
+        # ``_NONE`` and True stand behind the last pair, where the number -1 of no pair finds them
+        self.pair_rank, self.safe = np.r_[self.pair_rank, _NONE], np.r_[self.safe, True]
+        self.symbol = -1 - np.arange(0x110000, dtype=np.int64)
+        for p, i in self.single.items():
+            self.symbol[ord(p)] = i
+        marks = "".join(map(re.escape, sorted(_signs_with(".", normal))))
+        line = "\n" if "\n" not in "".join(p for p in normal if len(p) > 1) else ""
+        self._words = re.compile(f"{BLANK}*[{marks}]+|{BLANK}*[^{BLANK}{marks}{line}]+|{BLANK}+" + ("|\n" if line else "")).findall
         self.plain = [p.replace(BLANK, " ") for p in self.pieces]
+        self.number = list(map(str, range(n)))
 
     def words(self, text: str) -> list[str]:
         """The parts of a text, blanks escaped and one put in front, that no merge crosses."""
         return self._words(BLANK + text.replace(" ", BLANK)) if text else []
 
-    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Number of each pair in the sorted table, or -1; symbols below zero are in no pair."""
+    def _find(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Number of the pair that begins at each place ``at``, or -1; symbols below zero are in no pair."""
+        left, right = symbols[at], symbols[at + 1]
         key = left * self.n + right
-        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        return np.where((self.pair_key[at] == key) & (left >= 0) & (right >= 0), at, -1)
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word by merge rounds over all of them."""
-        single = self.single
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        symbols = np.array([single.get(c, -1 - ord(c)) for w in words for c in w], dtype=np.int64)
-        owner = np.repeat(np.arange(len(words)), sizes)
+        found = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        return np.where((self.pair_key[found] == key) & (left >= 0) & (right >= 0) & (owner[at] == owner[at + 1]), found, -1)
+
+    def encode_words(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of all words one behind another and the end of each word, by merge rounds over all of them."""
+        symbols = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")]
+        owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        pair = np.r_[self._find(symbols, owner, np.arange(len(symbols) - 1)), -1][:len(symbols)]
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
-            pair = np.full(len(symbols), -1, dtype=np.int64)
-            inside = np.flatnonzero(owner[1:] == owner[:-1])
-            pair[inside] = self._find(symbols[inside], symbols[inside + 1])
-            rank = np.where(pair >= 0, self.pair_rank[pair], _NONE)
+            rank = self.pair_rank[pair]
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             best = np.minimum.reduceat(rank, starts)
             width = np.diff(np.r_[starts, len(symbols)])
-            at_best = (rank == np.repeat(best, width)) & (pair >= 0)
-            places = np.flatnonzero(at_best)
-            segment = np.repeat(np.arange(len(starts)), width)
+            places = np.flatnonzero((rank == np.repeat(best, width)) & (pair >= 0))
+            word = np.searchsorted(starts, places, side="right") - 1
             careful = np.zeros(len(starts), dtype=bool)
-            careful[segment[places[~self.safe[pair[places]]]]] = True
+            careful[word[~self.safe[pair[places]]]] = True
             # in a careful word only the first place counts, elsewhere every second one of places in a row
-            first = np.r_[True, segment[places[1:]] != segment[places[:-1]]] if len(places) else np.empty(0, dtype=bool)
-            row = np.r_[True, places[1:] != places[:-1] + 1] | first if len(places) else first
-            since = np.arange(len(places)) - np.maximum.accumulate(np.where(row, np.arange(len(places)), 0)) if len(places) else np.empty(0, dtype=np.int64)
-            take = places[np.where(careful[segment[places]], first, since % 2 == 0)]
-            finished = best == _NONE
+            first = np.r_[True, word[1:] != word[:-1]][:len(places)]
+            row = first | np.r_[True, places[1:] != places[:-1] + 1][:len(places)]
+            since = np.arange(len(places)) - np.maximum.accumulate(np.where(row, np.arange(len(places)), 0))
+            take = places[np.where(careful[word], first, since % 2 == 0)]
             by_heap = careful & (width > LONG)
-            keep = np.ones(len(symbols), dtype=bool)
-            keep[take + 1] = False
-            merged = symbols.copy()
-            merged[take] = self.pair_piece[pair[take]]
             for s in np.flatnonzero(by_heap).tolist():
                 a, b = starts[s], starts[s] + width[s]
                 rest = np.array(self._merge_one_by_one(symbols[a:b].tolist()), dtype=np.int64)
                 done.append((np.full(len(rest), owner[a]), rest))
-            over = np.repeat(finished, width)
-            done.append((owner[over], symbols[over]))
-            keep &= ~np.repeat(finished | by_heap, width)
-            symbols, owner = merged[keep], owner[keep]
-        if not done:
-            return [[] for _ in words]
-        owners, found = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+            finished = np.repeat(best == _NONE, width)
+            done.append((owner[finished], symbols[finished]))
+            symbols[take] = self.pair_piece[pair[take]]
+            keep = ~(finished | np.repeat(by_heap, width))
+            alive = take[keep[take]]
+            keep[take + 1] = False
+            place = np.cumsum(keep) - 1
+            symbols, owner, pair = symbols[keep], owner[keep], pair[keep]
+            changed = np.concatenate([place[alive], np.maximum(place[alive] - 1, 0)])
+            pair[changed[changed == len(symbols) - 1]] = -1
+            changed = changed[changed < len(symbols) - 1]
+            pair[changed] = self._find(symbols, owner, changed)
+        owners = np.concatenate([d[0] for d in done]) if done else np.empty(0, dtype=np.int64)
+        found = np.concatenate([d[1] for d in done]) if done else owners
         order = np.argsort(owners, kind="stable")
-        ends = np.cumsum(np.bincount(owners, minlength=len(words)))
-        flat, out, start = found[order].tolist(), [], 0
-        for end in ends.tolist():
-            ids: list[int] = []
-            for s in flat[start:end]:
-                if s >= 0:
-                    ids.append(s)
-                else:
-                    ids.extend(self.byte_id[b] for b in chr(-1 - s).encode("utf-8"))
-            out.append(ids)
-            start = end
-        return out
+        owners, found = owners[order], found[order]
+        strange = np.flatnonzero(found < 0)
+        if len(strange):  # signs without a piece become their bytes
+            raw = [chr(-1 - s).encode("utf-8") for s in found[strange].tolist()]
+            size = np.ones(len(found), dtype=np.int64)
+            size[strange] = list(map(len, raw))
+            owners, found = np.repeat(owners, size), np.repeat(found, size)
+            found[found < 0] = [self.byte_id[b] for b in b"".join(raw)]
+        return found.tolist(), np.cumsum(np.bincount(owners, minlength=len(words))).tolist()
 
     def _merge_one_by_one(self, symbols: list[int]) -> list[int]:
         """The same merges one place at a time with a heap: for long words that would take a round for each place."""
@@ -163,7 +165,7 @@ class PieceModel:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text without the end id."""
-        return [i for ids in self.encode_words(self.words(text)) for i in ids]
+        return self.encode_words(self.words(text))[0]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: control ids are silent, byte ids join to UTF-8 with U+FFFD for what is not, a first blank goes."""
@@ -186,6 +188,16 @@ class PieceModel:
         return "".join(out) + (_utf8(bytes(raw)) if raw else "")
 
 
+def _signs_with(sign: str, pieces: Iterable[str]) -> set[str]:
+    """Signs linked to ``sign`` by standing beside each other in a piece: no merge crosses from them to another sign."""
+    beside = {(p[k], p[k + 1]) for p in pieces for k in range(len(p) - 1) if p[k] != BLANK}
+    found, size = {sign}, 0
+    while len(found) > size:
+        size = len(found)
+        found |= {b for a, b in beside if a in found} | {a for a, b in beside if b in found}
+    return found
+
+
 def _utf8(data: bytes) -> str:
     """Valid UTF-8 signs as they are, every other byte as one U+FFFD."""
     try:
@@ -206,8 +218,38 @@ def _utf8(data: bytes) -> str:
         return "".join(out)
 
 
+class Words:
+    """Ids and text of the words met so far, as strings; words not met again go when ``CACHE`` of them are known."""
+
+    def __init__(self, model: PieceModel) -> None:
+        self.model = model
+        self.ids: dict[str, str] = {}
+        self.text: dict[str, str] = {}
+        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.ids) > CACHE:
+            self.older = self.ids, self.text
+            self.ids, self.text = {}, {}
+        words = words.difference(self.ids)
+        again = words.intersection(self.older[0])
+        for w in again:
+            self.ids[w], self.text[w] = self.older[0][w], self.older[1][w]
+        new, model = list(words - again), self.model
+        flat, ends = model.encode_words(new)
+        numbers, texts, start = [model.number[i] for i in flat], [model.plain[i] for i in flat], 0
+        is_byte = np.isin(flat, list(model.byte_value))
+        bytes_before = np.r_[0, np.cumsum(is_byte)][np.r_[0, ends].astype(np.int64)].tolist()
+        for k, (word, end) in enumerate(zip(new, ends)):
+            self.ids[word] = " ".join(numbers[start:end])
+            # the first blank of a text goes, so a word is decoded behind another piece
+            plain = bytes_before[k] == bytes_before[k + 1]
+            self.text[word] = "".join(texts[start:end]) if plain else model.decode([model.single["a"], *flat[start:end]])[1:]
+            start = end
+
+
 _MADE: dict[str, PieceModel] = {}
-_KNOWN: dict[str, dict[str, tuple[str, int, str]]] = {}
+_KNOWN: dict[str, Words] = {}
 
 
 def piece_model(name: str = MODEL) -> PieceModel:
@@ -228,21 +270,16 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """
 
     def kernel(texts: list[str]) -> dict[str, list]:
-        made, known = piece_model(model), _KNOWN.setdefault(model, {})
-        end = str(made.end)
+        made = piece_model(model)
+        known = _KNOWN.setdefault(model, Words(made))
         cut = [made.words(t) for t in texts]
-        if len(known) > CACHE:
-            known.clear()
-        new = list({w for words in cut for w in words}.difference(known))
-        for word, ids in zip(new, made.encode_words(new)):
-            # the first blank of a text goes, so words are decoded behind another piece
-            known[word] = " ".join(map(str, ids)), len(ids), made.decode([made.single["a"], *ids])[1:]
+        known.learn(set().union(*cut))
         rows: dict[str, list] = {"n_tokens": [], "ids": [], "decoded": []}
         for words in cut:
-            found = [known[w] for w in words]
-            rows["n_tokens"].append(sum(f[1] for f in found) + 1)
-            rows["ids"].append(" ".join([f[0] for f in found] + [end]))
-            whole = "".join([f[2] for f in found])
+            ids = " ".join([*map(known.ids.__getitem__, words), made.number[made.end]])
+            whole = "".join(map(known.text.__getitem__, words))
+            rows["n_tokens"].append(ids.count(" ") + 1)
+            rows["ids"].append(ids)
             rows["decoded"].append(whole[1:] if whole.startswith(" ") else whole)
         return rows
 
