@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import align, embeddings, lm, mixing, packing, pieces, pii, quality, repeats, simhash, tokens, toxicity
+from . import align, embeddings, lm, mixing, packing, pieces, pii, quality, repeats, simhash, tokens, toxicity, treap
 from .common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -135,3 +135,24 @@ def _(spark, d):
     done = align.align(read_table(spark, d, "documents"))
     digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
     return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest, "n_pairs")
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12 = f"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER}, '{TERM}') AS w FROM documents WHERE text IS NOT NULL),
+ lengths AS (SELECT k, doc_id, len(w) AS n_terms FROM docs WHERE len(w) > 0),
+ total AS (SELECT COUNT(*) AS N, SUM(n_terms) AS L FROM lengths),
+ asked AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS term FROM benchmark),
+ counts AS (SELECT k, term, COUNT(*) AS tf FROM (SELECT k, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+ weights AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS weight FROM counts, total GROUP BY term, N),
+ scored AS (SELECT item_id, text, doc_id, SUM(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n_terms * N) // L)))) AS score
+   FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (k), total GROUP BY item_id, text, k, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) <= 50"""
+
+
+@query("op12_ranked_search", OP12)
+def _(spark, d):
+    return treap.ranked(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
