@@ -3,8 +3,9 @@
 Every text is encoded twice. The running ends of the tokens of each side are the keys of a dictionary from end to token
 index; the keys both dictionaries have, found by intersecting them as sets and sorted, cut both id lists into groups
 that span the same bytes. The tokens that close a group end together and are linked; the pairs within a group are
-expanded per slice as well. Both tokenizers always cut before a blank that follows a sign which is no white space, so
-texts are taken apart there and each distinct part is aligned once and kept.
+expanded per slice as well. Both tokenizers always cut before a blank or line break behind a sign, behind a single line
+break, and between a Latin letter and a stop, so texts are taken apart there and each distinct part is aligned once and
+kept.
 
 Two tokens that end together share a suffix: one's bytes end with the other's. A token has no more suffixes than bytes,
 so the distinct pairs number at most the bytes of all entries of both vocabularies (times two for entries with equal
@@ -13,15 +14,14 @@ bytes), whatever the corpus. Their corpus counts are therefore sent to all tasks
 
 from __future__ import annotations
 
-import os
+import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
-from typing import NamedTuple
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialise, slices, text_or_empty
@@ -29,77 +29,99 @@ from .common import map_texts, materialise, slices, text_or_empty
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
 SHIFT = 1 << 16
-CACHE = 300_000
+CACHE = 500_000
 
 
-class Part(NamedTuple):
-    n_first: int
-    n_second: int
-    groups: str
-    n_groups: int
-    n_pairs: int
-    links: bytes
-    whole: bool
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+STOPS = ".,;:!?"
 
 
 class Aligner:
-    """Parts of texts in two tokenizers, each kept as long as it is met again."""
+    """Groups and links of the parts of texts; each part has a number while it is kept."""
 
     def __init__(self, first: str, second: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.first, self.second = Tokenizer.from_file(first), sentencepiece.SentencePieceProcessor(model_file=second)
-        self.first.encode_special_tokens = True
+        with open(first, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         # the byte-level alphabet: printable Latin-1 signs stand for themselves, the others follow from U+0100
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         sign = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        size = self.first.get_vocab_size()
-        if max(size, self.second.get_piece_size()) > SHIFT:
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        entries = sorted((i, t) for t, i in model["vocab"].items() if set(t) <= set(sign))[:256 + len(merges)]
+        if [t for _, t in entries[256:]] != merges or [i for i, _ in entries] != list(range(len(entries))):
+            raise ValueError("needs a byte-level model whose ids follow its merges")
+        self.first_bytes = [bytes(sign[c] for c in t) for _, t in entries]
+        self.first = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.first_bytes)},
+                                       special_tokens={}).encode_ordinary
+        self.second = sentencepiece.SentencePieceProcessor(model_file=second)
+        if max(len(entries), self.second.get_piece_size()) > SHIFT:
             raise ValueError(f"ids must be below {SHIFT}")
-        added = self.first.get_added_tokens_decoder()
-        self.first_bytes = [added[i].content.encode() if i in added else bytes(sign[c] for c in self.first.id_to_token(i)) for i in range(size)]
         read = self.second
         self.second_bytes = [bytes([int(p[3:5], 16)]) if read.is_byte(i) else p.replace("▁", " ").encode()
                              for i, p in ((i, read.id_to_piece(i)) for i in range(read.get_piece_size()))]
-        self.blank = read.piece_to_id("▁")
-        self.cut = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+").findall
-        self.known: dict[str, Part] = {}
-        self.older: dict[str, Part] = {}
+        if any(re.search(f"[{LETTERS}][{STOPS}]|.[\n]|[\n].|[^▁]▁", read.id_to_piece(i), re.S) for i in range(read.get_piece_size())):
+            raise ValueError("texts can't be cut for this model")
+        self.first_size, self.second_size = (list(map(len, x)) for x in (self.first_bytes, self.second_bytes))
+        self.name = list(map(str, range(SHIFT)))
+        self.parts_of = re.compile(
+            rf" ?[{LETTERS}]+(?=[ \n{STOPS}]|\Z)|[{STOPS}]+(?=[ \n]|\Z)|\n(?=\S)|\s*\S+(?:[^\S \n]\s*\S*)*|\s+").findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        # by part: tokens of either side, pairs within groups, links, and 1 if the tokens do not spell the part
+        self.sizes = np.empty((0, 5), dtype=np.int64)
+        self.links = np.empty(0, dtype="<u4")
+        self.first_link = np.empty(0, dtype=np.int64)
 
     def learn(self, parts: set[str]) -> None:
-        if len(self.known) > CACHE:
-            self.older, self.known = self.known, {}
-        parts = parts.difference(self.known)
-        again = parts.intersection(self.older)
-        self.known |= {p: self.older[p] for p in again}
-        new = list(parts - again)
-        first = [e.ids for e in self.first.encode_batch_fast(new, add_special_tokens=False)]
-        # the second tokenizer puts the first blank of a part there itself
-        second = self.second.encode([p[1:] for p in new], num_threads=1)
+        if len(self.number) > CACHE:
+            self.forget()
+        new = list(parts.difference(self.number))
+        first = [self.first(p) for p in new]
+        # the second tokenizer puts a blank in front; behind a line break a part is encoded as it is
+        second = [ids[2:] for ids in self.second.encode(["\n" + p for p in new], num_threads=1)]
+        sizes, links = [], []
         for part, a, b in zip(new, first, second):
-            self.known[part] = self.align(part, a, b or [self.blank])
-
-    def align(self, part: str, a: list[int], b: list[int]) -> Part:
-        bytes_a, bytes_b = [self.first_bytes[i] for i in a], [self.second_bytes[i] for i in b]
+            self.number[part] = len(self.number)
+            groups, linked, size = self.align(part, a, b)
+            self.groups.append(groups)
+            links.append(linked)
+            sizes.append(size)
+        if new:
+            self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
+            self.links = np.concatenate([self.links, np.fromiter(chain.from_iterable(links), dtype="<u4")])
+            self.first_link = np.cumsum(self.sizes[:, 3]) - self.sizes[:, 3]
+
+    def align(self, part: str, a: list[int], b: list[int]) -> tuple[str, list[int], tuple[int, ...]]:
         data = part.encode("utf-8")
-        if b"".join(bytes_a) != data or b"".join(bytes_b) != data:
-            return Part(0, 0, "", 0, 0, b"", False)
-        end_a = {end: k for k, end in enumerate(accumulate(map(len, bytes_a)))}
-        end_b = {end: k for k, end in enumerate(accumulate(map(len, bytes_b)))}
+        if b"".join(map(self.first_bytes.__getitem__, a)) != data or b"".join(map(self.second_bytes.__getitem__, b)) != data:
+            return "", [], (0, 0, 0, 0, 1)
+        end_a = dict(zip(accumulate(map(self.first_size.__getitem__, a)), count(1)))
+        end_b = dict(zip(accumulate(map(self.second_size.__getitem__, b)), count(1)))
+        name_a, name_b = list(map(self.name.__getitem__, a)), list(map(self.name.__getitem__, b))
         groups, links, pairs, from_a, from_b = [], [], 0, 0, 0
         for end in sorted(end_a.keys() & end_b.keys()):
-            to_a, to_b = end_a[end] + 1, end_b[end] + 1
-            groups.append(f"{','.join(map(str, a[from_a:to_a]))}|{','.join(map(str, b[from_b:to_b]))}")
+            to_a, to_b = end_a[end], end_b[end]
+            groups.append(",".join(name_a[from_a:to_a]) + "|" + ",".join(name_b[from_b:to_b]))
             links.append(a[to_a - 1] * SHIFT + b[to_b - 1])
             pairs += (to_a - from_a) * (to_b - from_b)
             from_a, from_b = to_a, to_b
-        return Part(len(a), len(b), ";".join(groups), len(groups), pairs, np.array(links, dtype="<u4").tobytes(), True)
+        return ";".join(groups), links, (len(a), len(b), pairs, len(links), 0)
 
     def parts(self, text: str) -> list[str]:
-        """A blank and the text, cut before blanks that follow a sign; an empty text has no part."""
-        return self.cut(" " + text) if text else []
+        """A blank and the text, cut where both tokenizers always cut; an empty text has no part."""
+        return self.parts_of(" " + text) if text else []
+
+    def linked(self, numbers: np.ndarray) -> np.ndarray:
+        """Links of the numbered parts, one behind another."""
+        size = self.sizes[numbers, 3]
+        shift = np.repeat(self.first_link[numbers] - (np.cumsum(size) - size), size)
+        return self.links[np.arange(len(shift)) + shift]
 
 
 _MADE: dict[tuple[str, str], Aligner] = {}
@@ -126,14 +148,15 @@ def groups_of(docs: DataFrame, first: str = FIRST, second: str = SECOND) -> Data
         made = aligner(first, second)
         cut = [made.parts(t) for t in texts]
         made.learn(set().union(*cut))
-        rows: dict[str, list] = {n: [] for n in ("n_a", "n_b", "n_groups", "n_pairs", "groups", "links")}
+        rows: dict[str, list] = {n: [] for n in ("n_a", "n_b", "n_pairs", "n_groups", "groups", "links")}
         for parts in cut:
-            found = [made.known[p] for p in parts]
-            if not all(f.whole for f in found):
-                found = []
-            n_a, n_b, groups, n_groups, n_pairs, links, _ = zip(*found) if found else ((),) * 7
-            for name, value in zip(rows, (sum(n_a), sum(n_b), sum(n_groups), sum(n_pairs), ";".join(groups), b"".join(links))):
-                rows[name].append(value)
+            numbers = list(map(made.number.__getitem__, parts))
+            sizes = made.sizes[numbers].sum(axis=0)
+            if sizes[4]:
+                numbers, sizes = [], 0 * sizes
+            values = *sizes[:4].tolist(), ";".join([made.groups[k] for k in numbers]), made.linked(np.array(numbers, dtype=np.int64)).tobytes()
+            for column, value in zip(rows.values(), values):
+                column.append(value)
         return rows
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
@@ -154,14 +177,16 @@ def pair_counts(grouped: DataFrame) -> DataFrame:
     return grouped.select("links").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def align(docs: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
+def align(docs: DataFrame, first: str = FIRST, second: str = SECOND, groups: Column | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups and n_pairs for every row of ``docs``.
 
     n_links counts the token pairs that end together, count_sum adds the corpus counts of their id pairs, n_best counts
     those whose count is the highest of their second id. Null and empty texts have zeros and ''. Repeated rows count
     each for itself, null ids stay, other columns are ignored whatever their names, an empty table gives no rows.
+    ``groups`` is an expression over that column, such as its digest, to be kept in its place.
     """
-    grouped = materialise(groups_of(docs, first, second), "align-groups")
+    made = groups_of(docs, first, second)
+    grouped = materialise(made if groups is None else made.withColumn("groups", groups), "align-groups")
     # bounded by the two vocabularies, see above
     counted = pair_counts(grouped).toArrow()
     pairs, counts = counted.column("pair").to_numpy(), counted.column("n").to_numpy()

@@ -132,9 +132,9 @@ def _(spark, d):
 
 @query("op11_alignment")
 def _(spark, d):
-    done = align.align(read_table(spark, d, "documents"))
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
-    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest, "n_pairs")
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    done = align.align(read_table(spark, d, "documents"), groups=digest)
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"), "n_pairs")
 
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
