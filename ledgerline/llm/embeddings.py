@@ -124,8 +124,9 @@ def link(distinct: DataFrame, threshold: float = THRESHOLD, rotations: int = ROT
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(dims) + 1, dtype=np.int32) * tables), pa.array(parts.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["key", "label", "vector", "dims", "copies", "parts"])
 
-    flat = distinct.select("key", F.hash("label").alias("label"), "vector", "dims", "copies")
-    coded = materialise(flat.mapInArrow(encode, "key bigint, label int, vector array<double>, dims int, copies bigint, parts array<bigint>"), "itq")
+    flat = distinct.select("key", "label", "vector", "dims", "copies")
+    label = distinct.schema["label"].dataType.simpleString()
+    coded = materialise(flat.mapInArrow(encode, f"key bigint, label {label}, vector array<double>, dims int, copies bigint, parts array<bigint>"), "itq")
     places = coded.select("key", F.posexplode("parts").alias("t", "part"), "label", "dims")
     bucket = ["label", "dims", "t", "part"]
     sizes = places.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")

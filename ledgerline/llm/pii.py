@@ -201,10 +201,16 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with all spans in text replaced by [KIND]; null texts stay null."""
+    """``docs`` with all spans in text replaced by [KIND].
+
+    Null and empty texts, rows with null ids and repeated rows stay; other columns stay whatever their names; an empty
+    table stays empty.
+    """
     spans = find(docs).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("_spans")).where(F.size("_spans") > 0)
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans")
-    hashed = docs.withColumn("_h", F.xxhash64(text_or_empty("text")))
-    joined = hashed.join(spans, (hashed["_h"] == spans["_hash"]) & hashed["doc_id"].eqNullSafe(spans["_id"]), "left")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
-    return joined.select(*[clean.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    # the row travels as one column, so its names clash with none here
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("hash"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(spans, (rows["hash"] == spans["_hash"]) & rows["doc_id"].eqNullSafe(spans["_id"]), "left")
+    text = F.col("row")["text"]
+    clean = F.when(F.col("_spans").isNull(), text).otherwise(redacted(text, F.col("_spans")))
+    return joined.select(*[clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -142,12 +142,16 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
 
 
 def one_of(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """The row of the smallest doc_id, null ids last, for each ``key`` of ``groups`` (doc_id, text_hash, key)."""
+    """The row of the smallest doc_id, null ids last, for each ``key`` of ``groups`` (doc_id, text_hash, key).
+
+    Rows equal in doc_id and text are one; other columns stay as they are, whatever their names; an empty table stays empty.
+    """
     first = groups.groupBy(key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"))
     winners = first.select(F.col("w.doc_id").alias("w_id"), F.col("w.text_hash").alias("w_hash")).distinct()
-    hashed = docs.withColumn("_hash", F.xxhash64(text_or_empty("text")))
-    kept = hashed.join(winners, hashed.doc_id.eqNullSafe(winners.w_id) & (hashed["_hash"] == winners.w_hash), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    # the row travels as one column, so its names clash with none here
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("hash"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(winners, rows["doc_id"].eqNullSafe(winners["w_id"]) & (rows["hash"] == winners["w_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "hash"]).select("row.*")
 
 
 def as_hex(column: str = "fp") -> Column:

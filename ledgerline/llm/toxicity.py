@@ -165,9 +165,10 @@ class Matcher:
 
 
 def score_texts(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
-    """``docs`` with its text replaced by ``score`` and ``n_hits``. The lexicon is bounded by ``entries`` of its fit.
+    """``docs`` with its text replaced by ``score`` and ``n_hits``, which take the place of columns named so.
 
-    A null or empty text has no hits and the lowest score.
+    The lexicon is bounded by the ``candidates`` of its fit. A null or empty text has no hits and the lowest score;
+    repeated rows stay; an empty table stays empty.
     """
     made: list[Matcher] = []
 
