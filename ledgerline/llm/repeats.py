@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, slices, text_or_empty
 
 SIZE = 200
 GRAM = 8
@@ -83,9 +83,9 @@ def runs(data: np.ndarray, size: int = SIZE, gram: int = GRAM, side: int = SIDE)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text and a key without nulls: k1, k2. Rows that agree in both are the same document twice."""
+    """doc_id, text and a key of 64 and 32 bits over both: k1, k2. Rows that agree in it are the same document twice."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.withColumn("k1", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("k2", F.hash(F.col("doc_id").isNull(), "text"))
+    return rows.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.hash(F.col("doc_id").isNull(), "doc_id", "text"))
 
 
 def _phrases(size: int):
@@ -128,46 +128,60 @@ def _phrases(size: int):
     return run, unpack
 
 
+def _open_windows(data: np.ndarray, size: int, marked: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows still open in a document, and how many windows of the corpus each stands for.
+
+    ``marked`` are the places of repeated phrases, ``opened`` above 0 where the windows filed there are open.
+    """
+    start, end, first, last, loose, _, _ = runs(data, size)
+    n = len(loose)
+    weight = loose.astype(np.int64)
+    if n and len(marked):
+        known, count = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+        known[marked] = True
+        np.maximum.at(count, marked, opened)
+        again = known[first]
+        once = np.zeros(n + 1, dtype=np.int64)  # windows that hold a phrase found nowhere else
+        np.add.at(once, np.maximum(end[~again] - size, 0), 1)
+        np.add.at(once, np.minimum(start[~again], n - 1) + 1, -1)
+        free = np.cumsum(once[:n]) == 0
+        filed = np.flatnonzero(again & (count[first] > 0))
+        length = last[filed] - first[filed] + 1
+        places = np.arange(length.sum()) + np.repeat(first[filed] - (np.cumsum(length) - length), length)
+        weight[places] = np.where(free[places], np.repeat(count[first[filed]], length), 0)
+    places = np.flatnonzero(weight)
+    return places, weight[places]
+
+
 def _windows(size: int):
     """Rows (k1, k2, digest, n, starts) for the windows still open in a document, equal ones of a document together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (text, marks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+        for batch in slices(batches):
+            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            marks = batch.column(3)
+            bounds, marked, opened = marks.offsets.to_numpy(), *(marks.values.field(f).to_numpy() for f in ("first", "open"))
+            owner, keys, starts, weights = [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 data = text.encode("utf-8")
-                start, end, first, last, loose, _, _ = runs(np.frombuffer(data, dtype=np.uint8), size)
-                n = len(loose)
-                if not n:
-                    continue
-                weight = loose.astype(np.int64)
-                if marks:
-                    known: dict[int, int] = {}  # places of repeated phrases, above 0 if their windows are open
-                    for m in marks:
-                        known[m["first"]] = max(m["open"], known.get(m["first"], 0))
-                    again = np.array([f in known for f in first.tolist()], dtype=bool)
-                    once = np.zeros(n + 1, dtype=np.int64)  # windows that hold a phrase found nowhere else
-                    np.add.at(once, np.maximum(end[~again] - size, 0), 1)
-                    np.add.at(once, np.minimum(start[~again], n - 1) + 1, -1)
-                    free = np.cumsum(once[:n]) == 0
-                    for f, e in zip(first[again].tolist(), last[again].tolist()):
-                        if known[f]:
-                            weight[f:e + 1] = np.where(free[f:e + 1], known[f], 0)
-                places = np.flatnonzero(weight)
-                found: dict[bytes, list[int]] = {}
-                for s in places.tolist():
-                    found.setdefault(digest(data[s:s + size]), []).append(s)
-                for key, starts in found.items():
-                    out[0].append(k1[i])
-                    out[1].append(k2[i])
-                    out[2].append(key)
-                    out[3].append(int(weight[starts].sum()))
-                    out[4].append(np.array(starts, dtype="<i4").tobytes())
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()))],
-                                                 names=["k1", "k2", "digest", "n", "starts"])
+                mine = slice(bounds[i], bounds[i + 1])
+                places, weight = _open_windows(np.frombuffer(data, dtype=np.uint8), size, marked[mine], opened[mine])
+                keys += [digest(data[s:s + size]) for s in places.tolist()]
+                owner.append(np.full(len(places), i))
+                starts.append(places)
+                weights.append(weight)
+            if not keys:
+                continue
+            whose, at, n = np.concatenate(owner), np.concatenate(starts).astype("<i4"), np.concatenate(weights)
+            halves = np.frombuffer(b"".join(keys), dtype="<u8").reshape(-1, 2)
+            order = np.lexsort((at, halves[:, 1], halves[:, 0], whose))
+            whose, at, n, halves = whose[order], at[order], n[order], np.ascontiguousarray(halves[order])
+            head = np.flatnonzero(np.r_[True, (whose[1:] != whose[:-1]) | (halves[1:] != halves[:-1]).any(axis=1)])
+            grouped = pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((4 * np.r_[head, len(at)]).astype(np.int32)), pa.py_buffer(at.tobytes())])
+            key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(head), [None, pa.py_buffer(halves[head].tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(k1[whose[head]]), pa.array(k2[whose[head]]), key, pa.array(np.add.reduceat(n, head)), grouped],
+                                             names=["k1", "k2", "digest", "n", "starts"])
 
     return run
 
@@ -227,15 +241,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     various = spans.groupBy("phrase").agg(F.count("*").alias("kinds")).where("kinds > 1").select("phrase")
     open_runs = spans.join(various, "phrase").select("one.k1", "one.k2", "one.first", F.col("n").alias("open"))
     full = again.join(spans.where("n > 1").select("phrase", "span"), ["phrase", "span"]).select("k1", "k2", "first")
-    # lists are bounded by the length of one text
+    # sets are bounded by the length of one text, however often its row stands there
     marks = again.select("k1", "k2", "first", F.lit(0).cast("bigint").alias("open")).unionByName(open_runs).groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("first", "open")).alias("marks"))
+        F.collect_set(F.struct("first", "open")).alias("marks"))
     texts = keyed.select("doc_id", "k1", "k2", "text")
     open_windows = texts.join(marks, ["k1", "k2"], "left").select("k1", "k2", "text", "marks").mapInArrow(
         _windows(size), "k1 bigint, k2 int, digest binary, n bigint, starts binary")
     repeated = materialise(open_windows.withColumn("total", F.sum("n").over(Window.partitionBy("digest"))).where("total > 1").select("k1", "k2", "starts"), "repeats-windows")
     lists = full.select("k1", "k2", "first", F.lit(None).cast("binary").alias("starts")).unionByName(
         repeated.select("k1", "k2", F.lit(None).cast("int").alias("first"), "starts")).groupBy("k1", "k2").agg(
-        F.collect_list("first").alias("full"), F.collect_list("starts").alias("starts"))
+        F.collect_set("first").alias("full"), F.collect_set("starts").alias("starts"))
     return texts.join(lists, ["k1", "k2"], "left").select("doc_id", "text", "full", "starts").mapInArrow(
         _cut(size), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
