@@ -10,6 +10,7 @@ from ..plans import documents, po, residual, revenue
 from ..session import cut_lineage, scratch_path
 from . import query
 from . import roles as R
+from .joining import DOC_ALL
 from .models import _classical_ctes
 from .orders import prepared, training
 from .roles import big, r, rs, txt
@@ -139,12 +140,48 @@ def _(spark, d):
 
 # --- sequences and runs ------------------------------------------------------------------
 
+SEQUENCE_SEED = 3
+
+
+def _documents(spark, d):
+    return documents.combine(R.doc_invoices(spark, d), R.doc_orders(spark, d), R.doc_funds(spark, d))
+
+
 @query("k21_sequence_forecast")
 def _(spark, d):
-    """One boosted model over all document series: the year 2000 from the years before."""
-    docs = documents.combine(R.doc_invoices(spark, d), R.doc_orders(spark, d), R.doc_funds(spark, d))
-    x = documents.sequence_forecast(docs, 2000, 1e4, trees=5)
-    return x.select("doc", F.col("group").alias("grp"), r("forecast").alias("forecast"), r("actual").alias("actual"), r("abs_err").alias("abs_err"))
+    """One boosted model over all document series: the year 2000 from the years before and its first months, and 2001."""
+    x = documents.sequence_forecast(_documents(spark, d), 2000, 1e4, seed_months=SEQUENCE_SEED, noise=0.01)
+    return x.select("doc", F.col("group").alias("grp"), big("year").alias("year"), r("forecast").alias("forecast"), r("actual").alias("actual"), r("abs_err").alias("abs_err"))
+
+
+@query("k21_known_months", sql=f"""
+WITH {DOC_ALL}, allrows AS (SELECT doc, grp, year, month, volume FROM inv UNION ALL SELECT * FROM clipped),
+mon AS (SELECT doc, grp, year, month, SUM(volume) AS v FROM allrows WHERE year <= 2000 GROUP BY 1, 2, 3, 4),
+keep AS (SELECT doc, grp FROM (SELECT doc, grp, year, SUM(v) AS v FROM mon GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING AVG(ABS(v)) > 1e4),
+span AS (SELECT MIN(year * 12 + month - 1) AS a, MAX(year * 12 + month - 1) AS z FROM mon JOIN keep USING (doc, grp)),
+dense AS (SELECT doc, grp, t AS mi, COALESCE(v, 0) AS v FROM (SELECT doc, grp, CAST(unnest(range(a, z + 1)) AS BIGINT) AS t FROM keep, span) LEFT JOIN (SELECT doc, grp, year * 12 + month - 1 AS t, v FROM mon) USING (doc, grp, t)),
+whole AS (SELECT doc, grp, mi // 12 AS y FROM dense WHERE mi // 12 < 2000 GROUP BY 1, 2, 3 HAVING COUNT(*) = 12),
+bound AS (SELECT doc, grp, MIN(v) AS low, MAX(v) AS high FROM dense d JOIN whole w USING (doc, grp) WHERE d.mi // 12 = w.y GROUP BY 1, 2),
+ahead AS (SELECT doc, grp, low, high, CAST(unnest(range(24000, 24024)) AS BIGINT) AS mi FROM bound)
+SELECT doc, grp, CAST(mi // 12 AS BIGINT) AS year, CAST(mi % 12 + 1 AS BIGINT) AS month, CAST(mi < 24000 + {SEQUENCE_SEED} AS BIGINT) AS known,
+ CASE WHEN mi < 24000 + {SEQUENCE_SEED} THEN {rs('CASE WHEN high = low THEN low ELSE GREATEST(v, low) END')} END AS value
+FROM ahead LEFT JOIN dense USING (doc, grp, mi)""")
+def _(spark, d):
+    """All 24 months of every series: the known ones keep their value, the forecast ones are null here."""
+    x = documents.sequence_months(_documents(spark, d), 2000, 1e4, seed_months=SEQUENCE_SEED, trees=1)
+    return x.select("doc", F.col("group").alias("grp"), big(F.year("month")).alias("year"), big(F.month("month")).alias("month"),
+                    big(F.col("known").cast("int")).alias("known"), F.when(F.col("known"), r("value")).alias("value"))
+
+
+@query("k22_noise_in_the_fit")
+def _(spark, d):
+    """Yearly forecasts of the model fitted without noise and with noisy replicas of its rows."""
+    out = None
+    for name, noise in (("clean", 0.0), ("noisy", 0.01)):
+        x = documents.sequence_forecast(_documents(spark, d), 2000, 1e4, seed_months=SEQUENCE_SEED, noise=noise)
+        one = x.select("doc", F.col("group").alias("grp"), big("year").alias("year"), r("forecast").alias(name))
+        out = one if out is None else out.join(one, ["doc", "grp", "year"])
+    return out
 
 
 @query("k22_noisy_inputs")
