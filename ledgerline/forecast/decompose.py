@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrays as A
+from .diagnostics import differences_needed
 from .models import holt_fit
 
 PERIOD = 12
@@ -176,33 +177,32 @@ def stl(arrays: DataFrame, period: int = PERIOD, robust: bool = True, kind: str
 
 # --- trend forecasts -------------------------------------------------------------
 
-def best_order(y: np.ndarray, max_p: int = 5, max_d: int = 2) -> tuple[float, int, int, np.ndarray]:
-    """Autoregression on the d-times differenced series with the lowest corrected AIC: (aicc, d, p, coefficients).
+def best_order(y: np.ndarray, d: int, max_p: int = 5) -> tuple[float, int, np.ndarray]:
+    """Autoregression on the d-times differenced series with the lowest corrected AIC: (aicc, p, coefficients).
 
-    All candidates predict the same trailing points, so their errors are comparable.
+    All lengths predict the same trailing points, so their errors are comparable. Too few points give p = 0, and the
+    mean of the differences up to d = 1 or none beyond.
     """
-    skip = max_p + max_d
-    best = (np.inf, 2, 0, np.zeros(1))
-    count = len(y) - skip
+    z = np.diff(y, n=d) if d else y
+    count = len(z) - max_p
+    best = (np.inf, 0, np.array([z.mean()]) if d < 2 and len(z) else np.zeros(0))
     if count < max_p + 4:
         return best
-    for d in range(max_d + 1):
-        z = np.diff(y, n=d) if d else y
-        target = z[len(z) - count:]
-        for p in range(max_p + 1):
-            columns = [np.ones(count)] if d < 2 else []
-            columns += [z[len(z) - count - k:len(z) - k] for k in range(1, p + 1)]
-            if columns:
-                design = np.column_stack(columns)
-                coefficients, *_ = np.linalg.lstsq(design, target, rcond=None)
-                error = target - design @ coefficients
-            else:
-                coefficients, error = np.zeros(0), target
-            k = len(coefficients) + 1
-            sse = max(float(error @ error), 1e-12)
-            aicc = count * np.log(sse / count) + 2 * k + 2.0 * k * (k + 1) / (count - k - 1)
-            if aicc < best[0] - 1e-9:
-                best = (aicc, d, p, coefficients)
+    target = z[len(z) - count:]
+    for p in range(max_p + 1):
+        columns = [np.ones(count)] if d < 2 else []
+        columns += [z[len(z) - count - k:len(z) - k] for k in range(1, p + 1)]
+        if columns:
+            design = np.column_stack(columns)
+            coefficients, *_ = np.linalg.lstsq(design, target, rcond=None)
+            error = target - design @ coefficients
+        else:
+            coefficients, error = np.zeros(0), target
+        k = len(coefficients) + 1
+        sse = max(float(error @ error), 1e-12)
+        aicc = count * np.log(sse / count) + 2 * k + 2.0 * k * (k + 1) / (count - k - 1)
+        if aicc < best[0] - 1e-9:
+            best = (aicc, p, coefficients)
     return best
 
 
@@ -220,28 +220,29 @@ def project_order(y: np.ndarray, d: int, p: int, coefficients: np.ndarray, steps
 
 
 def trend_search(df: DataFrame, column: str, steps: int, out: str = "trend_forecast") -> DataFrame:
-    """Adds ``out`` (array of forecasts), ``d`` and ``p``; short series continue their last slope."""
-    schema = T.StructType([
-        T.StructField("forecast", T.ArrayType(T.DoubleType())),
-        T.StructField("d", T.IntegerType()),
-        T.StructField("p", T.IntegerType()),
-    ])
+    """Adds ``out`` (array of forecasts), ``d`` and ``p``.
+
+    The order of differencing comes first, from the level test as a column expression; the length of the
+    autoregression is searched for it. An empty or missing series is forecast as zero.
+    """
+    schema = T.StructType([T.StructField("forecast", T.ArrayType(T.DoubleType())), T.StructField("p", T.IntegerType())])
 
     @F.pandas_udf(schema)
-    def search(batch: pd.Series) -> pd.DataFrame:
+    def search(series: pd.Series, orders: pd.Series) -> pd.DataFrame:
         rows = []
-        for item in batch:
+        for item, d in zip(series, orders):
             y = np.asarray(item if item is not None else [], dtype=float)
             if len(y) < 2:
-                rows.append((np.repeat(y[-1] if len(y) else 0.0, steps), 0, 0))
+                rows.append((np.repeat(y[-1] if len(y) else 0.0, steps), 0))
                 continue
-            _, d, p, coefficients = best_order(y)
-            rows.append((project_order(y, d, p, coefficients, steps), d, p))
-        return pd.DataFrame(rows, columns=["forecast", "d", "p"])
-
-    return df.withColumn("_t", search(F.col(column))).select(
-        *df.columns, F.col("_t.forecast").alias(out), F.col("_t.d").alias("d"), F.col("_t.p").alias("p"),
-    )
+            d = min(int(d), len(y) - 1)
+            _, p, coefficients = best_order(y, d)
+            rows.append((project_order(y, d, p, coefficients, steps), p))
+        return pd.DataFrame(rows, columns=["forecast", "p"])
+
+    known = A.computed_once(df, d=F.coalesce(differences_needed(F.col(column)), F.lit(0)))
+    return known.withColumn("_t", search(F.col(column), F.col("d"))).select(
+        *df.columns, F.col("_t.forecast").alias(out), "d", F.col("_t.p").alias("p"))
 
 
 def damped_fit(values: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import arrays as A
 from ..operators.windows import average_rank
 
 
@@ -86,6 +87,48 @@ def yearly_std_from_months(df: DataFrame, keys: list[str], date: str, measure: s
     return months.groupBy(*keys).agg(F.sqrt(F.sum("_v")).alias("yearly_std"))
 
 
+KPSS_LIMIT = 0.463  # five-percent value of the level test
+
+
+def kpss(values: Column) -> Column:
+    """Statistic of the test that a series moves around a fixed level; null for a constant or empty one.
+
+    Sum of squared partial sums of the deviations over their long-run variance, whose autocovariances up to
+    ``3 * sqrt(n) / 13`` lags weigh less with the lag.
+    """
+    def lagged(e: Column, n: Column, lags: Column, j: Column) -> Column:
+        weight = F.lit(1.0) - j / (lags + 1.0)
+        return weight * A.dot(F.slice(e, F.lit(1), n - j), F.slice(e, j + 1, n - j))
+
+    def statistic(e: Column) -> Column:
+        n = F.size(e)
+        lags = F.floor(F.sqrt(n) * 3 / 13).cast("int")
+        start = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"))
+        partial = F.aggregate(
+            e, start, lambda s, x: F.struct((s["run"] + x).alias("run"), (s["squares"] + (s["run"] + x) * (s["run"] + x)).alias("squares")),
+            lambda s: s["squares"])
+        spread = A.total(F.transform(A.positions(1, lags), lambda j: lagged(e, n, lags, j)))
+        variance = F.try_divide(A.dot(e, e) + 2.0 * spread, n)
+        return F.when(variance > 0, F.try_divide(partial, n * n * variance))
+
+    return A.let(A.let(values, lambda v: A.let(A.mean(v), lambda m: F.transform(v, lambda x: x - m))), statistic)
+
+
+def difference(values: Column) -> Column:
+    n = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.zip_with(F.slice(values, F.lit(2), n), F.slice(values, F.lit(1), n), lambda later, earlier: later - earlier)
+
+
+def differences_needed(values: Column, most: int = 2) -> Column:
+    """How often a series has to be differenced, up to ``most`` times, until the level test no longer rejects it."""
+    needed, at = F.lit(most), [values]
+    for _ in range(most - 1):
+        at.append(difference(at[-1]))
+    for d in range(most - 1, -1, -1):
+        needed = F.when(F.coalesce(kpss(at[d]), F.lit(0.0)) <= KPSS_LIMIT, F.lit(d)).otherwise(needed)
+    return needed
+
+
 def autocorrelation(df: DataFrame, keys: list[str], date: str, measure: str, max_lag: int = 48) -> DataFrame:
     """Autocorrelation of a series per lag 1..min(max_lag, rows - 1); one sort serves all lags."""
     w = Window.partitionBy(*keys)

@@ -18,10 +18,21 @@ from ..operators.series import month_range, month_shift
 
 Model = Callable[[Column, int], Column]
 
-# Grid of smoothing weights tried by the exponential smoothing models.
+# Grid of smoothing weights tried by the exponential smoothing models. Around its best point the search goes on in
+# steps of a fifth, twice; the middle step keeps the point itself, so the error never rises.
 ALPHAS = [round(0.05 * i, 2) for i in range(1, 20)]
+ALPHA_STEPS = [[i * 0.01 for i in range(-4, 5)], [i * 0.002 for i in range(-4, 5)]]
 HOLT_ALPHAS = [0.1, 0.3, 0.5, 0.7, 0.9]
 HOLT_BETAS = [0.05, 0.1, 0.3, 0.5]
+# (added to alpha, factor of beta, added to phi) of the neighbours looked at, by level
+HOLT_STEPS = [[(a, b, 0.0) for a in (-0.1, 0.0, 0.1) for b in (0.7, 1.0, 1.4)], [(a, b, 0.0) for a in (-0.05, 0.0, 0.05) for b in (0.85, 1.0, 1.2)]]
+DAMPED_STEPS = [[(a, b, p) for a, b, _ in level for p in (-step, 0.0, step)] for level, step in zip(HOLT_STEPS, (0.04, 0.02))]
+LEAST_WEIGHT, MOST_WEIGHT = 0.001, 0.999
+LEAST_PHI, MOST_PHI = 0.8, 0.98
+
+
+def _within(value: Column, low: float = LEAST_WEIGHT, high: float = MOST_WEIGHT) -> Column:
+    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
 def _repeat(value: Column, steps: int) -> Column:
@@ -87,8 +98,13 @@ def seasonal_linear(values: Column, steps: int) -> Column:
     return A.let(fit(values), project)
 
 
+def _refined(found: Column, closer: Callable[[Column, list], Column], level: list) -> Column:
+    """The best point of ``level`` around ``found``, which is worked out once."""
+    return A.let(found, lambda best: closer(best, level))
+
+
 def exponential_smoothing_fit(values: Column) -> Column:
-    """struct(sse, alpha, level) of the best weight on the grid.
+    """struct(sse, alpha, level) of the best weight: on the grid, then twice around the best so far.
 
     The level starts at the first value; the error is the sum of squared one-step errors.
     """
@@ -103,8 +119,17 @@ def exponential_smoothing_fit(values: Column) -> Column:
             _after_first(v), start, step,
             lambda s: F.struct(s["sse"].alias("sse"), a.alias("alpha"), s["level"].alias("level")))
 
-    grid = F.array(*[F.lit(a) for a in ALPHAS])
-    return F.array_min(A.let(values, lambda v: F.transform(grid, lambda a: run(v, a))))
+    def search(v: Column) -> Column:
+        def closer(best: Column, level: list[float]) -> Column:
+            near = F.transform(F.array(*[F.lit(s) for s in level]), lambda s: _within(best["alpha"] + s))
+            return F.array_min(F.transform(near, lambda a: run(v, a)))
+
+        found = F.array_min(F.transform(F.array(*[F.lit(a) for a in ALPHAS]), lambda a: run(v, a)))
+        for level in ALPHA_STEPS:
+            found = _refined(found, closer, level)
+        return found
+
+    return A.let(values, search)
 
 
 def _after_first(values: Column) -> Column:
@@ -116,7 +141,10 @@ def exponential_smoothing(values: Column, steps: int) -> Column:
 
 
 def holt_fit(values: Column, phis: Iterable[float] = (1.0,)) -> Column:
-    """struct(sse, alpha, beta, phi, level, trend) of the best grid point; the second value starts the trend."""
+    """struct(sse, alpha, beta, phi, level, trend) of the best point: on the grid, then twice around the best so far.
+
+    The second value starts the trend. The damping is searched along if there is a choice of it.
+    """
     def run(v: Column, g: Column) -> Column:
         first, second = F.get(v, F.lit(0)), F.get(v, F.lit(1))
         start = F.struct(first.alias("level"), (second - first).alias("trend"), F.lit(0.0).alias("sse"))
@@ -136,11 +164,26 @@ def holt_fit(values: Column, phis: Iterable[float] = (1.0,)) -> Column:
                 s["sse"].alias("sse"), g["alpha"].alias("alpha"), g["beta"].alias("beta"), g["phi"].alias("phi"),
                 s["level"].alias("level"), s["trend"].alias("trend")))
 
+    phis = list(phis)
+    damped = len(phis) > 1
     points = [(a, b, p) for p in phis for a in HOLT_ALPHAS for b in HOLT_BETAS]
     grid = F.transform(
         F.arrays_zip(*[F.array(*[F.lit(float(x[i])) for x in points]).alias(n) for i, n in enumerate(("alpha", "beta", "phi"))]),
         lambda g: g)
-    return F.array_min(A.let(values, lambda v: F.transform(grid, lambda g: run(v, g))))
+
+    def neighbours(best: Column, level: list[tuple[float, float, float]]) -> Column:
+        steps = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("abp", s)]) for s in level])
+        phi = (lambda s: _within(best["phi"] + s["p"], LEAST_PHI, MOST_PHI)) if damped else (lambda s: best["phi"])
+        return F.transform(steps, lambda s: F.struct(
+            _within(best["alpha"] + s["a"]).alias("alpha"), _within(best["beta"] * s["b"]).alias("beta"), phi(s).alias("phi")))
+
+    def search(v: Column) -> Column:
+        found = F.array_min(F.transform(grid, lambda g: run(v, g)))
+        for level in DAMPED_STEPS if damped else HOLT_STEPS:
+            found = _refined(found, lambda best, steps: F.array_min(F.transform(neighbours(best, steps), lambda g: run(v, g))), level)
+        return found
+
+    return A.let(values, search)
 
 
 def holt(values: Column, steps: int) -> Column:

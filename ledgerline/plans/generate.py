@@ -25,10 +25,19 @@ MISSING = "\x00"  # stands for a null attribute, which is a value like any other
 
 
 def log_moments(orders: DataFrame, value: str = "po_net_value") -> DataFrame:
-    """Mean and sample variance of the log of positive values, and its range."""
+    """Mean and sample variance of the log of positive values, and its range.
+
+    The logs are summed as whole billionths, so the result does not depend on how the rows are dealt out.
+    """
     x = F.ln(value)
-    return orders.where(F.col(value) > 0).agg(
-        F.avg(x).alias("mu"), F.var_samp(x).alias("sigma_squared"), F.min(x).alias("low"), F.max(x).alias("high"))
+    unit = F.round(x * 1e9).cast("decimal(19,0)")
+    sums = orders.where(F.col(value) > 0).select(x.alias("x"), unit.alias("u")).agg(
+        F.count("u").cast("double").alias("n"), F.sum("u").alias("s"), F.sum((F.col("u") * F.col("u")).cast("decimal(38,0)")).alias("q"),
+        F.min("x").alias("low"), F.max("x").alias("high"))
+    mean = F.try_divide(F.col("s").cast("double"), F.col("n"))
+    # exact until the last step: n * sum of squares - square of the sum, both as decimals
+    spread = F.try_divide(F.col("q").cast("double") - mean * F.col("s").cast("double"), F.col("n") - 1)
+    return sums.select((mean / 1e9).alias("mu"), (spread / 1e18).alias("sigma_squared"), "low", "high")
 
 
 def with_value_class(orders: DataFrame, value: str = "po_net_value", bins: int = CLASSES, keys: list[str] = KEY) -> DataFrame:

@@ -18,10 +18,12 @@ from .windowing import PAY_MONTHS, _PK, pay_months
 STEPS = 14
 
 
-def forecast_ctes(src: str, p: str, steps: int, models: list[str]) -> str:
+def forecast_ctes(src: str, p: str, steps: int, models: list[str], damping: tuple[float, ...] = (1.0,)) -> str:
     """SQL of the models over ``src (k, m, v, i, n)``; leaves ``{p}_f (k, model, h, f)``."""
-    alphas = ", ".join(f"({a})" for a in M.ALPHAS)
-    grid = ", ".join(f"({a}, {b}, 1.0)" for a in M.HOLT_ALPHAS for b in M.HOLT_BETAS)
+    alphas = ", ".join(f"(CAST({a} AS DOUBLE))" for a in M.ALPHAS)
+    grid = ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE))" for c in damping for a in M.HOLT_ALPHAS for b in M.HOLT_BETAS)
+    damped = len(damping) > 1
+    steps_of = M.DAMPED_STEPS if damped else M.HOLT_STEPS
     ctes = [
         f"{p}_h AS (SELECT CAST(h AS BIGINT) AS h FROM generate_series(1, {steps}) t(h))",
         f"{p}_last AS (SELECT k, MAX(n) AS n, MAX_BY(v, i) AS last, MAX(CASE WHEN i = n - 1 THEN v END) AS prev, AVG(v) AS avg, SUM(CASE WHEN i > n - 12 THEN v ELSE 0 END) AS s1, SUM(CASE WHEN i > n - 24 AND i <= n - 12 THEN v ELSE 0 END) AS s2 FROM {src} GROUP BY k)",
@@ -48,15 +50,31 @@ def forecast_ctes(src: str, p: str, steps: int, models: list[str]) -> str:
         ctes.append(f"{p}_line AS (SELECT k, REGR_SLOPE(y, i - 12) AS b, REGR_INTERCEPT(y, i - 12) AS a FROM {p}_roll WHERE i >= 12 GROUP BY k)")
         ctes.append(f"{p}_ratio AS (SELECT x.k, x.i, x.v / (a + b * (x.i - 12)) AS ratio FROM {p}_roll x JOIN {p}_line y ON x.k = y.k)")
     if {"SimpleExpSmoothing", "ExponentialSmoothing"} & set(models):
-        ctes.append(f"""{p}_sesr AS (SELECT k, alpha, i, n, v AS level, 0.0::DOUBLE AS sse FROM {src}, (VALUES {alphas}) t(alpha) WHERE i = 1
-          UNION ALL SELECT a.k, a.alpha, x.i, x.n, a.level + a.alpha * (x.v - a.level), a.sse + (x.v - a.level) * (x.v - a.level) FROM {p}_sesr a JOIN {src} x ON x.k = a.k AND x.i = a.i + 1)""")
-        ctes.append(f"{p}_ses AS (SELECT k, MIN_BY(level, sse) AS level FROM {p}_sesr WHERE i = n GROUP BY k)")
+        fold = "a.level + a.alpha * (x.v - a.level), a.sse + (x.v - a.level) * (x.v - a.level)"
+        points = f"(SELECT DISTINCT k, alpha FROM {src}, (VALUES {alphas}) t(alpha))"
+        for level in range(len(M.ALPHA_STEPS) + 1):
+            ctes.append(f"""{p}_sesr{level} AS (SELECT x.k, g.alpha, x.i, x.n, x.v AS level, 0.0::DOUBLE AS sse FROM {src} x JOIN {points} g ON g.k = x.k WHERE x.i = 1
+              UNION ALL SELECT a.k, a.alpha, x.i, x.n, {fold} FROM {p}_sesr{level} a JOIN {src} x ON x.k = a.k AND x.i = a.i + 1)""")
+            name = f"{p}_ses" if level == len(M.ALPHA_STEPS) else f"{p}_ses{level}"
+            ctes.append(f"{name} AS (SELECT k, MIN_BY(level, sse) AS level, MIN_BY(alpha, sse) AS alpha FROM {p}_sesr{level} WHERE i = n GROUP BY k)")
+            if level < len(M.ALPHA_STEPS):
+                around = ", ".join(f"(CAST({x} AS DOUBLE))" for x in M.ALPHA_STEPS[level])
+                points = f"(SELECT DISTINCT k, LEAST(GREATEST(alpha + da, {M.LEAST_WEIGHT}), {M.MOST_WEIGHT}) AS alpha FROM {name}, (VALUES {around}) t(da))"
     if "holt" in models:
         ctes.append(f"{p}_two AS (SELECT k, MAX(CASE WHEN i = 1 THEN v END) AS v1, MAX(CASE WHEN i = 2 THEN v END) AS v2 FROM {src} GROUP BY k)")
-        ctes.append(f"""{p}_holtr AS (SELECT x.k, alpha, beta, phi, x.i, x.n, v1 AS level, v2 - v1 AS trend, 0.0::DOUBLE AS sse FROM {src} x JOIN {p}_two USING (k), (VALUES {grid}) t(alpha, beta, phi) WHERE x.i = 1
-          UNION ALL SELECT a.k, a.alpha, a.beta, a.phi, x.i, x.n, a.level + a.phi * a.trend + a.alpha * (x.v - a.level - a.phi * a.trend), a.phi * a.trend + a.alpha * a.beta * (x.v - a.level - a.phi * a.trend),
-            a.sse + (x.v - a.level - a.phi * a.trend) * (x.v - a.level - a.phi * a.trend) FROM {p}_holtr a JOIN {src} x ON x.k = a.k AND x.i = a.i + 1)""")
-        ctes.append(f"{p}_holt AS (SELECT k, MIN_BY(level, sse) AS level, MIN_BY(trend, sse) AS trend FROM {p}_holtr WHERE i = n GROUP BY k)")
+        miss = "(x.v - a.level - a.phi * a.trend)"
+        points = f"(SELECT DISTINCT k, alpha, beta, phi FROM {src}, (VALUES {grid}) t(alpha, beta, phi))"
+        for level in range(len(steps_of) + 1):
+            ctes.append(f"""{p}_holtr{level} AS (SELECT x.k, g.alpha, g.beta, g.phi, x.i, x.n, v1 AS level, v2 - v1 AS trend, 0.0::DOUBLE AS sse FROM {src} x JOIN {p}_two USING (k) JOIN {points} g ON g.k = x.k WHERE x.i = 1
+              UNION ALL SELECT a.k, a.alpha, a.beta, a.phi, x.i, x.n, a.level + a.phi * a.trend + a.alpha * {miss}, a.phi * a.trend + a.alpha * a.beta * {miss}, a.sse + {miss} * {miss} FROM {p}_holtr{level} a JOIN {src} x ON x.k = a.k AND x.i = a.i + 1)""")
+            name = f"{p}_holt" if level == len(steps_of) else f"{p}_holt{level}"
+            ctes.append(f"{name} AS (SELECT k, {', '.join(f'MIN_BY({c}, sse) AS {c}' for c in ('level', 'trend', 'alpha', 'beta', 'phi'))} FROM {p}_holtr{level} WHERE i = n GROUP BY k)")
+            if level < len(steps_of):
+                around = ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE))" for a, b, c in steps_of[level])
+                clip = lambda e, low, high: f"LEAST(GREATEST({e}, {low}), {high})"
+                damping = clip("phi + dp", M.LEAST_PHI, M.MOST_PHI) if damped else "phi"
+                points = (f"(SELECT DISTINCT k, {clip('alpha + da', M.LEAST_WEIGHT, M.MOST_WEIGHT)} AS alpha, {clip('beta * fb', M.LEAST_WEIGHT, M.MOST_WEIGHT)} AS beta, {damping} AS phi"
+                          f" FROM {name}, (VALUES {around}) t(da, fb, dp))")
     if "quadratic" in models:
         ctes.append(f"{p}_u AS (SELECT k, n, (n - 1) / 2.0 AS mid, i - 1 - (n - 1) / 2.0 AS u, v FROM {src})")
         ctes.append(f"""{p}_quad AS (SELECT k, MAX(n) AS n, MAX(mid) AS mid, SUM(u * v) / SUM(u * u) AS c1,
@@ -96,11 +114,7 @@ _model("j15_quadratic_trend", "quadratic", M.quadratic_trend, "quadratic")
 
 
 def _damped_ctes() -> str:
-    grid = ", ".join(f"({a}, {b}, {p})" for p in D.DAMPING for a in M.HOLT_ALPHAS for b in M.HOLT_BETAS)
-    text = forecast_ctes("s", "x", 12, ["holt"])
-    plain = ", ".join(f"({a}, {b}, 1.0)" for a in M.HOLT_ALPHAS for b in M.HOLT_BETAS)
-    text = text.replace(plain, grid)
-    return text.replace("MIN_BY(trend, sse) AS trend FROM", "MIN_BY(trend, sse) AS trend, MIN_BY(phi, sse) AS phi FROM")
+    return forecast_ctes("s", "x", 12, ["holt"], tuple(D.DAMPING))
 
 
 _SHRUNK = "CASE WHEN trend < 0 THEN trend * EXP(-{s} * ABS(trend) / (ABS(level) + 1e-6)) ELSE trend END"
@@ -143,6 +157,21 @@ def _(spark, d):
         "k", big("d").alias("d"), big("p").alias("p"), big(F.col("_p") + 1).alias("step"), r("v").alias("value"))
 
 
+@query("j14_level_test", sql=f"""
+WITH {R.BRAND}, lv AS (SELECT k, 0 AS o, i, v AS y FROM s UNION ALL SELECT k, 1, i, y FROM (SELECT k, i, v - LAG(v) OVER (PARTITION BY k ORDER BY i) AS y FROM s) q WHERE y IS NOT NULL),
+e AS (SELECT k, o, i, y - AVG(y) OVER (PARTITION BY k, o) AS e FROM lv), c AS (SELECT *, SUM(e) OVER (PARTITION BY k, o ORDER BY i) AS cs FROM e),
+b AS (SELECT k, o, COUNT(*) AS n, SUM(cs * cs) AS partial, SUM(e * e) AS own, floor(sqrt(COUNT(*)) * 3 / 13) AS lags FROM c GROUP BY 1, 2),
+g AS (SELECT x.k, x.o, SUM((1 - (x.i - z.i) / (lags + 1.0)) * x.e * z.e) AS covar FROM e x JOIN e z ON x.k = z.k AND x.o = z.o AND x.i > z.i JOIN b ON b.k = x.k AND b.o = x.o WHERE x.i - z.i <= lags GROUP BY 1, 2),
+st AS (SELECT b.k, b.o, partial / (n * (own + 2 * COALESCE(covar, 0))) AS stat FROM b LEFT JOIN g ON b.k = g.k AND b.o = g.o)
+SELECT k, {rs('MAX(CASE WHEN o = 0 THEN stat END)', 6)} AS plain, {rs('MAX(CASE WHEN o = 1 THEN stat END)', 6)} AS differenced,
+ CAST(CASE WHEN MAX(CASE WHEN o = 0 THEN stat END) <= {G.KPSS_LIMIT} THEN 0 WHEN MAX(CASE WHEN o = 1 THEN stat END) <= {G.KPSS_LIMIT} THEN 1 ELSE 2 END AS BIGINT) AS d FROM st GROUP BY 1""")
+def _(spark, d):
+    """Statistic of the level test of every brand, plain and differenced, and the order of differencing it asks for."""
+    a = R.brand_arrays(spark, d)
+    x = A.computed_once(a, plain=G.kpss(F.col("values")), differenced=G.kpss(G.difference(F.col("values"))), d=G.differences_needed(F.col("values")))
+    return x.select("k", r("plain", 6).alias("plain"), r("differenced", 6).alias("differenced"), big("d").alias("d"))
+
+
 @query("j16_zero_for_empty_history", sql=f"""
 WITH {R.BRAND}, c AS (SELECT k, COUNT(CASE WHEN v > 5000000 THEN 1 END) AS months, MAX_BY(v, i) FILTER (WHERE v > 5000000) AS last FROM s GROUP BY 1)
 SELECT k, CAST(h AS BIGINT) AS step, {rs('COALESCE(last, 0)')} AS value FROM c, generate_series(1, 3) t(h)""")

@@ -94,7 +94,7 @@ def forest(spark):
         (F.col("id") % 10).alias("po_net_value_category"), (F.col("id") % 24).cast("int").alias("age"), F.lit(0).alias("N"), F.lit(1).alias("quarter"),
         ((F.col("id") % 7) / 10.0).alias("cumulative_portion"), ((F.col("id") % 3) / 10.0).alias("target"))
     features = po.Features()
-    model, scores = po.train(rows, features, trees=5, depth=3)
+    model, scores = po.train(rows, features, trees=5, depth=3, rate=1.0)
     return model, scores, features, rows
 
 
@@ -102,13 +102,34 @@ def test_forest_learns_the_category(forest):
     assert forest[1]["r-squared"] > 0.9 and forest[1]["rmse"] < 0.05
 
 
+@pytest.mark.parametrize("rate", [0.5, 0.1])
+def test_prediction_is_base_and_rate_times_the_forest(forest, rate, spark, tmp_path):
+    """Base value plus the rate times the mean of the trees, which are fitted to what the base leaves."""
+    _, _, features, rows = forest
+    model = po.fit_forest(rows, features, trees=7, depth=2, rate=rate, seed=4)
+    whole = po.fit_forest(rows, features, trees=7, depth=2, rate=1.0, seed=4)
+    base = rows.agg(F.avg("target")).first()[0]
+    assert model.base == pytest.approx(base) and model.rate == rate
+    typed = po._typed(rows, features)
+    packed = model.trees.stages[0].transform(model.encode(typed)).select("doc_id", "features").collect()
+    trees = model.trees.stages[1].trees
+    by_hand = {r.doc_id: base + rate * np.mean([t.predict(r.features) for t in trees]) for r in packed}
+    found = {r.doc_id: r.prediction for r in model.transform(typed).collect()}
+    at_one = {r.doc_id: r.prediction for r in whole.transform(typed).collect()}
+    assert all(found[k] == pytest.approx(v) for k, v in by_hand.items())
+    assert all(found[k] - base == pytest.approx(rate * (at_one[k] - base)) for k in found)
+    po.save_model(model, str(tmp_path))
+    loaded = po.load_model(spark, str(tmp_path))
+    assert {r.doc_id: r.prediction for r in loaded.transform(typed).collect()} == found
+
+
 def test_a_thousand_categories(spark):
     rows = spark.range(4000).select(
         F.col("id").cast("string").alias("doc_id"), F.lit("2020").alias("fund_year"), F.lit("1").alias("item"),
         *[F.concat(F.lit("v"), (F.col("id") % 1000).cast("string")).alias(c) for c in po.ATTRIBUTES],
         F.lit(1).alias("po_net_value_category"), F.lit(3).alias("age"), F.lit(0).alias("N"), F.lit(1).alias("quarter"),
         F.lit(0.1).alias("cumulative_portion"), ((F.col("id") % 1000) / 1000.0).alias("target"))
-    _, scores = po.train(rows, po.Features(), trees=5, depth=5)
+    _, scores = po.train(rows, po.Features(), trees=5, depth=5, rate=1.0)
     assert scores["r-squared"] > 0.8
 
 

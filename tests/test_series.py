@@ -75,7 +75,12 @@ def test_smoothing_grids_against_loops(spark, noisy):
             sse += (y - level) ** 2
             level += alpha * (y - level)
         return sse, level
-    assert np.allclose(run_model(spark, "SimpleExpSmoothing", noisy), min(ses(a) for a in M.ALPHAS)[1])
+    best = min(ses(a) for a in M.ALPHAS)
+    on_grid, found = best[0], next(a for a in M.ALPHAS if ses(a) == best)
+    for level in M.ALPHA_STEPS:
+        sse, _, found = min((*ses(a), a) for a in (min(max(found + s, M.LEAST_WEIGHT), M.MOST_WEIGHT) for s in level))
+    assert sse <= on_grid
+    assert np.allclose(run_model(spark, "SimpleExpSmoothing", noisy), ses(found)[1])
 
     def holt(alpha, beta, phi):
         level, trend, sse = noisy[0], noisy[1] - noisy[0], 0.0
@@ -85,8 +90,23 @@ def test_smoothing_grids_against_loops(spark, noisy):
             sse += miss**2
             level, trend = ahead + alpha * miss, phi * trend + alpha * beta * miss
         return sse, level, trend, phi
-    _, level, trend, _ = min(holt(a, b, 1.0) for a in M.HOLT_ALPHAS for b in M.HOLT_BETAS)
+    def within(x, low=M.LEAST_WEIGHT, high=M.MOST_WEIGHT):
+        return min(max(x, low), high)
+
+    def search(phis, levels):
+        on_grid = best = min((holt(a, b, p)[0], a, b, p) for p in phis for a in M.HOLT_ALPHAS for b in M.HOLT_BETAS)
+        for level in levels:
+            _, a, b, p = best
+            near = [(within(a + da), within(b * fb), within(p + dp, M.LEAST_PHI, M.MOST_PHI) if len(phis) > 1 else p) for da, fb, dp in level]
+            best = min((holt(*x)[0], *x) for x in near)
+        assert best[0] <= on_grid[0]
+        return holt(*best[1:])
+
+    _, level, trend, _ = search([1.0], M.HOLT_STEPS)
     assert np.allclose(run_model(spark, "holt", noisy), [level + trend * h for h in range(1, 16)])
+    sse, level, trend, phi = search(D.DAMPING, M.DAMPED_STEPS)
+    fit = arrays(spark, a=noisy).select(D.damped_fit(F.col("values")).alias("f")).first().f
+    assert np.allclose([fit.sse, fit.level, fit.trend, fit.phi], [sse, level, trend, phi])
 
 
 def test_non_negative_search(spark):
@@ -253,3 +273,46 @@ def test_active_start_against_a_loop(spark, values):
     valid = [i for i in range(n) if ratio[i] >= 0.5 and not np.isnan(ts.rolling(24).mean()[i]) and ts.rolling(24).mean()[i] >= level]
     want = months[max(quiet, valid[0] if valid else 0)]
     assert windows.active_start(df, ["k"], "m", "v").first().active_from == want
+
+
+def slow_kpss(y):
+    e = np.asarray(y) - np.mean(y)
+    n = len(e)
+    lags = int(3 * math.sqrt(n) / 13)
+    spread = (e @ e + 2 * sum((1 - j / (lags + 1)) * (e[j:] @ e[:-j]) for j in range(1, lags + 1))) / n
+    return (np.cumsum(e) ** 2).sum() / n**2 / spread
+
+
+def test_level_test_equals_a_loop(spark):
+    rng = np.random.default_rng(2)
+    some = {f"s{n}": rng.normal(5, 2, n).cumsum() if n % 2 else rng.normal(5, 2, n) for n in (2, 3, 12, 19, 25, 60, 121, 240)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in some.items()] + [("flat", [3.0] * 40), ("none", []), ("one", [1.0])], "k string, values array<double>")
+    found = {r.k: r.s for r in df.select("k", G.kpss(F.col("values")).alias("s")).collect()}
+    assert found["flat"] is None and found["none"] is None and found["one"] is None
+    for k, y in some.items():
+        assert found[k] == pytest.approx(slow_kpss(y), rel=1e-9), k
+
+
+def test_differencing_follows_the_test(spark):
+    rng = np.random.default_rng(11)
+    kinds = {0: lambda: rng.normal(0, 1, 150), 1: lambda: rng.normal(0, 1, 150).cumsum(), 2: lambda: rng.normal(0, 1, 150).cumsum().cumsum()}
+    rows = [(d, i, make().tolist()) for d, make in kinds.items() for i in range(30)]
+    df = spark.createDataFrame(rows, "kind int, i int, values array<double>")
+    found = D.trend_search(df, "values", 6)
+    hits = {}
+    for r in found.collect():
+        y = np.array(r["values"])
+        by_hand = 0 if slow_kpss(y) <= 0.463 else 1 if slow_kpss(np.diff(y)) <= 0.463 else 2
+        assert r.d == by_hand
+        hits.setdefault(r.kind, []).append(r.d == r.kind)
+        aicc, p, coefficients = D.best_order(y, r.d)
+        assert p == r.p and np.allclose(r.trend_forecast, D.project_order(y, r.d, p, coefficients, 6))
+    # the usual lag window of the test lets some strongly correlated but stationary noise pass, so not every series agrees
+    assert all(np.mean(h) >= 0.7 for h in hits.values()), {k: np.mean(h) for k, h in hits.items()}
+
+
+def test_trend_search_of_odd_series(spark):
+    df = spark.createDataFrame([("none", None), ("empty", []), ("one", [4.0]), ("two", [4.0, 6.0]), ("flat", [2.0] * 40)], "k string, values array<double>")
+    found = {r.k: r.trend_forecast for r in D.trend_search(df, "values", 3).collect()}
+    assert found["none"] == found["empty"] == [0.0] * 3 and found["one"] == [4.0] * 3
+    assert np.allclose(found["flat"], 2.0) and len(found["two"]) == 3
