@@ -278,10 +278,11 @@ def forecast(arrays: DataFrame, keys: list[str], model: str | Model, steps: int,
     return explode_steps(ahead, keys, "_f", extra)
 
 
-def explode_steps(df: DataFrame, keys: list[str], column: str, extra: list[str] = ()) -> DataFrame:
+def explode_steps(df: DataFrame, keys: list[str], column: str, extra: list[str] = (), keep_empty: bool = False) -> DataFrame:
+    """One row per step of the array; ``keep_empty`` keeps a row of nulls for a missing array."""
     # outer: the inner form adds a size filter below, which would evaluate the forecast once more
     rows = df.select(*keys, *extra, "last_month", F.posexplode_outer(column).alias("_p", "value"))
-    return rows.where(F.col("_p").isNotNull()).select(
+    return (rows if keep_empty else rows.where(F.col("_p").isNotNull())).select(
         *keys, *extra, (F.col("_p") + 1).alias("step"),
         month_shift("last_month", F.col("_p") + 1).alias("month"), "value",
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import joins
 
 
 def r2() -> Column:
@@ -82,12 +83,12 @@ def yearly_errors(df: DataFrame, order: list[str] = ()) -> DataFrame:
 
 
 def against_actual_years(forecast: DataFrame, payments: DataFrame, keys: list[str], year: str, measure: str, years: list[int]) -> DataFrame:
-    """Forecast beside the actual totals of given years; keys silent in all of them drop out."""
+    """Forecast beside the actual totals of given years; keys silent in all of them drop out. A null is a key like any other."""
     actual = payments.groupBy(*keys).agg(*[
         F.sum(F.when(F.col(year) == y, F.col(measure)).otherwise(0.0)).alias(f"actual_{y}") for y in years
     ])
     names = [f"actual_{y}" for y in years]
-    out = forecast.join(actual, keys, "full")
+    out = joins.full_by_keys(forecast, actual, keys)
     out = out.fillna(0.0, [c for c in out.columns if c not in keys])
     alive = F.lit(False)
     for c in names:

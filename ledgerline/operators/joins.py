@@ -144,6 +144,14 @@ def ages_with_weight(orders: DataFrame, curr_year: int, curr_month: int, max_yea
     return aged.withColumn("copies", F.col("_years") - F.floor(F.col("age") / 12).cast("int")).drop("_years")
 
 
+def full_by_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Full join in which null keys meet; the other columns of both sides follow the keys."""
+    a = left.select(F.struct(*keys).alias("_key"), *[c for c in left.columns if c not in keys])
+    b = right.select(F.struct(*keys).alias("_of"), *[c for c in right.columns if c not in keys])
+    met = a.join(b, a["_key"].eqNullSafe(b["_of"]), "full").withColumn("_key", F.coalesce("_key", "_of")).drop("_of")
+    return met.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *[c for c in met.columns if c != "_key"])
+
+
 def align_on(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Dates present on both sides."""
     return left.join(right, on, "inner")

@@ -35,9 +35,9 @@ def log_moments(orders: DataFrame, value: str = "po_net_value") -> DataFrame:
         F.count("u").cast("double").alias("n"), F.sum("u").alias("s"), F.sum((F.col("u") * F.col("u")).cast("decimal(38,0)")).alias("q"),
         F.min("x").alias("low"), F.max("x").alias("high"))
     mean = F.try_divide(F.col("s").cast("double"), F.col("n"))
-    # exact until the last step: n * sum of squares - square of the sum, both as decimals
     spread = F.try_divide(F.col("q").cast("double") - mean * F.col("s").cast("double"), F.col("n") - 1)
-    return sums.select((mean / 1e9).alias("mu"), (spread / 1e18).alias("sigma_squared"), "low", "high")
+    mu = F.least(F.greatest(mean / 1e9, F.col("low")), F.col("high"))
+    return sums.select(mu.alias("mu"), (spread / 1e18).alias("sigma_squared"), "low", "high")
 
 
 def with_value_class(orders: DataFrame, value: str = "po_net_value", bins: int = CLASSES, keys: list[str] = KEY) -> DataFrame:

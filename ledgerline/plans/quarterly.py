@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..forecast import select
-from ..forecast.models import PAIR_MODELS, models_for
+from ..forecast.models import PAIR_MODELS
 from ..functions.labels import keep_for_labelling, label_column, rules_for
 from ..functions.scalars import month_end, parse_amount
 from ..operators import aggregates, joins, series, windows
@@ -39,11 +39,23 @@ def year_to_date(monthly: DataFrame) -> DataFrame:
     return out.drop("_y")
 
 
-def forecast_types(monthly: DataFrame, steps: int, type_of: str = "type", topics: list[str] | None = None) -> DataFrame:
-    """Every (type, fingroup) forecast by its own best model; types with their own model set are run by it."""
-    arrays = series.as_arrays(monthly, [type_of, "fingroup"], "month", "volume")
-    names = models_for(None)
-    return select.quarterly_run(arrays, [type_of, "fingroup"], steps, names)
+def model_sets(spark: SparkSession, sets: dict[str, list[str]]) -> DataFrame:
+    """The model sets by type as a table (type, model, rank): a few rows per type."""
+    rows = [(name, model, rank) for name, models in sets.items() for rank, model in enumerate(models)]
+    return spark.createDataFrame(rows, "type string, model string, rank int")
+
+
+def forecast_types(monthly: DataFrame, steps: int, sets: DataFrame | None = None) -> DataFrame:
+    """Every (type, fingroup) forecast by its own best model out of the set of its type.
+
+    ``sets`` is a table (type, model, rank); types it does not name choose among the default models, and the lower
+    rank wins a tie. A series that no model could score has a row of its keys alone.
+    """
+    keys = ["type", "fingroup"]
+    arrays = series.as_arrays(monthly, keys, "month", "volume")
+    if sets is not None:
+        arrays = select.attach_models(arrays, "type", sets)
+    return select.quarterly_run(arrays, keys, steps)
 
 
 def change_pairs(lines: DataFrame) -> DataFrame:
@@ -66,4 +78,5 @@ def forecast_pairs(monthly: DataFrame, steps: int) -> DataFrame:
 
 def net_forecast(forecast: DataFrame) -> DataFrame:
     """Forecast per party and month: what leaves it minus what enters it, by side."""
-    return aggregates.net_by_side(forecast, "class_out", "class_in", "value", ["month"])
+    known = forecast.where(F.col("month").isNotNull())
+    return aggregates.net_by_side(known, "class_out", "class_in", "value", ["month"])

@@ -53,6 +53,7 @@ def except_rows(df: DataFrame, conditions: dict) -> DataFrame:
 
 
 def registered(payments: DataFrame) -> DataFrame:
+    """Payments that name an order."""
     return payments.where(F.col("order_id") != OFF_REGISTER)
 
 
@@ -84,11 +85,14 @@ def register_split_top(payments: DataFrame, feature: str, top: int, minimum: flo
 
 
 def payments_with_orders(payments: DataFrame, orders: DataFrame, keys: list[str]) -> DataFrame:
-    """Payments per key, order and payment year beside the order value of that budget year (0 if none)."""
+    """Payments per key, order and payment year beside the order value of that budget year (0 if none).
+
+    Payments without an order id have no order value, like those off register; none are lost.
+    """
     paid = payments.groupBy(*keys, "order_id", F.col("payment_year").alias("year")).agg(F.sum("amount").alias("amount"))
     ordered = orders.groupBy("order_id", F.col("budget_year").alias("year")).agg(F.sum("sales_order_sum").alias("sales_order_sum"))
-    on = paid.where(F.col("order_id") != OFF_REGISTER).join(ordered, ["order_id", "year"], "left")
-    off = paid.where(F.col("order_id") == OFF_REGISTER).withColumn("sales_order_sum", F.lit(None).cast("double"))
+    on = registered(paid).join(ordered, ["order_id", "year"], "left")
+    off = unregistered(paid).withColumn("sales_order_sum", F.lit(None).cast("double"))
     return on.unionByName(off).withColumn("sales_order_sum", F.coalesce("sales_order_sum", F.lit(0.0)))
 
 

@@ -119,14 +119,18 @@ def _condition(values: dict) -> str:
     return " AND ".join(f"{c} IN ({', '.join(repr(v) for v in vs)})" for c, vs in values.items())
 
 
-def _label_sql(coin: int) -> str:
-    """Highest matching rule number instead of a reversed case chain."""
+def kept_budget(coin: int) -> str:
+    """Labelled budget rows: the highest matching rule number instead of a reversed case chain."""
     rules = L.rules_for(coin)
     ranks = ", ".join(f"CASE WHEN {_condition(c)} THEN {i} ELSE 0 END" for i, (_, c) in enumerate(rules, 1))
     names = [L.DEFAULT_LABEL] + [name for name, _ in rules]
     drop = "AND fund_code NOT IN (1407, 1405, 1400, 1406)" if coin == 1 else ""
-    return f"""WITH {R.BUDGET}, kept AS (SELECT *, ({names})[GREATEST({ranks}) + 1] AS type FROM budget
-      WHERE doc_type NOT IN ('RE', 'ZY', 'ZF', 'ZH') AND fund_code <> 1410 {drop})
+    return f"""{R.BUDGET}, kept AS (SELECT *, ({names})[GREATEST({ranks}) + 1] AS type FROM budget
+      WHERE doc_type NOT IN ('RE', 'ZY', 'ZF', 'ZH') AND fund_code <> 1410 {drop})"""
+
+
+def _label_sql(coin: int) -> str:
+    return f"""WITH {kept_budget(coin)}
       SELECT type, CAST(COUNT(*) AS BIGINT) AS cnt, {rs('SUM(volume)')} AS volume FROM kept GROUP BY 1"""
 
 

@@ -8,7 +8,7 @@ from ..forecast import models as M
 from ..functions import arrays as A
 from ..operators import series as O
 from ..operators import windows
-from ..plans import quarterly, revenue
+from ..plans import analysis, quarterly, revenue
 from . import query
 from . import roles as R
 from .joining import PAIRS
@@ -303,6 +303,45 @@ def _(spark, d):
     return a.select("k", F.posexplode_outer(path).alias("_p", "v")).select("k", big(F.col("_p") + 1).alias("step"), r("v").alias("value"))
 
 
+_KINDS = """w0 AS (SELECT k, m, v, AVG(v) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) AS trend, STDDEV_SAMP(v) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS sd, i FROM s0),
+kinds AS (SELECT k, CASE WHEN MIN(v) < 0 THEN 'additive' WHEN REGR_R2(sd, trend) FILTER (WHERE i >= 2) > 0.5 AND (REGR_SLOPE(sd, trend) FILTER (WHERE i >= 2)) * (AVG(trend) FILTER (WHERE i >= 2)) / (AVG(sd) FILTER (WHERE i >= 2)) > 0.1 THEN 'multiplicative' ELSE 'additive' END AS kind FROM w0 GROUP BY 1),
+s AS (SELECT s0.k, m, CASE WHEN kind = 'multiplicative' THEN LN(1 + v) ELSE v END AS v, i, n FROM s0 JOIN kinds USING (k))"""
+ANALYSED_YEAR = 2001
+_AHEAD = 2 + 6  # November and December, and the half year without a known trend
+ANALYSED = f"""{R.ACCOUNTS}, {_KINDS}, {_classical_ctes('v')}, tt AS (SELECT k, m, trend AS v, i - 6 AS i, n - 12 AS n FROM parts WHERE trend IS NOT NULL),
+{forecast_ctes('tt', 'q', _AHEAD, ['quadratic'])}, {forecast_ctes('tt', 'x', _AHEAD, ['holt'], tuple(D.DAMPING))},
+facts AS (SELECT k, MAX(n) AS n, MAX(m) AS last, STDDEV_SAMP(resid) AS msd, SUM(CASE WHEN YEAR(m) IN ({ANALYSED_YEAR - 2}, {ANALYSED_YEAR - 1}) THEN COALESCE(trend, 0) END) AS recent, MIN(trend) AS low FROM parts GROUP BY 1),
+ysd AS (SELECT k, STDDEV_SAMP(r) AS ysd FROM (SELECT k, YEAR(m) AS y, SUM(resid) AS r FROM parts WHERE resid IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+falls AS (SELECT k, MIN(f) AS least FROM q_f GROUP BY 1),
+ahead AS (SELECT q_f.k, facts.n - 6 + q_f.h AS i, CASE WHEN recent = 0 THEN 0 WHEN least < 0 AND low >= 0 THEN level + {_SHRUNK.format(s=3.0)} * (1 - POW(phi, q_f.h)) / (1 - phi) ELSE f END AS t
+  FROM q_f JOIN facts ON facts.k = q_f.k JOIN falls ON falls.k = q_f.k JOIN x_holt ON x_holt.k = q_f.k),
+trends AS (SELECT k, i, trend AS t FROM parts WHERE trend IS NOT NULL UNION ALL SELECT * FROM ahead),
+seasons AS (SELECT k, i, seasonal FROM parts UNION ALL SELECT p.k, p.n + h, p.seasonal FROM parts p, generate_series(1, 2) t(h) WHERE p.i = p.n - 12 + h),
+dated AS (SELECT k, kind, last_day(CAST(last + INTERVAL (i - n) MONTH AS DATE)) AS m, t + seasonal AS v, msd, ysd FROM trends JOIN seasons USING (k, i) JOIN facts USING (k) JOIN ysd USING (k) JOIN kinds USING (k)),
+back AS (SELECT k, kind, m, ysd, {', '.join(f"CASE WHEN kind = 'multiplicative' THEN EXP({e}) - 1 ELSE {e} END AS {n}" for n, e in (('value', 'v'), ('lower', 'v - 0.95 * msd'), ('upper', 'v + 0.95 * msd'), ('ylow', 'v - 0.95 * ysd'), ('yhigh', 'v + 0.95 * ysd')))}
+  FROM dated WHERE YEAR(m) = {ANALYSED_YEAR})"""
+
+
+def _analysed(spark, d):
+    return analysis.run(R.accounts(spark, d), ["k"], "date", "amount", R.CLOSED_TO, ANALYSED_YEAR)
+
+
+@query("j24_analysis_by_month", sql=f"""
+WITH RECURSIVE {ANALYSED} SELECT k, kind AS decomposition, CAST(m AS VARCHAR) AS month, {rs('value')} AS value, {rs('lower')} AS lower, {rs('upper')} AS upper FROM back""")
+def _(spark, d):
+    """Kind, components, trend, season and bounds of every account in one run, some in logs and some not."""
+    x = _analysed(spark, d)[0]
+    return x.select("k", "decomposition", txt("month").alias("month"), r("value").alias("value"), r("lower").alias("lower"), r("upper").alias("upper"))
+
+
+@query("j24_analysis_by_year", sql=f"""
+WITH RECURSIVE {ANALYSED}, y AS (SELECT k, kind, SUM(value) AS value, SUM(ylow) AS ylow, SUM(yhigh) AS yhigh, MAX(ysd) AS ysd FROM back GROUP BY 1, 2)
+SELECT k, kind AS decomposition, {rs('value')} AS value, {rs("CASE WHEN kind = 'multiplicative' THEN ylow ELSE value - 0.95 * ysd END")} AS lower, {rs("CASE WHEN kind = 'multiplicative' THEN yhigh ELSE value + 0.95 * ysd END")} AS upper FROM y""")
+def _(spark, d):
+    x = _analysed(spark, d)[1]
+    return x.select("k", "decomposition", r("value").alias("value"), r("lower").alias("lower"), r("upper").alias("upper"))
+
+
 RANKED = f"""{R.BRAND}, lv AS (SELECT k, MONTH(m) AS mo, FLOOR(v / 200000) AS v FROM s), rk AS (SELECT k, mo, v, RANK() OVER (PARTITION BY k ORDER BY v) + (COUNT(*) OVER (PARTITION BY k, v) - 1) / 2.0 AS rk, COUNT(*) OVER (PARTITION BY k) AS n FROM lv),
 ti AS (SELECT k, SUM(c * c * c - c) AS t FROM (SELECT k, v, COUNT(*) AS c FROM lv GROUP BY 1, 2) q GROUP BY 1), gm AS (SELECT k, mo, MAX(n) AS n, COUNT(*) AS c, SUM(rk) AS rsum FROM rk GROUP BY 1, 2)"""
 

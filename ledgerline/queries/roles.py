@@ -209,6 +209,27 @@ def brand_months(spark, d) -> DataFrame:
 
 
 # daily events as a short daily series
+# accounts ----------------------------------------------------------------------------------
+
+# part types by first word and line status: some swing with their level, as the line items of a month are weighted by its number
+ACCOUNTS = f"""am AS (SELECT SPLIT_PART(p_type, ' ', 1) || l_returnflag AS k, last_day(CAST(l_shipdate AS DATE)) AS m,
+  SUM(l_extendedprice * CASE WHEN l_returnflag = 'N' THEN POW(1.03, (YEAR(l_shipdate) - 1995) * 12 + MONTH(l_shipdate)) * (1 + MONTH(l_shipdate) % 3) ELSE 1 END) AS v
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate <= DATE '{CLOSED_TO}' GROUP BY 1, 2),
+ab AS (SELECT k, MIN(m) AS a FROM am GROUP BY 1),
+ag AS (SELECT k, last_day(CAST(t AS DATE)) AS m FROM ab, UNNEST(generate_series(CAST(date_trunc('month', a) AS TIMESTAMP), TIMESTAMP '{CLOSED_TO}', INTERVAL 1 MONTH)) u(t)),
+s0 AS (SELECT ag.k, ag.m, COALESCE(am.v, 0) AS v, ROW_NUMBER() OVER (PARTITION BY ag.k ORDER BY ag.m) AS i, COUNT(*) OVER (PARTITION BY ag.k) AS n FROM ag LEFT JOIN am ON am.k = ag.k AND am.m = ag.m)"""
+
+
+def accounts(spark, d) -> DataFrame:
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    month_no = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
+    swing = F.pow(F.lit(1.03), month_no) * (1 + F.month("l_shipdate") % 3)
+    weight = F.when(F.col("l_returnflag") == "N", swing).otherwise(F.lit(1.0))
+    return rows.where(F.col("l_shipdate") <= F.lit(CLOSED_TO).cast("date")).select(
+        F.concat(F.split_part("p_type", F.lit(" "), F.lit(1)), "l_returnflag").alias("k"), F.col("l_shipdate").cast("date").alias("date"),
+        (F.col("l_extendedprice") * weight).alias("amount"))
+
+
 DAYS = """days AS (SELECT event_type AS k, CAST(ts AS DATE) AS day, SUM(value) AS v FROM events GROUP BY 1, 2)"""
 
 

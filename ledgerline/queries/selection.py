@@ -8,6 +8,7 @@ from ..operators import series as O
 from ..plans import quarterly
 from . import query
 from . import roles as R
+from .cleaning import kept_budget
 from .joining import PAIRS
 from .models import forecast_ctes
 from .roles import big, r, rs, txt
@@ -74,11 +75,30 @@ def _(spark, d):
     return S.winners(chosen, ["k"]).groupBy("model").agg(F.count("*").alias("series"))
 
 
-@query("k05_topic_forecast")
+TOPIC_SETS = {"career_salary": ["mean", "naive"], "rest": ["snaive", "holt", "SeasonalLinear", "monthly_mean"], "vehicles": M.PAIR_MODELS}
+TOPIC_SERIES = f"""{kept_budget(1)}, tm AS (SELECT type || '|' || fingroup AS k, type, last_day(make_date(financial_year, month_no, 1)) AS m, SUM(volume) AS v FROM kept GROUP BY 1, 2, 3),
+tb AS (SELECT type || '|' || fingroup AS k, MIN(type) AS type, MIN(financial_year) AS a, MAX(financial_year) AS z FROM kept GROUP BY 1),
+tg AS (SELECT k, type, last_day(CAST(t AS DATE)) AS m FROM tb, UNNEST(generate_series(CAST(make_date(a, 1, 1) AS TIMESTAMP), CAST(make_date(z, 12, 1) AS TIMESTAMP), INTERVAL 1 MONTH)) u(t)),
+s AS (SELECT tg.k, tg.m, COALESCE(tm.v, 0) AS v, ROW_NUMBER() OVER (PARTITION BY tg.k ORDER BY tg.m) AS i, COUNT(*) OVER (PARTITION BY tg.k) AS n FROM tg LEFT JOIN tm ON tm.k = tg.k AND tm.m = tg.m)"""
+_SETS = ", ".join(f"('{t}', '{m}', {i})" for t, models in TOPIC_SETS.items() for i, m in enumerate(models))
+_DEFAULT = ", ".join(f"('{m}', {i})" for i, m in enumerate(M.DEFAULT_MODELS))
+TOPIC_CHOICE = f"""own(type, model, rank) AS (VALUES {_SETS}), usual(model, rank) AS (VALUES {_DEFAULT}),
+allowed AS (SELECT k, model, rank FROM tb JOIN own USING (type) UNION ALL SELECT k, model, rank FROM tb, usual WHERE type NOT IN (SELECT type FROM own)),
+tr AS (SELECT k, m, v, i, n - 12 AS n FROM s WHERE i <= n - 12 AND n >= 24), {forecast_ctes('tr', 'x', 12, ALL)},
+cmp AS (SELECT x_f.k, model, YEAR(s.m) AS y, SUM(s.v) AS a, SUM(f) AS f FROM x_f JOIN s ON s.k = x_f.k AND s.i = s.n - 12 + h GROUP BY 1, 2, 3),
+sc AS (SELECT k, model, AVG(ABS(a - f) / NULLIF(ABS(a), 0)) AS score FROM cmp GROUP BY 1, 2),
+win AS (SELECT * FROM (SELECT sc.*, ROW_NUMBER() OVER (PARTITION BY k ORDER BY score, rank) AS rn FROM sc JOIN allowed USING (k, model) WHERE score IS NOT NULL) q WHERE rn = 1)"""
+
+
+@query("k05_topic_forecast", sql=f"""
+WITH RECURSIVE {TOPIC_SERIES}, {TOPIC_CHOICE}, {forecast_ctes('s', 'z', 6, ALL)}, e AS (SELECT k, MAX(m) AS b FROM s GROUP BY k)
+SELECT SPLIT_PART(tb.k, '|', 1) AS type, SPLIT_PART(tb.k, '|', 2) AS fingroup, win.model, CAST(z_f.h AS BIGINT) AS step,
+ CASE WHEN win.k IS NOT NULL THEN CAST(last_day(CAST(b + INTERVAL (z_f.h) MONTH AS DATE)) AS VARCHAR) END AS month, CASE WHEN win.k IS NOT NULL THEN {rs('COALESCE(z_f.f, 0)')} END AS value
+FROM tb LEFT JOIN win ON win.k = tb.k LEFT JOIN z_f ON z_f.k = win.k AND z_f.model = win.model JOIN e ON e.k = tb.k""")
 def _(spark, d):
-    """Labelled budget rows forecast per (type, group), each by its own best model."""
+    """Labelled budget rows forecast per (type, group), each by the best model of its type's set; series without one stay as a row."""
     rows = quarterly.labelled(quarterly.budget_long(R.budget_wide(spark, d)), 1)
-    x = quarterly.forecast_types(quarterly.type_series(rows), 6)
+    x = quarterly.forecast_types(quarterly.type_series(rows), 6, quarterly.model_sets(spark, TOPIC_SETS))
     return x.select("type", "fingroup", "model", big("step").alias("step"), txt("month").alias("month"), r("value").alias("value"))
 
 
