@@ -7,6 +7,7 @@ does not depend on partitioning and a longer run repeats the shorter one.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import KEY
 from ..functions.scalars import equal_width_bin, hash_normal, hash_uniform
+from ..operators import ranking
 from ..operators.joins import first_per_key
 from ..session import cut_lineage
 from .po import ATTRIBUTES
@@ -73,53 +75,95 @@ def class_frequencies(classed: DataFrame, attributes: list[str] = ATTRIBUTES) ->
         ((F.coalesce("n", F.lit(0)) + 1.0) / (F.col("n_class") + F.col("k"))).alias("probability"))
 
 
-def class_of_features(frequencies: DataFrame, priors: DataFrame, rows: DataFrame, attributes: list[str]) -> DataFrame:
+@dataclass(frozen=True)
+class ClassModel:
+    """Add-one smoothed class model without a row for what was never seen.
+
+    ``counts`` has a row for each value seen in a class; every other value of the attribute has the count 0 there, and
+    so the same share. ``classes`` has the orders of each class, ``sizes`` the distinct values of each attribute.
+    """
+
+    counts: DataFrame  # value_class, attribute, value, n
+    classes: DataFrame  # value_class, rows
+    sizes: dict[str, int]
+
+
+def class_model(classed: DataFrame, attributes: list[str] = ATTRIBUTES) -> ClassModel:
+    rows = classed.select("value_class", _attribute_pairs(attributes).alias("_p")).select("value_class", "_p.*")
+    counts = cut_lineage(rows.groupBy("value_class", "attribute", "value").agg(F.count(F.lit(1)).alias("n")))
+    classes = counts.where(F.col("attribute") == attributes[0]).groupBy("value_class").agg(F.sum("n").alias("rows"))
+    sizes = counts.select("attribute", "value").distinct().groupBy("attribute").agg(F.count(F.lit(1)).alias("k"))
+    found = {r["attribute"]: r["k"] for r in sizes.collect()}  # one row per attribute
+    return ClassModel(counts, classes, {a: found.get(a, 0) for a in attributes})
+
+
+def class_of_features(model: ClassModel, rows: DataFrame) -> DataFrame:
     """Adds the most likely value class given the attributes (largest posterior, lower class on a tie).
 
-    Only distinct attribute combinations are scored, nulls as values of their own; a combination shared by a large
-    part of the rows joins back by a plain join, whose skewed partitions are split.
+    Each class starts from its share and from the score of values never seen in it; only values that were seen add to
+    it, so a combination meets the classes of its values and one more, the best of those that saw none of them. Only
+    distinct combinations are scored, nulls as values of their own; they join back by a plain join, whose skewed
+    partitions are split.
+    """
+    attributes = list(model.sizes)
+    start = F.ln("rows") - reduce(lambda x, y: x + y, [F.ln(F.col("rows") + k) for k in model.sizes.values()])
+    base = model.classes.select("value_class", start.alias("base"))
+    best = lambda score: F.struct(score.alias("lp"), (-F.col("value_class")).alias("c"))
+    fallback = base.agg(F.max(best(F.col("base"))).alias("b")).first()["b"]  # at most ``CLASSES`` rows
+    combos = rows.select(*attributes).distinct()
+    long = combos.select(*attributes, _attribute_pairs(attributes).alias("_p")).select(*attributes, "_p.*")
+    seen = long.join(model.counts, ["attribute", "value"]).groupBy(*attributes, "value_class").agg(F.sum(F.ln(F.col("n") + 1)).alias("gain"))
+    scored = seen.join(base, "value_class").groupBy(*attributes).agg(F.max(best(F.col("base") + F.col("gain"))).alias("_b"))
+    same = lambda left, right: reduce(lambda x, y: x & y, [left[a].eqNullSafe(right[f"_{a}"]) for a in attributes])
+    named = scored.select(*[F.col(a).alias(f"_{a}") for a in attributes], "_b")
+    most = F.greatest(F.col("_b"), F.struct(F.lit(fallback["lp"]).alias("lp"), F.lit(fallback["c"]).alias("c")))
+    return rows.join(named, same(rows, named), "left").withColumn("likely_class", -most["c"]).drop("_b", *[f"_{a}" for a in attributes])
+
+
+def _by_bucket(intervals: DataFrame, buckets: str, whole: str) -> DataFrame:
+    """Each interval ``low`` to ``high`` of 0 .. ``whole`` - 1 under every one of its class' ``buckets`` it reaches."""
+    at = lambda x: F.floor(F.try_divide(F.col(x) * F.col(buckets), F.col(whole)))
+    return intervals.where(F.col("low") <= F.col("high")).withColumn("bucket", F.explode(F.sequence(at("low"), at("high"))))
+
+
+def draw_attributes(drawn: DataFrame, model: ClassModel, ids: list[str], seed: int) -> DataFrame:
+    """One value per attribute for each drawn amount, by its class' shares.
+
+    A class has n + 1 lots for a value seen n times and one for every other value of the attribute. A drawn lot finds
+    its value by an interval join: the values seen, and the gaps between them for the others, lie under as many buckets
+    as there are intervals, so a draw meets about one of them, however many values there are.
     """
-    combos = rows.groupBy(*attributes).agg(F.count(F.lit(1)).alias("_rows"))
-    long = combos.select(*attributes, "_rows", _attribute_pairs(attributes).alias("_p")).select(*attributes, "_rows", "_p.*")
-    # classes are at most ``CLASSES``; packing them per attribute value keeps one row per (combination, attribute)
-    packed = frequencies.groupBy("attribute", "value").agg(
-        F.map_from_entries(F.collect_list(F.struct("value_class", F.ln("probability")))).alias("_by_class"))
-    scored = long.join(packed, ["attribute", "value"]).select(*attributes, "_rows", F.explode_outer("_by_class").alias("value_class", "lp"))
-    summed = scored.groupBy(*attributes, "_rows", "value_class").agg(F.sum("lp").alias("lp")).join(priors, "value_class")
-    best = F.max_by("value_class", F.struct(F.col("lp") + F.ln("prior"), -F.col("value_class")))
-    known = summed.groupBy(*attributes, "_rows").agg(best.alias("likely_class"))
-    known = known.select(*[F.col(a).alias(f"_{a}") for a in attributes], "likely_class")
-    same = reduce(lambda x, y: x & y, [rows[a].eqNullSafe(known[f"_{a}"]) for a in attributes])
-    return rows.join(known, same).drop(*[f"_{a}" for a in attributes])
-
-
-def class_priors(classed: DataFrame) -> DataFrame:
-    counts = classed.groupBy("value_class").agg(F.count(F.lit(1)).alias("n"))
-    whole = classed.agg(F.count(F.lit(1))).scalar()
-    return counts.select("value_class", (F.col("n") / whole).alias("prior"))
-
-
-def _cumulative(frequencies: DataFrame) -> DataFrame:
-    """Per (class, attribute) the value shares as an ordered array of (upper bound, value)."""
-    ordered = F.array_sort(F.collect_list(F.struct("value", "probability")))
-    packed = frequencies.groupBy("value_class", "attribute").agg(ordered.alias("_o"))
-    running = F.transform("_o", lambda x, i: F.struct(
-        F.aggregate(F.slice("_o", F.lit(1), i + 1), F.lit(0.0), lambda acc, y: acc + y["probability"]).alias("upper"),
-        x["value"].alias("value")))
-    return packed.select("value_class", "attribute", running.alias("_cdf"))
-
-
-def draw_attributes(drawn: DataFrame, frequencies: DataFrame, ids: list[str], attributes: list[str], seed: int) -> DataFrame:
-    """One value per attribute for each drawn amount, by its class' shares."""
-    wide = _cumulative(frequencies).groupBy("value_class").agg(*[
-        F.max(F.when(F.col("attribute") == a, F.col("_cdf"))).alias(f"_{a}") for a in attributes])
-    out = drawn.join(wide, "value_class")
-    for i, a in enumerate(attributes):
-        u = hash_uniform(*ids, seed=seed + 100 + i)
-        hit = F.get(F.filter(F.col(f"_{a}"), lambda c: c["upper"] > u), F.lit(0))
-        value = F.coalesce(hit["value"], F.element_at(F.col(f"_{a}"), -1)["value"])
-        out = out.withColumn(a, F.nullif(value, F.lit(MISSING))).drop(f"_{a}")
-    return out
+    attributes = list(model.sizes)
+    domain = model.counts.select("attribute", "value").distinct()
+    ranked = cut_lineage(ranking.ranks_in_ranges(domain, ["attribute"], [F.col("value")]))
+    sizes = F.create_map(*[x for a, k in model.sizes.items() for x in (F.lit(a), F.lit(k).cast("long"))])
+    per = ["value_class", "attribute"]
+    placed = model.counts.join(ranked, ["attribute", "value"])
+    w = Window.partitionBy(*per).orderBy("rank")
+    lots = F.col("n") + 1
+    seen = cut_lineage(placed.select(
+        *per, "rank", (F.row_number().over(w) - 1).cast("long").alias("i"), F.lag("rank").over(w).alias("before"),
+        (F.sum(lots).over(w) - lots).alias("low"), (F.sum(lots).over(w) - 1).alias("high")))
+    facts = seen.groupBy(*per).agg(F.count(F.lit(1)).alias("seen"), (F.max("high") + 1).alias("own"), F.max("rank").alias("last"))
+    facts = cut_lineage(facts.withColumn("others", F.try_element_at(sizes, F.col("attribute")) - F.col("seen")))
+    hits = _by_bucket(seen.join(facts, per), "seen", "own").select(*per, "bucket", "low", "high", "rank")
+    # a gap before the i-th value seen, and one behind the last: numbers of the other values in it
+    gap = seen.join(facts, per).select(*per, "seen", "others", "i", (F.coalesce("before", F.lit(-1)) + 1 - F.col("i")).alias("low"), (F.col("rank") - F.col("i") - 1).alias("high"))
+    behind = facts.select(*per, "seen", "others", F.col("seen").alias("i"), (F.col("last") + 1 - F.col("seen")).alias("low"), (F.col("others") - 1).alias("high"))
+    gaps = _by_bucket(gap.unionByName(behind).withColumn("parts", F.col("seen") + 1), "parts", "others").select(*per, "bucket", "low", "high", "i")
+
+    draws = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), hash_uniform(*ids, seed=seed + 100 + i).alias("u")) for i, a in enumerate(attributes)]))
+    long = drawn.select(*ids, "value_class", draws.alias("_d")).select(*ids, "value_class", "_d.*").join(facts, per)
+    lot = long.withColumn("lot", F.floor(F.col("u") * (F.col("own") + F.col("others"))))
+    inside = F.col("lot").between(F.col("low"), F.col("high"))
+    own = lot.where(F.col("lot") < F.col("own")).withColumn("bucket", F.floor(F.col("lot") * F.col("seen") / F.col("own")))
+    own = own.join(hits, [*per, "bucket"]).where(inside).select(*ids, "attribute", "rank")
+    rest = lot.where(F.col("lot") >= F.col("own")).withColumn("lot", F.col("lot") - F.col("own"))
+    rest = rest.withColumn("bucket", F.floor(F.try_divide(F.col("lot") * (F.col("seen") + 1), F.col("others"))))
+    rest = rest.join(gaps, [*per, "bucket"]).where(inside).select(*ids, "attribute", (F.col("lot") + F.col("i")).alias("rank"))
+    named = own.unionByName(rest).join(ranked, ["attribute", "rank"])
+    wide = named.groupBy(*ids).agg(*[F.max(F.when(F.col("attribute") == a, F.col("value"))).alias(a) for a in attributes])
+    return drawn.join(wide.select(*ids, *[F.nullif(a, F.lit(MISSING)).alias(a) for a in attributes]), ids)
 
 
 def draw_amounts(targets: DataFrame, moments: Row, known_classes: DataFrame, stretch: float | str, seed: int) -> DataFrame:
@@ -188,9 +232,9 @@ def synthetic_orders(orders: DataFrame, targets: DataFrame, seed: int = 0, attri
     The first stretch generously covers the need. Only targets that are still short have theirs doubled, as often as
     it takes; a round in which none of them gains anything is an error. Without orders there is nothing to draw from.
     """
-    # the model is small (classes x distinct values, and four numbers): made once, read by every step below
-    frequencies = cut_lineage(class_frequencies(with_value_class(orders), attributes))
-    known = frequencies.select("value_class").distinct()
+    # counts of the values seen, and four numbers: made once, read by every step below
+    model = class_model(with_value_class(orders), attributes)
+    known = model.classes.select("value_class")
     moments = log_moments(orders).first()
     if moments.mu is None:
         raise ValueError("no order with a positive value to learn from")
@@ -209,7 +253,7 @@ def synthetic_orders(orders: DataFrame, targets: DataFrame, seed: int = 0, attri
             raise RuntimeError("no draw falls into a known amount class")
         pending = short.select(*TARGET, "amount", (F.col("_stretch") * 2).alias("_stretch"), F.col("_got").alias("_had"))
     kept = number_orders(up_to_target(draw_amounts(reached, moments, known, "_stretch", seed)))
-    out = draw_attributes(kept, frequencies, [*TARGET, "draw"], attributes, seed)
+    out = draw_attributes(cut_lineage(kept), model, [*TARGET, "draw"], seed)
     return out.select(*KEY, *attributes, "po_net_value", "order_date")
 
 

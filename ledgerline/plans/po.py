@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import KEY
@@ -21,7 +21,7 @@ from ..functions import arrays as A
 from ..functions.scalars import (
     absolute_month, compact_month, compact_year, equal_width_bin, hash_uniform, key_year, parse_amount, relative_month,
 )
-from ..operators import aggregates, joins
+from ..operators import aggregates, joins, ranking
 from ..session import cut_lineage
 
 VOLUMES = ["RE", "ZF", "ZY"]
@@ -186,11 +186,10 @@ def _typed(df: DataFrame, features: Features) -> DataFrame:
 
 
 def category_codes(df: DataFrame, features: Features) -> DataFrame:
-    """(feature, value, code, cnt): codes of each category column by falling count, then by value."""
+    """(feature, value, code, cnt): codes of each category column by falling count, then by value, any number of values."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features.categorical]))
     counts = df.select(cells.alias("c")).groupBy("c.feature", "c.value").agg(F.count(F.lit(1)).alias("cnt"))
-    order = Window.partitionBy("feature").orderBy(F.desc("cnt"), "value")
-    return counts.withColumn("code", F.row_number().over(order) - 1)
+    return ranking.ranks_in_ranges(counts, ["feature"], [F.desc("cnt"), F.col("value")], "code")
 
 
 def category_levels(train: DataFrame, features: Features, prior_rows: float = 20.0) -> tuple[DataFrame, float]:

@@ -50,8 +50,8 @@ SELECT doc_id, CAST(age AS BIGINT) AS age, {rs('SUM(volume)')} AS value FROM cop
 def _(spark, d):
     orders = po.prepare_orders(R.po_orders(spark, d), R.po_dates(spark, d))
     copies = orders.select(*KEY, S.absolute_month("order_year", "order_month").alias("order_abs"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("age"))
-    rows = joins.edits_within_age(copies, po.prepare_edits(R.po_edits(spark, d)), KEY)
-    return rows.groupBy("doc_id", big("age").alias("age")).agg(r(F.sum("volume")).alias("value"))
+    rows = joins.edit_sums_as_of(copies, po.prepare_edits(R.po_edits(spark, d)), KEY)
+    return rows.select("doc_id", big("age").alias("age"), r("volume").alias("value"))
 
 
 COMBINED = R.PAYMENTS + ", " + R.SALES + """,

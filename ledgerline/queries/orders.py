@@ -36,12 +36,21 @@ def _(spark, d):
     return po.sane_labels(training(spark, d)).groupBy("fingroup").agg(F.count("*").alias("cnt"), r(F.sum("target"), 5).alias("target"))
 
 
-@query("c28_feature_typing")
+_CATEGORIES = po.Features().categorical
+
+
+@query("c28_feature_typing", sql=f"""
+WITH {TRAINING}, rng AS (SELECT MIN(LN(po_net_value)) AS a, MAX(LN(po_net_value)) AS z FROM po_orders),
+typed AS (SELECT po_orders.*, CAST(CAST(LEAST(10, GREATEST(1, CEIL((LN(po_net_value) - rng.a) / ((rng.z - rng.a) / 10.0)))) AS INT) AS VARCHAR) AS po_net_value_category
+  FROM training JOIN po_orders USING (doc_id), rng),
+cells AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, COALESCE({c}, '') AS value FROM typed" for c in _CATEGORIES)}),
+counts AS (SELECT feature, value, COUNT(*) AS cnt FROM cells GROUP BY 1, 2)
+SELECT feature, CAST(ROW_NUMBER() OVER (PARTITION BY feature ORDER BY cnt DESC, value) - 1 AS BIGINT) AS code, cnt, value FROM counts""")
 def _(spark, d):
     """Category codes of all training rows, counted per feature column."""
     features = po.Features()
     rows = po._typed(training(spark, d), features)
-    return po.category_codes(rows, features).select("feature", big("code").alias("code"), "cnt")
+    return po.category_codes(rows, features).select("feature", big("code").alias("code"), "cnt", "value")
 
 
 @query("k06_two_stage_sample")
@@ -117,7 +126,7 @@ sc AS (SELECT {', '.join('combo.' + a for a in po.ATTRIBUTES)}, pri.value_class,
 SELECT doc_id, likely_class FROM classed JOIN bestc USING ({', '.join(po.ATTRIBUTES)})""")
 def _(spark, d):
     c = classed(spark, d)
-    x = generate.class_of_features(generate.class_frequencies(c), generate.class_priors(c), c, po.ATTRIBUTES)
+    x = generate.class_of_features(generate.class_model(c), c)
     return x.select("doc_id", big("likely_class").alias("likely_class"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerline import KEY
 from ledgerline.forecast import models as M
 from ledgerline.plans import documents, generate, po, residual
-from ledgerline.operators import joins
+from ledgerline.operators import joins, ranking
 
 ORDERS = [
     ("1", "2023", "1", "Std", "A", "O1", "CapEx", "G1", "1,000.50"), ("1", "2023", "1", "Std", "A", "O1", "CapEx", "G1", "99.50"),
@@ -86,6 +86,24 @@ def test_edits_range_join(ready, spark):
     assert [(r.age, r.v) for r in got] == [(0, 2000.0), (5, 1500.0)]
 
 
+def test_edit_sums_by_place_equal_the_range_join(ready, spark):
+    rng = np.random.default_rng(3)
+    keys = "doc_id string, fund_year string, item string"
+    edits = spark.createDataFrame([(str(rng.integers(40)), "f", "1", int(24_000 + rng.integers(-6, 30)), float(rng.integers(-50, 90))) for _ in range(600)], f"{keys}, edit_abs int, volume double")
+    copies = spark.createDataFrame([(str(k), "f", "1", 24_000 + k % 5, age) for k in range(42) for age in range(0, 30, 3)], f"{keys}, order_abs int, age int")
+    slow = joins.edits_within_age(copies, edits, KEY).groupBy("doc_id", "age").agg(F.sum("volume").alias("v"))
+    found = joins.edit_sums_as_of(copies, edits, KEY)
+    assert {(r.doc_id, r.age): round(r.volume, 6) for r in found.collect()} == {(r.doc_id, r.age): round(r.v, 6) for r in slow.collect()}
+
+
+def test_ranks_in_ranges(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("k"), (F.col("id") % 7).alias("n"), F.col("id").cast("string").alias("v"))
+    found = ranking.ranks_in_ranges(rows.repartition(9), ["k"], [F.desc("n"), F.col("v")]).collect()
+    for k in "ab":
+        mine = sorted((r for r in found if r.k == k), key=lambda r: (-r.n, r.v))
+        assert [r["rank"] for r in mine] == list(range(len(mine)))
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     rows = spark.range(600).select(
@@ -187,6 +205,45 @@ def test_generator_reaches_targets(spark):
     assert {r.fingroup for r in rows} <= {"g0", "g1", "g2", "g3"}
 
 
+def test_class_scores_equal_the_grid(spark):
+    """The class from the counts alone is that of the whole grid of shares, also for values no order had."""
+    orders = history_orders(spark)
+    classed = generate.with_value_class(orders, bins=8)
+    grid = {(r.value_class, r.attribute, r.value): r.probability for r in generate.class_frequencies(classed).collect()}
+    model = generate.class_model(classed)
+    classes = {r.value_class: r.rows for r in model.classes.collect()}
+    strange = spark.createDataFrame([("x", "2024", "1", "t0", "h1", "o", "c", "g3", 1.0), ("y", "2024", "1", "never", None, "no", "ne", "of", 1.0)], orders.schema)
+    for r in generate.class_of_features(model, orders.unionByName(strange)).collect():
+        scores = {c: math.log(n) + sum(math.log(grid.get((c, a, r[a]), 1 / (n + model.sizes[a]))) for a in po.ATTRIBUTES) for c, n in classes.items()}
+        assert scores[r.likely_class] == pytest.approx(max(scores.values()))
+
+
+def test_drawn_shares(spark):
+    """Seen values are drawn by their counts and one more, all others of the attribute once each."""
+    attributes = ["po_type"]
+    rows = [(1, f"v{k:03d}") for k in range(0, 90, 3) for _ in range(k % 4 + 1)] + [(2, f"v{k:03d}") for k in range(100)]
+    model = generate.class_model(spark.createDataFrame(rows, "value_class int, po_type string"), attributes)
+    assert model.sizes == {"po_type": 100}
+    drawn = spark.range(60_000).select(F.col("id").alias("draw"), F.lit(1).alias("value_class"))
+    found = {r.po_type: r["count"] for r in generate.draw_attributes(drawn, model, ["draw"], 5).groupBy("po_type").count().collect()}
+    assert sum(found.values()) == 60_000 and set(found) == {f"v{k:03d}" for k in range(100)}
+    lots = {f"v{k:03d}": (k % 4 + 2 if k % 3 == 0 and k < 90 else 1) for k in range(100)}
+    whole = sum(lots.values())
+    chi = sum((found[v] - 60_000 * n / whole) ** 2 / (60_000 * n / whole) for v, n in lots.items())
+    assert chi < 150  # 99 degrees of freedom
+
+
+def test_a_hundred_thousand_values_of_an_attribute(spark):
+    rows = spark.range(200_000).select((F.col("id") % 4 + 1).cast("int").alias("value_class"), F.concat(F.lit("v"), (F.col("id") % 100_000).cast("string")).alias("po_type"))
+    model = generate.class_model(rows, ["po_type"])
+    drawn = spark.range(20_000).select(F.col("id").alias("draw"), (F.col("id") % 4 + 1).cast("int").alias("value_class"))
+    made = generate.draw_attributes(drawn, model, ["draw"], 1)
+    assert made.count() == 20_000 == made.where("po_type rlike '^v[0-9]+$'").count()
+    own = made.where(F.expr("int(substr(po_type, 2)) % 4 + 1 = value_class")).count() / 20_000
+    # a class saw 25,000 values twice, 3 lots each, and 75,000 others have one lot each
+    assert abs(own - 0.5) < 0.02 and made.select("po_type").distinct().count() > 15_000
+
+
 def test_no_targets_no_orders(spark):
     empty = spark.createDataFrame([], "year string, month string, fund_year string, amount double")
     made = generate.synthetic_orders(history_orders(spark), empty)
@@ -228,5 +285,5 @@ def test_generator_with_null_attributes_and_a_single_order(spark):
     assert sum(r.po_net_value for r in made) >= 500 and all(r.huka is None and r.po_type == "a" for r in made)
     two = one.union(spark.createDataFrame([("2", "2020", "10", "a", "h", "b", "c", "d", 900.0)], schema))
     classed = generate.with_value_class(two)
-    likely = generate.class_of_features(generate.class_frequencies(classed), generate.class_priors(classed), two, po.ATTRIBUTES)
+    likely = generate.class_of_features(generate.class_model(classed), two)
     assert likely.count() == 2
