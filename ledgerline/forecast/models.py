@@ -264,11 +264,6 @@ REGISTRY: dict[str, Model] = {
 }
 PAIR_MODELS = ["naive", "snaive", "mean", "SimpleExpSmoothing"]
 DEFAULT_MODELS = [m for m in REGISTRY if m != "monthly_mean"]
-MODELS_BY_TOPIC: dict[str, list[str]] = {"ZH": PAIR_MODELS}
-
-
-def models_for(topic: str | None) -> list[str]:
-    return MODELS_BY_TOPIC.get(topic or "", DEFAULT_MODELS)
 
 
 def forecast(arrays: DataFrame, keys: list[str], model: str | Model, steps: int, extra: list[str] = ()) -> DataFrame:
