@@ -7,6 +7,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import ranking, windows
 from ..plans import po, quarterly, spend
+from ..session import cut_lineage
 from . import query
 from . import roles as R
 from .joining import HISTORY, PAIRS, history
@@ -116,12 +117,18 @@ def _(spark, d):
 
 
 @query("e13_zero_cells", sql=f"""
-WITH {PAIRS}, x AS (SELECT class_out, year, month, SUM(CASE WHEN class_in = 'C3' THEN value ELSE 0 END) AS v FROM pairs GROUP BY 1, 2, 3)
-SELECT class_out, CAST(COUNT(CASE WHEN v = 0 THEN 1 END) AS BIGINT) AS zeros FROM x GROUP BY 1""")
+WITH {PAIRS}, labels AS (SELECT DISTINCT class_in FROM pairs), rows AS (SELECT DISTINCT class_out, year, month FROM pairs),
+cells AS (SELECT rows.*, labels.class_in, COALESCE((SELECT SUM(value) FROM pairs p WHERE p.class_out = rows.class_out AND p.year = rows.year AND p.month = rows.month AND p.class_in = labels.class_in), 0) AS v FROM rows, labels)
+SELECT class_out, class_in, CAST(COUNT(CASE WHEN v = 0 THEN 1 END) AS BIGINT) AS zeros FROM cells GROUP BY 1, 2""")
 def _(spark, d):
-    pairs = quarterly.change_pairs(R.change_lines(spark, d))
-    cells = A.zero_cells(A.pivot_sum(pairs, ["class_out", "year", "month"], "class_in", ["C3"], "value"), "C3")
-    return cells.groupBy("class_out").agg(F.count("C3").alias("zeros"))
+    """Zero cells of every pair of classes in the matrix of months; all labels of the table are columns."""
+    pairs = cut_lineage(quarterly.change_pairs(R.change_lines(spark, d)))
+    labels = sorted(row["class_in"] for row in pairs.select("class_in").distinct().collect())  # the columns of the matrix
+    cells = A.pivot_sum(pairs, ["class_out", "year", "month"], "class_in", labels, "value")
+    for label in labels:
+        cells = A.zero_cells(cells, label)
+    counted = cells.groupBy("class_out").agg(*[F.count(label).alias(label) for label in labels])
+    return A.melt(counted, ["class_out"], labels, "class_in", "zeros")
 
 
 @query("e14_share_of_total", sql=f"""
@@ -169,16 +176,6 @@ def _(spark, d):
     return t.select("k", "count", *[r(c, n).alias(c) for c, n in digits.items()])
 
 
-@query("e19_change_after_cleaning", sql=f"""
-WITH {R.DAYS}, x AS (SELECT k, STDDEV_SAMP(v) AS before, STDDEV_SAMP(CASE WHEN v <= 400 THEN v END) AS after FROM days GROUP BY 1)
-SELECT k, {rs('(before - after) / before', 6)} AS improvement FROM x""")
-def _(spark, d):
-    e = R.table(spark, d, "events").groupBy(F.col("event_type").alias("k"), F.col("ts").cast("date").alias("day")).agg(F.sum("value").alias("v"))
-    before = A.describe(e, ["k"], "v").select("k", F.col("std").alias("before"))
-    after = A.describe(e.where(F.col("v") <= 400), ["k"], "v").select("k", F.col("std").alias("after"))
-    return before.join(after, "k", "left").select("k", r(F.try_divide(F.col("before") - F.col("after"), "before"), 6).alias("improvement"))
-
-
 @query("e20_log_histogram", sql=f"""
 WITH {R.PAYMENTS}, x AS (SELECT SIGN(amount) * LN(ABS(amount)) AS x FROM payments), b AS (SELECT MIN(x) AS a, MAX(x) AS z, COUNT(*) AS n FROM x)
 SELECT CAST(LEAST(50, FLOOR((x - a) / ((z - a) / 50.0)) + 1) AS BIGINT) AS bin, CAST(COUNT(*) AS BIGINT) AS count, {rs('COUNT(*) / (MIN(n) * (MIN(z - a) / 50.0))', 8)} AS density FROM x, b GROUP BY 1""")

@@ -104,15 +104,21 @@ def _(spark, d):
     return out.select("huka", "doc_type", *[r(f"actual_{y}").alias(f"actual_{y}") for y in (1999, 2000, 2001)])
 
 
+_LARGE = {c: f"{c} > (SELECT AVG({c}) / 2 FROM truth)" for c in ("predicted", "actual", "alternative")}
+
+
+def _large(t, c):
+    """The keys whose total is over half the mean, so that the sides of a join lack different keys."""
+    return t.where(F.col(c) > t.agg(F.avg(c) / 2).scalar())
+
+
 def _sided(spark, d):
     t = R.truth(spark, d)
-    forecast = t.where(F.col("predicted") > 20000).select("k", F.col("predicted").alias("value"))
-    actual = t.where(F.col("actual") > 20000).select("k", F.col("actual").alias("value"))
-    return t, forecast, actual
+    return t, *[_large(t, c).select("k", F.col(c).alias("value")) for c in ("predicted", "actual")]
 
 
 @query("d09_forecast_outer_truth", sql=f"""
-WITH {R.TRUTH}, f AS (SELECT k, predicted FROM truth WHERE predicted > 20000), a AS (SELECT k, actual FROM truth WHERE actual > 20000)
+WITH {R.TRUTH}, f AS (SELECT k, predicted FROM truth WHERE {_LARGE["predicted"]}), a AS (SELECT k, actual FROM truth WHERE {_LARGE["actual"]})
 SELECT k, {rs('COALESCE(predicted, 0)')} AS predicted, {rs('COALESCE(actual, 0)')} AS actual FROM f FULL JOIN a USING (k)""")
 def _(spark, d):
     _, f, a = _sided(spark, d)
@@ -121,7 +127,7 @@ def _(spark, d):
 
 
 @query("d10_reindex_to_dimension", sql=f"""
-WITH {R.TRUTH}, f AS (SELECT k, predicted FROM truth WHERE predicted > 20000) SELECT t.k, {rs('COALESCE(f.predicted, 0)')} AS predicted FROM truth t LEFT JOIN f USING (k) WHERE cluster <> 'high std'""")
+WITH {R.TRUTH}, f AS (SELECT k, predicted FROM truth WHERE {_LARGE["predicted"]}) SELECT t.k, {rs('COALESCE(f.predicted, 0)')} AS predicted FROM truth t LEFT JOIN f USING (k) WHERE cluster <> 'high std'""")
 def _(spark, d):
     t, f, _ = _sided(spark, d)
     out = joins.reindex_to(t.where(F.col("cluster") != "high std"), f, ["k"], ["value"])
@@ -129,10 +135,10 @@ def _(spark, d):
 
 
 @query("d11_common_keys", sql=f"""
-WITH {R.TRUTH} SELECT k, {rs('actual')} AS actual FROM truth WHERE predicted > 20000 AND actual > 20000 AND alternative > 20000""")
+WITH {R.TRUTH} SELECT k, {rs('actual')} AS actual FROM truth WHERE {' AND '.join(_LARGE.values())}""")
 def _(spark, d):
     t, f, a = _sided(spark, d)
-    alt = t.where(F.col("alternative") > 20000).select("k", "alternative")
+    alt = _large(t, "alternative").select("k", "alternative")
     both = joins.common_keys(f.withColumnRenamed("value", "predicted"), a.withColumnRenamed("value", "actual"), alt, on=["k"])
     return both.select("k", r("actual").alias("actual"))
 

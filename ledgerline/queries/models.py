@@ -173,12 +173,14 @@ def _(spark, d):
 
 
 @query("j16_zero_for_empty_history", sql=f"""
-WITH {R.BRAND}, c AS (SELECT k, COUNT(CASE WHEN v > 5000000 THEN 1 END) AS months, MAX_BY(v, i) FILTER (WHERE v > 5000000) AS last FROM s GROUP BY 1)
-SELECT k, CAST(h AS BIGINT) AS step, {rs('COALESCE(last, 0)')} AS value FROM c, generate_series(1, 3) t(h)""")
+WITH {R.BRAND}, w AS (SELECT k, i, v, (SELECT AVG(top) FROM (SELECT MAX(v) AS top FROM s GROUP BY k) q) AS strong FROM s), c AS (SELECT k, COUNT(CASE WHEN v > strong THEN 1 END) AS months, MAX_BY(v, i) FILTER (WHERE v > strong) AS last FROM w GROUP BY 1)
+SELECT k, CAST(h AS BIGINT) AS step, months, {rs('COALESCE(last, 0)')} AS value FROM c, generate_series(1, 3) t(h)""")
 def _(spark, d):
-    # only strong months count as history, so some brands have none
-    a = R.brand_arrays(spark, d).withColumn("values", F.filter("values", lambda v: v > 5000000))
-    return M.forecast(a, ["k"], "naive", 3).select("k", big("step").alias("step"), r("value").alias("value"))
+    # only months over the mean of the brands' best months count as history here, so some brands have none
+    arrays = R.brand_arrays(spark, d)
+    strong = arrays.agg(F.avg(F.array_max("values"))).first()[0]
+    a = arrays.withColumn("values", F.filter("values", lambda v: v > strong)).withColumn("months", F.size("values"))
+    return M.forecast(a, ["k"], "naive", 3, ["months"]).select("k", big("step").alias("step"), big("months").alias("months"), r("value").alias("value"))
 
 
 @query("j17_sparse_fallback", sql=f"""

@@ -71,13 +71,20 @@ def _(spark, d):
         F.count("*").alias("days"), big(F.sum(F.col("is_spike").cast("int"))).alias("spikes"), r(F.max("deviation"), 4).alias("largest"))
 
 
-@query("f07_interpolate_by_time", sql=f"""
-WITH {SPIKES}, g AS (SELECT huka, doc_type, day, amount, COALESCE(deviation > 2.5, FALSE) AS spike, CASE WHEN COALESCE(deviation > 2.5, FALSE) THEN NULL ELSE amount END AS v FROM dev),
+CLEANED = f"""{SPIKES}, g AS (SELECT huka, doc_type, day, amount, COALESCE(deviation > 2.5, FALSE) AS spike, CASE WHEN COALESCE(deviation > 2.5, FALSE) THEN NULL ELSE amount END AS v FROM dev),
 nb AS (SELECT *, LAST_VALUE(v IGNORE NULLS) OVER p AS pv, LAST_VALUE(CASE WHEN v IS NOT NULL THEN day END IGNORE NULLS) OVER p AS pd, FIRST_VALUE(v IGNORE NULLS) OVER f AS nv, FIRST_VALUE(CASE WHEN v IS NOT NULL THEN day END IGNORE NULLS) OVER f AS nd
-  FROM g WINDOW p AS (PARTITION BY huka, doc_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY huka, doc_type ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT CAST(huka AS BIGINT) AS huka, doc_type, CAST(day AS VARCHAR) AS day, {rs('amount')} AS raw, {rs("CASE WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * DATEDIFF('day', pd, day) / DATEDIFF('day', pd, nd) END", 3)} AS clean FROM nb WHERE spike""")
+  FROM g WINDOW p AS (PARTITION BY huka, doc_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY huka, doc_type ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+cleaned AS (SELECT huka, doc_type, day, amount, spike, CASE WHEN v IS NOT NULL THEN v WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * DATEDIFF('day', pd, day) / DATEDIFF('day', pd, nd) END AS clean FROM nb)"""
+
+
+def cleaned_days(spark, d):
+    return windows.remove_spikes(_daily(spark, d), ["huka", "doc_type"], "day", "amount", threshold=2.5)
+
+
+@query("f07_interpolate_by_time", sql=f"""
+WITH {CLEANED} SELECT CAST(huka AS BIGINT) AS huka, doc_type, CAST(day AS VARCHAR) AS day, {rs('amount')} AS raw, {rs('clean', 3)} AS clean FROM cleaned WHERE spike""")
 def _(spark, d):
-    x = windows.remove_spikes(_daily(spark, d), ["huka", "doc_type"], "day", "amount", threshold=2.5)
+    x = cleaned_days(spark, d)
     return x.where("is_spike").select(big("huka").alias("huka"), "doc_type", txt("day").alias("day"), r("raw").alias("raw"), r("clean", 3).alias("clean"))
 
 
@@ -189,3 +196,17 @@ def _(spark, d):
     ahead = forecast(R.brand_arrays(spark, d), ["k"], flat, 6)
     x = windows.running_sum(ahead, ["k"], ["step"], "value", "running")
     return x.select("k", big("step").alias("step"), r("running").alias("running"))
+
+
+_STATS = {"mean": "AVG({0})", "std": "STDDEV_SAMP({0})", "max": "MAX({0})", "cv": "STDDEV_SAMP({0}) / NULLIF(AVG({0}), 0)"}
+
+
+@query("e19_change_after_cleaning", sql=f"""
+WITH {CLEANED} SELECT CAST(huka AS BIGINT) AS huka, doc_type, {', '.join(f"{rs(f'({e.format("amount")} - {e.format("clean")}) / NULLIF({e.format("amount")}, 0)', 6)} AS {n}_change" for n, e in _STATS.items())} FROM cleaned GROUP BY 1, 2""")
+def _(spark, d):
+    """Relative change of the daily statistics of every key by the cleaning of spikes, over all its days."""
+    x = cleaned_days(spark, d)
+    keys = ["huka", "doc_type"]
+    before, after = (aggregates.describe(x, keys, c).select(*keys, *[F.col(n).alias(f"{c}_{n}") for n in _STATS]) for c in ("raw", "clean"))
+    both = before.join(after, keys)
+    return both.select(big("huka").alias("huka"), "doc_type", *[r(F.try_divide(F.col(f"raw_{n}") - F.col(f"clean_{n}"), f"raw_{n}"), 6).alias(f"{n}_change") for n in _STATS])
