@@ -83,6 +83,7 @@ def _(spark, d):
 # --- residual share -------------------------------------------------------------------
 
 RES_KEYS = R.KEYS
+FEATURES = ["inviting_partner", "sales_office", "sales_organistion"]
 _K = "CONCAT_WS('|', huka, expediture_type, fc3, doc_type)"
 RESID = f"""{R.PAYMENTS}, {R.SALES}, mon AS (SELECT {_K} AS k, last_day(payment_date) AS m, SUM(amount) AS v FROM payments GROUP BY 1, 2),
 span AS (SELECT k, MIN(m) AS a, MAX(m) AS b FROM mon GROUP BY 1),
@@ -90,10 +91,10 @@ grid AS (SELECT k, last_day(CAST(g AS DATE)) AS m FROM span, UNNEST(generate_ser
 s AS (SELECT grid.k, grid.m, COALESCE(v, 0) AS v, ROW_NUMBER() OVER (PARTITION BY grid.k ORDER BY grid.m) AS i, COUNT(*) OVER (PARTITION BY grid.k) AS n FROM grid LEFT JOIN mon ON mon.k = grid.k AND mon.m = grid.m),
 {_classical_ctes('v')},
 gate AS (SELECT k FROM parts WHERE ABS(resid) > 1e-6 AND SPLIT_PART(k, '|', 4) = 'RV' GROUP BY 1 HAVING COUNT(*) > {residual.MIN_RESIDUALS}),
-attr AS (SELECT order_id, MIN(sales_office) AS office FROM (SELECT order_id, sales_office FROM sales) q GROUP BY 1),
-ft AS (SELECT {_K} AS k, office, last_day(payment_date) AS m, SUM(amount) AS fa FROM payments JOIN attr USING (order_id) WHERE order_id <> '#' GROUP BY 1, 2, 3),
+attr AS ({' UNION ALL '.join(f"SELECT order_id, '{f}' AS feature, MIN(CAST({f} AS VARCHAR)) AS val FROM sales WHERE {f} IS NOT NULL GROUP BY 1" for f in FEATURES)}),
+ft AS (SELECT {_K} AS k, feature, val, last_day(payment_date) AS m, SUM(amount) AS fa FROM payments JOIN attr USING (order_id) WHERE order_id <> '#' GROUP BY 1, 2, 3, 4),
 sh AS (SELECT ft.*, resid * fa / NULLIF(v, 0) AS rs FROM ft JOIN parts USING (k, m) JOIN gate USING (k)),
-lg AS (SELECT *, {', '.join(f'LAG(rs, {k}) OVER (PARTITION BY k, office ORDER BY m) AS l{k}' for k in residual.LAGS)} FROM sh),
+lg AS (SELECT *, {', '.join(f'LAG(rs, {k}) OVER (PARTITION BY k, feature, val ORDER BY m) AS l{k}' for k in residual.LAGS)} FROM sh),
 tbl AS (SELECT * FROM lg WHERE rs IS NOT NULL AND {' AND '.join(f'l{k} IS NOT NULL' for k in residual.LAGS)})"""
 
 
@@ -107,39 +108,95 @@ def _residuals(spark, d):
 
 
 def _share_table(spark, d, residuals=None):
-    rows = residual.feature_months(R.payments(spark, d), R.sales(spark, d), RES_KEYS, "sales_office")
-    return residual.share_table(rows, _residuals(spark, d) if residuals is None else residuals, RES_KEYS, "sales_office")
+    rows = residual.feature_months(R.payments(spark, d), R.sales(spark, d), RES_KEYS, FEATURES)
+    return residual.share_table(rows, _residuals(spark, d) if residuals is None else residuals, RES_KEYS)
 
 
 @query("k18_residual_share_table", sql=f"""
-WITH {RESID} SELECT k, office, CAST(m AS VARCHAR) AS m, {rs('rs', 1)} AS resid_share, {rs('l1', 1)} AS lag_1, {rs('l12', 1)} AS lag_12 FROM tbl""")
+WITH {RESID} SELECT k, feature, val AS value, CAST(m AS VARCHAR) AS m, {rs('rs', 1)} AS resid_share, {rs('l1', 1)} AS lag_1, {rs('l12', 1)} AS lag_12 FROM tbl""")
 def _(spark, d):
     t = _share_table(spark, d)
-    return t.select(_joined_key().alias("k"), F.col("sales_office").alias("office"), txt("month").alias("m"),
+    return t.select(_joined_key().alias("k"), "feature", "value", txt("month").alias("m"),
                     r("resid_share", 1).alias("resid_share"), r("resid_share_lag_1", 1).alias("lag_1"), r("resid_share_lag_12", 1).alias("lag_12"))
 
 
+_USABLE = f"COUNT(*) >= {residual.MIN_ROWS} AND MIN(rs) < MAX(rs) AND MIN(val) < MAX(val)"
+
+
 @query("k19_usable_keys", sql=f"""
-WITH {RESID} SELECT k, CAST(COUNT(*) AS BIGINT) AS rows, CAST(CASE WHEN COUNT(*) >= 10 AND MIN(rs) < MAX(rs) AND MIN(office) < MAX(office) THEN 1 ELSE 0 END AS BIGINT) AS usable FROM tbl GROUP BY 1""")
+WITH {RESID} SELECT k, feature, CAST(COUNT(*) AS BIGINT) AS rows, CAST(CASE WHEN {_USABLE} THEN 1 ELSE 0 END AS BIGINT) AS usable FROM tbl GROUP BY 1, 2""")
 def _(spark, d):
-    x = residual.usable_keys(_share_table(spark, d), RES_KEYS, "sales_office")
-    return x.select(_joined_key().alias("k"), "rows", big(F.col("usable").cast("int")).alias("usable"))
+    x = residual.usable_keys(_share_table(spark, d), RES_KEYS)
+    return x.select(_joined_key().alias("k"), "feature", "rows", big(F.col("usable").cast("int")).alias("usable"))
+
 
+# the published models have 500 trees at rate 0.05; a tenth of them at ten times the rate keeps trees x rate
+RESID_FIT = {"trees": 50, "depth": 5, "rate": 0.5}
+RESID_FROM, RESID_STEPS = "2002-01-31", 12
 
-def _resid_forecast(spark, d, first_month, steps):
+
+def _resid_parts(spark, d, per_value=False):
     left_over = cut_lineage(_residuals(spark, d))
     table = cut_lineage(_share_table(spark, d, left_over))
-    model = residual.fit(table, RES_KEYS, "sales_office", trees=5, depth=3)
-    ahead = residual.roll_forward(model, table, left_over, RES_KEYS, "sales_office", first_month, steps)
-    return residual.total_by_month(ahead, keys=RES_KEYS)
+    model = residual.fit(table, RES_KEYS, **RESID_FIT)
+    return left_over, table, residual.roll_forward(model, table, left_over, RES_KEYS, RESID_FROM, RESID_STEPS, per_value=per_value)
+
+
+def _resid_forecast(spark, d, per_value=False):
+    left_over, _, ahead = _resid_parts(spark, d, per_value)
+    return residual.total_by_month(ahead, left_over, RES_KEYS, RESID_FROM, RESID_STEPS)
 
 
 @query("k20_residual_roll_forward")
 def _(spark, d):
-    x = _resid_forecast(spark, d, "2001-11-30", 4)
+    """Next year's residual part by key and month, over all order attributes; keys without a model have zeros."""
+    x = _resid_forecast(spark, d)
     return x.select(_joined_key().alias("k"), txt("month").alias("m"), r("value").alias("value"))
 
 
+@query("k20_state_per_value")
+def _(spark, d):
+    """The same with a state for every value of an attribute."""
+    x = _resid_forecast(spark, d, per_value=True)
+    return x.select(_joined_key().alias("k"), txt("month").alias("m"), r("value").alias("value"))
+
+
+def _within_bounds(name, per_value):
+    """States of a key, the bounds their sum must keep and, where both bounds meet, the sum itself, month by month."""
+    by, pick = ("k, feature, val", "m DESC") if per_value else ("k, feature", "m DESC, val DESC")
+    sql = f"""
+WITH {RESID}, good AS (SELECT k, feature FROM tbl GROUP BY 1, 2 HAVING {_USABLE}),
+last AS (SELECT k, l1 FROM (SELECT tbl.*, ROW_NUMBER() OVER (PARTITION BY {by} ORDER BY {pick}) AS rn FROM tbl JOIN good USING (k, feature)) q WHERE rn = 1),
+sp AS (SELECT k, AVG(resid) AS mu, STDDEV_SAMP(resid) AS sd FROM parts JOIN gate USING (k) WHERE resid IS NOT NULL GROUP BY 1),
+ahead AS (SELECT k, mu, sd, h FROM sp, generate_series(0, {RESID_STEPS - 1}) t(h)),
+lim AS (SELECT k, h, COUNT(l1) AS states, SUM(LEAST(mu - sd, l1 + 2 * sd * (h + 1))) AS low, SUM(GREATEST(mu + sd, l1 - 2 * sd * (h + 1))) AS high FROM ahead LEFT JOIN last USING (k) GROUP BY 1, 2)
+SELECT k, CAST(last_day(DATE '{RESID_FROM}' + to_months(CAST(h AS INTEGER))) AS VARCHAR) AS m, CAST(states AS BIGINT) AS states, {rs('CASE WHEN states = 0 THEN 0 ELSE low END', 0)} AS low, {rs('CASE WHEN states = 0 THEN 0 ELSE high END', 0)} AS high,
+ CASE WHEN states = 0 THEN CAST(0 AS DOUBLE) END AS value, CAST(0 AS BIGINT) AS outside FROM lim"""
+
+    def run(spark, d):
+        left_over, table, ahead = _resid_parts(spark, d, per_value)
+        total = residual.total_by_month(ahead, left_over, RES_KEYS, RESID_FROM, RESID_STEPS)
+        start = residual.states(table, left_over, RES_KEYS, per_value)
+        step = F.posexplode(F.sequence(F.lit(1), F.lit(RESID_STEPS))).alias("_p", "h")
+        wide = 2.0 * F.col("_std") * F.col("h")
+        lim = start.select(*RES_KEYS, "_mean", "_std", F.col("resid_share_lag_1").alias("l1"), step).groupBy(*RES_KEYS, "h").agg(
+            F.count("*").alias("states"),
+            F.sum(F.least(F.col("_mean") - F.col("_std"), F.col("l1") + wide)).alias("low"),
+            F.sum(F.greatest(F.col("_mean") + F.col("_std"), F.col("l1") - wide)).alias("high"))
+        at = F.col("h") == (F.year("month") - 2002) * 12 + F.month("month")
+        both = total.alias("t").join(lim.alias("l"), [F.col(f"t.{k}").eqNullSafe(F.col(f"l.{k}")) for k in RES_KEYS] + [at], "left")
+        low, high = F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(0.0))
+        return both.select(
+            F.concat_ws("|", *[f"t.{k}" for k in RES_KEYS]).alias("k"), txt("month").alias("m"), big(F.coalesce("states", F.lit(0))).alias("states"),
+            r(low, 0).alias("low"), r(high, 0).alias("high"), F.when(F.col("states").isNull(), F.col("value")).alias("value"),
+            big((~F.col("value").between(low - 1e-6, high + 1e-6)).cast("int")).alias("outside"))
+    query(name, sql=sql)(run)
+
+
+_within_bounds("k20_bounds", False)
+_within_bounds("k20_bounds_per_value", True)
+
+
 # --- sequences and runs ------------------------------------------------------------------
 
 SEQUENCE_SEED = 3
@@ -217,7 +274,7 @@ def _(spark, d):
 
 def _run_with_residuals(spark, d):
     p = R.payments(spark, d).where(F.col("payment_date") <= F.lit(R.CLOSED_TO).cast("date"))
-    extra = cut_lineage(_resid_forecast(spark, d, "2002-01-31", 12))
+    extra = cut_lineage(_resid_forecast(spark, d))
     return revenue.run(p, RES_KEYS, R.CLOSED_TO, 2002, [1999, 2000, 2001], extra), extra
 
 
@@ -239,6 +296,6 @@ def _(spark, d):
     yearly = extra.groupBy(*RES_KEYS).agg(F.sum("value").alias("extra"))
     both = x.join(yearly, RES_KEYS, "left")
     total = F.col("total_forecasted_value_no_resid") + F.coalesce("extra", F.lit(0.0))
-    sparse = F.col("extra").isNull() & (F.col("total_forecasted_value_no_resid") == 0)  # forecast by the mean of past years
+    sparse = F.col("total_forecasted_value_no_resid") == 0  # forecast by the mean of past years
     gap = F.abs(F.col("total_forecasted_value") - F.greatest(total, F.lit(0.0))) > 0.01
     return both.select(_joined_key().alias("k"), big((gap & ~sparse & (total >= 0)).cast("int")).alias("off"))

@@ -1,4 +1,6 @@
 import math
+import random
+import statistics
 
 import numpy as np
 import pytest
@@ -268,11 +270,82 @@ def test_document_steps(spark):
 def test_residual_guards(spark):
     lag = {f"resid_share_lag_{k}": F.lit(0.0) for k in residual.LAGS}
     base = spark.range(40).select(F.when(F.col("id") < 20, "a").when(F.col("id") < 32, "b").otherwise("c").alias("k"),
-                                  F.when(F.col("id") < 20, (F.col("id") % 2).cast("string")).otherwise("x").alias("f"), F.col("id").cast("double").alias("resid_share")).withColumns(lag)
-    got = {r.k: r.usable for r in residual.usable_keys(base, ["k"], "f").collect()}
+                                  F.when(F.col("id") < 20, (F.col("id") % 2).cast("string")).otherwise("x").alias("value"), F.lit("f").alias("feature"), F.col("id").cast("double").alias("resid_share")).withColumns(lag)
+    got = {r.k: r.usable for r in residual.usable_keys(base, ["k"]).collect()}
     assert got == {"a": True, "b": False, "c": False}
 
 
+class HalfOfLast:
+    """In place of the fitted model: half of the last share plus the value's level."""
+
+    def transform(self, df):
+        return df.withColumn("prediction", F.col("resid_share_lag_1") / 2 + F.col("value_level") + F.col("month_no") / 10)
+
+
+def _rolled_by_hand(rows, spread, levels, per_value, steps):
+    """rows: (k, feature, value, month, lags 1 3 6 12) -> total by (k, step)."""
+    latest = {}
+    for k, f, v, m, *lag in rows:
+        at = (k, f, v) if per_value else (k, f)
+        latest[at] = max(latest.get(at, ("", "")), (m, v, lag))
+    total = {(k, h): 0.0 for k in spread for h in range(steps)}
+    for at, (m, v, lag) in latest.items():
+        mean, std = spread[at[0]]
+        lag, month = list(lag), int(m[5:7])
+        for h in range(steps):
+            y = min(max(lag[0] / 2 + levels[at[1], v] + month / 10, mean - std), mean + std)
+            y = min(max(y, lag[0] - 2 * std), lag[0] + 2 * std)
+            lag, month = [y, *lag[:-1]], h % 12 + 1
+            total[at[0], h] += y
+    return total
+
+
+@pytest.mark.parametrize("per_value", [False, True])
+def test_residual_parts_of_several_attributes(spark, per_value):
+    rng = random.Random(4)
+    rows = []
+    for k in ("a", "b"):
+        for f, values in (("office", ["x", "y"]), ("partner", ["p", "q", "r"]), ("single", ["only"])):
+            for i in range(12):
+                rows.append((k, f, values[i % len(values)], f"2001-{i + 1:02d}-28", *[rng.uniform(-30, 30) for _ in range(5)]))
+    names = ["resid_share", *[f"resid_share_lag_{n}" for n in residual.LAGS]]
+    table = spark.createDataFrame(rows, "k string, feature string, value string, month string, " + ", ".join(f"{n} double" for n in names))
+    table = table.withColumn("month", F.to_date("month")).withColumns({"month_no": F.month("month"), "year": F.year("month")})
+    left = {"a": [1.0, 5.0, -7.0], "b": [2.0, 40.0, 60.0], "no_model": [1.0, 2.0, 4.0]}
+    residuals = spark.createDataFrame([(k, v) for k, vs in left.items() for v in vs], "k string, resid double")
+    ahead = residual.roll_forward(HalfOfLast(), table, residuals, ["k"], "2002-01-31", 14, per_value=per_value)
+    got = residual.total_by_month(ahead, residuals, ["k"], "2002-01-31", 14).collect()
+    spread = {k: (statistics.mean(v), statistics.stdev(v)) for k, v in left.items()}
+    seen = {}
+    for _, f, v, _, share, *_ in rows:
+        seen.setdefault((f, v), []).append(share)
+    levels = {at: statistics.mean(v) for at, v in seen.items()}
+    kept = [(k, f, v, m, *lag) for k, f, v, m, _, *lag in rows if f != "single"]
+    want = _rolled_by_hand(kept, spread, levels, per_value, 14)
+    assert len(got) == 42
+    for x in got:
+        at = (x.month.year - 2002) * 12 + x.month.month - 1
+        assert math.isclose(x.value, want[x.k, at], abs_tol=1e-9), (x, want[x.k, at])
+    assert all(x.value == 0 for x in got if x.k == "no_model")
+
+
+def test_attributes_of_an_order_in_one_join(spark):
+    payments = spark.createDataFrame([("k", "1", "2001-03-05", 5.0), ("k", "1", "2001-03-09", 2.0), ("k", "2", "2001-03-01", 4.0), ("k", "#", "2001-03-01", 9.0), ("k", None, "2001-03-01", 9.0)],
+                                     "k string, order_id string, payment_date string, amount double").withColumn("payment_date", F.to_date("payment_date"))
+    orders = spark.createDataFrame([("1", 2, "late", 7), ("1", 1, None, 8), ("2", 1, "o", None)], "order_id string, starting_date int, office string, partner int")
+    got = residual.feature_months(payments, orders, ["k"], ["office", "partner"]).collect()
+    assert {(r.feature, r.value, r.feature_amount) for r in got} == {("office", "late", 7.0), ("partner", "8", 7.0), ("office", "o", 4.0)}
+
+
+def test_no_usable_attribute(spark):
+    empty = spark.createDataFrame([], "k string, feature string, value string, month date, month_no int, year int, resid_share double, " + ", ".join(f"resid_share_lag_{n} double" for n in residual.LAGS))
+    residuals = spark.createDataFrame([("a", 1.0)], "k string, resid double")
+    assert residual.fit(empty, ["k"]) is None
+    ahead = residual.roll_forward(None, empty, residuals, ["k"], "2002-01-31", 2)
+    got = residual.total_by_month(ahead, residuals, ["k"], "2002-01-31", 2)
+    assert [(r.k, r.value) for r in got.collect()] == [("a", 0.0)] * 2
+
+
 def test_model_sets():
     assert len(M.DEFAULT_MODELS) == 9 and len(M.PAIR_MODELS) == 4
 
