@@ -151,14 +151,19 @@ def copies_over_ages(orders: DataFrame, curr_year: int, curr_month: int, max_yea
     return by_year.withColumn("age", F.explode(F.sequence(F.lit(0), F.col("years_old") * 12 - 1))).drop("_years")
 
 
+def with_whole_years(orders: DataFrame, curr_year: int, curr_month: int, max_years: int = 10) -> DataFrame:
+    """Adds ``_years``, an order's whole years by now up to ``max_years``; orders under a year drop out."""
+    months_old = F.lit(curr_year * 12 + curr_month) - (F.col("order_year") * 12 + F.col("order_month"))
+    whole_years = F.least(F.lit(max_years), F.floor(months_old / 12).cast("int"))
+    return orders.withColumn("_years", whole_years).where(F.col("_years") >= 1)
+
+
 def ages_with_weight(orders: DataFrame, curr_year: int, curr_month: int, max_years: int = 10) -> DataFrame:
     """The distinct ages of :func:`copies_over_ages` with the number of copies as ``copies``.
 
     Up to ten times fewer rows than the copies themselves.
     """
-    months_old = F.lit(curr_year * 12 + curr_month) - (F.col("order_year") * 12 + F.col("order_month"))
-    whole_years = F.least(F.lit(max_years), F.floor(months_old / 12).cast("int"))
-    old_enough = orders.withColumn("_years", whole_years).where(F.col("_years") >= 1)
+    old_enough = with_whole_years(orders, curr_year, curr_month, max_years)
     aged = old_enough.withColumn("age", F.explode(F.sequence(F.lit(0), F.col("_years") * 12 - 1)))
     return aged.withColumn("copies", F.col("_years") - F.floor(F.col("age") / 12).cast("int")).drop("_years")
 

@@ -1,7 +1,7 @@
 """Purchase-order track: preparation, training table, tree forest, roll-forward.
 
 All heavy steps are keyed by (doc_id, fund_year, item). Invoices and edits are
-summed per month and packed into one calendar-bounded map per order, so orders,
+summed per month and packed into calendar-bounded runs per order, so orders,
 invoices and edits meet once on that key and the age windows reuse its partitioning.
 """
 
@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import KEY
@@ -122,9 +122,46 @@ def smoothed_blocks(history: DataFrame, window: int) -> DataFrame:
         (F.sum("volume") / F.col("_size")).alias("smoothed")).drop("_size")
 
 
-def _packed(df: DataFrame, position: str, value: str, out: str) -> DataFrame:
-    entries = F.map_from_entries(F.collect_list(F.struct(position, value)))
-    return df.groupBy(*KEY).agg(entries.alias(out))
+def _runs(df: DataFrame, position: str, *columns: Column) -> Column:
+    """Rows of an order as one array by position, each with the position of the next as ``until``."""
+    return F.sort_array(F.collect_list(F.struct(position, "until", *columns)))
+
+
+def edit_runs(changes: DataFrame) -> DataFrame:
+    """Per order the months (``rel`` up to ``until``) in which its value stays the same, and that value."""
+    w = Window.partitionBy(*KEY).orderBy("rel")
+    summed = changes.withColumns({"value": F.sum("v").over(w), "until": F.lead("rel").over(w)})
+    return summed.groupBy(*KEY).agg(_runs(summed, "rel", F.col("value")).alias("_edits"))
+
+
+def payment_runs(blocks: DataFrame, window: int) -> DataFrame:
+    """Per order the start of each paid block, its monthly mean and what the blocks before it add up to."""
+    w = Window.partitionBy(*KEY).orderBy("start")
+    placed = blocks.select(*KEY, (F.col("block") * window).alias("start"), "smoothed")
+    whole = F.sum(F.col("smoothed") * window).over(w) - F.col("smoothed") * window
+    summed = placed.withColumns({"before": whole, "until": F.lead("start").over(w)})
+    return summed.groupBy(*KEY).agg(_runs(summed, "start", F.col("smoothed"), F.col("before")).alias("_paid"))
+
+
+def values_by_age(months: Column) -> Column:
+    """Order value at each age, from the runs of its edits; 0 before the first."""
+    first = F.array_repeat(F.lit(0.0), F.least(F.get("_edits", F.lit(0))["rel"], months))
+    run = lambda e: F.array_repeat(e["value"], F.greatest(F.least(F.coalesce(e["until"], months), months) - e["rel"], F.lit(0)))
+    return F.flatten(F.concat(F.array(first), F.transform("_edits", run)))
+
+
+def paid_by_age(months: Column, window: int) -> Column:
+    """What is paid at each age (``now``) and before it (``before``), from the runs of the blocks."""
+    nothing = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("before"))
+    first = F.array_repeat(nothing, F.least(F.get("_paid", F.lit(0))["start"], months))
+
+    def run(b):
+        ages = A.positions(b["start"], F.least(F.coalesce(b["until"], months), months) - 1)
+        return F.transform(ages, lambda a: F.struct(
+            F.when(a < b["start"] + window, b["smoothed"]).otherwise(F.lit(0.0)).alias("now"),
+            (b["before"] + b["smoothed"] * F.least(a - b["start"], F.lit(window))).alias("before")))
+    found = F.flatten(F.concat(F.array(first), F.transform("_paid", run)))
+    return F.when(F.col("_paid").isNull(), F.array_repeat(nothing, months)).otherwise(found)
 
 
 def training_table(
@@ -143,28 +180,24 @@ def training_table(
     by_edit = edits.join(orders.select(*KEY, order_abs.alias("order_abs")), KEY).where(
         F.col("edit_abs") >= F.col("order_abs"))
     changes = by_edit.groupBy(*KEY, (F.col("edit_abs") - F.col("order_abs")).alias("rel")).agg(F.sum("volume").alias("v"))
-    base = orders.drop("po_net_value").join(_packed(changes, "rel", "v", "_edits"), KEY)
-    base = base.join(_packed(smoothed_blocks(history, smoothing_window), "block", "smoothed", "_paid"), KEY, "left")
-    aged = joins.ages_with_weight(base, curr_year, curr_month, max_years)
+    base = orders.drop("po_net_value").join(edit_runs(changes), KEY)
+    base = base.join(payment_runs(smoothed_blocks(history, smoothing_window), smoothing_window), KEY, "left")
+    old_enough = joins.with_whole_years(base, curr_year, curr_month, max_years)
+    # sums up to every age are laid out once per order, then exploded together
+    months = F.col("_years") * 12
+    by_age = F.arrays_zip(values_by_age(months).alias("value"), paid_by_age(months, smoothing_window).alias("paid"))
+    kept = [c for c in old_enough.columns if c not in ("_edits", "_paid")]
+    aged = old_enough.select(*kept, F.posexplode(by_age).alias("age", "_at"))
+    aged = aged.withColumn("copies", F.col("_years") - F.floor(F.col("age") / 12).cast("int")).drop("_years")
     if sample_frac < 1:
         chance = F.lit(1.0) - F.pow(F.lit(1.0 - root), F.col("copies"))
         aged = aged.where(hash_uniform(*KEY, "age", seed=seed + 1) < chance)
-    # sums up to an age come from the order's own few edits and payments, so only the ages kept are worked out
-    block = F.floor(F.col("age") / smoothing_window).cast("int")
-    months_in = lambda b: F.least(F.lit(smoothing_window), F.col("age") - b * smoothing_window)
-    made = F.filter(F.map_entries("_edits"), lambda e: e["key"] <= F.col("age"))
-    paid = F.filter(F.map_entries("_paid"), lambda e: e["key"] * smoothing_window < F.col("age"))
-    valued = A.computed_once(
-        aged,
-        po_net_value=F.aggregate(made, F.lit(0.0), lambda a, e: a + e["value"]),
-        _now=F.coalesce(F.try_element_at("_paid", block), F.lit(0.0)),
-        _before=F.coalesce(F.aggregate(paid, F.lit(0.0), lambda a, e: a + e["value"] * months_in(e["key"])), F.lit(0.0)),
-    ).drop("_edits", "_paid").where(F.col("po_net_value") > 0)
+    valued = aged.where(F.col("_at.value") > 0).withColumn("po_net_value", F.col("_at.value"))
     out = valued.withColumns({
-        "cumulative_portion": F.col("_before") / F.col("po_net_value"),
-        "target": F.try_divide("_now", F.col("po_net_value") - F.col("_before")),
+        "cumulative_portion": F.col("_at.paid.before") / F.col("po_net_value"),
+        "target": F.try_divide("_at.paid.now", F.col("po_net_value") - F.col("_at.paid.before")),
     })
-    return out.where(F.col("cumulative_portion") < FULL_BALANCE).drop("_edit", "_now", "_before")
+    return out.where(F.col("cumulative_portion") < FULL_BALANCE).drop("_at")
 
 
 def sane_labels(table: DataFrame, low: float = 0.0, high: float = 1.05) -> DataFrame:

@@ -8,10 +8,20 @@ from . import roles as R
 from .roles import big, txt
 
 
-@query("b01_list_objects")
+GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("b01_list_objects", sql=" UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS key, CAST(COUNT(*) AS BIGINT) AS rows, CAST(COUNT(*) = 0 AS BIGINT) AS empty FROM {t}" for t in GIVEN))
 def _(spark, d):
-    """Names and sizes of the stored files."""
-    return C.list_objects(spark, d).select("key", "size").orderBy("key")
+    """The stored tables with the rows in their files, from the listing alone."""
+    listed = C.list_objects(spark, d).where(F.col("key").endswith(".parquet"))
+    rows = C.rows_per_object(spark, d)
+    name = F.regexp_extract("path", r"([^/]+\.parquet)(/[^/]*)?$", 1)
+    found = listed.groupBy(name.alias("key")).agg(F.sum("size").alias("size"))
+    counted = rows.groupBy(name.alias("key")).agg(F.sum("rows").alias("rows"))
+    both = found.join(counted, "key", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return both.select("key", big("rows").alias("rows"), big((F.col("rows") == 0).cast("int")).alias("empty"))
 
 
 @query("b02_parse_keys", sql=f"WITH {R.CATALOG} SELECT name, source, creation_date, template FROM catalog")

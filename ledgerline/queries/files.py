@@ -126,14 +126,19 @@ def _(spark, d):
     return S.read_many(spark, paths).groupBy("kind").agg(F.count("*").alias("cnt"), r(F.sum("amount")).alias("amount"), F.count("supplier").alias("suppliers"))
 
 
-@query("a15_run_table")
+@query("a15_run_table", sql=f"""
+WITH runs AS (SELECT l_returnflag AS flag, CAST(COUNT(*) AS BIGINT) AS rows, {rs('SUM(l_extendedprice)')} AS amount FROM lineitem GROUP BY 1)
+SELECT 'flag-' || flag AS run_id, 'param' AS kind, 'flag' AS name, flag AS value, CAST(NULL AS DOUBLE) AS number FROM runs
+UNION ALL SELECT 'flag-' || flag, 'metric', 'rows', CAST(rows AS VARCHAR), CAST(rows AS DOUBLE) FROM runs
+UNION ALL SELECT 'flag-' || flag, 'metric', 'amount', NULL, amount FROM runs""")
 def _(spark, d):
-    """Two runs' parameters and scores, appended and read back."""
+    """One run per return flag, its parameter and scores appended and read back; amounts are compared as numbers."""
     path = scratch_path(spark, "runs")
-    rows = R.table(spark, d, "lineitem").count()
-    S.append_run(spark, path, "first", {"depth": 2}, {"rows": rows})
-    S.append_run(spark, path, "second", {"depth": 3}, {"rows": rows})
-    return spark.read.parquet(path)
+    for run in _by_flag(_lines(spark, d)).collect():  # one row per flag
+        S.append_run(spark, path, f"flag-{run.l_returnflag}", {"flag": run.l_returnflag}, {"rows": run.cnt, "amount": run.amount})
+    back = spark.read.parquet(path)
+    amount = F.col("name") == "amount"
+    return back.select("run_id", "kind", "name", F.when(~amount, F.col("value")).alias("value"), F.when(F.col("kind") == "metric", F.col("value").cast("double")).alias("number"))
 
 
 @query("a16_target_lines", sql=f"""

@@ -10,7 +10,7 @@ from ..plans import documents, po, residual, revenue
 from ..session import cut_lineage, scratch_path
 from . import query
 from . import roles as R
-from .joining import DOC_ALL
+from .joining import DOC_ALL, HISTORY
 from .models import _classical_ctes
 from .orders import prepared, training
 from .roles import big, r, rs, txt
@@ -75,6 +75,18 @@ def _(spark, d):
     return x.select("doc_id", "fingroup", r("amount").alias("amount"))
 
 
+@query("k11_forecast_parts", sql=f"""
+WITH {HISTORY}, aged AS (SELECT *, (2001 - order_year) * 12 + 10 - order_month AS age FROM po_orders WHERE order_year >= 2001 - 7 AND CAST(fund_year AS INT) <= 2001),
+open AS (SELECT aged.doc_id FROM aged LEFT JOIN history USING (doc_id, fund_year, item) WHERE age <= 120 GROUP BY aged.doc_id HAVING COALESCE(SUM(CASE WHEN rel_month < age THEN volume END), 0) / MAX(po_net_value) < 0.98),
+past AS (SELECT doc_id, SUM(RE + ZY + ZF) AS past FROM po_invoices WHERE invoice_year = 2001 AND invoice_month <= 10 GROUP BY 1)
+SELECT COALESCE(open.doc_id, past.doc_id) AS doc_id, CAST(CASE WHEN open.doc_id IS NULL THEN 0 ELSE 12 - 10 END AS BIGINT) AS months, {rs('past')} AS past FROM open FULL JOIN past ON open.doc_id = past.doc_id""")
+def _(spark, d):
+    """Of this year's forecast, the months ahead of each order and what is already invoiced on it."""
+    x = _forecast(spark, d, 0)
+    ahead = F.col("step") > 0
+    return x.groupBy("doc_id").agg(big(F.sum(ahead.cast("int"))).alias("months"), r(F.sum(F.when(~ahead, F.col("amount")))).alias("past"))
+
+
 @query("k12_group_totals")
 def _(spark, d):
     return po.group_totals(_forecast(spark, d, 0)).select("fingroup", r("amount").alias("amount"))

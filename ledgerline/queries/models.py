@@ -223,6 +223,15 @@ def _(spark, d):
     return a.select("k", F.explode_outer(z).alias("z")).select("k", txt("z.m").alias("m"), *[r(f"z.{c}", 3).alias(c) for c in ("values", "trend", "seasonal", "resid")])
 
 
+@query("j18_loess_adds_up", sql=f"WITH {R.BRAND} SELECT k, CAST(m AS VARCHAR) AS m, {rs('v')} AS value FROM s")
+def _(spark, d):
+    """Trend, season and rest of the loess decomposition added up, beside the series itself in SQL."""
+    a = D.stl(O.spread_series(R.brand_arrays(spark, d), ["k"]))
+    z = F.arrays_zip(O.month_range("first_month", "last_month").alias("m"), "trend", "seasonal", "resid")
+    rows = a.select("k", F.explode_outer(z).alias("z"))
+    return rows.select("k", txt("z.m").alias("m"), r(F.col("z.trend") + F.col("z.seasonal") + F.col("z.resid")).alias("value"))
+
+
 @query("j20_decomposition_choice", sql=f"""
 WITH {R.BRAND}, w AS (SELECT k, m, v, AVG(v) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) AS trend, STDDEV_SAMP(v) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS sd, i FROM s),
 g AS (SELECT k, REGR_SLOPE(sd, trend) AS slope, REGR_R2(sd, trend) AS r2, REGR_SLOPE(sd, trend) * AVG(trend) / AVG(sd) AS el FROM w WHERE i >= 2 GROUP BY 1)

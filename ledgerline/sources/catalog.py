@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import col, human_size
 from ..session import cut_lineage
@@ -55,6 +56,12 @@ def list_objects(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def rows_per_object(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` and ``rows`` of every Parquet file below a path that has rows; no column is read, whatever the files hold."""
+    files = spark.read.schema(T.StructType([])).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    return files.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def build_key(name, source, creation_date, template) -> Column:
     return F.concat_ws(
         "^", col(name), F.concat(F.lit("source="), col(source)),

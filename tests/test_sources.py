@@ -117,3 +117,10 @@ def test_runs_table_appends(spark):
     tables.append_run(spark, path, "a", {"p": 1}, {"m": 0.5})
     tables.append_run(spark, path, "b", {}, {"m": 0.7})
     assert rows(spark.read.parquet(path)) == [("a", "metric", "m", "0.5"), ("a", "param", "p", "1"), ("b", "metric", "m", "0.7")]
+
+
+def test_rows_per_object_of_files_with_other_columns(spark, tmp_path):
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/a.parquet")
+    spark.createDataFrame([("x", 1.0)], "s string, v double").coalesce(1).write.parquet(f"{tmp_path}/sub/b.parquet")
+    got = {r.path.split("/")[-2]: r.rows for r in C.rows_per_object(spark, str(tmp_path)).collect()}
+    assert got == {"a.parquet": 7, "b.parquet": 1}
