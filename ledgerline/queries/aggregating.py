@@ -44,11 +44,14 @@ def _(spark, d):
 
 
 @query("e05_melt_months", sql=f"""
-WITH {R.BUDGET}, ids AS (SELECT DISTINCT financial_year, economy, expenditure_type, doc_type, fund_code, fingroup, law FROM budget)
-SELECT CAST(financial_year AS BIGINT) AS financial_year, CAST(m AS VARCHAR) AS month_no, CAST(COUNT(*) AS BIGINT) AS cells FROM ids, UNNEST(generate_series(1, 12)) t(m) GROUP BY 1, 2""")
+WITH {R.BUDGET}, ids AS (SELECT DISTINCT financial_year, economy, expenditure_type, doc_type, fund_code, fingroup, law FROM budget),
+cells AS (SELECT financial_year, m, COUNT(*) AS cells FROM ids, UNNEST(generate_series(1, 12)) t(m) GROUP BY 1, 2),
+sums AS (SELECT financial_year, month_no AS m, SUM(volume) AS volume FROM budget GROUP BY 1, 2)
+SELECT CAST(financial_year AS BIGINT) AS financial_year, CAST(m AS VARCHAR) AS month_no, CAST(cells AS BIGINT) AS cells, {rs('COALESCE(volume, 0)')} AS volume FROM cells LEFT JOIN sums USING (financial_year, m)""")
 def _(spark, d):
     long = A.melt(R.budget_wide(spark, d), quarterly.BUDGET_IDS, quarterly.MONTH_COLUMNS, "month_no", "volume")
-    return long.groupBy(big("financial_year").alias("financial_year"), "month_no").agg(F.count("*").alias("cells"))
+    return long.groupBy(big("financial_year").alias("financial_year"), "month_no").agg(
+        F.count("*").alias("cells"), r(F.sum(S.parse_amount("volume"))).alias("volume"))
 
 
 def _cases(column, labels, measure, prefix=""):

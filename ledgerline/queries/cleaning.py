@@ -186,9 +186,10 @@ def _(spark, d):
 
 @query("c19_drop_null_rows", sql=f"""
 WITH {R.CHANGES}, p AS (SELECT doc_id, MAX(CASE WHEN doc_item = 1 THEN mof_class END) AS a, MAX(CASE WHEN doc_item = 2 THEN mof_class END) AS b FROM changes WHERE fund_code <> 1410 AND doc_item IN (1, 2) GROUP BY 1)
-SELECT CAST(COUNT(*) AS BIGINT) AS pairs FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
+SELECT doc_id, LEAST(a, b) AS first_class, GREATEST(a, b) AS second_class FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
 def _(spark, d):
-    return quarterly.change_pairs(R.change_lines(spark, d)).agg(F.count("*").alias("pairs"))
+    pairs = quarterly.change_pairs(R.change_lines(spark, d))
+    return pairs.select("doc_id", F.least("class_out", "class_in").alias("first_class"), F.greatest("class_out", "class_in").alias("second_class"))
 
 
 @query("c20_fill_from_other_column", sql=f"""

@@ -111,8 +111,25 @@ def types_with_current_january(df: DataFrame, kind: str, date: str, year: int) -
 
 
 def read_many(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
-    """Many files whose columns drift, as one table; absent columns are null."""
-    frames = [spark.read.format(fmt).option("header", True).load(p) for p in paths]
+    """Many files whose columns drift, as one table; absent columns are null.
+
+    Files that name their columns themselves and agree on the types are one scan of
+    all columns found. Others (CSV goes by position, types differ) are one branch per
+    set of columns in the same order, and branches are brought together by name.
+    """
+    if not paths:
+        raise ValueError("no files to read")
+    schemas = {p: spark.read.format(fmt).option("header", True).load(p).schema for p in paths}
+    columns: dict[str, T.StructField] = {}
+    for field in (f for schema in schemas.values() for f in schema):
+        columns.setdefault(field.name, field)
+    agree = all(columns[f.name].dataType == f.dataType for schema in schemas.values() for f in schema)
+    if agree and fmt in ("parquet", "orc", "json"):
+        return spark.read.format(fmt).schema(T.StructType(list(columns.values()))).load(paths)
+    alike: dict[str, list[str]] = {}
+    for path, schema in schemas.items():
+        alike.setdefault(schema.json(), []).append(path)
+    frames = [spark.read.format(fmt).option("header", True).schema(schemas[same[0]]).load(same) for same in alike.values()]
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)

@@ -124,3 +124,21 @@ def test_rows_per_object_of_files_with_other_columns(spark, tmp_path):
     spark.createDataFrame([("x", 1.0)], "s string, v double").coalesce(1).write.parquet(f"{tmp_path}/sub/b.parquet")
     got = {r.path.split("/")[-2]: r.rows for r in C.rows_per_object(spark, str(tmp_path)).collect()}
     assert got == {"a.parquet": 7, "b.parquet": 1}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
+def test_many_files_are_one_scan_where_they_agree(spark, tmp_path, fmt):
+    made = [spark.createDataFrame([("a", "1")], "k string, v string"), spark.createDataFrame([("b", "2")], "k string, w string"),
+            spark.createDataFrame([("3", "c")], "v string, k string")]
+    paths = [tables.write_table(df, f"{tmp_path}/{fmt}{i}", fmt) for i, df in enumerate(made)]
+    got = tables.read_many(spark, paths, fmt)
+    assert {(r.k, r.v, r.w) for r in got.collect()} == {("a", "1", None), ("b", None, "2"), ("c", "3", None)}
+    if fmt != "csv":
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_many_files_with_other_types(spark, tmp_path):
+    paths = [tables.write_table(df, f"{tmp_path}/{i}") for i, df in enumerate([spark.range(2), spark.sql("SELECT 7 AS id"), spark.range(3)])]
+    assert sorted(r.id for r in tables.read_many(spark, paths).collect()) == [0, 0, 1, 1, 2, 7]
+    with pytest.raises(ValueError):
+        tables.read_many(spark, [])
