@@ -19,7 +19,7 @@ from .common import materialise, slices, text_or_empty
 from .packing import tokenizer
 
 BLOCK_WORDS = 1 << 18
-FILE_DOCS = 5_000
+FILE_BYTES = 1 << 24
 HEADER = 5
 _NO_ID = 40_000
 
@@ -39,36 +39,42 @@ def _doc_id(words: np.ndarray) -> int | None:
     return value - (1 << 64) if value >> 63 else value
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.tiktoken", named: bool = True) -> None:
-    """Write the ids of every text of ``docs`` (doc_id, text) below ``path``, at most ``FILE_DOCS`` documents a file.
+def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.tiktoken", named: bool = True, file_bytes: int = FILE_BYTES) -> None:
+    """Write the ids of every text of ``docs`` (doc_id, text) in files below ``path`` that end once they hold ``file_bytes``.
 
-    With ``named`` each document begins with ``HEADER`` words that hold its id. Written by Spark's own writer, so the
-    folder can be any that it reaches and lost tasks are run again. Null and empty texts have no ids.
+    A file is as long as that and at most one document more, however long texts are; the files of a task lie in
+    folders ``part=0``, ``part=1`` and so on. With ``named`` each document begins with ``HEADER`` words that hold its
+    id. Written by Spark's own writer, so the folder can be any that it reaches and lost tasks are run again. Null and
+    empty texts have no ids.
     """
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer(vocabulary)
+        made, written = tokenizer(vocabulary), 0
         for batch in slices(batches):
-            rows = []
+            rows, parts = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = (np.frombuffer(made.text_ids(text), dtype="<u4") + 1).astype("<u2").tobytes()
                 rows.append(_header(doc_id).tobytes() + ids if named else ids)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
+                parts.append(written // file_bytes)
+                written += len(rows[-1]) + 2
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(parts, pa.int64())], names=["ids", "part"])
 
-    coded = docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(code, "ids binary")
-    coded.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\0\0").option("maxRecordsPerFile", FILE_DOCS).text(path)
+    coded = docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(code, "ids binary, part bigint")
+    coded.select(F.col("ids").cast("string").alias("value"), "part").write.partitionBy("part").option("lineSep", "\0\0").text(path)
 
 
 def count_tokens(spark: SparkSession, path: str, named: bool = True, block_words: int = BLOCK_WORDS) -> DataFrame:
     """path, ordinal (from 0), doc_id (null without headers) and n_tokens of every document below ``path``.
 
     Empty files have no documents; two ends in a row are an empty document; words after the last end of a file are
-    a document that was cut off and are not counted. A file is read by one task, so files should be of moderate size.
+    a document that was cut off and are not counted. A task holds one file and its blocks, so files should be of
+    moderate size, as ``write_token_files`` makes them; none may reach 2 GB.
     """
-    files = spark.read.format("binaryFile").load(path).where("length > 1").select("path", "length", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 1").select("path", "length", "content")
     size = 2 * block_words
-    blocks = files.select("path", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block")).select(
-        "path", "block", F.expr(f"substring(content, int(block * {size} + 1), {size + 2 * (HEADER + 1)})").alias("words"))
+    # the blocks are cut before the rows multiply, so a row holds a block and never the file beside it
+    cut = F.expr(f"transform(sequence(0L, (length - 1) div {size}), b -> substring(content, int(b * {size} + 1), {size + 2 * (HEADER + 1)}))")
+    blocks = files.select("path", F.posexplode(cut).alias("block", "words")).withColumn("block", F.col("block").cast("bigint"))
     ahead = HEADER if named else 0
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
