@@ -54,7 +54,7 @@ def fold(text: str) -> str:
     if not low.isascii():
         low = low.translate(look)
     # signs stand for letters only next to letters; plain numbers stay as they are
-    low = _SWAP.sub(lambda m: m[0].translate(digits) if len(m[0]) < 40 else m[0], low)
+    low = _SWAP.sub(lambda m: m[0].translate(digits), low)
     return " " + " ".join(_WORD.findall(low)) + " "
 
 
@@ -70,16 +70,15 @@ def _features(text: str) -> set[str]:
     return found
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, min_docs: int = 8, precision: float = 0.8,
-                  candidates: int = 20_000) -> dict[str, float]:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, min_docs: int = 8, precision: float = 0.8) -> dict[str, float]:
     """Entry -> weight from labelled texts (doc_id, text) and (doc_id, toxic).
 
     Fits on the texts of at most ``train_rows`` labels, those with the smallest hash that are not held out. An entry is a whole word or the
     beginning of one, of 4 to 8 letters; its weight is the log of how much more often documents marked toxic hold
     it than others. Candidates have ``min_docs`` marked documents and at least ``precision`` of their documents
-    marked (``candidates`` heaviest at most). Of these, entries are taken one by one, each time the one that
-    explains most marked documents not yet explained, so the other words of much copied toxic documents stay out.
-    Repeated labels of a document count as toxic if any is.
+    marked; as they stand in the sample, ``train_rows`` bounds them. Of these, entries are taken one by one, each
+    time the one that explains most marked documents not yet explained, so the other words of much copied toxic
+    documents stay out. Repeated labels of a document count as toxic if any is.
     """
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))  # two numbers a row
@@ -106,7 +105,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
         return lexicon
     rate = ((F.col("marked") + 0.5) / (totals["marked"] + 1.0)) / ((F.col("plain") + 0.5) / (totals["plain"] + 1.0))
     likely = (F.col("entry") != "") & (F.col("marked") >= precision * (F.col("marked") + F.col("plain")))
-    best = counts.where(likely).withColumn("weight", F.log(rate)).where("weight > 0").orderBy(F.desc("weight"), "entry").limit(candidates)
+    best = counts.where(likely).withColumn("weight", F.log(rate)).where("weight > 0").orderBy(F.desc("weight"), "entry")
     rows = best.collect()
     weights = {row["entry"]: row["weight"] for row in rows}
     plain = {row["entry"]: row["plain"] for row in rows}
@@ -167,7 +166,7 @@ class Matcher:
 def score_texts(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """``docs`` with its text replaced by ``score`` and ``n_hits``, which take the place of columns named so.
 
-    The lexicon is bounded by the ``candidates`` of its fit. A null or empty text has no hits and the lowest score;
+    The lexicon is bounded by the sample of its fit. A null or empty text has no hits and the lowest score;
     repeated rows stay; an empty table stays empty.
     """
     made: list[Matcher] = []

@@ -1,5 +1,9 @@
+import math
+import random
 import zlib
 
+import pytest
+
 from ledgerline.llm import toxicity
 
 
@@ -38,3 +42,33 @@ def test_odd_rows(spark, odd_docs):
     assert len(out) == odd_docs.count() and all(0 <= r.score <= 1 for r in out)
     assert [r.predicted for r in out if r.doc_id == 6] == [1] and sum(r.predicted for r in out) == 1
     assert toxicity.toxicity(odd_docs.limit(0), labels.limit(0)).count() == 0
+
+
+def _by_hand(lexicon, exceptions, text):
+    """Every place of the folded text against every entry and phrase."""
+    folded, total, hits = toxicity.fold(text), 0.0, 0
+    inside = [(at, at + len(p) + 1) for p in exceptions for at in range(len(folded)) if folded.startswith(f" {p} ", at)]
+    for at in range(len(folded)):
+        weights = [w for e, w in lexicon.items() if folded.startswith(e, at)]
+        if weights and not any(a <= at < b for a, b in inside):
+            total, hits = total + max(weights), hits + 1
+    x = total / (1.0 + (folded.count(" ") - 1) / 5_000.0) ** 0.25
+    return 1.0 / (1.0 + math.exp(-(x - 1.5))), hits
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_matcher_against_every_place(seed):
+    rng = random.Random(seed)
+    words = ["trash", "can", "tr4sh", "sore", "loser", "l0ser", "losers", "idiot", "1d10t", "no", "class", "clown", "clowns", "word", "2024", "x", "іdiot"]
+    lexicon = {" trash ": 1.0, " trash": 0.7, " loser ": 2.0, " lose": 1.5, " clown": 0.4, " idiot ": 5.0, " class clown ": 3.0}
+    m = toxicity.Matcher(lexicon)
+    for _ in range(60):
+        text = rng.choice([" ", ", ", "\n"]).join(rng.choices(words, k=rng.randrange(0, 25)))
+        score, hits = m.score(text)
+        wanted, n = _by_hand(lexicon, toxicity.EXCEPTIONS, text)
+        assert hits == n and math.isclose(score, wanted, rel_tol=1e-12), text
+
+
+def test_long_mixed_tokens_are_unfolded():
+    assert toxicity.fold("1d10t" + "s" * 60) == " idiot" + "s" * 60 + " "
+    assert toxicity.Matcher({" idiot": 5.0}).score("1d10t" + "s" * 60)[1] == 1
