@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from ..functions.scalars import (
 )
 from ..operators import aggregates, joins, ranking
 from ..session import cut_lineage
+from .forest import fit_trees, load_trees, numbers, save_trees
 
 VOLUMES = ["RE", "ZF", "ZY"]
 ATTRIBUTES = ["po_type", "huka", "porcurment_organization", "expanditure_type", "fingroup"]
@@ -266,9 +268,12 @@ class Forest:
         return found.withColumn("prediction", F.lit(self.base) + F.lit(self.rate) * F.col("prediction"))
 
 
+def tree_columns(features: Features) -> list[str]:
+    return [f"{c}_level" for c in features.categorical] + features.integer + features.floating
+
+
 def assembler(features: Features) -> VectorAssembler:
-    columns = [f"{c}_level" for c in features.categorical] + features.integer + features.floating
-    return VectorAssembler(inputCols=columns, outputCol="features")
+    return VectorAssembler(inputCols=tree_columns(features), outputCol="features")
 
 
 def fit_forest(train: DataFrame, features: Features, trees: int = 1000, depth: int = 2, rate: float = 0.5, seed: int = 0) -> Forest:
@@ -276,14 +281,11 @@ def fit_forest(train: DataFrame, features: Features, trees: int = 1000, depth: i
 
     Each tree sees four fifths of the rows and each split four fifths of the features.
     """
-    forest = RandomForestRegressor(
-        labelCol="_left", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-    )
     typed = _typed(train, features)
     levels, common = category_levels(typed, features)
     made = Forest(None, levels, common, features.categorical, base=common, rate=rate)
     left = made.encode(typed).withColumn("_left", F.col("target") - F.lit(made.base))
-    made.trees = Pipeline(stages=[assembler(features), forest]).fit(left)
+    made.trees = PipelineModel([assembler(features), fit_trees(left, tree_columns(features), "_left", trees, depth, seed)])
     return made
 
 
@@ -299,11 +301,14 @@ def train(table: DataFrame, features: Features, seed: int = 0, **settings) -> tu
     rows = sane_labels(table)
     fit_rows, test_rows = split_by_hash(rows, KEY + ["age"], seed=seed)
     model = fit_forest(fit_rows, features, seed=seed, **settings)
-    return model, regression_scores(model.transform(_typed(test_rows, features)))
+    found = cut_lineage(model.transform(_typed(test_rows, features)).select("target", "prediction"))
+    return model, regression_scores(found)
 
 
 def save_model(model: Forest, path: str) -> None:
-    model.trees.write().overwrite().save(f"{path}/trees")
+    packing, trees = model.trees.stages
+    packing.write().overwrite().save(f"{path}/packing")
+    save_trees(model.levels.sparkSession, trees, f"{path}/trees")
     facts = {"common": F.lit(model.common), "categorical": F.array(*map(F.lit, model.categorical)), "base": F.lit(model.base), "rate": F.lit(model.rate)}
     model.levels.withColumns(facts).write.mode("overwrite").parquet(f"{path}/levels")
 
@@ -311,7 +316,8 @@ def save_model(model: Forest, path: str) -> None:
 def load_model(spark: SparkSession, path: str) -> Forest:
     levels = spark.read.parquet(f"{path}/levels")
     first = levels.first()
-    return Forest(PipelineModel.load(f"{path}/trees"), levels.select("feature", "value", "level"), first["common"], list(first["categorical"]), first["base"], first["rate"])
+    trees = PipelineModel([VectorAssembler.load(f"{path}/packing"), load_trees(spark, f"{path}/trees")])
+    return Forest(trees, levels.select("feature", "value", "level"), first["common"], list(first["categorical"]), first["base"], first["rate"])
 
 
 # --- inference ---------------------------------------------------------------------
@@ -331,26 +337,30 @@ def inference_rows(orders: DataFrame, history: DataFrame, curr_year: int, curr_m
 def roll_forward(model: Forest, rows: DataFrame, steps: int, features: Features, damped: bool = True) -> DataFrame:
     """Adds ``shares``: for each month ahead the part of the order value expected.
 
-    Each step is a narrow projection on the same rows, so the whole horizon is
-    one pass without a shuffle. An order not yet placed (negative age) waits at 0.
-    ``damped`` takes the balance into the carried portion a second time, as the
-    published forecasts do; ``False`` adds the expected share itself.
+    All steps of an order are one call on its row, without a shuffle. An order not
+    yet placed (negative age) waits at 0. ``damped`` takes the balance into the
+    carried portion a second time, as the published forecasts do; ``False`` adds
+    the expected share itself.
     """
     state = model.encode(_typed(rows, features))
-    made = []
-    for h in range(1, steps + 1):
-        state = model.add_trees(state)
-        balance = F.greatest(F.lit(1.0) - F.col("cumulative_portion"), F.lit(0.0))
-        share = F.when(F.col("age") >= 0, F.col("prediction") * balance).otherwise(F.lit(0.0))
-        state = state.withColumn(f"_s{h}", share).drop("features", "prediction")
-        carried = balance * F.col(f"_s{h}") if damped else F.col(f"_s{h}")
-        state = state.withColumns({
-            "cumulative_portion": F.col("cumulative_portion") + carried,
-            "age": F.col("age") + 1,
-        })
-        made.append(f"_s{h}")
+    packing, trees = model.trees.stages
+    columns, scorer, base, rate = packing.getInputCols(), trees.scorer(), model.base, model.rate
+
+    @F.arrow_udf("array<double>")
+    def shares(age: pa.Array, portion: pa.Array, *values: pa.Array) -> pa.Array:
+        age, portion = numbers(age), numbers(portion)
+        found = dict(zip(columns, map(numbers, values)))
+        made = np.zeros((len(age), steps))
+        for h in range(steps):
+            found |= {c: v for c, v in (("age", age), ("cumulative_portion", portion)) if c in found}
+            balance = np.maximum(1.0 - portion, 0.0)
+            made[:, h] = np.where(age >= 0, (base + rate * scorer.predict(list(found.values()))) * balance, 0.0)
+            portion = portion + (balance * made[:, h] if damped else made[:, h])
+            age = age + 1
+        return pa.ListArray.from_arrays(np.arange(len(age) + 1, dtype=np.int32) * steps, made.ravel())
+
     kept = [c for c in rows.columns if c not in ("age", "cumulative_portion")]
-    return state.select(*kept, F.array(*made).alias("shares"))
+    return state.select(*kept, shares("age", "cumulative_portion", *columns).alias("shares"))
 
 
 def forecast_orders(rolled: DataFrame, past: DataFrame, curr_month: int, forecast_to: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline import KEY
 from ledgerline.forecast import models as M
 from ledgerline.plans import documents, generate, po, residual
+from ledgerline.plans.forest import apart, draws, fit_trees, poisson_table
 from ledgerline.operators import joins, ranking
 
 ORDERS = [
@@ -360,3 +361,41 @@ def test_generator_with_null_attributes_and_a_single_order(spark):
     classed = generate.with_value_class(two)
     likely = generate.class_of_features(generate.class_model(classed), two)
     assert likely.count() == 2
+
+
+def _numbers(spark, n=3000):
+    return spark.range(n).select(
+        ((F.col("id") * 7919) % 100 / 100.0).alias("a"), ((F.col("id") * 104729) % 50).cast("double").alias("b"), F.lit(1.0).alias("c"), "id").withColumn(
+        "y", F.when(F.col("a") > 0.5, 1.0).otherwise(0.0) + F.when(F.col("b") > 30, 0.4).otherwise(0.0))
+
+
+def test_forest_does_not_depend_on_how_rows_are_dealt(spark):
+    rows = _numbers(spark)
+    one, other = (fit_trees(x, ["a", "b", "c"], "y", 25, 2, seed=3).rows() for x in (rows.coalesce(1), rows.repartition(7)))
+    assert one == other and len({r[2:] for r in one}) > 25
+    assert all(r[2] != 2 for r in one)  # nothing to split on
+
+
+def test_forest_against_tables_and_walks(spark):
+    model = fit_trees(_numbers(spark), ["a", "b", "c"], "y", 9, 4, seed=1)
+    columns = [np.random.default_rng(i).choice(np.r_[np.arange(0, 60, 0.5), [t for r in model.rows() for t in [r[3]]]], 400) for i in range(3)]
+    scorer = model.scorer()
+    by_hand = [np.mean([t.predict(x) for t in model.trees]) for x in zip(*columns)]
+    assert scorer.tables and np.allclose(scorer.predict(columns), by_hand)
+    scorer.trees = model.trees
+    assert np.allclose(scorer.predict(columns), by_hand)
+    with pytest.raises(ValueError):
+        scorer.predict([*columns[:2], np.r_[columns[2][:-1], np.nan]])
+
+
+def test_draws_are_poisson_and_repeated_rows_differ():
+    found = draws(apart(np.full(4000, 5)), 50, poisson_table(0.8))
+    assert found.shape == (4000, 50) and abs(found.mean() - 0.8) < 0.02 and abs(found.var() - 0.8) < 0.03
+    assert len({bytes(r) for r in found[:100]}) == 100
+
+
+def test_roll_forward_is_one_pass_over_the_rows(forest):
+    model, _, features, rows = forest
+    some = rows.withColumn("po_net_value", F.lit(1.0))
+    plan = po.roll_forward(model, some, 14, features)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "features" not in plan
