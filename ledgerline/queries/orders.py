@@ -70,7 +70,9 @@ def _(spark, d):
 @query("k09_hash_split_shares")
 def _(spark, d):
     """Rows in the fit and test parts."""
-    fit_rows, test_rows = po.split_by_hash(training(spark, d), KEY + ["age"])
+    # the rows are laid out once; both parts are read from what was written
+    rows = cut_lineage(training(spark, d).select(*KEY, "age"))
+    fit_rows, test_rows = po.split_by_hash(rows, KEY + ["age"])
     return fit_rows.agg(F.count("*").alias("cnt")).select(F.lit("fit").alias("part"), "cnt").unionByName(
         test_rows.agg(F.count("*").alias("cnt")).select(F.lit("test").alias("part"), "cnt"))
 

@@ -399,3 +399,16 @@ def test_roll_forward_is_one_pass_over_the_rows(forest):
     some = rows.withColumn("po_net_value", F.lit(1.0))
     plan = po.roll_forward(model, some, 14, features)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "features" not in plan
+
+
+def test_split_shares_lay_the_training_rows_out_once(spark, tmp_path, monkeypatch):
+    from ledgerline.queries import QUERIES, load_all, orders
+    load_all()
+    table = spark.range(500).select(*[F.col("id").cast("string").alias(k) for k in KEY], F.col("id").cast("int").alias("age"), F.rand().alias("target"))
+    calls = []
+    monkeypatch.setattr(orders, "training", lambda *a: calls.append(1) or table)
+    found = QUERIES["k09_hash_split_shares"](spark, str(tmp_path))
+    parts = po.split_by_hash(table, KEY + ["age"])
+    assert {r.part: r.cnt for r in found.collect()} == {"fit": parts[0].count(), "test": parts[1].count()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "target" not in plan and len(calls) == 1
