@@ -78,11 +78,12 @@ def edits_within_age(copies: DataFrame, edits: DataFrame, keys: list[str]) -> Da
     return copies.join(monthly, keys, "inner").where(F.col("edit_abs").between(low, low + F.col("age")))
 
 
-def edit_sums_as_of(copies: DataFrame, edits: DataFrame, keys: list[str], out: str = "volume") -> DataFrame:
+def edit_sums_as_of(copies: DataFrame, edits: DataFrame, keys: list[str], out: str = "volume", ages: Column | None = None) -> DataFrame:
     """Adds ``out``: the sum of the edits from the order month up to ``age`` months later; rows without an edit by then drop out.
 
     The edits of a key become two arrays, their months in order and the sums up to each. Every row of ``copies`` meets
-    its key once and looks up two places, so there are never more rows than copies.
+    its key once and looks up two places, so there are never more rows than copies. With ``ages``, an array, ``copies``
+    are the orders themselves: they become one row per ``age`` behind the join, which so sorts no copies.
     """
     monthly = edits.groupBy(*keys, "edit_abs").agg(F.sum("volume").alias("v"))
     packed = monthly.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("edit_abs", "v"))).alias("_e"))
@@ -90,6 +91,8 @@ def edit_sums_as_of(copies: DataFrame, edits: DataFrame, keys: list[str], out: s
         "_e", F.array().cast("array<double>"), lambda done, e: F.concat(done, F.array(F.coalesce(F.element_at(F.concat(F.array(F.lit(0.0)), done), -1), F.lit(0.0)) + e["v"])))
     arrays = packed.select(*keys, F.transform("_e", lambda e: e["edit_abs"]).alias("_months"), sums.alias("_sums"))
     met = copies.join(arrays, keys)
+    if ages is not None:
+        met = met.withColumn("age", F.explode(ages))
     until = lambda limit: F.size(F.filter("_months", lambda m: m <= limit))
     placed = met.withColumns({"_from": until(F.col("order_abs") - 1), "_to": until(F.col("order_abs") + F.col("age"))})
     at = lambda place: F.coalesce(F.get("_sums", place - 1), F.lit(0.0))

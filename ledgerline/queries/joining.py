@@ -49,8 +49,8 @@ WITH {R.PO_ORDERS}, {R.PO_EDITS}, copies AS (SELECT doc_id, fund_year, item, ord
 SELECT doc_id, CAST(age AS BIGINT) AS age, {rs('SUM(volume)')} AS value FROM copies JOIN po_edits USING (doc_id, fund_year, item) WHERE edit_abs BETWEEN order_abs AND order_abs + age GROUP BY 1, 2""")
 def _(spark, d):
     orders = po.prepare_orders(R.po_orders(spark, d), R.po_dates(spark, d))
-    copies = orders.select(*KEY, S.absolute_month("order_year", "order_month").alias("order_abs"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("age"))
-    rows = joins.edit_sums_as_of(copies, po.prepare_edits(R.po_edits(spark, d)), KEY)
+    dated = orders.select(*KEY, S.absolute_month("order_year", "order_month").alias("order_abs"))
+    rows = joins.edit_sums_as_of(dated, po.prepare_edits(R.po_edits(spark, d)), KEY, ages=F.sequence(F.lit(0), F.lit(24)))
     return rows.select("doc_id", big("age").alias("age"), r("volume").alias("value"))
 
 

@@ -99,6 +99,20 @@ def test_edit_sums_by_place_equal_the_range_join(ready, spark):
     assert {(r.doc_id, r.age): round(r.volume, 6) for r in found.collect()} == {(r.doc_id, r.age): round(r.v, 6) for r in slow.collect()}
 
 
+def test_orders_meet_their_edits_before_they_are_copied_to_ages(spark):
+    keys = "doc_id string, fund_year string, item string"
+    rng = np.random.default_rng(4)
+    edits = spark.createDataFrame([(str(rng.integers(30)), "f", "1", int(24_000 + rng.integers(-6, 30)), float(rng.integers(-50, 90))) for _ in range(400)], f"{keys}, edit_abs int, volume double")
+    rows = [(str(k), "f", "1", 24_000 + k % 5) for k in range(32)] + [("3", "f", "1", 24_003), (None, "f", "1", 24_000), ("4", "f", "1", None)]
+    orders = spark.createDataFrame(rows, f"{keys}, order_abs int")
+    ages = F.sequence(F.lit(0), F.lit(24))
+    found = joins.edit_sums_as_of(orders, edits, KEY, ages=ages)
+    copied = joins.edit_sums_as_of(orders.withColumn("age", F.explode(ages)), edits, KEY).select(found.columns)
+    assert found.count() > 500 and found.exceptAll(copied).count() == 0 and copied.exceptAll(found).count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner")
+
+
 def test_ranks_in_ranges(spark):
     rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("k"), (F.col("id") % 7).alias("n"), F.col("id").cast("string").alias("v"))
     found = ranking.ranks_in_ranges(rows.repartition(9), ["k"], [F.desc("n"), F.col("v")]).collect()
