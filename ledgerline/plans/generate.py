@@ -146,24 +146,29 @@ def draw_attributes(drawn: DataFrame, model: ClassModel, ids: list[str], seed: i
         (F.sum(lots).over(w) - lots).alias("low"), (F.sum(lots).over(w) - 1).alias("high")))
     facts = seen.groupBy(*per).agg(F.count(F.lit(1)).alias("seen"), (F.max("high") + 1).alias("own"), F.max("rank").alias("last"))
     facts = cut_lineage(facts.withColumn("others", F.try_element_at(sizes, F.col("attribute")) - F.col("seen")))
-    hits = _by_bucket(seen.join(facts, per), "seen", "own").select(*per, "bucket", "low", "high", "rank")
+    hits = _by_bucket(seen.join(facts, per), "seen", "own").select(*per, F.lit(True).alias("own_lot"), "bucket", "low", "high", F.col("rank").alias("base"))
     # a gap before the i-th value seen, and one behind the last: numbers of the other values in it
     gap = seen.join(facts, per).select(*per, "seen", "others", "i", (F.coalesce("before", F.lit(-1)) + 1 - F.col("i")).alias("low"), (F.col("rank") - F.col("i") - 1).alias("high"))
     behind = facts.select(*per, "seen", "others", F.col("seen").alias("i"), (F.col("last") + 1 - F.col("seen")).alias("low"), (F.col("others") - 1).alias("high"))
-    gaps = _by_bucket(gap.unionByName(behind).withColumn("parts", F.col("seen") + 1), "parts", "others").select(*per, "bucket", "low", "high", "i")
-
-    draws = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), hash_uniform(*ids, seed=seed + 100 + i).alias("u")) for i, a in enumerate(attributes)]))
-    long = drawn.select(*ids, "value_class", draws.alias("_d")).select(*ids, "value_class", "_d.*").join(facts, per)
-    lot = long.withColumn("lot", F.floor(F.col("u") * (F.col("own") + F.col("others"))))
-    inside = F.col("lot").between(F.col("low"), F.col("high"))
-    own = lot.where(F.col("lot") < F.col("own")).withColumn("bucket", F.floor(F.col("lot") * F.col("seen") / F.col("own")))
-    own = own.join(hits, [*per, "bucket"]).where(inside).select(*ids, "attribute", "rank")
-    rest = lot.where(F.col("lot") >= F.col("own")).withColumn("lot", F.col("lot") - F.col("own"))
-    rest = rest.withColumn("bucket", F.floor(F.try_divide(F.col("lot") * (F.col("seen") + 1), F.col("others"))))
-    rest = rest.join(gaps, [*per, "bucket"]).where(inside).select(*ids, "attribute", (F.col("lot") + F.col("i")).alias("rank"))
-    named = own.unionByName(rest).join(ranked, ["attribute", "rank"])
-    wide = named.groupBy(*ids).agg(*[F.max(F.when(F.col("attribute") == a, F.col("value"))).alias(a) for a in attributes])
-    return drawn.join(wide.select(*ids, *[F.nullif(a, F.lit(MISSING)).alias(a) for a in attributes]), ids)
+    gaps = _by_bucket(gap.unionByName(behind).withColumn("parts", F.col("seen") + 1), "parts", "others").select(
+        *per, F.lit(False).alias("own_lot"), "bucket", "low", "high", F.col("i").alias("base"))
+    found = cut_lineage(hits.unionByName(gaps))
+
+    out = drawn
+    for i, a in enumerate(attributes):  # one after the other, so a draw is one row all the way
+        mine = lambda df: df.where(F.col("attribute") == a).drop("attribute")  # noqa: B023, E731
+        sized = out.join(F.broadcast(mine(facts)), "value_class")  # a row per class
+        sized = sized.withColumn("lot", F.floor(hash_uniform(*ids, seed=seed + 100 + i) * (F.col("own") + F.col("others"))))
+        sized = sized.withColumn("own_lot", F.col("lot") < F.col("own")).withColumn("lot", F.col("lot") - F.when(F.col("own_lot"), F.lit(0)).otherwise(F.col("own")))
+        sized = sized.withColumn("bucket", F.when(F.col("own_lot"), F.floor(F.col("lot") * F.col("seen") / F.col("own"))).otherwise(
+            F.floor(F.try_divide(F.col("lot") * (F.col("seen") + 1), F.col("others"))))).drop("seen", "own", "others", "last")
+        at = mine(found).withColumnsRenamed({"value_class": "_class", "own_lot": "_own", "bucket": "_bucket"})
+        same = (F.col("value_class") == F.col("_class")) & (F.col("own_lot") == F.col("_own")) & (F.col("bucket") == F.col("_bucket"))
+        met = sized.join(at, same & F.col("lot").between(F.col("low"), F.col("high")), "left")
+        met = met.withColumn("rank", F.col("base") + F.when(F.col("own_lot"), F.lit(0)).otherwise(F.col("lot"))).select(*out.columns, "rank")
+        named = mine(ranked).withColumn(a, F.nullif("value", F.lit(MISSING))).drop("value")
+        out = met.join(named, "rank", "left").drop("rank")
+    return out.select(*ids, *[c for c in drawn.columns if c not in ids], *attributes)
 
 
 def draw_amounts(targets: DataFrame, moments: Row, known_classes: DataFrame, stretch: float | str, seed: int) -> DataFrame:

@@ -222,6 +222,14 @@ def test_generator_reaches_targets(spark):
     assert {r.fingroup for r in rows} <= {"g0", "g1", "g2", "g3"}
 
 
+def test_a_draw_stays_one_row_while_its_attributes_are_drawn(spark):
+    targets = spark.createDataFrame([("2026", "1", "2026", 3e6), ("2026", "2", "2027", 1000.0)], "year string, month string, fund_year string, amount double")
+    made = generate.synthetic_orders(history_orders(spark), targets, seed=1)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+    assert made.where(F.concat(*po.ATTRIBUTES).isNull()).count() == 0
+
+
 def test_class_scores_equal_the_grid(spark):
     """The class from the counts alone is that of the whole grid of shares, also for values no order had."""
     orders = history_orders(spark)
