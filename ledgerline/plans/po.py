@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import KEY
-from ..functions import arrays as A
 from ..functions.scalars import (
     absolute_month, compact_month, compact_year, equal_width_bin, hash_uniform, key_year, parse_amount, relative_month,
 )
@@ -145,25 +144,27 @@ def payment_runs(blocks: DataFrame, window: int) -> DataFrame:
     return summed.groupBy(*KEY).agg(_runs(summed, "start", F.col("smoothed"), F.col("before")).alias("_paid"))
 
 
-def values_by_age(months: Column) -> Column:
-    """Order value at each age, from the runs of its edits; 0 before the first."""
-    first = F.array_repeat(F.lit(0.0), F.least(F.get("_edits", F.lit(0))["rel"], months))
-    run = lambda e: F.array_repeat(e["value"], F.greatest(F.least(F.coalesce(e["until"], months), months) - e["rel"], F.lit(0)))
-    return F.flatten(F.concat(F.array(first), F.transform("_edits", run)))
+def with_ages(df: DataFrame, months: Column, window: int) -> DataFrame:
+    """One row per age below ``months`` with the order's value at it (0 before the first edit: no row), what is paid at it
+    (``_now``) and before it (``_before``).
 
-
-def paid_by_age(months: Column, window: int) -> Column:
-    """What is paid at each age (``now``) and before it (``before``), from the runs of the blocks."""
-    nothing = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("before"))
-    first = F.array_repeat(nothing, F.least(F.get("_paid", F.lit(0))["start"], months))
-
-    def run(b):
-        ages = A.positions(b["start"], F.least(F.coalesce(b["until"], months), months) - 1)
-        return F.transform(ages, lambda a: F.struct(
-            F.when(a < b["start"] + window, b["smoothed"]).otherwise(F.lit(0.0)).alias("now"),
-            (b["before"] + b["smoothed"] * F.least(a - b["start"], F.lit(window))).alias("before")))
-    found = F.flatten(F.concat(F.array(first), F.transform("_paid", run)))
-    return F.when(F.col("_paid").isNull(), F.array_repeat(nothing, months)).otherwise(found)
+    Runs of payments and of edits are laid out against each other first, so a row per age is made only where both are
+    the same, by a plain sequence.
+    """
+    fields = "array<struct<start:int,until:int,smoothed:double,before:double>>"
+    zero = F.lit(0.0)
+    unpaid = F.array(F.struct(F.lit(0), F.get("_paid", F.lit(0))["start"], zero, zero)).cast(fields)
+    paid = F.concat(unpaid, F.coalesce(F.col("_paid").cast(fields), F.array().cast(fields)))
+    kept = [c for c in df.columns if c not in ("_edits", "_paid")]
+    runs = df.select(*kept, "_edits", F.explode(paid).alias("_p")).select("*", F.explode("_edits").alias("_e")).where(F.col("_e.value") > 0)
+    low = F.greatest(F.col("_p.start"), F.col("_e.rel"))
+    high = F.least(F.col("_p.until"), F.col("_e.until"), months)  # a run without an end goes on
+    met = runs.select(*kept, "_p", "_e", low.alias("_low"), high.alias("_high")).where(F.col("_low") < F.col("_high"))
+    aged = met.select(*kept, "_p", "_e", F.explode(F.sequence(F.col("_low"), F.col("_high") - 1)).alias("age"))
+    since = F.col("age") - F.col("_p.start")
+    return aged.select(
+        *kept, "age", F.col("_e.value").alias("_value"), F.when(since < window, F.col("_p.smoothed")).otherwise(zero).alias("_now"),
+        (F.col("_p.before") + F.col("_p.smoothed") * F.least(since, F.lit(window))).alias("_before"))
 
 
 def training_table(
@@ -185,21 +186,17 @@ def training_table(
     base = orders.drop("po_net_value").join(edit_runs(changes), KEY)
     base = base.join(payment_runs(smoothed_blocks(history, smoothing_window), smoothing_window), KEY, "left")
     old_enough = joins.with_whole_years(base, curr_year, curr_month, max_years)
-    # sums up to every age are laid out once per order, then exploded together
-    months = F.col("_years") * 12
-    by_age = F.arrays_zip(values_by_age(months).alias("value"), paid_by_age(months, smoothing_window).alias("paid"))
-    kept = [c for c in old_enough.columns if c not in ("_edits", "_paid")]
-    aged = old_enough.select(*kept, F.posexplode(by_age).alias("age", "_at"))
+    aged = with_ages(old_enough, F.col("_years") * 12, smoothing_window)
     aged = aged.withColumn("copies", F.col("_years") - F.floor(F.col("age") / 12).cast("int")).drop("_years")
     if sample_frac < 1:
         chance = F.lit(1.0) - F.pow(F.lit(1.0 - root), F.col("copies"))
         aged = aged.where(hash_uniform(*KEY, "age", seed=seed + 1) < chance)
-    valued = aged.where(F.col("_at.value") > 0).withColumn("po_net_value", F.col("_at.value"))
-    out = valued.withColumns({
-        "cumulative_portion": F.col("_at.paid.before") / F.col("po_net_value"),
-        "target": F.try_divide("_at.paid.now", F.col("po_net_value") - F.col("_at.paid.before")),
+    out = aged.withColumns({
+        "po_net_value": F.col("_value"),
+        "cumulative_portion": F.col("_before") / F.col("_value"),
+        "target": F.try_divide("_now", F.col("_value") - F.col("_before")),
     })
-    return out.where(F.col("cumulative_portion") < FULL_BALANCE).drop("_at")
+    return out.where(F.col("cumulative_portion") < FULL_BALANCE).drop("_value", "_now", "_before")
 
 
 def sane_labels(table: DataFrame, low: float = 0.0, high: float = 1.05) -> DataFrame:

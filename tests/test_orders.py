@@ -113,6 +113,20 @@ def test_orders_meet_their_edits_before_they_are_copied_to_ages(spark):
     assert plan.index("Generate explode") < plan.index("Join Inner")
 
 
+def test_ages_are_made_by_a_plain_sequence(ready, spark):
+    """Rows per age come from runs that meet, not from arrays of all ages laid out item by item."""
+    table = po.training_table(ready.orders, ready.history, ready.edits, 2025, 2, 4)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence(" in plan and "arrays_zip" not in plan
+    runs = spark.createDataFrame(
+        [("a", 1, [(0, 2, 5.0), (2, 7, 0.0), (7, None, 9.0)], [(4, 8, 1.0, 0.0), (8, None, 2.0, 4.0)]), ("b", 1, [(3, None, 7.0)], None), ("c", 1, [(0, None, -1.0)], None)],
+        "k string, years int, _edits array<struct<rel:int,until:int,value:double>>, _paid array<struct<start:int,until:int,smoothed:double,before:double>>")
+    got = {(r.k, r.age): (r._value, r._now, r._before) for r in po.with_ages(runs, F.col("years") * 12, 4).collect()}
+    assert got == {
+        **{("a", a): (5.0, 0.0, 0.0) for a in (0, 1)}, ("a", 7): (9.0, 1.0, 3.0), **{("a", 8 + i): (9.0, 2.0, 4.0 + 2 * i) for i in range(4)},
+        **{("b", a): (7.0, 0.0, 0.0) for a in range(3, 12)}}
+
+
 def test_ranks_in_ranges(spark):
     rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("k"), (F.col("id") % 7).alias("n"), F.col("id").cast("string").alias("v"))
     found = ranking.ranks_in_ranges(rows.repartition(9), ["k"], [F.desc("n"), F.col("v")]).collect()
