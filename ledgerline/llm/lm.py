@@ -1,23 +1,31 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Every word of the training texts is counted. Words, pairs and triples with at least a fixed share of all tokens enter
-the trie, so its size has a bound that does not depend on the corpus (at most one entry per share). Level n holds, for
-every n-gram in order, its last word relative to its context: values rise over the whole level because each group
-starts where the one before ended. Values and pointers to the next level are Elias-Fano coded, probabilities and the
-mass left to shorter contexts are one byte each. Workers map the levels into memory and look n-grams up by successor
-search inside the group of their context. Words below the share get their exact count by a join.
+All words, pairs and triples of the training texts are in the model. A level of the trie holds, for every n-gram in
+order, its last word relative to its context: values rise over the whole level because each group starts where the one
+before ended. Values and pointers to the next level are Elias-Fano coded, probabilities and the mass left to shorter
+contexts are codes of a fixed step. N-grams are looked up by successor search inside the group of their context.
+
+The trie is cut into shards of about ``SHARD`` tokens. A token (u, v, w) goes to the shard of its middle word v, which
+then sees every triple around v, every context (u, v) and every pair (v, w), builds these levels and looks its tokens
+up. A word v with more than an eighth of a shard is frequent: its tokens go by (u, v), and by (u, v, w) where that
+context is as frequent. What such a shard cannot count by itself is counted beforehand: the pairs of frequent words, of
+which those above a share of all tokens are a level that every task holds (at most one entry per share) and the others
+are joined, and the followers of frequent contexts. Words below a share get their exact count by a join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import mmap
 import tempfile
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +37,8 @@ GRAM_SHARE = 1e-7
 DISCOUNT = 0.75
 STEPS = 32  # quantised probabilities are powers of 10 ** (-1 / STEPS)
 CHUNK = 400_000
+SHARD = 2_000_000  # tokens
+TOKEN_BYTES = 5  # to set the number of shards
 END = b""
 
 
@@ -106,28 +116,37 @@ class EliasFano:
             a, b = np.where(open_ & less, middle + 1, a), np.where(open_ & ~less, middle, b)
 
 
+NONE = 65535  # the code of probability zero
+
+
 def _quantise(p: np.ndarray) -> np.ndarray:
     """Codes of probabilities, rounded down."""
     with np.errstate(divide="ignore"):
-        return np.clip(np.ceil(-np.log10(np.maximum(p, 1e-300)) * STEPS - 1e-9), 0, 255).astype(np.uint8)
+        return np.clip(np.ceil(-np.log10(np.maximum(p, 1e-300)) * STEPS - 1e-9), 0, NONE - 1).astype(np.uint16)
 
 
-_POWERS = 10.0 ** (-np.arange(256) / STEPS)
+_POWERS = 10.0 ** (-np.arange(NONE + 1) / STEPS)
 
 
 class Level:
-    """n-grams of one order, grouped by the position of their context in the level above."""
+    """n-grams of one order, grouped by the position of their context in the level above.
+
+    ``total`` is the count of every context, ``followers`` its different next words if there are others than those held.
+    """
 
-    def __init__(self, contexts: int, context: np.ndarray, word: np.ndarray, count: np.ndarray, context_count: np.ndarray, discount: float) -> None:
+    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.ndarray, discount: float, followers: np.ndarray | None = None) -> None:
+        contexts = len(total)
         pointers = np.searchsorted(context, np.arange(contexts + 1))
         heads = np.r_[True, context[1:] != context[:-1]] if len(context) else np.empty(0, dtype=bool)
         tops = np.maximum.reduceat(word, np.flatnonzero(heads)) + 1 if len(context) else word
         base = np.r_[0, np.cumsum(tops)[:-1]] if len(context) else word
         self.words = EliasFano(base[np.cumsum(heads) - 1] + word if len(context) else word)
         self.pointers = EliasFano(pointers)
-        self.codes = _quantise((count - discount) / context_count)
-        held = np.bincount(context, weights=_POWERS[self.codes], minlength=contexts) if len(context) else np.zeros(contexts)
-        self.left = _quantise(np.maximum(1.0 - held, 1e-8))
+        self.codes = _quantise((count - discount) / total[context])
+        if followers is None:
+            followers = np.diff(pointers)
+        # a context that was never seen leaves all of its mass
+        self.left = np.where(total > 0, _quantise(discount * followers / np.maximum(total, 1)), 0).astype(np.uint16)
 
     @classmethod
     def mapped(cls, parts: dict[str, np.ndarray]) -> Level:
@@ -157,10 +176,16 @@ class Level:
 
 
 class Model:
-    """Words of at least the word share with their counts, and the trie over the most frequent of them."""
+    """Words of at least the word share with their counts, and the level of the pairs that start with a frequent word.
+
+    ``pairs`` are all those pairs (v, w, code), ``contexts`` the (count, followers) of the frequent contexts by
+    u * len(counts) + v.
+    """
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, frequent: int, tokens: int, distinct: int, levels: list[Level]) -> None:
+    def __init__(self, words: list[bytes], counts: np.ndarray, frequent: int, tokens: int, distinct: int, levels: list[Level],
+                 pairs: DataFrame | None = None, contexts: dict[int, tuple[int, int]] | None = None, discount: float = DISCOUNT, shard: int = SHARD) -> None:
         self.words, self.counts, self.frequent, self.tokens, self.distinct = words, counts, frequent, tokens, distinct
+        self.pairs, self.contexts, self.discount, self.shard = pairs, contexts or {}, discount, shard
         self.layout, pieces, at = [], [], 0
         for n, level in enumerate(levels):
             for name, array in level.arrays().items():
@@ -170,6 +195,9 @@ class Model:
                 at += len(pieces[-1])
         self.blob, self.order = b"".join(pieces) or b"\0", len(levels)
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "pairs": None}  # a table stays with the driver
+
     def open(self) -> Model:
         """Map the levels into memory and index the words; once per process."""
         if not hasattr(self, "levels"):
@@ -187,28 +215,16 @@ class Model:
         return self
 
     def probability(self, ids: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per token of a stream (ids below ``frequent`` are in the trie, -1 is no frequent word; ``lead`` marks the
-        token before a text, which is context only): (a, b) with p = a + b * p_word."""
-        n = len(ids)
-        a, b = np.zeros(n), np.ones(n)
-        context = np.full(n, -1)
-        for level in self.levels:
-            if level is self.levels[0]:
-                context[1:] = ids[:-1]
-                context[lead] = -1
-            else:
-                context[1:], context[0] = found[:-1], -1
-                context[lead] = -1
-            found = np.full(n, -1)
-            known = np.flatnonzero(context >= 0)
-            mass = _POWERS[level.left[context[known]]]
-            a[known] *= mass
-            b[known] *= mass
-            ask = known[ids[known] >= 0]
-            at = level.find(context[ask], ids[ask])
-            hit = at >= 0
-            a[ask[hit]] += _POWERS[level.codes[at[hit]]]
-            found[ask[hit]] = at[hit]
+        """Per token of a stream (-1 is no word of this model; ``lead`` marks the token before a text, which is context
+        only): (a, b) with p = a + b * p_word by the pairs that every task holds, without those that are joined."""
+        a, b = np.zeros(len(ids)), np.ones(len(ids))
+        before = np.r_[-1, ids[:-1]]
+        known = np.flatnonzero((before >= 0) & (before < self.frequent) & ~lead)
+        level = self.levels[0]
+        b[known] = _POWERS[level.left[before[known]]]
+        ask = known[ids[known] >= 0]
+        at = level.find(before[ask], ids[ask])
+        a[ask[at >= 0]] = _POWERS[level.codes[at[at >= 0]]]
         return a, b
 
 
@@ -231,37 +247,69 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
 
-def _streams(texts: list[str], number: dict[bytes, int], end: int) -> Iterator[tuple[int, int, np.ndarray, list[list[bytes]]]]:
-    """Chunks (first text, texts, ids with a lead end before every text, words of every text)."""
+def _key(word: bytes) -> int:
+    """Code of a word below the word share: negative, 63 bits."""
+    return -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1)
+
+
+def _add_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [_key(w) for w in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["word", "c", "key"])
+
+
+def _streams(texts: list[str], number: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks (first text, tokens per text, codes with a lead end before every text, places of the leads)."""
+    get, end = number.get, number.get(END, _key(END))
     ids: list[int] = []
-    words, first = [], 0
-    get = number.get
+    lengths, first = [], 0
     for i, text in enumerate(texts):
-        words.append(words_of(text))
+        before = len(ids)
         ids.append(end)
-        ids.extend([get(w, -1) for w in words[-1]])
+        ids.extend([_key(w) if (n := get(w)) is None else n for w in words_of(text)])
         ids.append(end)
+        lengths.append(len(ids) - before - 1)
         if len(ids) >= CHUNK or i == len(texts) - 1:
-            yield first, len(words), np.array(ids, dtype=np.int64), words
-            ids, words, first = [], [], i + 1
+            sizes = np.array(lengths, dtype=np.int64)
+            yield first, sizes, np.array(ids, dtype=np.int64), np.r_[0, np.cumsum(sizes + 1)[:-1]].astype(np.int64)
+            ids, lengths, first = [], [], i + 1
+
+
+def _grams(ids: np.ndarray, heads: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two codes before every token and its own; ``none`` stands before a lead end."""
+    lead = np.zeros(len(ids), dtype=bool)
+    lead[heads] = True
+    at = np.flatnonzero(~lead)
+    return np.where(lead[at - 1], none, ids[at - 2]), ids[at - 1], ids[at]
 
 
-def _leads(words: list[list[bytes]]) -> np.ndarray:
-    return np.r_[0, np.cumsum([len(w) + 2 for w in words])[:-1]].astype(np.int64)
+def _counted(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (context, word) and how often they occur."""
+    order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    heads = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(order) else order
+    return context[heads], word[heads], np.diff(np.r_[heads, len(order)])
 
 
-def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_word_share: float = GRAM_WORD_SHARE, gram_share: float = GRAM_SHARE, discount: float = DISCOUNT) -> tuple[Model, DataFrame]:
-    """Model and the counts of all words (word, c) from ``docs`` (text). The end of a text is the empty word."""
+def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_word_share: float = GRAM_WORD_SHARE, gram_share: float = GRAM_SHARE, discount: float = DISCOUNT,
+          shard: int = SHARD) -> tuple[Model, DataFrame]:
+    """Model and the counts of all words (word, c, key) from ``docs`` (text). The end of a text is the empty word.
+
+    Words are frequent with at least ``gram_word_share`` of all tokens and an eighth of the ``shard`` tokens of a shard.
+    The shares and ``shard`` decide where an n-gram is looked up, not what is found.
+    """
     spark = docs.sparkSession
     texts = docs.select(text_or_empty("text").alias("text"))
-    counts = materialise(texts.mapInArrow(_count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
+    counted = texts.mapInArrow(_count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = materialise(counted.mapInArrow(_add_keys, "word binary, c bigint, key bigint"), "lm-words")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = totals["n"], totals["v"]
     # at most 1 / word_share rows
     core = counts.where(F.col("c") >= max(1, math.ceil(word_share * tokens))).orderBy(F.desc("c"), "word").collect()
     words = [bytes(r["word"]) for r in core]
     count = np.array([r["c"] for r in core], dtype=np.int64)
-    frequent = int((count >= max(1, math.ceil(gram_word_share * tokens))).sum())
+    part = max(1, shard // 8)
+    frequent = int((count >= max(part, math.ceil(gram_word_share * tokens))).sum())
     if END in words[frequent:]:  # the end is always a context
         at = words.index(END)
         words.insert(0, words.pop(at))
@@ -271,91 +319,263 @@ def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_word_share: floa
         ends = counts.where(F.col("word") == F.lit(b"")).first()["c"]
         words.insert(0, END)
         count, frequent = np.r_[ends, count], frequent + 1
-    base = frequent + 1
-    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(words[:frequent])})
+    if not words:
+        return Model(words, count, 0, tokens, distinct, [], None, {}, discount, shard), counts
+    size = len(words)
+    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, count[:frequent]))
 
-    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, _ = shared.value
         for batch in batches:
-            for _, _, ids, held in _streams(batch.column(0).to_pylist(), number, number[END]):
-                lead = np.zeros(len(ids), dtype=bool)
-                lead[_leads(held)] = True
-                pair = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0) & ~lead[1:]) + 1
-                two = (ids[pair - 1] + 1) * base + ids[pair] + 1
-                triple = pair[(pair >= 2) & ~lead[pair - 1] & (ids[pair - 2] >= 0)]
-                three = ((ids[triple - 2] + 1) * base + ids[triple - 1] + 1) * base + ids[triple] + 1
-                key, c = np.unique(np.r_[two, three + base**3], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], names=["gram", "c"])
-
-    levels = []
-    if words:
-        least = max(2, math.ceil(gram_share * tokens))
-        # at most 2 / gram_share rows
-        kept = texts.mapInArrow(count_grams, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toPandas().sort_values("gram")
-        gram, c = kept["gram"].to_numpy(dtype=np.int64), kept["c"].to_numpy(dtype=np.int64)
-        two, c2 = gram[gram < base**3], c[gram < base**3]
-        three, c3 = gram[gram >= base**3] - base**3, c[gram >= base**3]
-        levels.append(Level(frequent, two // base - 1, two % base - 1, c2, count[two // base - 1], discount))
-        above = np.searchsorted(two, three // base)
-        levels.append(Level(len(two), above, three % base - 1, c3, c2[above], discount))
-    return Model(words, count, frequent, tokens, distinct, levels), counts
-
-
-FACTS = "struct<n:bigint,known:bigint,base:double,score:double>"
+            for _, _, ids, heads in _streams(batch.column(0).to_pylist(), number):
+                _, v, w = _grams(ids, heads, size)
+                often = (v >= 0) & (v < frequent)
+                v, w, c = _counted(v[often], w[often])
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)), pa.array(w), pa.array(c, pa.int64())], names=["v", "w", "c"])
+
+    def add_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, total = shared.value
+        for batch in batches:
+            v, c = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            codes = _quantise((c - discount) / total[v]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=["v", "w", "c", "code"])
+
+    summed = texts.mapInArrow(count_pairs, "v int, w bigint, c bigint").groupBy("v", "w").agg(F.sum("c").alias("c"))
+    pairs = materialise(summed.mapInArrow(add_codes, "v int, w bigint, c bigint, code int"), "lm-pairs")
+    followers = np.zeros(frequent, dtype=np.int64)
+    for r in pairs.groupBy("v").agg(F.count("*").alias("n")).collect():  # a row for each frequent word
+        followers[r["v"]] = r["n"]
+    # at most 1 / gram_share rows
+    kept = pairs.where((F.col("w") >= 0) & (F.col("c") >= max(1, math.ceil(gram_share * tokens)))).select("v", "w", "c").toPandas().sort_values(["v", "w"])
+    v, w, c = (kept[x].to_numpy(dtype=np.int64) for x in ("v", "w", "c"))
+    level = Level(v, w, c, count[:frequent], discount, followers)
+    hot = (c >= part) & (w < frequent) & (w != words.index(END))
+    contexts = _followers(texts, shared, size, dict(zip((v[hot] * size + w[hot]).tolist(), c[hot].tolist())))
+    return Model(words, count, frequent, tokens, distinct, [level], pairs, contexts, discount, shard), counts
+
+
+def _followers(texts: DataFrame, shared, size: int, hot: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """(count, different next words) of the frequent contexts ``hot``, u * size + v with their counts."""
+    if not hot:
+        return {}
+    asked = np.array(sorted(hot), dtype=np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, _ = shared.value
+        for batch in batches:
+            for _, _, ids, heads in _streams(batch.column(0).to_pylist(), number):
+                u, v, w = _grams(ids, heads, size)
+                inside = (u >= 0) & (u < size) & (v >= 0)
+                context, w = u[inside] * size + v[inside], w[inside]
+                often = np.isin(context, asked)
+                context, w, _ = _counted(context[often], w[often])
+                yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(w)], names=["context", "w"])
+
+    found = texts.mapInArrow(count, "context bigint, w bigint").distinct().groupBy("context").agg(F.count("*").alias("n")).collect()  # a row for each of hot
+    return {r["context"]: (hot[r["context"]], r["n"]) for r in found}
+
+
+def _mix(*parts: np.ndarray) -> np.ndarray:
+    """A hash of the columns ``parts``."""
+    x = np.zeros(len(parts[0]), dtype=np.uint64)
+    for part in parts:
+        x = (x ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    return x
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second bytes, and so on: they compress better."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+RARE = 0xFFFFFFFF
+
+
+def _pack(columns: list[np.ndarray], bounds: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, bytes) of the slices of ``columns`` between ``bounds`` that hold rows; negative numbers stand apart."""
+    rare = [np.r_[0, np.cumsum(x < 0)] for x in columns]
+    keys = [x[x < 0] for x in columns]
+    for part in np.flatnonzero(np.diff(bounds)):
+        a, b = bounds[part], bounds[part + 1]
+        far = [k[r[a]:r[b]] for k, r in zip(keys, rare)]
+        head = np.array([b - a, *map(len, far)], dtype=np.int64).tobytes()
+        near = [_planes(np.where(x[a:b] < 0, RARE, x[a:b])) for x in columns]
+        yield int(part), zlib.compress(b"".join([head, *near, *(k.tobytes() for k in far)]), 1)
+
+
+def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+    raw = zlib.decompress(blob)
+    n, *far = np.frombuffer(raw, dtype=np.int64, count=1 + columns).tolist()
+    at, found = 8 * (1 + columns), []
+    for _ in range(columns):
+        x = np.frombuffer(raw, dtype=np.uint8, count=4 * n, offset=at).reshape(4, n).T.copy().view(np.uint32).ravel()
+        found.append(x.astype(np.int64))
+        at += 4 * n
+    for x, k in zip(found, far):
+        x[x == RARE] = np.frombuffer(raw, dtype=np.int64, count=k, offset=at)
+        at += 8 * k
+    return found
+
+
+ROW = pa.schema([("num", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
+                 ("w", pa.int64()), ("c", pa.int64()), ("v", pa.int32()), ("codes", pa.int64())])
+
+
+def _rows(size: int, **columns: np.ndarray | pa.Array) -> pa.Table:
+    return pa.table([pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in ROW], schema=ROW)
+
+
+def _shard_scores(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, num: np.ndarray, learnt: np.ndarray) -> pa.Table:
+    """Sums of the scores by document, and the tokens whose pair or word has to be joined, of all tokens of a shard."""
+    none = len(model.counts)
+    names, at = np.unique(np.r_[u, w], return_inverse=True)
+    size, u_at, w_at = len(names), at[:len(u)], at[len(u):]
+    middle, v_at = np.unique(v, return_inverse=True)
+    often = (middle >= 0) & (middle < model.frequent)
+
+    def different(context: np.ndarray, word: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        key, place = np.unique(context * size + word, return_inverse=True)
+        return key // size, key % size, place, np.bincount(place, weights=weights, minlength=len(key)).astype(np.int64)
+
+    # pairs (v, w) of words that are not frequent: all of them are here
+    pv, pw, pair, c = different(v_at, w_at, learnt)
+    total = np.bincount(v_at, weights=learnt, minlength=len(middle)).astype(np.int64)
+    held = (c > 0) & ~often[pv]
+    level = Level(pv[held], pw[held], c[held], np.where(often, 0, total), model.discount)
+    left2, code2 = level.left[pv].astype(np.int64), np.full(len(pv), NONE, dtype=np.int64)
+    found = level.find(pv, pw)
+    code2[found >= 0] = level.codes[found[found >= 0]]
+    # pairs of frequent words: in the level that every task holds, or to be joined
+    ask = often[pv]
+    if ask.any():
+        first = model.levels[0]
+        left2[ask] = first.left[middle[pv[ask]]]
+        held = np.flatnonzero(ask & (names[pw] >= 0))
+        found = first.find(middle[pv[held]], names[pw[held]])
+        code2[held[found >= 0]] = first.codes[found[found >= 0]]
+        ask[held[found >= 0]] = False
+    code2[ask] = 0
+
+    # contexts by their second word, then triples
+    cv, cu, context, c = different(v_at, u_at, learnt)
+    held = (c > 0) & (names[cu] != none)
+    turned = Level(cv[held], cu[held], c[held], np.maximum(total, 1), model.discount)
+    total, extra = c[held], None
+    if model.contexts:
+        extra = np.full(len(total), -1)
+        known = np.flatnonzero((names[cu[held]] >= 0) & (middle[cv[held]] >= 0))
+        for i, key in zip(known.tolist(), (names[cu[held][known]] * none + middle[cv[held][known]]).tolist()):
+            if key in model.contexts:
+                total[i], extra[i] = model.contexts[key]
+    place = np.where(names[cu] != none, turned.find(cv, cu), -1)[context]
+    inside = np.flatnonzero(place >= 0)
+    left3, code3 = np.zeros(len(u), dtype=np.int64), np.full(len(u), NONE, dtype=np.int64)
+    tc, tw, triple, c = different(place[inside], w_at[inside], learnt[inside])
+    held = c > 0
+    if extra is not None:
+        extra = np.where(extra < 0, np.bincount(tc[held], minlength=len(total)), extra)
+    level = Level(tc[held], tw[held], c[held], total, model.discount, extra)
+    left3[inside] = level.left[place[inside]]
+    found = level.find(tc, tw)[triple]
+    hit = found >= 0
+    code3[inside[hit]] = level.codes[found[hit]]
+
+    ask, code2, left2 = ask[pair], code2[pair], left2[pair]
+    later = ask | (w < 0)
+    near = ~later
+    p = _POWERS[code3[near]] + _POWERS[left3[near]] * (_POWERS[code2[near]] + _POWERS[left2[near]] * model.uni[w[near]])
+    documents, owner = np.unique(num[near], return_inverse=True)
+    sums = _rows(len(documents), num=documents, score=np.bincount(owner, weights=np.log10(p), minlength=len(documents)))
+    w, ask = w[later], ask[later]
+    codes = (code3 | left3 << 16 | code2 << 32 | left2 << 48)[later]
+    count = model.counts[np.maximum(w, 0)] if none else w
+    return pa.concat_tables([sums, _rows(len(w), num=num[later], w=w, c=pa.array(count, mask=w < 0), v=pa.array(v[later].astype(np.int32), mask=~ask), codes=codes)])
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs`` (doc_id, text)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs`` (doc_id, text).
+
+    ``model`` and ``counts`` come from the rows of ``docs`` that are not held out.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    fact = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    size = docs.agg(F.sum(F.octet_length(text_or_empty("text")) + TOKEN_BYTES)).first()[0] or 0
+    shards = max(1, math.ceil(size / TOKEN_BYTES / model.shard))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = shared.value.open()
-        end = opened.number.get(END, -1)
+        none = len(opened.counts)
+        contexts = np.array(sorted(opened.contexts), dtype=np.int64)
+        number = TaskContext.get().partitionId() << 40  # of the next document
         for batch in batches:
-            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, size, ids, held in _streams(batch.column(2).to_pylist(), opened.number, end):
-                heads = _leads(held)
-                lead = np.zeros(len(ids), dtype=bool)
-                lead[heads] = True
-                inside = ids >= 0
-                uni = np.where(inside, opened.uni[np.maximum(ids, 0)] if len(opened.uni) else 1.0, 1.0)  # 1: the join adds the rest
-                a, b = opened.probability(np.where(ids < opened.frequent, ids, -1), lead)
-                single, full = np.log10(uni), np.log10(a + b * uni)
-                single[lead] = full[lead] = 0.0
-                known = np.add.reduceat((inside & ~lead).astype(np.int64), heads)
-                lengths = [len(w) + 1 for w in held]
-                facts = pa.StructArray.from_arrays(
-                    [pa.array(lengths, pa.int64()), pa.array(known), pa.array(np.add.reduceat(single, heads)), pa.array(np.add.reduceat(full, heads))], fields=list(fact))
-                rare, owner, times = [], [], []
-                number = opened.number
-                for i, words in enumerate(held):
-                    found = Counter([w for w in words if w not in number])
-                    rare += found
-                    times += found.values()
-                    owner += [i] * len(found)
-                who = np.r_[np.arange(size), np.array(owner, dtype=np.int64)].astype(np.int64) + first
-                # no word holds the byte 255, so these keys match none and spread evenly
-                names = [b"\xff%d %d" % (x, y) for x, y in zip(k1[first:first + size].tolist(), k2[first:first + size].tolist())]
+            for first, lengths, ids, heads in _streams(batch.column(1).to_pylist(), opened.number):
+                u, v, w = _grams(ids, heads, none)
+                near = w >= 0
+                base = np.zeros(len(w))
+                base[near] = np.log10(opened.uni[w[near]])
+                starts = np.r_[0, np.cumsum(lengths)[:-1]]
+                facts = {"num": np.arange(number, number + len(lengths)), "doc_id": batch.column(0).slice(first, len(lengths)), "n": lengths,
+                         "known": np.add.reduceat(near.astype(np.int64), starts), "base": np.add.reduceat(base, starts)}
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, ROW) as writer:
+                    writer.write_table(_rows(len(lengths), **facts))
+                often = (v >= 0) & (v < opened.frequent)
+                part = _mix(v, np.where(often, u, 0))
+                if len(contexts):
+                    deep = (u >= 0) & (u < none) & often
+                    deep[deep] = np.isin(u[deep] * none + v[deep], contexts)
+                    part[deep] = _mix(v[deep], u[deep], w[deep])
+                part = (part % np.uint64(shards)).astype(np.int64)
+                learnt = batch.column(2).slice(first, len(lengths)).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(len(lengths)) * 2 + learnt, lengths)
+                order = np.lexsort((v, part))
+                bounds = np.searchsorted(part[order], np.arange(shards + 1))
+                sent = list(_pack([x[order] for x in (u, v, w, owner)], bounds))
+                # the documents' own rows go to a group beside the shards
+                parts = [-1 - number % shards, *(p for p, _ in sent)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[who]), pa.array(k2[who]), pa.array(names + rare, pa.binary()), pa.array([1] * size + times, pa.int64()),
-                     pa.concat_arrays([facts, pa.nulls(len(rare), fact)])], names=["k1", "k2", "word", "times", "facts"])
-
-    keyed = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), "text"))).withColumn(
-        "k2", F.shiftleft(F.xxhash64(F.lit(2), "text"), 1) + F.col("doc_id").isNull().cast("long"))
-    rows = keyed.select("k1", "k2", "text").mapInArrow(run, f"k1 bigint, k2 bigint, word binary, times bigint, facts {FACTS}")
-    joined = rows.join(counts, "word", "left")
-    log_word = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.tokens + model.distinct + 1)))
-    rare = F.col("facts").isNull()
-    value = F.when(rare, F.col("times") * log_word)
-    summed = joined.groupBy("k1", "k2").agg(
-        F.count("facts").alias("m"), F.sum("facts.n").alias("n"), (F.sum("facts.known") + F.coalesce(F.sum(F.when(rare & F.col("c").isNotNull(), F.col("times"))), F.lit(0))).alias("known"),
-        (F.sum("facts.base") + F.coalesce(F.sum(value), F.lit(0.0))).alias("base"), (F.sum("facts.score") + F.coalesce(F.sum(value), F.lit(0.0))).alias("score"))
-    once = summed.select("k1", "k2", F.explode(F.array_repeat(F.lit(1), F.col("m").cast("int"))), *[(F.col(x) / F.col("m")).alias(x) for x in ("n", "known", "base", "score")])
-    named = once.withColumn("doc_id", F.when(F.col("k2") % 2 == 0, F.col("k1")))
-    return named.select(
-        "doc_id", held_out().alias("held_out"), F.col("n").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"),
+                    [pa.array(parts, pa.int32()), pa.array([number] * len(parts), pa.int64()), pa.array([sink.getvalue().to_pybytes(), *(b for _, b in sent)], pa.binary())],
+                    names=["shard", "first", "blob"])
+                number += len(lengths)
+
+    def run(group: pa.Table) -> pa.Table:
+        blobs = group.column("blob").to_pylist()
+        if group.column("shard")[0].as_py() < 0:
+            return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
+        opened = shared.value.open()
+        found = [_unpack(b, 4) for b in blobs]
+        num = np.concatenate([(x[3] >> 1) + n for x, n in zip(found, group.column("first").to_pylist())])
+        u, v, w, owner = (np.concatenate(x) for x in zip(*found))
+        return _shard_scores(opened, u, v, w, num, owner & 1)
+
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), (~held_out()).alias("learnt")).mapInArrow(send, "shard int, first bigint, blob binary")
+    rows = materialise(sent.groupBy("shard").applyInArrow(
+        run, "num bigint, doc_id bigint, n bigint, known bigint, base double, score double, w bigint, c bigint, v int, codes bigint"), "lm-scores")
+
+    late = rows.where("codes IS NOT NULL").select("num", "w", "c", "v", "codes")
+    if model.pairs is not None:
+        # the code of a pair that was not seen is that of probability zero
+        paired = late.where("v IS NOT NULL").join(model.pairs.select("v", "w", "code"), ["v", "w"], "left").select(
+            "num", "w", "c", "v", (F.col("codes") + F.shiftleft(F.coalesce("code", F.lit(NONE)).cast("long"), 32)).alias("codes"))
+        late = late.where("v IS NULL").unionByName(paired)
+    words = counts.groupBy(F.col("key").alias("w")).agg(F.sum("c").alias("total"))
+    rare = late.where("w < 0").join(words, "w", "left").select("num", F.col("total").alias("c"), "codes", F.col("total").isNotNull().cast("long").alias("known"))
+    p1 = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.tokens + model.distinct + 1))
+
+    def power(bit: int) -> Column:
+        return F.pow(F.lit(10.0), F.shiftrightunsigned("codes", bit).bitwiseAND(F.lit(65535)) / F.lit(-float(STEPS)))
+
+    full = F.log10(power(0) + power(16) * (power(32) + power(48) * p1))
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    parts = rows.where("codes IS NULL").select("num", "doc_id", "n", "known", "base", "score").unionByName(
+        late.where("w >= 0").select("num", none.alias("doc_id"), zero.alias("n"), zero.alias("known"), F.lit(0.0).alias("base"), full.alias("score"))).unionByName(
+        rare.select("num", none.alias("doc_id"), zero.alias("n"), "known", F.log10(p1).alias("base"), full.alias("score")))
+    summed = parts.groupBy("num").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n", "known", "base", "score")])
+    return summed.select(
+        "doc_id", held_out().alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
