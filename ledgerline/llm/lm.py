@@ -7,24 +7,24 @@ contexts are codes of a fixed step. N-grams are looked up by successor search in
 
 The trie is cut into shards of about ``SHARD`` tokens. A token (u, v, w) goes to the shard of its middle word v, which
 then sees every triple around v, every context (u, v) and every pair (v, w), builds these levels and looks its tokens
-up. A word v with more than an eighth of a shard is frequent: its tokens go by (u, v), and by (u, v, w) where that
-context is as frequent. What such a shard cannot count by itself is counted beforehand: the pairs of frequent words, of
+up. A word v is frequent with more than an eighth of a shard or ``JOIN_SHARE`` of all tokens: its tokens go by (u, v),
+and by (u, v, w) where that context has more than an eighth of a shard. What such a shard cannot count by itself is counted beforehand: the pairs of frequent words, of
 which those above a share of all tokens are a level that every task holds (at most one entry per share) and the others
 are joined, and the followers of frequent contexts. Words below a share get their exact count by a join.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import mmap
 import tempfile
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,7 @@ DISCOUNT = 0.75
 STEPS = 32  # quantised probabilities are powers of 10 ** (-1 / STEPS)
 CHUNK = 400_000
 SHARD = 2_000_000  # tokens
+JOIN_SHARE = 2e-3  # a share and not only a count, so that the part of the tokens that is joined hardly grows with them
 TOKEN_BYTES = 5  # to set the number of shards
 END = b""
 
@@ -89,31 +90,56 @@ class EliasFano:
         high = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return ((self.low[word] >> shift) | high) & np.uint64((1 << self.width) - 1)
 
+    def _places(self, words: np.ndarray) -> np.ndarray:
+        """Places of all set bits."""
+        return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))
+
     def get(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.before, i, side="right") - 1
-        ones = word * 64 + self._in_word(self.upper[word], i - self.before[word].astype(np.int64))
+        if len(i) >= len(self.upper):
+            ones = self._places(self.upper)[i]
+        else:
+            word = np.searchsorted(self.before, i, side="right") - 1
+            ones = word * 64 + self._in_word(self.upper[word], i - self.before[word].astype(np.int64))
         return ((ones - i).astype(np.int64) << self.width) | self._lows(i).astype(np.int64)
 
     def _below(self, high: np.ndarray) -> np.ndarray:
         """How many values have upper bits below ``high``: ones before the zero that closes the bucket before."""
         k = np.maximum(high - 1, 0)
-        word = np.minimum(np.searchsorted(self.zeros, k, side="right") - 1, len(self.upper) - 1)
-        place = word * 64 + self._in_word(~self.upper[word], np.minimum(k - self.zeros[word], 63))
+        if len(high) >= len(self.upper):
+            places = self._places(~self.upper)
+            place = places[np.minimum(k, len(places) - 1)]
+        else:
+            word = np.minimum(np.searchsorted(self.zeros, k, side="right") - 1, len(self.upper) - 1)
+            place = word * 64 + self._in_word(~self.upper[word], np.minimum(k - self.zeros[word], 63))
         return np.where(high > 0, np.minimum(place - k, self.n), 0)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value >= x (n if none)."""
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the first value >= x in the bucket of its upper bits, the end of the bucket, the lower bits of x."""
         high = x >> self.width
-        a, b = self._below(high), self._below(high + 1)
+        both = self._below(np.concatenate([high, high + 1]))
+        a, end = both[:len(x)], both[len(x):]
         low = (x & ((1 << self.width) - 1)).astype(np.uint64)
-        while True:
-            open_ = a < b
-            if not open_.any():
-                return a
-            middle = (a + b) >> 1
-            less = np.zeros(len(x), dtype=bool)
-            less[open_] = self._lows(middle[open_]) < low[open_]
-            a, b = np.where(open_ & less, middle + 1, a), np.where(open_ & ~less, middle, b)
+        at, b = np.flatnonzero(a < end), end.copy()
+        while len(at):
+            middle = (a[at] + b[at]) >> 1
+            less = self._lows(middle) < low[at]
+            a[at[less]] = middle[less] + 1
+            b[at[~less]] = middle[~less]
+            at = at[a[at] < b[at]]
+        return a, end, low
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first value >= x (n if none)."""
+        return self._search(x)[0]
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first value equal to x, -1 if there is none."""
+        at, end, low = self._search(x)
+        hit = np.flatnonzero(at < end)
+        hit = hit[self._lows(at[hit]) == low[hit]]
+        found = np.full(len(x), -1)
+        found[hit] = at[hit]
+        return found
 
 
 NONE = 65535  # the code of probability zero
@@ -164,15 +190,13 @@ class Level:
         """Position of (context, word), -1 if it is not held."""
         if not self.words.n:
             return np.full(len(word), -1)
-        a, b = self.pointers.get(context), self.pointers.get(context + 1)
+        heads = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])[:len(context)]  # neighbours share their group
+        group = context[heads]
+        a, b = self.pointers.get(group), self.pointers.get(group + 1)
         base = np.where(a > 0, self.words.get(np.maximum(a - 1, 0)) + 1, 0)
-        base = np.where(a < b, base, 0)
-        x = base + word
-        at = self.words.successor(x)
-        inside = (at >= a) & (at < b)
-        hit = np.zeros(len(word), dtype=bool)
-        hit[inside] = self.words.get(at[inside]) == x[inside]
-        return np.where(hit, at, -1)
+        a, b, base = np.repeat(np.stack([a, b, np.where(a < b, base, 0)]), np.diff(np.r_[heads, len(context)]), axis=1)
+        at = self.words.find(base + word)
+        return np.where((at >= a) & (at < b), at, -1)
 
 
 class Model:
@@ -247,32 +271,35 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
 
-def _key(word: bytes) -> int:
-    """Code of a word below the word share: negative, 63 bits."""
-    return -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1)
+def _keys(words: list[bytes]) -> np.ndarray:
+    """Codes of words below the word share: negative, 63 bits."""
+    held = np.empty(len(words), dtype=object)
+    held[:] = words
+    return -1 - (hash_array(held, categorize=False) >> np.uint64(1)).astype(np.int64)
 
 
 def _add_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [_key(w) for w in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["word", "c", "key"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_keys(batch.column(0).to_pylist()))], names=["word", "c", "key"])
 
 
 def _streams(texts: list[str], number: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Chunks (first text, tokens per text, codes with a lead end before every text, places of the leads)."""
-    get, end = number.get, number.get(END, _key(END))
-    ids: list[int] = []
+    words: list[bytes] = []
     lengths, first = [], 0
     for i, text in enumerate(texts):
-        before = len(ids)
-        ids.append(end)
-        ids.extend([_key(w) if (n := get(w)) is None else n for w in words_of(text)])
-        ids.append(end)
-        lengths.append(len(ids) - before - 1)
-        if len(ids) >= CHUNK or i == len(texts) - 1:
+        before = len(words)
+        words.append(END)
+        words.extend(words_of(text))
+        words.append(END)
+        lengths.append(len(words) - before - 1)
+        if len(words) >= CHUNK or i == len(texts) - 1:
+            ids = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+            rare = np.flatnonzero(ids < 0)
+            ids[rare] = _keys([words[k] for k in rare.tolist()])
             sizes = np.array(lengths, dtype=np.int64)
-            yield first, sizes, np.array(ids, dtype=np.int64), np.r_[0, np.cumsum(sizes + 1)[:-1]].astype(np.int64)
-            ids, lengths, first = [], [], i + 1
+            yield first, sizes, ids, np.r_[0, np.cumsum(sizes + 1)[:-1]].astype(np.int64)
+            words, lengths, first = [], [], i + 1
 
 
 def _grams(ids: np.ndarray, heads: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,19 +310,20 @@ def _grams(ids: np.ndarray, heads: np.ndarray, none: int) -> tuple[np.ndarray, n
     return np.where(lead[at - 1], none, ids[at - 2]), ids[at - 1], ids[at]
 
 
-def _counted(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different (context, word) and how often they occur."""
-    order = np.lexsort((word, context))
-    context, word = context[order], word[order]
-    heads = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(order) else order
-    return context[heads], word[heads], np.diff(np.r_[heads, len(order)])
+def _counted(*columns: np.ndarray) -> list[np.ndarray]:
+    """The different rows of ``columns`` and how often they occur."""
+    order = np.lexsort(columns)
+    columns = [x[order] for x in columns]
+    heads = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in columns], axis=0)]) if len(order) else order
+    return [*(x[heads] for x in columns), np.diff(np.r_[heads, len(order)])]
 
 
 def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_word_share: float = GRAM_WORD_SHARE, gram_share: float = GRAM_SHARE, discount: float = DISCOUNT,
           shard: int = SHARD) -> tuple[Model, DataFrame]:
     """Model and the counts of all words (word, c, key) from ``docs`` (text). The end of a text is the empty word.
 
-    Words are frequent with at least ``gram_word_share`` of all tokens and an eighth of the ``shard`` tokens of a shard.
+    Words are frequent with at least ``gram_word_share`` of all tokens and an eighth of the ``shard`` tokens of a shard
+    or ``JOIN_SHARE`` of all tokens.
     The shares and ``shard`` decide where an n-gram is looked up, not what is found.
     """
     spark = docs.sparkSession
@@ -309,7 +337,7 @@ def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_word_share: floa
     words = [bytes(r["word"]) for r in core]
     count = np.array([r["c"] for r in core], dtype=np.int64)
     part = max(1, shard // 8)
-    frequent = int((count >= max(part, math.ceil(gram_word_share * tokens))).sum())
+    frequent = int((count >= max(1, math.ceil(gram_word_share * tokens), min(part, math.ceil(JOIN_SHARE * tokens)))).sum())
     if END in words[frequent:]:  # the end is always a context
         at = words.index(END)
         words.insert(0, words.pop(at))
@@ -324,24 +352,29 @@ def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_word_share: floa
     size = len(words)
     shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, count[:frequent]))
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (u = -1, v, w) with a frequent v and triples (u, v, w) with both frequent."""
         number, _ = shared.value
         for batch in batches:
             for _, _, ids, heads in _streams(batch.column(0).to_pylist(), number):
-                _, v, w = _grams(ids, heads, size)
-                often = (v >= 0) & (v < frequent)
-                v, w, c = _counted(v[often], w[often])
-                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)), pa.array(w), pa.array(c, pa.int64())], names=["v", "w", "c"])
+                u, v, w = _grams(ids, heads, size)
+                often = np.flatnonzero((v >= 0) & (v < frequent))
+                twice = often[(u[often] >= 0) & (u[often] < frequent)]
+                u = np.r_[np.full(len(often), -1), u[twice]]
+                both = np.r_[often, twice]
+                u, v, w, c = _counted(u, v[both], w[both])
+                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(w), pa.array(c, pa.int64())], names=["u", "v", "w", "c"])
 
     def add_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, total = shared.value
         for batch in batches:
-            v, c = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            codes = _quantise((c - discount) / total[v]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=["v", "w", "c", "code"])
+            v, c = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            codes = _quantise((c - discount) / total[v]).astype(np.int32)  # of pairs
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=["u", "v", "w", "c", "code"])
 
-    summed = texts.mapInArrow(count_pairs, "v int, w bigint, c bigint").groupBy("v", "w").agg(F.sum("c").alias("c"))
-    pairs = materialise(summed.mapInArrow(add_codes, "v int, w bigint, c bigint, code int"), "lm-pairs")
+    summed = texts.mapInArrow(count_grams, "u int, v int, w bigint, c bigint").groupBy("u", "v", "w").agg(F.sum("c").alias("c"))
+    grams = materialise(summed.mapInArrow(add_codes, "u int, v int, w bigint, c bigint, code int"), "lm-grams")
+    pairs = grams.where("u < 0").select("v", "w", "c", "code")
     followers = np.zeros(frequent, dtype=np.int64)
     for r in pairs.groupBy("v").agg(F.count("*").alias("n")).collect():  # a row for each frequent word
         followers[r["v"]] = r["n"]
@@ -349,32 +382,12 @@ def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_word_share: floa
     kept = pairs.where((F.col("w") >= 0) & (F.col("c") >= max(1, math.ceil(gram_share * tokens)))).select("v", "w", "c").toPandas().sort_values(["v", "w"])
     v, w, c = (kept[x].to_numpy(dtype=np.int64) for x in ("v", "w", "c"))
     level = Level(v, w, c, count[:frequent], discount, followers)
-    hot = (c >= part) & (w < frequent) & (w != words.index(END))
-    contexts = _followers(texts, shared, size, dict(zip((v[hot] * size + w[hot]).tolist(), c[hot].tolist())))
+    # at most 8 rows for each shard
+    hot = grams.where("u >= 0").groupBy("u", "v").agg(F.sum("c").alias("c"), F.count("*").alias("n")).where(F.col("c") >= part).collect()
+    contexts = {r["u"] * size + r["v"]: (r["c"], r["n"]) for r in hot}
     return Model(words, count, frequent, tokens, distinct, [level], pairs, contexts, discount, shard), counts
 
 
-def _followers(texts: DataFrame, shared, size: int, hot: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """(count, different next words) of the frequent contexts ``hot``, u * size + v with their counts."""
-    if not hot:
-        return {}
-    asked = np.array(sorted(hot), dtype=np.int64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, _ = shared.value
-        for batch in batches:
-            for _, _, ids, heads in _streams(batch.column(0).to_pylist(), number):
-                u, v, w = _grams(ids, heads, size)
-                inside = (u >= 0) & (u < size) & (v >= 0)
-                context, w = u[inside] * size + v[inside], w[inside]
-                often = np.isin(context, asked)
-                context, w, _ = _counted(context[often], w[often])
-                yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(w)], names=["context", "w"])
-
-    found = texts.mapInArrow(count, "context bigint, w bigint").distinct().groupBy("context").agg(F.count("*").alias("n")).collect()  # a row for each of hot
-    return {r["context"]: (hot[r["context"]], r["n"]) for r in found}
-
-
 def _mix(*parts: np.ndarray) -> np.ndarray:
     """A hash of the columns ``parts``."""
     x = np.zeros(len(parts[0]), dtype=np.uint64)
@@ -396,6 +409,7 @@ RARE = 0xFFFFFFFF
 
 def _pack(columns: list[np.ndarray], bounds: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(part, bytes) of the slices of ``columns`` between ``bounds`` that hold rows; negative numbers stand apart."""
+    codec = pa.Codec("zstd", compression_level=1)
     rare = [np.r_[0, np.cumsum(x < 0)] for x in columns]
     keys = [x[x < 0] for x in columns]
     for part in np.flatnonzero(np.diff(bounds)):
@@ -403,11 +417,12 @@ def _pack(columns: list[np.ndarray], bounds: np.ndarray) -> Iterator[tuple[int,
         far = [k[r[a]:r[b]] for k, r in zip(keys, rare)]
         head = np.array([b - a, *map(len, far)], dtype=np.int64).tobytes()
         near = [_planes(np.where(x[a:b] < 0, RARE, x[a:b])) for x in columns]
-        yield int(part), zlib.compress(b"".join([head, *near, *(k.tobytes() for k in far)]), 1)
+        raw = b"".join([head, *near, *(k.tobytes() for k in far)])
+        yield int(part), len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
-    raw = zlib.decompress(blob)
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
     n, *far = np.frombuffer(raw, dtype=np.int64, count=1 + columns).tolist()
     at, found = 8 * (1 + columns), []
     for _ in range(columns):
@@ -431,68 +446,76 @@ def _rows(size: int, **columns: np.ndarray | pa.Array) -> pa.Table:
 def _shard_scores(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, num: np.ndarray, learnt: np.ndarray) -> pa.Table:
     """Sums of the scores by document, and the tokens whose pair or word has to be joined, of all tokens of a shard."""
     none = len(model.counts)
-    names, at = np.unique(np.r_[u, w], return_inverse=True)
-    size, u_at, w_at = len(names), at[:len(u)], at[len(u):]
+    names, at = np.unique(np.concatenate([u, w]), return_inverse=True)
+    size, n = len(names), len(u)
+    at = at.astype(np.int32)
+    u_at, w_at = at[:n], at[n:]
     middle, v_at = np.unique(v, return_inverse=True)
+    v_at = v_at.astype(np.int32)
     often = (middle >= 0) & (middle < model.frequent)
 
     def different(context: np.ndarray, word: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        key, place = np.unique(context * size + word, return_inverse=True)
-        return key // size, key % size, place, np.bincount(place, weights=weights, minlength=len(key)).astype(np.int64)
+        key, place = np.unique(context.astype(np.int64) * size + word, return_inverse=True)
+        return key // size, key % size, place.astype(np.int32), np.bincount(place[weights], minlength=len(key))
 
     # pairs (v, w) of words that are not frequent: all of them are here
     pv, pw, pair, c = different(v_at, w_at, learnt)
-    total = np.bincount(v_at, weights=learnt, minlength=len(middle)).astype(np.int64)
+    total = np.bincount(v_at[learnt], minlength=len(middle))
     held = (c > 0) & ~often[pv]
     level = Level(pv[held], pw[held], c[held], np.where(often, 0, total), model.discount)
-    left2, code2 = level.left[pv].astype(np.int64), np.full(len(pv), NONE, dtype=np.int64)
+    left, code = level.left[pv], np.full(len(pv), NONE, dtype=np.uint16)
     found = level.find(pv, pw)
-    code2[found >= 0] = level.codes[found[found >= 0]]
+    code[found >= 0] = level.codes[found[found >= 0]]
     # pairs of frequent words: in the level that every task holds, or to be joined
     ask = often[pv]
     if ask.any():
         first = model.levels[0]
-        left2[ask] = first.left[middle[pv[ask]]]
+        left[ask] = first.left[middle[pv[ask]]]
         held = np.flatnonzero(ask & (names[pw] >= 0))
         found = first.find(middle[pv[held]], names[pw[held]])
-        code2[held[found >= 0]] = first.codes[found[found >= 0]]
+        code[held[found >= 0]] = first.codes[found[found >= 0]]
         ask[held[found >= 0]] = False
-    code2[ask] = 0
+    code[ask] = 0
+    code2, left2 = code[pair], left[pair]
+    asked = np.where(ask[pair], v, -1).astype(np.int32)
+    del pv, pw, pair, level, code, left, found, held
 
     # contexts by their second word, then triples
     cv, cu, context, c = different(v_at, u_at, learnt)
-    held = (c > 0) & (names[cu] != none)
+    held = np.flatnonzero((c > 0) & (names[cu] != none))
     turned = Level(cv[held], cu[held], c[held], np.maximum(total, 1), model.discount)
     total, extra = c[held], None
     if model.contexts:
         extra = np.full(len(total), -1)
-        known = np.flatnonzero((names[cu[held]] >= 0) & (middle[cv[held]] >= 0))
-        for i, key in zip(known.tolist(), (names[cu[held][known]] * none + middle[cv[held][known]]).tolist()):
+        first, second = names[cu[held]], middle[cv[held]]
+        for i in np.flatnonzero((first >= 0) & (first < model.frequent) & (second >= 0) & (second < model.frequent)).tolist():
+            key = int(first[i]) * none + int(second[i])
             if key in model.contexts:
                 total[i], extra[i] = model.contexts[key]
     place = np.where(names[cu] != none, turned.find(cv, cu), -1)[context]
     inside = np.flatnonzero(place >= 0)
-    left3, code3 = np.zeros(len(u), dtype=np.int64), np.full(len(u), NONE, dtype=np.int64)
-    tc, tw, triple, c = different(place[inside], w_at[inside], learnt[inside])
+    place = place[inside]
+    left3, code3 = np.zeros(n, dtype=np.uint16), np.full(n, NONE, dtype=np.uint16)
+    del cv, cu, context, turned, u_at, v_at, at
+    tc, tw, triple, c = different(place, w_at[inside], learnt[inside])
     held = c > 0
     if extra is not None:
         extra = np.where(extra < 0, np.bincount(tc[held], minlength=len(total)), extra)
     level = Level(tc[held], tw[held], c[held], total, model.discount, extra)
-    left3[inside] = level.left[place[inside]]
-    found = level.find(tc, tw)[triple]
-    hit = found >= 0
-    code3[inside[hit]] = level.codes[found[hit]]
-
-    ask, code2, left2 = ask[pair], code2[pair], left2[pair]
-    later = ask | (w < 0)
-    near = ~later
+    left3[inside] = level.left[place]
+    found = level.find(tc, tw)
+    code3[inside] = np.where(found >= 0, level.codes[found] if len(level.codes) else NONE, NONE)[triple]
+    del tc, tw, triple, level, found, place, inside, held
+
+    near = (asked < 0) & (w >= 0)
     p = _POWERS[code3[near]] + _POWERS[left3[near]] * (_POWERS[code2[near]] + _POWERS[left2[near]] * model.uni[w[near]])
     documents, owner = np.unique(num[near], return_inverse=True)
     sums = _rows(len(documents), num=documents, score=np.bincount(owner, weights=np.log10(p), minlength=len(documents)))
-    w, ask = w[later], ask[later]
-    codes = (code3 | left3 << 16 | code2 << 32 | left2 << 48)[later]
+    later = np.flatnonzero(~near)
+    w, asked = w[later], asked[later]
+    codes = sum(x[later].astype(np.int64) << bit for x, bit in ((code3, 0), (left3, 16), (code2, 32), (left2, 48)))
     count = model.counts[np.maximum(w, 0)] if none else w
-    return pa.concat_tables([sums, _rows(len(w), num=num[later], w=w, c=pa.array(count, mask=w < 0), v=pa.array(v[later].astype(np.int32), mask=~ask), codes=codes)])
+    return pa.concat_tables([sums, _rows(len(w), num=num[later], w=w, c=pa.array(count, mask=w < 0), v=pa.array(asked, mask=asked < 0), codes=codes)])
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -547,9 +570,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
         opened = shared.value.open()
         found = [_unpack(b, 4) for b in blobs]
-        num = np.concatenate([(x[3] >> 1) + n for x, n in zip(found, group.column("first").to_pylist())])
-        u, v, w, owner = (np.concatenate(x) for x in zip(*found))
-        return _shard_scores(opened, u, v, w, num, owner & 1)
+        u, v, w = (np.concatenate([x.pop(0) for x in found]) for _ in range(3))
+        num = np.concatenate([(x[0] >> 1) + n for x, n in zip(found, group.column("first").to_pylist())])
+        learnt = np.concatenate([(x.pop() & 1).astype(bool) for x in found])
+        return _shard_scores(opened, u, v, w, num, learnt)
 
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), (~held_out()).alias("learnt")).mapInArrow(send, "shard int, first bigint, blob binary")
     rows = materialise(sent.groupBy("shard").applyInArrow(
