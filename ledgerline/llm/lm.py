@@ -37,7 +37,8 @@ GRAM_SHARE = 1e-7
 DISCOUNT = 0.75
 STEPS = 32  # quantised probabilities are powers of 10 ** (-1 / STEPS)
 CHUNK = 400_000
-SHARD = 2_000_000  # tokens
+SHARD = 1_600_000  # tokens
+ROWS_SENT = 50_000
 JOIN_SHARE = 2e-3  # a share and not only a count, so that the part of the tokens that is joined hardly grows with them
 TOKEN_BYTES = 5  # to set the number of shards
 END = b""
@@ -90,7 +91,8 @@ class EliasFano:
         high = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return ((self.low[word] >> shift) | high) & np.uint64((1 << self.width) - 1)
 
-    def _places(self, words: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _places(words: np.ndarray) -> np.ndarray:
         """Places of all set bits."""
         return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))
 
@@ -573,7 +575,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         u, v, w = (np.concatenate([x.pop(0) for x in found]) for _ in range(3))
         num = np.concatenate([(x[0] >> 1) + n for x, n in zip(found, group.column("first").to_pylist())])
         learnt = np.concatenate([(x.pop() & 1).astype(bool) for x in found])
-        return _shard_scores(opened, u, v, w, num, learnt)
+        del found, blobs
+        scores = _shard_scores(opened, u, v, w, num, learnt)
+        return pa.Table.from_batches(scores.to_batches(max_chunksize=ROWS_SENT), schema=ROW)
 
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), (~held_out()).alias("learnt")).mapInArrow(send, "shard int, first bigint, blob binary")
     rows = materialise(sent.groupBy("shard").applyInArrow(
