@@ -47,6 +47,15 @@ def written_place(docs: DataFrame, name: str) -> DataFrame:
     return rows.join(F.broadcast(files), "_file").withColumn(name, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
 
 
+def by_merge(side: DataFrame) -> DataFrame:
+    """``side`` of a join as large as the corpus: sorted, never sent to the driver.
+
+    Spark counts the rows behind an explode as those before it and a written table as its compressed bytes, so it would
+    broadcast sides many times its own threshold.
+    """
+    return side.hint("merge")
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -104,10 +113,10 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     for _ in range(rounds):
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(by_merge(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(low, "a")
+            large.join(by_merge(low), "a")
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a <> b").distinct()
         )

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, text_or_empty
+from .common import by_merge, map_texts, materialise, text_or_empty
 
 CAPACITY = 1024
 END = 0
@@ -213,4 +213,4 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity: i
         "_before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("n")).select("_range", "_before")  # 4,096 rows
     ranked = first.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy("_order"))).join(before, "_range").select(
         "sequence_id", (F.col("_before") + F.col("_rank") - 1).alias("_new"))
-    return pieces.join(ranked, "sequence_id").withColumn("sequence_id", F.col("_new")).drop("_new", place)
+    return pieces.join(by_merge(ranked), "sequence_id").withColumn("sequence_id", F.col("_new")).drop("_new", place)

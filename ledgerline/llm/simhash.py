@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_texts, materialise, text_or_empty
+from .common import by_merge, components, map_texts, materialise, text_or_empty
 
 RADIUS = 4
 SHINGLE = 4
@@ -89,7 +89,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, in_task: int =
     """
     tables = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)])).alias("v", "key"))
     shared = tables.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(tables.join(shared, ["v", "key"]), "simhash-buckets")
+    members = materialise(tables.join(by_merge(shared), ["v", "key"]), "simhash-buckets")
     lists = (
         members.where(F.col("n") <= in_task).groupBy("v", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
         .groupBy("fps").agg(F.lit(1).alias("one")).select("fps"))  # the same group shows up in many tables
@@ -111,7 +111,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, in_task: int =
     crowded = members.where(F.col("n") > in_task).select("fp").distinct()
     points = crowded.select("fp", F.explode(F.transform(F.array(*[F.lit(s) for s in steps]), lambda s: F.col("fp").bitwiseXOR(s))).alias("z"))
     lowest = points.groupBy("z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("z", "b")
-    far = points.join(lowest, "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    far = points.join(by_merge(lowest), "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return near.union(far).distinct() if _any(members, in_task) else near.distinct()
 
 
@@ -131,9 +131,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     known = materialise(fingerprints(rows, ["doc_id", "text_hash"], "text", size), "simhash")
     per_fp = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = materialise(components(link_fingerprints(per_fp.select("fp"), radius), "simhash-components"), "simhash-roots")
-    grouped = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("group_fp"))
-    named = grouped.join(grouped.groupBy("group_fp").agg(F.min("least").alias("component_id")), "group_fp").select("fp", "group_fp", "component_id")
-    return known.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "group_fp")
+    grouped = per_fp.join(by_merge(roots.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("group_fp"))
+    named = grouped.join(by_merge(grouped.groupBy("group_fp").agg(F.min("least").alias("component_id"))), "group_fp").select("fp", "group_fp", "component_id")
+    return known.join(by_merge(named), "fp").select("doc_id", "text_hash", "fp", "component_id", "group_fp")
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
@@ -150,7 +150,7 @@ def one_of(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     winners = first.select(F.col("w.doc_id").alias("w_id"), F.col("w.text_hash").alias("w_hash")).distinct()
     # the row travels as one column, so its names clash with none here
     rows = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("hash"), F.struct(*docs.columns).alias("row"))
-    kept = rows.join(winners, rows["doc_id"].eqNullSafe(winners["w_id"]) & (rows["hash"] == winners["w_hash"]), "left_semi")
+    kept = rows.join(by_merge(winners), rows["doc_id"].eqNullSafe(winners["w_id"]) & (rows["hash"] == winners["w_hash"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "hash"]).select("row.*")
 
 

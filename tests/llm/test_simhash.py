@@ -3,7 +3,7 @@ import re
 import numpy as np
 import xxhash
 
-from ledgerline.llm import simhash
+from ledgerline.llm import common, simhash
 
 
 def slow_print(text):
@@ -76,3 +76,16 @@ def test_odd_rows(odd_docs):
 
 def test_no_rows(odd_docs):
     assert simhash.near_groups(odd_docs.limit(0)).count() == 0
+
+
+def test_no_side_as_large_as_the_corpus_is_broadcast(spark, monkeypatch):
+    """Small tables are where Spark would; its size of the 31 masked rows of a fingerprint is that of one."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (simhash, common):
+        monkeypatch.setattr(module, "materialise", lambda df, name, real=common.materialise: plans.append(plan(df)) or real(df, name))
+    docs = spark.createDataFrame([(i, f"a text of some words that is about the number {i // 2}") for i in range(40)], "doc_id bigint, text string")
+    kept = simhash.keep_one(docs)
+    plans.append(plan(kept))
+    assert not any("BroadcastExchange" in p for p in plans)
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and 0 < kept.count() <= 20
