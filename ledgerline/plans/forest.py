@@ -1,29 +1,36 @@
 """Regression forest that keeps no weight per row and tree: draws are made anew in every pass.
 
-A level of all trees is one pass: each task adds up, per open node and bin of each feature, the drawn rows and their
-targets as products of two matrices, and only these sums are shuffled. Targets are summed as whole units, and the
-draws of a row come from the hash of all its columns, so a fit to distinct rows does not depend on how they are dealt out.
+Bounds of bins come from the counts of all values. Rows alike in all bins and in target become one with their number,
+m: the sum of m Poisson draws is one draw with m times the mean, so nothing is lost. A level of all trees is one pass:
+each task adds up, per open node and bin of each feature, the drawn rows and their targets as products of two matrices,
+and only these sums are shuffled. Targets are summed as whole units, and the draws of a row come from the hash of its
+bins and target, so a fit does not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.base import Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_uniform
 from ..session import cut_lineage
 
 BINS = 32
-SPLIT_SAMPLE = 10_000  # rows that set the bins' bounds, as in Spark's own forest
-BLOCK = 1024  # rows of one product
+BIN_BITS = 5
+PACKED = 12  # bins in one long
+FEW_ROWS = 10_000  # so many are counted on the driver
+BLOCK = 2048  # rows of one product, which stand for at most
+BLOCK_ROWS = 1 << 20  # rows; four times that fits a float, and times 2 ``UNITS`` a double
+LUMP = 64  # more rows than that are drawn by a generator of their own
 PASS_CELLS = 1 << 20  # sums (node, bin) of one pass over the rows
 TABLE_CELLS = 1 << 21
 UNITS = 2.0**30
@@ -159,29 +166,80 @@ def load_trees(spark, path: str) -> ForestModel:
 def split_bounds(values: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Thresholds between all distinct values or, if there are too many, at about even steps of the rows."""
     distinct, counts = np.unique(values, return_counts=True)
-    middles = (distinct[1:] + distinct[:-1]) / 2
-    if len(middles) < bins:
+    return _bounds_of(distinct, np.cumsum(counts), len(distinct), len(values), bins)
+
+
+def _bounds_of(values: np.ndarray, sums: np.ndarray, distinct: int, n: int, bins: int) -> np.ndarray:
+    """Thresholds from ordered values with the rows up to each; of ``distinct`` values those away from all steps may be missing."""
+    middles = (values[1:] + values[:-1]) / 2
+    if distinct - 1 < bins:
         return middles
-    step = len(values) / bins
-    sums = np.cumsum(counts)
+    step = n / bins
     out, target = [], step
-    for i in range(1, len(distinct)):
+    for i in range(1, len(values)):
         if abs(sums[i - 1] - target) < abs(sums[i] - target):
             out.append(middles[i - 1])
             target += step
     return np.array(out)
 
 
+def all_bounds(rows: DataFrame, names: list[str], n: int, bins: int = BINS) -> list[np.ndarray]:
+    """``split_bounds`` of each column over all ``n`` rows, whatever their number.
+
+    Values are counted, dealt into ordered ranges and summed there. The driver gets only those near a step: the value in
+    which it falls, the one before and ``bins`` behind, and as many at the start of a range.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, column in enumerate(batch.columns):
+                values, counts = np.unique(column.to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), f, dtype=np.int32)), pa.array(values), pa.array(counts)], names=["f", "v", "c"])
+
+    counted = rows.select(*names).mapInArrow(count, "f int, v double, c bigint").groupBy("f", "v").agg(F.sum("c").alias("c"))
+    dealt = cut_lineage(counted.repartitionByRange("f", "v").withColumn("_range", F.spark_partition_id()))
+    parts = dealt.groupBy("f", "_range").agg(F.sum("c").alias("_rows"), F.count(F.lit(1)).alias("_values"))  # one row per range
+    before = Window.partitionBy("f").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    w = Window.partitionBy("f", "_range").orderBy("v")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt.join(F.broadcast(starts), ["f", "_range"]).withColumns({"i": F.row_number().over(w), "total": F.col("_start") + F.sum("c").over(so_far)})
+    step = lambda c: F.floor(c * F.lit(float(bins)) / F.lit(float(n)))
+    placed = placed.withColumn("met", step(F.col("total")) > step(F.col("total") - F.col("c")))
+    last = F.max(F.when(F.col("met"), F.col("i"))).over(so_far)
+    near = placed.withColumns({"last": last, "next": F.lead("met").over(w)}).where(
+        (F.col("i") <= bins) | (F.col("i") == F.col("_values")) | F.col("next") | (F.col("i") - F.col("last") <= bins))
+    found = near.select("f", "v", "total").toArrow()  # some dozens per range and step
+    distinct = {r["f"]: r["n"] for r in parts.groupBy("f").agg(F.sum("_values").alias("n")).collect()}  # one row per feature
+    out = []
+    for f in range(len(names)):
+        mine = found.filter(pa.compute.equal(found.column("f"), f)).sort_by("v")
+        out.append(_bounds_of(mine.column("v").to_numpy(), mine.column("total").to_numpy(), distinct[f], n, bins))
+    return out
+
+
+@functools.lru_cache(maxsize=2 * LUMP)
 def poisson_table(mean: float) -> np.ndarray:
-    """Number drawn for each of 65,536 equally likely values."""
+    """Number drawn for each of 65,536 equally likely values; means up to about 100."""
     share, total, out = math.exp(-mean), 0.0, np.zeros(1 << 16, dtype=np.uint8)
-    for k in range(1, 60):
+    for k in range(1, 60 + int(2 * mean)):
         total += share
         out[min(1 << 16, round(total * (1 << 16))):] = k
         share *= mean / k
     return out
 
 
+def weights(hashes: np.ndarray, times: np.ndarray, trees: int, share: float) -> np.ndarray:
+    """(rows, trees): how often each tree draws the ``times`` rows that each row stands for, ``share`` of them on average."""
+    out = np.empty((len(hashes), trees), dtype=np.float32)
+    for m in np.unique(times):
+        if m <= LUMP:
+            mine = np.flatnonzero(times == m)
+            out[mine] = draws(hashes[mine], trees, poisson_table(share * int(m)))
+    for i in np.flatnonzero(times > LUMP):
+        out[i] = np.random.Generator(np.random.Philox(key=int(hashes[i]) % (1 << 64))).poisson(share * times[i], trees)
+    return out
+
+
 def draws(hashes: np.ndarray, trees: int, table: np.ndarray) -> np.ndarray:
     """(rows, trees): how often each tree draws each row, from mixed 64-bit numbers, four draws in each."""
     with np.errstate(over="ignore"):
@@ -208,41 +266,72 @@ def apart(hashes: np.ndarray) -> np.ndarray:
         return hashes + rank * np.int64(0x632BE59BD9B4E019)
 
 
-def _sums(rows: DataFrame, width: int, bounds: list[np.ndarray], nodes: list[tuple[int, tuple]], trees: int, share: float, unit: float) -> DataFrame:
-    """(node, cell, n, s): drawn rows and units of their targets per open node (tree, path) and bin of each feature."""
+def binned(rows: DataFrame, width: int, bounds: list[np.ndarray], unit: float, seed: int) -> DataFrame:
+    """Rows alike in all bins and in target as one: the bins packed into longs, the target in units, ``m`` rows and a hash."""
+    keys = [f"k{i}" for i in range(math.ceil(width / PACKED))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [np.zeros(batch.num_rows, dtype=np.int64) for _ in keys]
+            for f, b in enumerate(bounds):
+                packed[f // PACKED] |= np.searchsorted(b, batch.column(f).to_numpy(), side="left") << (f % PACKED * BIN_BITS)
+            target = np.rint(batch.column(width).to_numpy() * unit).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*packed, target)], names=[*keys, "u"])
+
+    alike = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in (*keys, "u"))).groupBy(*keys, "u").agg(F.count(F.lit(1)).alias("m"))
+    most = BLOCK_ROWS // 2
+    parts = alike.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / most))))
+    m = F.least(F.lit(most), F.col("m") - F.col("part") * most).cast("bigint")
+    return cut_lineage(parts.select(*keys, "u", m.alias("m"), F.xxhash64(*keys, "u", "part", F.lit(seed)).alias("h")))
+
+
+def _blocks(times: np.ndarray) -> Iterator[slice]:
+    """Slices of at most ``BLOCK`` rows that stand for at most ``BLOCK_ROWS``."""
+    a, sums = 0, np.cumsum(times)
+    while a < len(times):
+        z = max(a + 1, min(a + BLOCK, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + BLOCK_ROWS, side="right"))))
+        yield slice(a, z)
+        a = z
+
+
+def _sums(rows: DataFrame, width: int, bounds: list[np.ndarray], nodes: list[tuple[int, tuple]], trees: int, share: float, usual: int) -> DataFrame:
+    """(node, cell, n, s): drawn rows and units of their targets per open node (tree, path) and bin of each feature.
+
+    Targets are added up as their distance to ``usual``, the most frequent one, so rows that have it cost one product only.
+    """
     by_path: dict[tuple, list[int]] = {}
     for i, (_, path) in enumerate(nodes):
         by_path.setdefault(path, []).append(i)
     groups = [(path, np.array(at), np.array([nodes[i][0] for i in at])) for path, at in by_path.items()]
     first = np.r_[0, np.cumsum([len(b) + 1 for b in bounds])]
-    cells = int(first[-1])
-    table = poisson_table(share)
+    cells, longs = int(first[-1]), math.ceil(width / PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s = np.zeros((len(nodes), cells), dtype=np.int64), np.zeros((len(nodes), cells), dtype=np.int64)
         for batch in batches:
-            hashes = apart(batch.column(width + 1).to_numpy())
-            target = np.rint(batch.column(width).to_numpy() * unit)
-            bins = [np.searchsorted(b, batch.column(f).to_numpy(), side="left") for f, b in enumerate(bounds)]
-            for a in range(0, len(hashes), BLOCK):
-                z = min(len(hashes), a + BLOCK)
-                weight = draws(hashes[a:z], trees, table)
-                hot = np.zeros((z - a, cells))
-                for f in range(width):
-                    hot[np.arange(z - a), first[f] + bins[f][a:z]] = 1.0
-                valued = hot * target[a:z, None]
+            packed = [batch.column(i).to_numpy() for i in range(longs)]
+            target, times, hashes = (batch.column(longs + i).to_numpy() for i in range(3))
+            hashes = apart(hashes)
+            bins = [packed[f // PACKED] >> (f % PACKED * BIN_BITS) & (1 << BIN_BITS) - 1 for f in range(width)]
+            for at_once in _blocks(times):
+                bin_of = [b[at_once] for b in bins]
+                drawn = weights(hashes[at_once], times[at_once], trees, share)
+                here = np.zeros((len(drawn), len(nodes)), dtype=np.float32)
                 for path, at, who in groups:
+                    held = drawn[:, who]
                     if path:
-                        inside = np.logical_and.reduce([(bins[f][a:z] <= k) == left for f, k, left in path])
-                        held = np.flatnonzero(inside)
-                        if not len(held):
-                            continue
-                        w, h, v = weight[np.ix_(held, who)].T, hot[held], valued[held]
-                    else:
-                        w, h, v = weight[:, who].T, hot, valued
-                    # whole numbers below 2 ** 53: exact in doubles, and counts of a block in floats
-                    n[at] += (w.astype(np.float32) @ h.astype(np.float32)).astype(np.int64)
-                    s[at] += (w.astype(np.float64) @ v).astype(np.int64)
+                        held = held * np.logical_and.reduce([(bin_of[f] <= k) == left for f, k, left in path])[:, None]
+                    here[:, at] = held
+                hot = np.zeros((len(drawn), cells), dtype=np.float32)
+                for f in range(width):
+                    hot[np.arange(len(drawn)), first[f] + bin_of[f]] = 1.0
+                # whole numbers: counts below 2 ** 24 are exact in floats, and units below 2 ** 53 in doubles
+                n += (here.T @ hot).astype(np.int64)
+                apart_by = (target[at_once] - usual).astype(np.float64)
+                other = np.flatnonzero(apart_by)
+                if len(other):
+                    s += (here[other].T.astype(np.float64) @ (hot[other] * apart_by[other, None])).astype(np.int64)
+        s += n * usual
         node, cell = np.nonzero(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(node.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(n[node, cell]), pa.array(s[node, cell])], names=["node", "cell", "n", "s"])
@@ -275,8 +364,7 @@ def fit_trees(
     each split sees ``feature_share`` of the features. Null or NaN features or labels are errors, as is an empty table."""
     width = len(columns)
     values = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
-    plain = [F.col(c) for c, t in df.dtypes if not t.startswith("map") and "variant" not in t]
-    rows = cut_lineage(df.select(*values, F.col(label).cast("double").alias("y"), F.xxhash64(*plain, F.lit(seed)).alias("h")))
+    rows = cut_lineage(df.select(*values, F.col(label).cast("double").alias("y")))
     names = [f"x{i}" for i in range(width)]
     broken = F.max(F.greatest(*[(F.col(c).isNull() | F.isnan(c)).cast("int") for c in [*names, "y"]]))
     facts = rows.agg(F.count(F.lit(1)).alias("n"), broken.alias("broken"), F.max(F.abs("y")).alias("top")).first()
@@ -285,9 +373,13 @@ def fit_trees(
     if facts["broken"]:
         raise ValueError("a feature or label is null or NaN")
     unit = UNITS / facts["top"] if facts["top"] else UNITS
-    sample = rows if facts["n"] <= SPLIT_SAMPLE else rows.where(hash_uniform("h", seed=seed) < SPLIT_SAMPLE / facts["n"])
-    seen = sample.select(*names).toArrow()  # about SPLIT_SAMPLE rows
-    bounds = [split_bounds(seen.column(c).to_numpy()) for c in names]
+    if facts["n"] <= FEW_ROWS:
+        seen = rows.select(*names).toArrow()
+        bounds = [split_bounds(seen.column(c).to_numpy()) for c in names]
+    else:
+        bounds = all_bounds(rows, names, facts["n"])
+    alike = binned(rows, width, bounds, unit, seed)
+    usual = alike.groupBy("u").agg(F.sum("m").alias("rows")).orderBy(F.desc("rows"), "u").first()["u"]
     first = np.r_[0, np.cumsum([len(b) + 1 for b in bounds])]
     cells, picked = int(first[-1]), max(1, math.ceil(feature_share * width))
 
@@ -298,7 +390,7 @@ def fit_trees(
         per_pass = max(1, PASS_CELLS // cells)
         for a in range(0, len(nodes), per_pass):
             part = nodes[a:a + per_pass]
-            found = _sums(rows, width, bounds, [(t, path) for t, _, path in part], trees, row_share, unit).toArrow()  # at most PASS_CELLS rows
+            found = _sums(alike, width, bounds, [(t, path) for t, _, path in part], trees, row_share, usual).toArrow()  # at most PASS_CELLS rows
             n, s = np.zeros((len(part), cells)), np.zeros((len(part), cells))
             where = found.column("node").to_numpy(), found.column("cell").to_numpy()
             n[where], s[where] = found.column("n").to_numpy(), found.column("s").to_numpy()

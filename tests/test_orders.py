@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline import KEY
 from ledgerline.forecast import models as M
 from ledgerline.plans import documents, generate, po, residual
+from ledgerline.plans import forest as trees_of
 from ledgerline.plans.forest import apart, draws, fit_trees, poisson_table
 from ledgerline.operators import joins, ranking
 
@@ -448,3 +449,62 @@ def test_split_shares_lay_the_training_rows_out_once(spark, tmp_path, monkeypatc
     assert {r.part: r.cnt for r in found.collect()} == {"fit": parts[0].count(), "test": parts[1].count()}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Range" not in plan and "target" not in plan and len(calls) == 1
+
+
+@pytest.mark.parametrize("query", ["k08_forest_scores", "k10_roll_forward_by_month", "k11_current_year_with_past", "k12_group_totals"])
+def test_queries_learn_from_every_training_row(query, spark, tmp_path, monkeypatch):
+    """The model is fitted to the table that ``training`` gives without a fraction."""
+    from ledgerline.queries import QUERIES, learning, load_all
+    load_all()
+    names = [*KEY, *po.Features().all(), "target", "copies"]
+    rows = spark.range(700).select(*[(F.col("id") % 5).cast("string").alias(c) if c not in KEY else F.col("id").cast("string").alias(c) for c in names])
+
+    class Done(Exception):
+        pass
+
+    def training(spark, d, window=4, ready=None, **kw):
+        assert not kw
+        return rows
+
+    def train(table, features, **kw):
+        assert not kw and table.count() == 700 and {*KEY, *features.all(), "target"} <= set(table.columns)
+        raise Done
+
+    monkeypatch.setattr(learning, "prepared", lambda *a: None)
+    monkeypatch.setattr(learning, "training", training)
+    monkeypatch.setattr(po, "train", train)
+    with pytest.raises(Done):
+        QUERIES[query](spark, str(tmp_path))
+
+
+def test_bounds_of_bins_come_from_all_rows(spark):
+    n = 40_000
+    x = np.random.default_rng(8)
+    columns = [x.normal(size=n), np.where(x.random(n) < 0.6, 0.25, x.random(n)), np.floor(x.random(n) * 20), np.full(n, 3.0), np.floor(x.random(n) ** 4 * 900) / 7, np.arange(n) % 33.0]
+    rows = spark.createDataFrame(list(zip(*[c.tolist() for c in columns])), ", ".join(f"x{i} double" for i in range(len(columns)))).repartition(7)
+    found = trees_of.all_bounds(rows, rows.columns, n)
+    for got, c in zip(found, columns):
+        assert got.tolist() == trees_of.split_bounds(c).tolist()
+
+
+def test_alike_rows_are_summed_as_one(spark):
+    """Every row is in the sums: by hand from how often each tree draws each group of alike rows."""
+    rows = spark.range(9000).select((F.col("id") % 3).cast("double").alias("x0"), (F.col("id") % 2 * 1.5).alias("x1"), F.when(F.col("id") % 9 < 4, 0.0).otherwise(F.col("id") % 7 / 7.0).alias("y"))
+    bounds, unit, path = [np.array([0.5, 1.5]), np.array([1.0])], 700.0, ((0, 1, True),)
+    alike = trees_of.binned(rows.repartition(5), 2, bounds, unit, 4)
+    nodes = [(0, ()), (1, ()), (1, path), (2, path)]
+    found = {(r.node, r.cell): (r.n, r.s) for r in trees_of._sums(alike, 2, bounds, nodes, 3, 0.8, 100).collect()}
+    want, rows_of = {}, alike.collect()
+    assert sum(r.m for r in rows_of) == 9000 and len(rows_of) < 60 and max(r.m for r in rows_of) > trees_of.LUMP
+    drawn = trees_of.weights(np.array([r.h for r in rows_of]), np.array([r.m for r in rows_of]), 3, 0.8)
+    for r, w in zip(rows_of, drawn):
+        a, b = r.k0 & 31, r.k0 >> 5 & 31
+        for i, (tree, path) in enumerate(nodes):
+            for cell in (a, 3 + b) if not path or a <= 1 else ():
+                n, s = want.get((i, cell), (0, 0))
+                want[i, cell] = (n + int(w[tree]), s + int(w[tree]) * r.u)
+    assert found == want
+    many = trees_of.weights(np.arange(300), np.repeat([3, 40, 5000], 100), 200, 0.8)
+    for part, m in zip(np.split(many, 3), (3, 40, 5000)):
+        assert abs(part.mean() / (0.8 * m) - 1) < 0.01 and abs(part.var() / (0.8 * m) - 1) < 0.05
+    assert [x.stop for x in trees_of._blocks(np.full(5, trees_of.BLOCK_ROWS // 2))] == [2, 4, 5]
