@@ -198,13 +198,14 @@ def up_to_target(draws: DataFrame) -> DataFrame:
     """Draws in order until the running total reaches the target, the reaching one included.
 
     The running total is two-level: chunk sums first, then within each chunk, so
-    no task sees more than one chunk of one target.
+    no task sees more than one chunk of one target. Spark sizes the draws as the chunks
+    they were exploded from, so the join is sorted lest it broadcasts them.
     """
     sums = draws.groupBy(*TARGET, "chunk").agg(F.sum("po_net_value").alias("_s"))
     before = Window.partitionBy(*TARGET).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*TARGET, "chunk", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_offset"))
     inside = Window.partitionBy(*TARGET, "chunk").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
-    placed = draws.join(offsets, [*TARGET, "chunk"]).where(F.col("_offset") < F.col("target_amount"))
+    placed = draws.join(offsets.hint("merge"), [*TARGET, "chunk"]).where(F.col("_offset") < F.col("target_amount"))
     placed = placed.withColumn("_before", F.col("_offset") + F.coalesce(F.sum("po_net_value").over(inside), F.lit(0.0)))
     return placed.where(F.col("_before") < F.col("target_amount")).drop("_offset", "_before")
 
@@ -222,7 +223,8 @@ def number_orders(kept: DataFrame) -> DataFrame:
     earlier = Window.partitionBy(*TARGET).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*TARGET, "chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))
     inside = Window.partitionBy(*TARGET, "chunk").orderBy("draw")
-    out = kept.withColumn("_rn", F.row_number().over(inside) - 1).join(offsets, [*TARGET, "chunk"]).join(starts, TARGET)
+    out = kept.withColumn("_rn", F.row_number().over(inside) - 1).join(offsets.hint("merge"), [*TARGET, "chunk"])
+    out = out.join(F.broadcast(starts), TARGET)  # a row per target
     number = F.col("_start") + F.col("_skip") + F.col("_rn")
     return out.withColumns({
         "doc_id": F.concat(number.cast("string"), F.lit("N")),

@@ -12,6 +12,7 @@ from ledgerline.plans import documents, generate, po, residual
 from ledgerline.plans import forest as trees_of
 from ledgerline.plans.forest import apart, draws, fit_trees, poisson_table
 from ledgerline.operators import joins, ranking
+from ledgerline.session import cut_lineage
 
 ORDERS = [
     ("1", "2023", "1", "Std", "A", "O1", "CapEx", "G1", "1,000.50"), ("1", "2023", "1", "Std", "A", "O1", "CapEx", "G1", "99.50"),
@@ -508,3 +509,17 @@ def test_alike_rows_are_summed_as_one(spark):
     for part, m in zip(np.split(many, 3), (3, 40, 5000)):
         assert abs(part.mean() / (0.8 * m) - 1) < 0.01 and abs(part.var() / (0.8 * m) - 1) < 0.05
     assert [x.stop for x in trees_of._blocks(np.full(5, trees_of.BLOCK_ROWS // 2))] == [2, 4, 5]
+
+
+def test_draws_are_never_broadcast(spark):
+    """They are many times the chunks by which Spark sizes them; only a row per amount class or per target may be sent."""
+    targets = cut_lineage(spark.createDataFrame([("2026", str(m), "2026", 4000.0) for m in range(1, 4)], "year string, month string, fund_year string, amount double"))
+    orders = cut_lineage(history_orders(spark))
+    classes = generate.class_model(generate.with_value_class(orders), po.ATTRIBUTES).classes.select("value_class")
+    draws = generate.draw_amounts(targets, generate.log_moments(orders).first(), classes, 1.5, 1)
+    kept = generate.number_orders(generate.up_to_target(draws))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert kept.count() > 0 and any("chunk" in x for x in joins)
+    assert all("SortMergeJoin" in x for x in joins if "chunk" in x)
+    assert all("BuildRight" in x for x in joins if "BroadcastHashJoin" in x)
